@@ -1,0 +1,16 @@
+"""Statistics that must not fail the job where a SQL engine returns NULL."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def safe_corr(x: Column, y: Column) -> Column:
+    """Pearson r over pairwise-complete rows; NULL (not an error) when a side
+    is constant or fewer than two pairs exist. Clipped to [-1, 1]."""
+    both = x.isNotNull() & y.isNotNull()
+    xs, ys = F.when(both, x), F.when(both, y)
+    r = F.try_divide(F.covar_pop(xs, ys), F.stddev_pop(xs) * F.stddev_pop(ys))
+    # greatest/least skip NULLs, so keep an undefined r NULL explicitly
+    return F.when(r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
