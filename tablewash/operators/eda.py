@@ -12,13 +12,13 @@ hundreds of columns gives a tall small frame, not a wide plan.
   top-k per column is a ``row_number`` window that Spark runs as a partial
   ``WindowGroupLimit`` before its exchange, so each task ships at most k
   rows per column.
-* Correlation: pairwise-complete Pearson r for all pairs in one ``agg``
-  (batched at ``PAIR_BATCH`` pairs), NULL instead of an error for a constant
-  column.
+* Correlation: pairwise-complete Pearson r from mean-shifted sums (no
+  shuffle), left out for a constant column instead of failing.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -27,10 +27,9 @@ from pyspark.sql import types as T
 
 from ..functions.columns import (is_numeric, is_text, nan_to_null, qcol,
                                  require_columns, unpivot_row)
-from ..functions.stats import safe_corr
 from .quantiles import exact_quantiles
 
-PAIR_BATCH = 200
+AGG_CHUNK = 48
 QUARTILES = (0.25, 0.5, 0.75)
 
 NUMERIC_SCHEMA = ("column string, count bigint, mean double, std double, min double, "
@@ -60,38 +59,44 @@ def numeric_summary(df: DataFrame, columns: list[str] | None = None,
                     exact: bool = True) -> DataFrame:
     """``(column, count, mean, std, min, p25, p50, p75, max)`` per numeric
     column. NaN is missing; non-finite results are NULL; ``std`` is the sample
-    standard deviation (NULL for a single value)."""
+    standard deviation (NULL for a single value).
+
+    ``exact=True`` runs the exact quartile search of :mod:`.quantiles`, whose
+    first scan also computes the other statistics; the result is a small
+    frame of one row per column. ``exact=False`` is one lazy aggregation with
+    ``percentile_approx`` quartiles.
+    """
     cols = _numeric(df, columns)
     spark = df.sparkSession
     if not cols:
         return spark.createDataFrame([], NUMERIC_SCHEMA)
     xs = {c: nan_to_null(c, df.schema[c].dataType).cast("double") for c in cols}
+
+    def basic(x):
+        return [F.count(x).alias("count"), F.avg(x).alias("mean"),
+                F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max")]
+
+    if exact:
+        extra = [F.struct(*basic(xs[c])).alias(f"s{i}") for i, c in enumerate(cols)]
+        qs, row = exact_quantiles(df, cols, list(QUARTILES), extra_aggs=extra)
+        rows = []
+        for i, c in enumerate(cols):
+            s = row[f"s{i}"]
+            q = qs[c]
+            rows.append((c, int(s["count"]), _finite(s["mean"]), _finite(s["std"]),
+                         _finite(s["min"]), _finite(q[0]), _finite(q[1]), _finite(q[2]),
+                         _finite(s["max"])))
+        return spark.createDataFrame(rows, NUMERIC_SCHEMA)
+
     stats = []
     for i, c in enumerate(cols):
-        x = xs[c]
-        fields = [F.count(x).alias("count"), F.avg(x).alias("mean"),
-                  F.stddev_samp(x).alias("std"), F.min(x).alias("min")]
-        if not exact:
-            q = F.percentile_approx(x, list(QUARTILES), 10_000)
-            fields += [q[0].alias("p25"), q[1].alias("p50"), q[2].alias("p75")]
-        fields.append(F.max(x).alias("max"))
+        q = F.percentile_approx(xs[c], list(QUARTILES), 10_000)
+        fields = basic(xs[c]) + [q[0].alias("p25"), q[1].alias("p50"), q[2].alias("p75")]
         stats.append(F.struct(*fields).alias(f"s{i}"))
     one = df.agg(*stats)
     long = unpivot_row(one, "column", [(c, F.col(f"s{i}")) for i, c in enumerate(cols)], "s")
-    if exact:
-        qs = exact_quantiles(df, cols, list(QUARTILES))
-        def lookup(k):
-            pairs = []
-            for c in cols:
-                v = qs[c][k]
-                pairs += [F.lit(c), F.lit(v).cast("double")]
-            return F.element_at(F.create_map(*pairs), F.col("column"))
-        long = long.select("column", "s.count", "s.mean", "s.std", "s.min",
-                           lookup(0).alias("p25"), lookup(1).alias("p50"),
-                           lookup(2).alias("p75"), "s.max")
-    else:
-        long = long.select("column", "s.count", "s.mean", "s.std", "s.min",
-                           "s.p25", "s.p50", "s.p75", "s.max")
+    long = long.select("column", "s.count", "s.mean", "s.std", "s.min",
+                       "s.p25", "s.p50", "s.p75", "s.max")
     fin = lambda c: F.when(~F.isnan(F.col(c)) & (F.abs(F.col(c)) != float("inf")), F.col(c))
     return long.select("column", F.col("count").cast("bigint"),
                        *[fin(c).alias(c) for c in ("mean", "std", "min", "p25", "p50", "p75", "max")])
@@ -148,28 +153,79 @@ def categorical_summary(df: DataFrame, columns: list[str] | None = None,
                     "mode", F.col("mode_count").cast("bigint")))
 
 
+def _pearson(n, sa, sb, saa, sbb, sab):
+    """r from sums of mean-shifted values over the rows where both exist."""
+    if n is None or n < 2:
+        return None
+    cov = sab / n - (sa / n) * (sb / n)
+    va = saa / n - (sa / n) ** 2
+    vb = sbb / n - (sb / n) ** 2
+    if not (va > 0 and vb > 0):
+        return None
+    r = cov / math.sqrt(va * vb)
+    if r != r or math.isinf(r):
+        return None
+    return max(-1.0, min(1.0, r))
+
+
 def correlation_pairs(df: DataFrame, columns: list[str] | None = None,
                       digits: int = 4) -> DataFrame:
     """``(col1, col2, correlation)`` for the upper triangle in column
-    order, rounded; undefined pairs are left out."""
+    order, over pairwise-complete rows, rounded; undefined pairs (a constant
+    side, fewer than two rows) are left out.
+
+    Two kinds of scan, no shuffle: one ``agg`` for count, mean, min and max of
+    every column, then plain sums of mean-shifted values (stable, and cheap
+    to generate code for) in chunks of ``AGG_CHUNK`` aggregates. A pair whose
+    columns have no NULL needs one sum; other pairs need six. r is assembled
+    from those few scalars on the driver.
+    """
     cols = _numeric(df, columns)
     spark = df.sparkSession
-    schema = "col1 string, col2 string, correlation double"
+    schema = "col1 string, col2 string, r double"
     if len(cols) < 2:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], "col1 string, col2 string, correlation double")
     xs = {c: nan_to_null(c, df.schema[c].dataType).cast("double") for c in cols}
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    parts = []
-    for start in range(0, len(pairs), PAIR_BATCH):
-        batch = pairs[start:start + PAIR_BATCH]
-        one = df.agg(*[safe_corr(xs[a], xs[b]).alias(f"r{j}") for j, (a, b) in enumerate(batch)])
-        arr = F.array(*[F.struct(F.lit(a).alias("col1"), F.lit(b).alias("col2"),
-                                 F.col(f"r{j}").alias("r")) for j, (a, b) in enumerate(batch)])
-        parts.append(one.select(F.inline(arr)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return (out.where(F.col("r").isNotNull() & ~F.isnan("r"))
+    first = df.agg(F.count(F.lit(1)).alias("__n"),
+                   *[F.struct(F.count(xs[c]).alias("n"), F.avg(xs[c]).alias("m"),
+                              F.min(xs[c]).alias("lo"), F.max(xs[c]).alias("hi")).alias(f"c{i}")
+                     for i, c in enumerate(cols)]).first()
+    total = first["__n"]
+    info = {c: first[f"c{i}"] for i, c in enumerate(cols)}
+    live = [c for c in cols if info[c]["n"] >= 2 and info[c]["lo"] != info[c]["hi"]
+            and _finite(info[c]["m"]) is not None]
+    full = {c for c in live if info[c]["n"] == total}
+    dx = {c: xs[c] - F.lit(info[c]["m"]) for c in live}
+    exprs: list[tuple[str, object]] = []
+    for c in sorted(full, key=cols.index):
+        exprs += [(f"s|{c}", F.sum(dx[c])), (f"q|{c}", F.sum(dx[c] * dx[c]))]
+    pairs = [(a, b) for i, a in enumerate(live) for b in live[i + 1:]]
+    for a, b in pairs:
+        if a in full and b in full:
+            exprs.append((f"p|{a}|{b}", F.sum(dx[a] * dx[b])))
+        else:
+            both = xs[a].isNotNull() & xs[b].isNotNull()
+            da, db = F.when(both, dx[a]), F.when(both, dx[b])
+            exprs += [(f"n|{a}|{b}", F.count_if(both)), (f"sa|{a}|{b}", F.sum(da)),
+                      (f"sb|{a}|{b}", F.sum(db)), (f"qa|{a}|{b}", F.sum(da * da)),
+                      (f"qb|{a}|{b}", F.sum(db * db)), (f"p|{a}|{b}", F.sum(da * db))]
+    sums: dict[str, float] = {}
+    for start in range(0, len(exprs), AGG_CHUNK):
+        chunk = exprs[start:start + AGG_CHUNK]
+        row = df.agg(*[e.alias(f"e{j}") for j, (_, e) in enumerate(chunk)]).first()
+        for j, (key, _) in enumerate(chunk):
+            sums[key] = row[f"e{j}"]
+    out = []
+    for a, b in pairs:
+        if a in full and b in full:
+            r = _pearson(total, sums[f"s|{a}"], sums[f"s|{b}"], sums[f"q|{a}"],
+                         sums[f"q|{b}"], sums[f"p|{a}|{b}"])
+        else:
+            r = _pearson(sums[f"n|{a}|{b}"], sums[f"sa|{a}|{b}"], sums[f"sb|{a}|{b}"],
+                         sums[f"qa|{a}|{b}"], sums[f"qb|{a}|{b}"], sums[f"p|{a}|{b}"])
+        if r is not None:
+            out.append((a, b, r))
+    return (spark.createDataFrame(out, schema)
             .select("col1", "col2", F.round("r", digits).alias("correlation")))
 
 

@@ -2,18 +2,22 @@
 
 Spark's exact ``percentile`` keeps a value->count map per group and merges
 them in one task: fine for a bounded column, an OOM for a high-cardinality
-column at 100 TB. Here exactness comes from a few passes instead:
+column at 100 TB. Here exactness comes from a few scans instead, none of
+which shuffles more than a handful of rows:
 
 1. One ``agg``: non-NULL count of every column plus ``percentile_approx``
-   brackets ``[q - d, q + d]`` around every wanted quantile.
-2. One ``agg``: for every wanted order statistic, count the values below the
-   bracket, equal to each end and strictly inside it. Ties at an end are
-   answered by the counts alone, so a value that fills a third of the column
-   costs nothing. If the rank falls inside, the open interval becomes the new
-   search range (repeat 1-2 on the filtered values while it is large).
-3. When every remaining range holds at most ``band_rows`` values: one job that
-   tags each in-range value with its target, and ``row_number`` per target
-   (a window whose partitions are bounded by ``band_rows``) picks the rank.
+   brackets ``[q - d, q + d]`` around every wanted quantile (callers can add
+   their own aggregates to this scan).
+2. One classify-and-count job: each value is classed against its column's
+   sorted bracket ends (below, equal to, between...), the rows are unpivoted
+   to ``(column, class)`` and counted with map-side partial aggregation, so
+   only a few rows per task cross the shuffle. Ties at a bracket end are
+   answered by the counts alone: a value that fills a third of the column
+   costs nothing. If the rank falls strictly inside a bracket that is still
+   large, steps 1-2 repeat on the values inside it.
+3. When every remaining range holds at most ``band_rows`` values: one job
+   tags each in-range value with its target and ``row_number`` per target (a
+   window whose partitions are bounded by ``band_rows``) picks the ranks.
 
 Only counts and the wanted values reach the driver. Interpolation is linear
 between the order statistics at ``floor(h)`` and ``floor(h) + 1`` with
@@ -30,7 +34,8 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import nan_to_null, require_columns
 
-BAND_ROWS = 100_000
+BAND_ROWS = 200_000
+SMALL_COLUMN = 4_096
 ACCURACY = 10_000
 
 
@@ -47,32 +52,48 @@ def _in_range(x, lo, hi):
     return cond
 
 
+class _Target:
+    """Search state of one order statistic: the wanted rank ``rel`` among the
+    values strictly inside ``(lo, hi)`` (``None`` = unbounded), ``size`` of
+    them, and the current approximate bracket ``(blo, bhi)``."""
+    __slots__ = ("lo", "hi", "rel", "size", "bracket")
+
+    def __init__(self, lo, hi, rel, size, bracket=None):
+        self.lo, self.hi, self.rel, self.size, self.bracket = lo, hi, rel, size, bracket
+
+
 def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
                     band_rows: int = BAND_ROWS, accuracy: int = ACCURACY,
-                    max_rounds: int = 12) -> dict[str, list[float | None]]:
-    """``{column: [quantile for each prob]}``; ``None`` for an all-NULL column."""
+                    max_rounds: int = 12, extra_aggs: list | None = None):
+    """``{column: [quantile for each prob]}``; ``None`` for an all-NULL column.
+
+    With ``extra_aggs`` (aggregate columns over ``df``) they are computed in
+    the first scan and ``(quantiles, row)`` is returned.
+    """
     require_columns(df, columns)
-    if not columns:
-        return {}
     for p in probs:
         if not 0.0 <= p <= 1.0:
             raise ValueError(f"probability {p} outside [0, 1]")
     cols = list(dict.fromkeys(columns))
-    xs = {c: _x(df, c) for c in cols}
+    # later passes read one projected double per column (evaluated once per
+    # row, not once per comparison); the first scan works on ``df`` itself so
+    # that ``extra_aggs`` can use any of its columns
+    base = df.select(*[_x(df, c).alias(f"__q{i}") for i, c in enumerate(cols)])
+    xs0 = {c: _x(df, c) for c in cols}
+    xs = {c: F.col(f"__q{i}") for i, c in enumerate(cols)}
     d = 2.0 / accuracy
     brackets = sorted({max(0.0, p - d) for p in probs} | {min(1.0, p + d) for p in probs})
-    aggs = []
+    aggs = list(extra_aggs or [])
     for i, c in enumerate(cols):
-        aggs.append(F.count(xs[c]).alias(f"n{i}"))
-        aggs.append(F.percentile_approx(xs[c], brackets, accuracy).alias(f"a{i}"))
-    first = df.agg(*aggs).first()
+        aggs.append(F.count(xs0[c]).alias(f"__n{i}"))
+        aggs.append(F.percentile_approx(xs0[c], brackets, accuracy).alias(f"__a{i}"))
+    first = df.agg(*aggs).first() if aggs else None
 
-    # targets: (column, rank) -> value; search state per target
-    wanted: dict[tuple[str, int], float | None] = {}
     plan: dict[str, list] = {}
-    state = {}   # (c, r) -> [lo, hi, rel_rank, size]
+    targets: dict[tuple[str, int], _Target] = {}
     for i, c in enumerate(cols):
-        n = int(first[f"n{i}"])
+        n = int(first[f"__n{i}"])
+        approx = dict(zip(brackets, first[f"__a{i}"] or []))
         plan[c] = []
         for p in probs:
             if n == 0:
@@ -80,71 +101,29 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
                 continue
             h = (n - 1) * p
             r0 = int(math.floor(h))
-            frac = h - r0
-            r1 = min(r0 + 1, n - 1)
-            plan[c].append((r0, r1, frac))
-            for r in {r0, r1}:
-                state[(c, r)] = [None, None, r, n]
-        approx = dict(zip(brackets, first[f"a{i}"] or []))
-        for (cc, r), st in state.items():
-            if cc != c or n <= band_rows:
-                continue
-            q = r / (n - 1) if n > 1 else 0.0
-            lo_q = max([b for b in brackets if b <= max(0.0, q - d / 2)], default=brackets[0])
-            hi_q = min([b for b in brackets if b >= min(1.0, q + d / 2)], default=brackets[-1])
-            st.append((approx.get(lo_q), approx.get(hi_q)))
-
-    pending = {k: st for k, st in state.items()}
-    for _ in range(max_rounds):
-        big = {k: st for k, st in pending.items() if st[3] > band_rows}
+            plan[c].append((r0, min(r0 + 1, n - 1), h - r0))
+            lo_q, hi_q = max(0.0, p - d), min(1.0, p + d)
+            for r in (r0, min(r0 + 1, n - 1)):
+                targets[(c, r)] = _Target(None, None, r, n, (approx.get(lo_q), approx.get(hi_q)))
+
+    wanted: dict[tuple[str, int], float] = {}
+    for rnd in range(max_rounds):
+        # the first round also narrows mid-sized columns: a count round is
+        # cheaper than ranking every value of a column
+        limit = band_rows if rnd else min(band_rows, SMALL_COLUMN)
+        big = {k: t for k, t in targets.items() if t.size > limit}
         if not big:
             break
-        # approximate brackets for ranges that were narrowed in the previous round
-        need = [k for k, st in big.items() if len(st) < 5]
+        need = [k for k, t in big.items() if t.bracket is None]
         if need:
-            aggs = []
-            for j, (c, r) in enumerate(need):
-                lo, hi, rel, size = big[(c, r)][:4]
-                q = rel / (size - 1) if size > 1 else 0.0
-                qs = [max(0.0, q - d), min(1.0, q + d)]
-                aggs.append(F.percentile_approx(F.when(_in_range(xs[c], lo, hi), xs[c]),
-                                                qs, accuracy).alias(f"b{j}"))
-            row = df.agg(*aggs).first()
-            for j, k in enumerate(need):
-                v = row[f"b{j}"] or [None, None]
-                big[k].append((v[0], v[1]))
-        # count around each bracket
-        aggs, keys = [], list(big)
-        for j, (c, r) in enumerate(keys):
-            lo, hi, rel, size, (blo, bhi) = big[(c, r)]
-            x, inr = xs[c], _in_range(xs[c], lo, hi)
-            aggs += [F.count_if(inr & (x < F.lit(blo))).alias(f"lt{j}"),
-                     F.count_if(inr & (x == F.lit(blo))).alias(f"el{j}"),
-                     F.count_if(inr & (x > F.lit(blo)) & (x < F.lit(bhi))).alias(f"md{j}"),
-                     F.count_if(inr & (x == F.lit(bhi)) & F.lit(bhi != blo)).alias(f"eh{j}")]
-        row = df.agg(*aggs).first()
-        for j, k in enumerate(keys):
-            lo, hi, rel, size, (blo, bhi) = big[k]
-            lt, el, md, eh = (int(row[f"{t}{j}"]) for t in ("lt", "el", "md", "eh"))
-            if rel < lt:                                   # bracket too high
-                pending[k] = [lo, blo, rel, lt]
-            elif rel < lt + el:
-                wanted[k] = blo
-                del pending[k]
-            elif rel < lt + el + md:
-                pending[k] = [blo, bhi, rel - lt - el, md]
-            elif rel < lt + el + md + eh:
-                wanted[k] = bhi
-                del pending[k]
-            else:                                          # bracket too low
-                above = lt + el + md + eh
-                pending[k] = [bhi, hi, rel - above, size - above]
+            _approx_brackets(base, xs, big, need, d, accuracy)
+        _count_round(base, xs, big, targets, wanted)
     else:
-        if any(st[3] > band_rows for st in pending.values()):
+        if any(t.size > band_rows for t in targets.values()):
             raise RuntimeError("quantile search did not converge")
+    if targets:
+        wanted.update(_select_ranks(base, xs, targets))
 
-    if pending:
-        wanted.update(_select_ranks(df, xs, pending))
     out = {}
     for c in cols:
         vals = []
@@ -154,34 +133,99 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
                 continue
             r0, r1, frac = entry
             v0, v1 = wanted[(c, r0)], wanted[(c, r1)]
-            v = v0 if frac == 0.0 or v0 == v1 else v0 + (v1 - v0) * frac
-            vals.append(v)
+            vals.append(v0 if frac == 0.0 or v0 == v1 else v0 + (v1 - v0) * frac)
         out[c] = vals
-    return out
+    return (out, first) if extra_aggs else out
+
+
+def _approx_brackets(df, xs, big, need, d, accuracy):
+    aggs = []
+    for j, k in enumerate(need):
+        t = big[k]
+        q = t.rel / (t.size - 1) if t.size > 1 else 0.0
+        aggs.append(F.percentile_approx(F.when(_in_range(xs[k[0]], t.lo, t.hi), xs[k[0]]),
+                                        [max(0.0, q - d), min(1.0, q + d)], accuracy)
+                    .alias(f"b{j}"))
+    row = df.agg(*aggs).first()
+    for j, k in enumerate(need):
+        v = row[f"b{j}"] or [None, None]
+        big[k].bracket = (v[0], v[1])
+
+
+def _class_expr(x, ends: list[float]):
+    """Class of ``x`` against sorted distinct ends ``e0 < e1 < ...``:
+    ``2j`` below ``e_j`` (and above ``e_{j-1}``), ``2j + 1`` equal to ``e_j``,
+    ``2m`` above the last."""
+    expr = None
+    for j, v in enumerate(ends):
+        expr = F.when(x < F.lit(v), 2 * j) if expr is None else expr.when(x < F.lit(v), 2 * j)
+        expr = expr.when(x == F.lit(v), 2 * j + 1)
+    return expr.otherwise(2 * len(ends))
+
+
+def _count_round(df, xs, big, targets, wanted):
+    """Class every in-range value against all bracket ends of its search
+    range and count per (range, class) -- ``posexplode`` of one small int
+    array per row, then a partial-aggregated ``groupBy`` (no lambdas, so the
+    stage stays in generated code). Then move each target to its new range."""
+    groups: dict[tuple, list] = {}
+    for k, t in big.items():
+        groups.setdefault((k[0], t.lo, t.hi), []).append(k)
+    gkeys = list(groups)
+    ends = {g: sorted({e for k in groups[g] for e in targets[k].bracket}) for g in gkeys}
+    codes = [F.when(_in_range(xs[c], lo, hi), _class_expr(xs[c], ends[(c, lo, hi)]))
+             for (c, lo, hi) in gkeys]
+    tagged = df.select(F.posexplode(F.array(*codes)).alias("g", "k")).where(F.col("k").isNotNull())
+    counted = tagged.groupBy("g", "k").agg(F.count(F.lit(1)).alias("n")).collect()
+    cnt = {(int(r["g"]), int(r["k"])): int(r["n"]) for r in counted}
+    for g, key in enumerate(gkeys):
+        c, lo, hi = key
+        e = ends[key]
+        per = [cnt.get((g, k), 0) for k in range(2 * len(e) + 1)]
+        for k in groups[key]:
+            t = targets[k]
+            blo, bhi = t.bracket
+            a, b = e.index(blo), e.index(bhi)
+            lt = sum(per[:2 * a + 1])                  # strictly below blo
+            el = per[2 * a + 1]
+            md = sum(per[2 * a + 2:2 * b + 1]) if b > a else 0
+            eh = per[2 * b + 1] if b > a else 0
+            rel = t.rel
+            if rel < lt:                                   # bracket too high
+                targets[k] = _Target(lo, blo, rel, lt)
+            elif rel < lt + el:
+                wanted[k] = blo
+                del targets[k]
+            elif rel < lt + el + md:
+                targets[k] = _Target(blo, bhi, rel - lt - el, md)
+            elif rel < lt + el + md + eh:
+                wanted[k] = bhi
+                del targets[k]
+            else:                                          # bracket too low
+                above = lt + el + md + eh
+                targets[k] = _Target(bhi, hi, rel - above, t.size - above)
 
 
-def _select_ranks(df: DataFrame, xs, pending) -> dict:
+def _select_ranks(df: DataFrame, xs, targets) -> dict:
     """Pick order statistics inside small ranges with a bounded window."""
     groups: dict[tuple, list] = {}
-    for (c, r), st in pending.items():
-        lo, hi, rel = st[0], st[1], st[2]
-        groups.setdefault((c, lo, hi), []).append(((c, r), rel))
+    for (c, r), t in targets.items():
+        groups.setdefault((c, t.lo, t.hi), []).append(((c, r), t.rel))
     tags, rank_map = [], []
-    for t, ((c, lo, hi), items) in enumerate(groups.items()):
-        tags.append(F.when(_in_range(xs[c], lo, hi),
-                           F.struct(F.lit(t).alias("t"), xs[c].alias("v"))))
-        rank_map += [F.lit(t), F.array(*[F.lit(rel + 1) for _, rel in items])]
-    tagged = df.select(F.explode(F.filter(F.array(*tags), lambda s: s.isNotNull())).alias("s"))
+    for g, ((c, lo, hi), items) in enumerate(groups.items()):
+        tags.append(F.when(_in_range(xs[c], lo, hi), xs[c]))
+        rank_map += [F.lit(g), F.array(*[F.lit(rel + 1) for _, rel in items])]
+    tagged = (df.select(F.posexplode(F.array(*tags)).alias("t", "v"))
+              .where(F.col("v").isNotNull()))
     w = Window.partitionBy("t").orderBy("v")
-    ranked = (tagged.select("s.t", "s.v")
-              .withColumn("rn", F.row_number().over(w))
+    ranked = (tagged.withColumn("rn", F.row_number().over(w))
               .where(F.array_contains(F.element_at(F.create_map(*rank_map), F.col("t")),
                                       F.col("rn"))))
     found = {(int(r["t"]), int(r["rn"])): r["v"] for r in ranked.collect()}
     out = {}
-    for t, (_, items) in enumerate(groups.items()):
+    for g, (_, items) in enumerate(groups.items()):
         for key, rel in items:
-            out[key] = found[(t, rel + 1)]
+            out[key] = found[(g, rel + 1)]
     return out
 
 
