@@ -265,7 +265,10 @@ def correlation_matrix(pairs: DataFrame) -> DataFrame:
 def numeric_table(summary: DataFrame, digits: int = 2) -> DataFrame:
     """Mean and std as text with ``digits`` decimals, NULL shown as N/A."""
     def fmt(c):
-        return F.coalesce(F.format_string(f"%.{digits}f", F.round(F.col(c), digits)), F.lit("N/A"))
+        # format_string renders a NULL argument as text ('nu' at %.2f), so
+        # test for NULL explicitly
+        return (F.when(F.col(c).isNotNull(), F.format_string(f"%.{digits}f", F.round(F.col(c), digits)))
+                .otherwise(F.lit("N/A")))
     return summary.select("column", "count", fmt("mean").alias("mean_text"),
                           fmt("std").alias("std_text"))
 

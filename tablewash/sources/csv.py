@@ -93,6 +93,9 @@ def export_csv(df: DataFrame, path: str, single_file: bool = False,
     data through one task and is meant for small results only.
     """
     out = df.coalesce(1) if single_file else df
+    # Spark's writer trims values unless told otherwise; an export keeps them
     (out.write.mode(mode).option("header", "true").option("escape", '"')
-     .option("nullValue", "").option("emptyValue", '""').csv(path))
+     .option("nullValue", "").option("emptyValue", '""')
+     .option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false")
+     .csv(path))
     return path
