@@ -16,6 +16,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import qcol, require_columns
 from .profile import duplicates_count
@@ -91,37 +92,65 @@ def entity_key_df(df: DataFrame, hints: tuple[str, ...] = ENTITY_HINTS) -> DataF
     return flags.select(pick.alias("checked_column"))
 
 
+def _fixed_width(dt: T.DataType) -> bool:
+    return isinstance(dt, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType,
+                           T.TimestampNTZType)) and not (
+        isinstance(dt, T.DecimalType) and dt.precision > 18)
+
+
 def entity_duplicate_keys(df: DataFrame, key: str) -> DataFrame:
     """A12+A13: non-NULL keys that have more than one **distinct** row.
 
-    One ``groupBy(key)``: a key qualifies when it has more than one row and
-    some other column is not constant within the group (differs, or is NULL
-    in some rows only).
+    Two exact plans, both hash aggregations only:
+
+    * every other column fixed-width: one ``groupBy(key)`` keeping count, min,
+      max and non-NULL count of each column; a key qualifies when it has
+      more than one row and some column is not constant within the group;
+    * otherwise (text, arrays...; their min/max would force a sort-based
+      aggregate): keys seen more than once, the rows with those keys
+      (``left_semi``; AQE broadcasts a small key set and splits a skewed key),
+      their distinct rows, and keys left with more than one of them.
     """
     require_columns(df, [key])
     others = [c for c in df.columns if c != key]
-    n = F.count(F.lit(1))
-    aggs = [n.alias("__n")]
-    varies = F.lit(False)
-    for i, c in enumerate(others):
-        x = qcol(c)
-        aggs += [F.min(x).alias(f"__lo{i}"), F.max(x).alias(f"__hi{i}"),
-                 F.count(x).alias(f"__c{i}")]
-        nonconst = ((F.col(f"__c{i}") > 0) & (F.col(f"__c{i}") < F.col("__n"))) | \
-                   (F.col(f"__lo{i}") != F.col(f"__hi{i}"))
-        varies = varies | F.coalesce(nonconst, F.lit(False))
-    grouped = df.where(qcol(key).isNotNull()).groupBy(qcol(key).alias(key)).agg(*aggs)
-    return grouped.where((F.col("__n") > 1) & varies).select(key)
+    present = df.where(qcol(key).isNotNull())
+    if all(_fixed_width(df.schema[c].dataType) for c in others):
+        n = F.count(F.lit(1))
+        aggs = [n.alias("__n")]
+        varies = F.lit(False)
+        for i, c in enumerate(others):
+            x = qcol(c)
+            aggs += [F.min(x).alias(f"__lo{i}"), F.max(x).alias(f"__hi{i}"),
+                     F.count(x).alias(f"__c{i}")]
+            nonconst = ((F.col(f"__c{i}") > 0) & (F.col(f"__c{i}") < F.col("__n"))) | \
+                       (F.col(f"__lo{i}") != F.col(f"__hi{i}"))
+            varies = varies | F.coalesce(nonconst, F.lit(False))
+        grouped = present.groupBy(qcol(key).alias(key)).agg(*aggs)
+        return grouped.where((F.col("__n") > 1) & varies).select(key)
+    repeated = (present.groupBy(qcol(key).alias(key)).agg(F.count(F.lit(1)).alias("__n"))
+                .where(F.col("__n") > 1).select(key))
+    rows = present.join(repeated, on=key, how="left_semi").dropDuplicates()
+    return (rows.groupBy(qcol(key).alias(key)).agg(F.count(F.lit(1)).alias("__n"))
+            .where(F.col("__n") > 1).select(key))
 
 
 def entity_duplicates(df: DataFrame, key: str, n: int | None = 10) -> DataFrame:
     """J1+W3: rows whose key is in :func:`entity_duplicate_keys`, ordered by the
-    key (then the other columns, for a stable sample); first ``n``."""
+    key (then the other columns, for a stable sample); first ``n``.
+
+    Each qualifying key has at least two rows, so the first ``n`` rows come
+    from the ``ceil(n / 2)`` smallest keys: only those few keys are joined
+    (a broadcast of a bounded set), and the table is never shuffled for the
+    sample. ``n=None`` returns all such rows (a semi join on all keys).
+    """
     keys = entity_duplicate_keys(df, key)
-    rows = df.join(keys, on=key, how="left_semi")
     cols = [key] + [c for c in df.columns if c != key]
+    if n is None:
+        return df.join(keys, on=key, how="left_semi").select(*[qcol(c) for c in df.columns])
+    first_keys = keys.orderBy(qcol(key).asc()).limit((n + 1) // 2)
+    rows = df.join(F.broadcast(first_keys), on=key, how="left_semi")
     rows = rows.select(*[qcol(c) for c in df.columns])
-    return rows.orderBy(*_order(cols)).limit(n) if n is not None else rows
+    return rows.orderBy(*_order(cols)).limit(n)
 
 
 def remove_duplicates(df: DataFrame, strategy: str = "remove_exact_duplicates") -> DataFrame:

@@ -128,27 +128,36 @@ def categorical_summary(df: DataFrame, columns: list[str] | None = None,
                         approx: bool = False) -> DataFrame:
     """``(column, unique_count, mode, mode_count)`` per text column.
 
-    ``unique_count`` skips NULL. Both parts read the same counted frame; the
-    shuffle is planned once and reused. ``approx=True`` counts distinct values
-    with HyperLogLog++ instead (no shuffle of values at all for that part).
+    One shuffle of ``(column, value)`` counts (planned once, reused), then
+    per column the distinct-value count and the top count, and the mode as
+    the smallest value at the top count; every step is a hash aggregation
+    with partial aggregation, so each task sends a few rows per column.
+    ``approx=True`` counts distinct values with HyperLogLog++ (the mode is
+    still exact).
     """
     cols = _categorical(df, columns)
     if not cols:
         return df.sparkSession.createDataFrame(
             [], "column string, unique_count bigint, mode string, mode_count bigint")
     vc = value_counts(df, cols)
-    top1 = top_values(df, 1, counts=vc).select("column", F.col("value").alias("mode"),
-                                                F.col("count").alias("mode_count"))
+    # hash aggregations only: count and top count per column, then the
+    # values tied at the top count (a broadcast of one row per column, a
+    # bound fixed by the schema) and the smallest of those
+    per = vc.groupBy("column").agg(F.count(F.lit(1)).alias("unique_count"),
+                                   F.max("count").alias("mode_count"))
+    tops = (vc.join(F.broadcast(per.select("column", "mode_count")), "column")
+            .where(F.col("count") == F.col("mode_count"))
+            .groupBy("column").agg(F.min("value").alias("mode")))
+    per = per.join(tops, "column", "left")
     if approx:
         pairs = F.array(*[F.struct(F.lit(c).alias("column"), qcol(c).cast("string").alias("value"))
                           for c in cols])
-        uniq = (df.select(F.inline(pairs)).groupBy("column")
-                .agg(F.approx_count_distinct("value").alias("unique_count")))
-    else:
-        uniq = vc.groupBy("column").agg(F.count(F.lit(1)).alias("unique_count"))
-    # every column of `cols` is listed even when it has no values at all
+        hll = (df.select(F.inline(pairs)).groupBy("column")
+               .agg(F.approx_count_distinct("value").alias("approx_unique")))
+        per = per.join(hll, "column", "left").withColumn("unique_count", F.col("approx_unique"))
+    # every requested column is listed, also one without any value
     names = df.sparkSession.createDataFrame([(c,) for c in cols], "column string")
-    return (names.join(uniq, "column", "left").join(top1, "column", "left")
+    return (names.join(per, "column", "left")
             .select("column", F.coalesce("unique_count", F.lit(0)).cast("bigint").alias("unique_count"),
                     "mode", F.col("mode_count").cast("bigint")))
 

@@ -91,3 +91,19 @@ def test_empty(spark):
     assert tw.duplicates_count(df) == 0
     assert tw.exact_duplicate_rows(df).count() == 0
     assert tw.entity_duplicates(df, "a").count() == 0
+
+
+def test_fixed_width_and_general_paths_agree(spark):
+    rows = [(k % 37, (k * 7) % 3 if k % 5 else None, float(k % 2) if k % 11 else None)
+            for k in range(400)]
+    num = spark.createDataFrame(rows, "k int, a int, b double")
+    txt = num.selectExpr("k", "CAST(a AS STRING) AS a", "b")     # forces the general path
+    expect = (num.distinct().where("k IS NOT NULL").groupBy("k").count()
+              .where("count > 1").select("k"))
+    want = sorted(r[0] for r in expect.collect())
+    assert sorted(r[0] for r in tw.entity_duplicate_keys(num, "k").collect()) == want
+    assert sorted(r[0] for r in tw.entity_duplicate_keys(txt, "k").collect()) == want
+    a = [tuple(r) for r in tw.entity_duplicates(num, "k", 7).collect()]
+    full = sorted((tuple(r) for r in tw.entity_duplicates(num, "k", None).collect()),
+                  key=lambda t: tuple((x is not None, x) for x in t))
+    assert a == full[:7]
