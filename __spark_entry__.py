@@ -347,6 +347,43 @@ def q_cleaning_plan(spark, d):
     return _r4(out, "acct_bal")
 
 
+def q_numeric_summary_embeddings(spark, d):
+    # the array column is passed over, not summarised
+    return _r4(tw.numeric_summary(_read(spark, d, "embeddings")), *_NUM_STATS)
+
+
+def q_duplicates_count_embeddings(spark, d):
+    return tw.duplicates_count_df(_read(spark, d, "embeddings"))
+
+
+def q_profile_columns_pages(spark, d):
+    return tw.profile_columns(_read(spark, d, "pages"))
+
+
+def q_auto_clean_pages(spark, d):
+    return tw.auto_clean(_read(spark, d, "pages"))
+
+
+def q_categorical_summary_labels(spark, d):
+    return tw.categorical_summary(_read(spark, d, "labels"), columns=["quality", "toxic"])
+
+
+def q_exact_duplicate_texts(spark, d):
+    return tw.exact_duplicate_rows(_read(spark, d, "documents").select("text"), None)
+
+
+def q_entity_duplicate_texts(spark, d):
+    docs = _read(spark, d, "documents").select("text", "lang", "source")
+    return tw.entity_duplicate_keys(docs, "text")
+
+
+def q_profile_summary_benchmark(spark, d):
+    df = _read(spark, d, "benchmark")
+    return tw.profile_counts(df).select(
+        "total_rows", F.lit(len(df.columns)).cast("bigint").alias("total_columns"),
+        "duplicates_count")
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "profile_nulls": q_profile_nulls,
     "profile_columns": q_profile_columns,
@@ -390,6 +427,14 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "csv_round_trip": q_csv_round_trip,
     "csv_round_trip_documents": q_csv_round_trip_documents,
     "cleaning_plan": q_cleaning_plan,
+    "numeric_summary_embeddings": q_numeric_summary_embeddings,
+    "duplicates_count_embeddings": q_duplicates_count_embeddings,
+    "profile_columns_pages": q_profile_columns_pages,
+    "auto_clean_pages": q_auto_clean_pages,
+    "categorical_summary_labels": q_categorical_summary_labels,
+    "exact_duplicate_texts": q_exact_duplicate_texts,
+    "entity_duplicate_texts": q_entity_duplicate_texts,
+    "profile_summary_benchmark": q_profile_summary_benchmark,
 }
 
 
@@ -694,4 +739,26 @@ def oracle_sql() -> dict[str, str]:
                                      "CASE WHEN lang = '' THEN NULL ELSE lang END AS lang "
                                      "FROM documents"),
         "cleaning_plan": _sql_cleaning_plan(),
+        "numeric_summary_embeddings": _sql_numeric("embeddings", ["vec_id", "label"]),
+        "duplicates_count_embeddings": (
+            "SELECT (SELECT count(*) FROM embeddings) - (SELECT count(*) FROM "
+            "(SELECT DISTINCT * FROM embeddings)) AS duplicates_count"),
+        "profile_columns_pages": _sql_null_counts("pages", ["page_id", "url", "html"],
+                                                  positive=False, with_type=True),
+        "auto_clean_pages": (
+            "SELECT page_id, " + ", ".join(
+                f"upper(CASE WHEN trim({c}) IN {NULL_LIKE_SQL} THEN NULL ELSE trim({c}) END) AS {c}"
+                for c in ("url", "html")) + " FROM pages"),
+        "categorical_summary_labels": _sql_categorical("labels", ["quality", "toxic"]),
+        "exact_duplicate_texts": ("SELECT text FROM (SELECT text, count(*) OVER (PARTITION BY text) "
+                                  "AS n FROM documents) WHERE n > 1"),
+        "entity_duplicate_texts": (
+            "WITH d AS (SELECT text, lang, source FROM documents), "
+            "p AS (SELECT text FROM d WHERE text IS NOT NULL GROUP BY text HAVING count(*) > 1) "
+            "SELECT text FROM (SELECT DISTINCT * FROM d WHERE text IN (SELECT * FROM p)) "
+            "GROUP BY text HAVING count(*) > 1"),
+        "profile_summary_benchmark": (
+            "SELECT (SELECT count(*) FROM benchmark) AS total_rows, CAST(2 AS BIGINT) AS total_columns, "
+            "(SELECT count(*) FROM benchmark) - (SELECT count(*) FROM (SELECT DISTINCT * FROM "
+            "benchmark)) AS duplicates_count"),
     }

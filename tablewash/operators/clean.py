@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import is_text, qcol, require_columns
 from ..functions.names import normalize_names
+from ..functions.text import sql_upper
 
 # Strings read as missing after trimming (case-sensitive).
 NULL_LIKE = ("N/A", "NA", "null", "Null", "?", "", " ")
@@ -35,7 +36,7 @@ def clean_text(c: Column, null_like=NULL_LIKE, casing: str | None = "upper") ->
     t = F.trim(c)
     t = F.when(~t.isin(*null_like), t)         # NULL input stays NULL
     if casing == "upper":
-        t = F.upper(t)
+        t = sql_upper(t)
     elif casing == "lower":
         t = F.lower(t)
     elif casing == "title":

@@ -24,6 +24,7 @@ from ..operators.clean import auto_clean_with_log, drop_columns, drop_columns_lo
 from ..operators.convert import convert_types, conversion_report, suggest_types, suggested_conversions
 from ..operators.dedup import remove_duplicates
 from ..operators.impute import impute_with_log, suggest_imputations
+from ..session import ensure_checkpoint_dir
 
 # Step names in the order the flow runs them.
 STEPS = ("auto_clean", "remove_duplicates", "convert_types", "impute_nulls", "drop_columns")
@@ -48,6 +49,9 @@ class CleaningPlan:
         log: list[tuple[str, str]] = []
         cur = df
 
+        if self.checkpoint:
+            ensure_checkpoint_dir(df.sparkSession)
+
         def cut(frame):
             return frame.checkpoint(eager=True) if self.checkpoint else frame
 

@@ -3,7 +3,6 @@ creates or configures a session (every operator takes a DataFrame)."""
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -35,7 +34,10 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 
-    Only when the session names none (local tests) is a private folder set.
+    The folder the session names is used as it is. Only a ``local[...]``
+    session without one (tests, the benchmark) gets a private temporary
+    folder; on a cluster a machine-local folder would be wrong, so an unset
+    setting is an error there.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
@@ -43,8 +45,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return sc.getCheckpointDir()
-    path = tempfile.mkdtemp(prefix="tablewash-ckpt-")
-    sc.setCheckpointDir(path)
+    if not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="tablewash-ckpt-"))
     return sc.getCheckpointDir()
 
 

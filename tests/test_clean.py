@@ -109,3 +109,14 @@ def test_streaming_clean(spark, tmp_path):
     assert [tuple(r) for r in got] == [("BOB", 7), ("UNKNOWN", None)]
     with pytest.raises(ValueError):
         tw.clean_stream(spark.range(1))
+
+
+def test_sql_upper_single_character_rule(spark):
+    from tablewash.functions.text import MULTI_UPPER, SQL_UPPER_OF, sql_upper
+    df = spark.createDataFrame([("straße ﬁx ᾀ",), ("plain",), ("mit \U000F0001 ß",), (None,), ("",)],
+                               "s string")
+    got = [r[0] for r in df.select(sql_upper(F.col("s"))).collect()]
+    assert got == ["STRAẞE ﬁX ᾈ", "PLAIN", "MIT \U000F0001 ẞ", None, ""]
+    assert len(MULTI_UPPER) == len(SQL_UPPER_OF) == 102
+    every = spark.createDataFrame([(MULTI_UPPER,)], "s string")
+    assert every.select(sql_upper(F.col("s"))).first()[0] == SQL_UPPER_OF
