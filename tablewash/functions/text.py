@@ -5,9 +5,10 @@ become two (``ß`` -> ``SS``, ``ﬁ`` -> ``FI``). SQL ``ucase`` keeps one
 character per character. The two agree everywhere except on the characters
 listed below (every character whose full upper case is longer than one
 character); :func:`sql_upper` maps those the SQL way and leaves the rest to
-Spark's built-in ``upper``. Everything stays in JVM built-ins: the listed
-characters are swapped for private-use placeholders, the text is upper-cased,
-and the placeholders are swapped for their targets. A text that already holds
+Spark's built-in ``upper``. Everything stays in JVM built-ins: a text whose
+length ``upper`` keeps holds no listed character and is done; otherwise the
+listed characters are swapped for private-use placeholders, the text is
+upper-cased, and the placeholders are swapped for their targets. A text that already holds
 a placeholder character takes an exact character-by-character path instead.
 """
 
@@ -42,4 +43,10 @@ def sql_upper(c: Column) -> Column:
     exact = F.array_join(
         F.transform(F.split(c, ""), lambda ch: F.coalesce(F.element_at(table, ch), F.upper(ch))),
         "")
-    return F.when(~c.rlike(_PLACEHOLDER_CLASS), fast).otherwise(exact)
+    # Upper-casing never shortens a character, and the listed characters are
+    # exactly the ones Java lengthens: an unchanged length means the built-in
+    # result is already the SQL one (a cheap test, no regex, no translate).
+    plain = F.upper(c)
+    return (F.when(F.length(plain) == F.length(c), plain)
+            .when(~c.rlike(_PLACEHOLDER_CLASS), fast)
+            .otherwise(exact))
