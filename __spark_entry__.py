@@ -384,6 +384,22 @@ def q_profile_summary_benchmark(spark, d):
         "duplicates_count")
 
 
+def q_chart_data_histogram(spark, d):
+    return tw.chart_data(_read(spark, d, "lineitem"), "histogram", "l_returnflag")
+
+
+def q_stream_auto_clean(spark, d):
+    """The row-local cleaning steps on a file stream of the customer table."""
+    import uuid
+    from tablewash.streaming import clean_stream, run_to_parquet
+    stream = (spark.readStream.schema(_read(spark, d, "customer").schema)
+              .option("pathGlobFilter", "customer.parquet").parquet(d)
+              .select(*[F.expr(e).alias(a) for e, a in DIRT_CUSTOMER]))
+    base = shared_scratch(spark, f"stream-{uuid.uuid4().hex}")
+    run_to_parquet(clean_stream(stream), base + "/out", base + "/checkpoint")
+    return spark.read.parquet(base + "/out")
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "profile_nulls": q_profile_nulls,
     "profile_columns": q_profile_columns,
@@ -435,6 +451,8 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "exact_duplicate_texts": q_exact_duplicate_texts,
     "entity_duplicate_texts": q_entity_duplicate_texts,
     "profile_summary_benchmark": q_profile_summary_benchmark,
+    "chart_data_histogram": q_chart_data_histogram,
+    "stream_auto_clean": q_stream_auto_clean,
 }
 
 
@@ -757,6 +775,10 @@ def oracle_sql() -> dict[str, str]:
             "p AS (SELECT text FROM d WHERE text IS NOT NULL GROUP BY text HAVING count(*) > 1) "
             "SELECT text FROM (SELECT DISTINCT * FROM d WHERE text IN (SELECT * FROM p)) "
             "GROUP BY text HAVING count(*) > 1"),
+        "chart_data_histogram": ("SELECT l_returnflag AS x, count(*) AS y FROM lineitem WHERE "
+                                 "l_returnflag IS NOT NULL GROUP BY 1 ORDER BY y DESC, x ASC LIMIT 50"),
+        "stream_auto_clean": (f"SELECT {', '.join(auto_clean_cols)} FROM "
+                              f"(SELECT {_sql_select(DIRT_CUSTOMER)} FROM customer)"),
         "profile_summary_benchmark": (
             "SELECT (SELECT count(*) FROM benchmark) AS total_rows, CAST(2 AS BIGINT) AS total_columns, "
             "(SELECT count(*) FROM benchmark) - (SELECT count(*) FROM (SELECT DISTINCT * FROM "

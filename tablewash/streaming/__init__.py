@@ -1,3 +1,3 @@
-from .clean import clean_stream, read_csv_stream
+from .clean import clean_stream, read_csv_stream, run_to_parquet
 
-__all__ = ["clean_stream", "read_csv_stream"]
+__all__ = ["clean_stream", "read_csv_stream", "run_to_parquet"]

@@ -32,6 +32,18 @@ def read_csv_stream(spark: SparkSession, directory: str, columns: list[str],
     return df.select(*[F.nullif(qcol(c), F.lit("")).alias(c) for c in columns])
 
 
+def run_to_parquet(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Process everything available now into Parquet files at ``path`` and
+    stop (``availableNow``); progress is kept in ``checkpoint`` so a restarted
+    run resumes where it stopped. Both folders must be shared by the cluster."""
+    q = (stream.writeStream.format("parquet").option("path", path)
+         .option("checkpointLocation", checkpoint).outputMode("append")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise q.exception()
+
+
 def clean_stream(df: DataFrame, auto: bool = True, conversions=None,
                  fill_values: dict | None = None, drop: list[str] | None = None,
                  **auto_kw) -> DataFrame:
