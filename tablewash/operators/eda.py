@@ -177,17 +177,31 @@ def _pearson(n, sa, sb, saa, sbb, sab):
     return max(-1.0, min(1.0, r))
 
 
+def _ml_correlation(df: DataFrame, block: list[str], xs) -> list[list[float]]:
+    """Pearson matrix of NULL-free columns with ``pyspark.ml.stat.Correlation``
+    (two JVM passes: means, then centred outer products, tree-aggregated)."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.stat import Correlation
+    names = [f"__g{i}" for i in range(len(block))]
+    vec = VectorAssembler(inputCols=names, outputCol="__v").transform(
+        df.select(*[xs[c].alias(n) for c, n in zip(block, names)]))
+    return Correlation.corr(vec, "__v", "pearson").first()[0].toArray().tolist()
+
+
 def correlation_pairs(df: DataFrame, columns: list[str] | None = None,
                       digits: int = 4) -> DataFrame:
     """``(col1, col2, correlation)`` for the upper triangle in column
     order, over pairwise-complete rows, rounded; undefined pairs (a constant
     side, fewer than two rows) are left out.
 
-    Two kinds of scan, no shuffle: one ``agg`` for count, mean, min and max of
-    every column, then plain sums of mean-shifted values (stable, and cheap
-    to generate code for) in chunks of ``AGG_CHUNK`` aggregates. A pair whose
-    columns have no NULL needs one sum; other pairs need six. r is assembled
-    from those few scalars on the driver.
+    No shuffle: one ``agg`` for count, mean, min and max of every column, then
+    plain sums of mean-shifted values (stable, and cheap to generate code
+    for) in chunks of ``AGG_CHUNK`` aggregates; a pair of NULL-free columns
+    needs one sum, other pairs six (pairwise-complete rows). When the
+    NULL-free columns alone would need more than one chunk, their whole block
+    comes from one pass of Spark ML's centred Gram matrix instead. r is
+    assembled from those few scalars on the driver; constant columns are
+    left out before any of this.
     """
     cols = _numeric(df, columns)
     spark = df.sparkSession
@@ -206,12 +220,20 @@ def correlation_pairs(df: DataFrame, columns: list[str] | None = None,
     full = {c for c in live if info[c]["n"] == total}
     dx = {c: xs[c] - F.lit(info[c]["m"]) for c in live}
     exprs: list[tuple[str, object]] = []
-    for c in sorted(full, key=cols.index):
-        exprs += [(f"s|{c}", F.sum(dx[c])), (f"q|{c}", F.sum(dx[c] * dx[c]))]
     pairs = [(a, b) for i, a in enumerate(live) for b in live[i + 1:]]
+    block = [c for c in live if c in full]
+    gram = None
+    if len(block) * (len(block) + 3) // 2 > AGG_CHUNK:
+        # many NULL-free columns: one pass of Spark ML's centred Gram matrix
+        # (tree aggregation of packed k x k sums) instead of k^2 / 2 sums
+        gram = _ml_correlation(df, block, xs)
+    elif block:
+        for c in block:
+            exprs += [(f"s|{c}", F.sum(dx[c])), (f"q|{c}", F.sum(dx[c] * dx[c]))]
     for a, b in pairs:
         if a in full and b in full:
-            exprs.append((f"p|{a}|{b}", F.sum(dx[a] * dx[b])))
+            if gram is None:
+                exprs.append((f"p|{a}|{b}", F.sum(dx[a] * dx[b])))
         else:
             both = xs[a].isNotNull() & xs[b].isNotNull()
             da, db = F.when(both, dx[a]), F.when(both, dx[b])
@@ -226,7 +248,10 @@ def correlation_pairs(df: DataFrame, columns: list[str] | None = None,
             sums[key] = row[f"e{j}"]
     out = []
     for a, b in pairs:
-        if a in full and b in full:
+        if a in full and b in full and gram is not None:
+            r = gram[block.index(a)][block.index(b)]
+            r = None if r != r or math.isinf(r) else max(-1.0, min(1.0, float(r)))
+        elif a in full and b in full:
             r = _pearson(total, sums[f"s|{a}"], sums[f"s|{b}"], sums[f"q|{a}"],
                          sums[f"q|{b}"], sums[f"p|{a}|{b}"])
         else:

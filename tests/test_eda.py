@@ -117,3 +117,18 @@ def test_empty(spark):
     assert tw.numeric_summary(df).first()["count"] == 0
     assert tw.categorical_summary(df).first()["unique_count"] == 0
     assert tw.correlation_pairs(df).count() == 0
+
+
+def test_correlation_wide_block_matches_pandas(spark):
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=(300, 1))
+    data = base + rng.normal(size=(300, 12)) * np.linspace(0.1, 3, 12)
+    pdf = pd.DataFrame(data, columns=[f"c{i}" for i in range(12)])
+    pdf["n"] = pdf["c0"] * 2 + rng.normal(size=300)
+    pdf.loc[::4, "n"] = np.nan                      # one NULL-bearing column
+    df = spark.createDataFrame(pdf)
+    got = {(r["col1"], r["col2"]): r["correlation"] for r in tw.correlation_pairs(df).collect()}
+    corr = pdf.corr()
+    assert len(got) == 13 * 12 // 2
+    for (a, b), v in got.items():
+        assert v == pytest.approx(round(corr.loc[a, b], 4), abs=1e-4), (a, b)
