@@ -7,7 +7,7 @@ from .convert import (suggest_types, convert_types, conversion_report,
 from .dedup import (exact_duplicate_rows, entity_key, entity_key_df, entity_duplicate_keys,
                     entity_duplicates, remove_duplicates, find_duplicates,
                     DuplicateReport)
-from .impute import (impute, impute_with_log, imputation_values, mode_value,
+from .impute import (impute, impute_with_log, imputation_values, mode_value, mode_values,
                      suggest_imputations, allowed_strategies)
 from .quantiles import exact_quantiles, median
 from .eda import (numeric_summary, value_counts, top_values, categorical_summary,

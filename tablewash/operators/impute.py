@@ -1,8 +1,8 @@
 """Missing-value imputation (A6-A10) with its plan and checks.
 
 All statistics are computed before any value changes: means in one ``agg``,
-medians through :mod:`.quantiles` (exact, bounded memory), modes as
-``groupBy(c).count()`` (partial aggregation, then a per-task top-1), so no
+medians through :mod:`.quantiles` (exact, bounded memory), modes of all
+columns of one type in one counting job (partial aggregation first), so no
 single task ever holds all values of a column. Filling is one ``select``
 with ``coalesce``; only one scalar per column reaches the driver.
 """
@@ -70,13 +70,35 @@ def _normalise(df: DataFrame, imputations) -> list[tuple[str, str, object]]:
     return out
 
 
+def mode_values(df: DataFrame, columns: list[str]) -> dict:
+    """A8 for several columns: the most frequent non-NULL value of each; ties
+    go to the smallest value. Columns of one type share one job: unpivot to
+    ``(column, value)``, count with partial aggregation, keep the top count
+    per column and the smallest value at it (hash aggregates plus a
+    broadcast of one row per column)."""
+    require_columns(df, columns)
+    by_type: dict[str, list[str]] = {}
+    for c in dict.fromkeys(columns):
+        by_type.setdefault(df.schema[c].dataType.simpleString(), []).append(c)
+    out = {}
+    for group in by_type.values():
+        pairs = F.array(*[F.struct(F.lit(i).alias("k"),
+                                   nan_to_null(c, df.schema[c].dataType).alias("v"))
+                          for i, c in enumerate(group)])
+        counted = (df.select(F.inline(pairs)).where(F.col("v").isNotNull())
+                   .groupBy("k", "v").agg(F.count(F.lit(1)).alias("n")))
+        top = counted.groupBy("k").agg(F.max("n").alias("top"))
+        modes = (counted.join(F.broadcast(top), "k").where(F.col("n") == F.col("top"))
+                 .groupBy("k").agg(F.min("v").alias("mode")))
+        found = {r["k"]: r["mode"] for r in modes.collect()}
+        for i, c in enumerate(group):
+            out[c] = found.get(i)
+    return out
+
+
 def mode_value(df: DataFrame, column: str):
     """The most frequent non-NULL value; ties go to the smallest value."""
-    x = nan_to_null(column, df.schema[column].dataType)
-    counted = (df.select(x.alias("v")).where(F.col("v").isNotNull())
-               .groupBy("v").agg(F.count(F.lit(1)).alias("n")))
-    top = counted.orderBy(F.col("n").desc(), F.col("v").asc()).limit(1).collect()
-    return top[0]["v"] if top else None
+    return mode_values(df, [column])[column]
 
 
 def imputation_values(df: DataFrame, imputations) -> dict[str, tuple[str, object]]:
@@ -94,10 +116,12 @@ def imputation_values(df: DataFrame, imputations) -> dict[str, tuple[str, object
         q = exact_quantiles(df, medians, [0.5])
         for c in medians:
             values[c] = ("median", q[c][0])
+    modes = [c for c, s, _ in plan if s == "mode"]
+    if modes:
+        for c, v in mode_values(df, modes).items():
+            values[c] = ("mode", v)
     for c, s, v in plan:
-        if s == "mode":
-            values[c] = ("mode", mode_value(df, c))
-        elif s == "custom":
+        if s == "custom":
             values[c] = ("custom", v)
     return {c: values[c] for c, _, _ in plan}
 

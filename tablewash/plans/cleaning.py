@@ -9,15 +9,21 @@ The reference walks a user through a fixed order with a skip at each step:
 and returns the final frame and the log. Steps that only *look* at data
 (finding duplicates, suggesting types) are reports, not steps.
 
-Long plans build long lineage. ``checkpoint=True`` cuts it after every
-step that computed statistics (``df.checkpoint()``, written to the cluster's
-shared ``spark.checkpoint.dir``), so a lost executor recomputes from there.
+The steps after duplicate removal run several small actions on its result
+(suggestions, the conversion report, NULL counts, statistics). So that the
+duplicate shuffle runs once, the plan materialises that result:
+``materialize="persist"`` (default) caches it (memory, spilling to disk; a
+lost block is recomputed from lineage), ``"checkpoint"`` writes it with
+``df.checkpoint()`` to the cluster's shared ``spark.checkpoint.dir`` and cuts
+the lineage, so a lost executor restarts from the written copy; ``None``
+recomputes. :meth:`CleaningPlan.release` drops the cached copy.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from ..operators.clean import auto_clean_with_log, drop_columns, drop_columns_log
@@ -41,7 +47,15 @@ class CleaningPlan:
     convert_types: list | str | None = AUTO
     impute_nulls: list | str | None = AUTO
     drop_columns: list | str | None = SKIP
-    checkpoint: bool = False
+    materialize: str | None = "persist"
+    checkpoint: bool = False          # same as materialize="checkpoint"
+    _held: list = field(default_factory=list, repr=False)
+
+    def release(self) -> None:
+        """Unpersist frames cached by :meth:`run`."""
+        for frame in self._held:
+            frame.unpersist()
+        self._held.clear()
 
     def run(self, df: DataFrame):
         """Apply the steps in order; returns ``(frame, log)``. The log is a
@@ -49,11 +63,20 @@ class CleaningPlan:
         log: list[tuple[str, str]] = []
         cur = df
 
-        if self.checkpoint:
+        mode = "checkpoint" if self.checkpoint else self.materialize
+        if mode not in ("persist", "checkpoint", None):
+            raise ValueError("materialize must be 'persist', 'checkpoint' or None")
+        if mode == "checkpoint":
             ensure_checkpoint_dir(df.sparkSession)
 
         def cut(frame):
-            return frame.checkpoint(eager=True) if self.checkpoint else frame
+            if mode == "checkpoint":
+                return frame.checkpoint(eager=True)
+            if mode == "persist":
+                held = frame.persist(StorageLevel.MEMORY_AND_DISK)
+                self._held.append(held)
+                return held
+            return frame
 
         if self.auto_clean not in (SKIP, None):
             cur, msgs = auto_clean_with_log(cur, **(self.auto_clean or {}))
@@ -87,7 +110,6 @@ class CleaningPlan:
             imps = ([r.asDict() for r in suggest_imputations(cur).collect()]
                     if self.impute_nulls == AUTO else self.impute_nulls)
             cur, msgs = impute_with_log(cur, imps)
-            cur = cut(cur)
             log += [("impute_nulls", m) for m in msgs] or [("impute_nulls", "nothing to impute")]
         else:
             log.append(("impute_nulls", SKIP))

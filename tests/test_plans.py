@@ -76,3 +76,22 @@ def test_bar_chart_is_take_ordered(spark):
     scan = [l for l in _plan(tw.bar_chart_data(o, "o_orderpriority")).splitlines() if "FileScan" in l][0]
     assert "ReadSchema: struct<o_orderpriority:string>" in scan
     assert "IsNotNull(o_orderpriority)" in scan
+
+
+def test_materialize_modes(raw):
+    plan = tw.CleaningPlan(materialize="persist")
+    out, _ = plan.run(raw)
+    assert out.count() == 4 and len(plan._held) == 1
+    plan.release()
+    assert plan._held == []
+    out2, _ = tw.CleaningPlan(materialize=None).run(raw)
+    assert sorted(map(tuple, out2.collect())) == sorted(map(tuple, out.collect()))
+    with pytest.raises(ValueError):
+        tw.CleaningPlan(materialize="disk").run(raw)
+
+
+def test_modes_batched_by_type(spark):
+    from tablewash.operators.impute import mode_values
+    df = spark.createDataFrame([("a", "x", 1.0, 5), ("b", "x", 2.0, 5), ("b", "y", 2.0, 6),
+                                ("a", None, float("nan"), None)], "s string, t string, d double, i int")
+    assert mode_values(df, ["s", "t", "d", "i"]) == {"s": "a", "t": "x", "d": 2.0, "i": 5}
