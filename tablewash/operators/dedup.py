@@ -180,9 +180,18 @@ class DuplicateReport:
 def find_duplicates(df: DataFrame, key: str | None = None, n: int = 10) -> DuplicateReport:
     """Duplicate count, exact sample, checked column and entity sample.
     Only the count, the column name and at most ``2 n`` rows reach the driver."""
-    count = duplicates_count(df)
-    exact = [r.asDict(recursive=True) for r in exact_duplicate_rows(df, n).collect()] \
-        if count else []
+    # only groups seen more than once add to the count, and the sample is
+    # drawn from the same groups: group once, keep those, use them twice
+    groups = (df.groupBy(*[qcol(c) for c in df.columns]).count()
+              .where(F.col("count") > 1).persist())
+    try:
+        count = int(groups.agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0))).first()[0])
+        reps = F.explode(F.sequence(F.lit(1).cast("bigint"), F.least(F.col("count"), F.lit(n))))
+        sample = (groups.select(*[qcol(c) for c in df.columns], reps.alias("__rep"))
+                  .drop("__rep").orderBy(*_order(df.columns)).limit(n))
+        exact = [r.asDict(recursive=True) for r in sample.collect()] if count else []
+    finally:
+        groups.unpersist()
     col = entity_key(df, key)
     ent = [r.asDict(recursive=True) for r in entity_duplicates(df, col, n).collect()] \
         if col else []

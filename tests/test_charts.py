@@ -52,3 +52,12 @@ def test_suggest_charts(spark):
     assert "scatter_plot" in kinds and "bar_chart" in kinds
     sc = [r for r in got if r["chart_type"] == "scatter_plot"][0]
     assert (sc["x_axis"], sc["y_axis"]) == ("x", "y")
+
+
+def test_scatter_threshold_keeps_the_same_rows(spark):
+    from pyspark.sql import functions as F
+    df = spark.range(20000).selectExpr("CAST(id AS DOUBLE) AS x", "CAST(id % 97 AS DOUBLE) AS y")
+    got = sorted(tuple(r) for r in tw.scatter_data(df, "x", "y", n=300, seed=5).collect())
+    pts = tw.not_null(df, "x", "y").select("x", "y", F.rand(5).alias("r"))
+    direct = sorted(tuple(r) for r in pts.orderBy("r").limit(300).select("x", "y").collect())
+    assert got == direct
