@@ -315,6 +315,11 @@ def top_values_text(top: DataFrame) -> DataFrame:
                     .alias("top_values")))
 
 
+# Key names of the summary dictionary.
+NUMERIC_KEYS = (("count", "count"), ("mean", "mean"), ("std", "std"), ("min", "min"),
+                ("p25", "25%"), ("p50", "50%"), ("p75", "75%"), ("max", "max"))
+
+
 @dataclass
 class StatisticalSummary:
     numeric_summary: DataFrame
@@ -324,6 +329,25 @@ class StatisticalSummary:
     total_rows: int
     total_columns: int
 
+    def to_dict(self) -> dict:
+        """The summary as nested dictionaries (numeric statistics keyed
+        ``count, mean, std, min, 25%, 50%, 75%, max``; per text column
+        ``unique_count, mode, top_5_frequencies``; the correlation list).
+        Collects only the small per-column frames."""
+        numeric = {r["column"]: {key: r[col] for col, key in NUMERIC_KEYS}
+                   for r in self.numeric_summary.collect()}
+        tops: dict[str, dict] = {}
+        for r in self.top_values.orderBy("column", "rank").collect():
+            tops.setdefault(r["column"], {})[r["value"]] = r["count"]
+        categorical = {r["column"]: {"unique_count": r["unique_count"], "mode": r["mode"],
+                                     "top_5_frequencies": tops.get(r["column"], {})}
+                       for r in self.categorical_summary.collect()}
+        pairs = [{"col1": r["col1"], "col2": r["col2"], "correlation": r["correlation"]}
+                 for r in self.correlation_pairs.collect()]
+        return {"numeric_summary": numeric, "categorical_summary": categorical,
+                "correlation_matrix": pairs, "total_rows": self.total_rows,
+                "total_columns": self.total_columns}
+
 
 def statistical_summary(df: DataFrame, k: int = 5, exact: bool = True,
                         persist: bool = False) -> StatisticalSummary:

@@ -101,3 +101,10 @@ def detect_insights(df: DataFrame, summary: StatisticalSummary | None = None) ->
              imbalance_insights(s.top_values, s.total_rows, df.columns)]
     out = parts[0].unionByName(parts[1]).unionByName(parts[2])
     return out.orderBy("seq")
+
+
+def insights_list(insights: DataFrame) -> list[dict]:
+    """The (small) insight report as a list of dictionaries, in order."""
+    return [{"type": r["type"], "severity": r["severity"], "title": r["title"],
+             "description": r["description"], "affected_columns": list(r["affected_columns"])}
+            for r in insights.orderBy("seq").collect()]

@@ -132,3 +132,16 @@ def test_correlation_wide_block_matches_pandas(spark):
     assert len(got) == 13 * 12 // 2
     for (a, b), v in got.items():
         assert v == pytest.approx(round(corr.loc[a, b], 4), abs=1e-4), (a, b)
+
+
+def test_summary_to_dict(spark):
+    df = spark.createDataFrame([(1, "a", 2.0), (2, "a", 4.0), (3, "b", 7.0)],
+                               "i int, s string, d double")
+    d = tw.statistical_summary(df).to_dict()
+    assert d["numeric_summary"]["i"]["50%"] == 2.0 and d["numeric_summary"]["d"]["count"] == 3
+    assert d["categorical_summary"]["s"] == {"unique_count": 2, "mode": "a",
+                                             "top_5_frequencies": {"a": 2, "b": 1}}
+    assert d["correlation_matrix"][0]["col1"] == "i" and (d["total_rows"], d["total_columns"]) == (3, 3)
+    assert list(d["categorical_summary"]["s"]["top_5_frequencies"]) == ["a", "b"]
+    ins = tw.insights_list(tw.detect_insights(df))
+    assert [(i["type"], i["affected_columns"]) for i in ins] == [("correlation", ["i", "d"])]
