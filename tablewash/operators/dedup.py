@@ -1,9 +1,16 @@
 """Duplicates: count (A3), exact-duplicate sample (W1), entity key heuristic
 (A11), entity duplicates (A12, A13, J1, W3), removal (U1), report (U2).
 
-Scale notes. Every grouping here starts with map-side partial aggregation,
-so a row or key repeated a billion times is one buffer entry per task before
-the shuffle. "Has more than one *distinct* row" is decided per key with
+Scale notes. Exact duplicates are found without shuffling whole rows when
+duplicates are few: only a 128-bit row hash (two 64/32-bit hashes plus a
+NULL mask) is shuffled to find hash values seen more than once; that
+candidate set is counted, and when it is small enough to broadcast (a proven
+bound, ``CANDIDATE_BROADCAST_MAX``) only the rows carrying a candidate hash
+are grouped on all columns -- exactly, so a hash collision can never merge
+different rows, and a row with a unique hash cannot be a duplicate. Beyond
+the bound the plain grouping on all columns runs. Every grouping starts with
+map-side partial aggregation, so a row or key repeated a billion times is
+one buffer entry per task before the shuffle. "Has more than one *distinct* row" is decided per key with
 min/max/count of every other column (a group is all-identical exactly when
 each column is constant within it), which avoids shuffling a ``DISTINCT`` of
 whole rows. Samples are ``TakeOrderedAndProject`` (a per-task top-n, never a
@@ -32,6 +39,66 @@ ENTITY_MSG = ("These rows may share a common ID in '{col}' but have different "
 
 STRATEGIES = ("remove_exact_duplicates",)
 
+# Most candidate hashes broadcast to every task (two longs each).
+CANDIDATE_BROADCAST_MAX = 2_000_000
+
+
+def _hashable(df: DataFrame) -> bool:
+    def has_map(dt):
+        if isinstance(dt, T.MapType):
+            return True
+        if isinstance(dt, T.ArrayType):
+            return has_map(dt.elementType)
+        if isinstance(dt, T.StructType):
+            return any(has_map(f.dataType) for f in dt.fields)
+        return False
+    return bool(df.columns) and not any(has_map(f.dataType) for f in df.schema.fields)
+
+
+def _keyed(df: DataFrame) -> DataFrame:
+    """``df`` plus ``__h1, __h2``: hashes of all columns and of their NULL
+    pattern (hashes skip NULLs, so the pattern keeps ``(NULL, 1)`` and
+    ``(1, NULL)`` apart). Equal rows always get equal hashes."""
+    cols = [qcol(c) for c in df.columns]
+    masks = []
+    for start in range(0, len(cols), 62):
+        m = F.lit(0).cast("long")
+        for i, c in enumerate(cols[start:start + 62]):
+            m = m + F.when(c.isNull(), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long"))
+        masks.append(m)
+    return df.select(*cols, F.xxhash64(*cols, *masks).alias("__h1"),
+                     F.hash(*cols, *masks).alias("__h2"))
+
+
+def _candidates(keyed: DataFrame) -> DataFrame:
+    return (keyed.groupBy("__h1", "__h2").agg(F.count(F.lit(1)).alias("__n"))
+            .where(F.col("__n") > 1).select("__h1", "__h2"))
+
+
+def _plain_groups(df: DataFrame) -> DataFrame:
+    return df.groupBy(*[qcol(c) for c in df.columns]).count().where(F.col("count") > 1)
+
+
+def duplicate_groups(df: DataFrame, persist_candidates: bool = False):
+    """``(groups, release)``: every distinct row seen more than once with its
+    ``count``, and a function that frees cached helpers.
+
+    Runs one small job (the candidate hash count) to choose the plan; the
+    returned frame is lazy. With ``persist_candidates`` the candidate hashes
+    stay cached until ``release()`` (for callers that run several actions).
+    """
+    if not _hashable(df):
+        return _plain_groups(df), (lambda: None)
+    keyed = _keyed(df)
+    cand = _candidates(keyed)
+    if persist_candidates:
+        cand = cand.persist()
+    if cand.count() > CANDIDATE_BROADCAST_MAX:
+        cand.unpersist()
+        return _plain_groups(df), (lambda: None)
+    rows = keyed.join(F.broadcast(cand), ["__h1", "__h2"], "left_semi").drop("__h1", "__h2")
+    return _plain_groups(rows), cand.unpersist
+
 
 def _order(cols: list[str]) -> list[Column]:
     return [qcol(c).asc_nulls_first() for c in cols]
@@ -45,7 +112,7 @@ def exact_duplicate_rows(df: DataFrame, n: int | None = 10) -> DataFrame:
     result are the same either way, and a hot row never expands to millions.
     """
     cols = df.columns
-    counted = df.groupBy(*[qcol(c) for c in cols]).count().where(F.col("count") > 1)
+    counted, _ = duplicate_groups(df)
     reps = F.col("count") if n is None else F.least(F.col("count"), F.lit(n))
     out = counted.select(*[qcol(c) for c in cols],
                          F.explode(F.sequence(F.lit(1).cast("bigint"), reps)).alias("__rep"))
@@ -154,10 +221,26 @@ def entity_duplicates(df: DataFrame, key: str, n: int | None = 10) -> DataFrame:
 
 
 def remove_duplicates(df: DataFrame, strategy: str = "remove_exact_duplicates") -> DataFrame:
-    """Drop exact duplicate rows (one shuffle on all columns)."""
+    """Drop exact duplicate rows.
+
+    Only rows whose row hash repeats are shuffled and de-duplicated (see the
+    module notes); the others are read and kept as they are. Falls back to
+    ``dropDuplicates()`` when the candidates are too many to broadcast."""
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy!r}; supported: {STRATEGIES}")
-    return df.dropDuplicates()
+    if not _hashable(df):
+        return df.dropDuplicates()
+    keyed = _keyed(df)
+    cand = _candidates(keyed)
+    if cand.count() > CANDIDATE_BROADCAST_MAX:
+        return df.dropDuplicates()
+    # rows with a unique hash pass straight through (no shuffle); only rows
+    # carrying a candidate hash are de-duplicated
+    hot = F.broadcast(cand)
+    unique = keyed.join(hot, ["__h1", "__h2"], "left_anti").drop("__h1", "__h2")
+    repeated = (keyed.join(hot, ["__h1", "__h2"], "left_semi").drop("__h1", "__h2")
+                .dropDuplicates())
+    return unique.unionByName(repeated)
 
 
 @dataclass
@@ -182,8 +265,8 @@ def find_duplicates(df: DataFrame, key: str | None = None, n: int = 10) -> Dupli
     Only the count, the column name and at most ``2 n`` rows reach the driver."""
     # only groups seen more than once add to the count, and the sample is
     # drawn from the same groups: group once, keep those, use them twice
-    groups = (df.groupBy(*[qcol(c) for c in df.columns]).count()
-              .where(F.col("count") > 1).persist())
+    cand_groups, release = duplicate_groups(df, persist_candidates=True)
+    groups = cand_groups.persist()
     try:
         count = int(groups.agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0))).first()[0])
         reps = F.explode(F.sequence(F.lit(1).cast("bigint"), F.least(F.col("count"), F.lit(n))))
@@ -192,6 +275,7 @@ def find_duplicates(df: DataFrame, key: str | None = None, n: int = 10) -> Dupli
         exact = [r.asDict(recursive=True) for r in sample.collect()] if count else []
     finally:
         groups.unpersist()
+        release()
     col = entity_key(df, key)
     ent = [r.asDict(recursive=True) for r in entity_duplicates(df, col, n).collect()] \
         if col else []

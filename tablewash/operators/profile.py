@@ -1,10 +1,11 @@
 """Profile (A1-A4): row and column counts, NULL counts, exact-duplicate count.
 
-``profile`` runs **one** job: rows are grouped on all columns (map-side
-partial aggregation first, so a heavily repeated row costs one buffer entry
-per task), and the row count, per-column NULL counts and duplicate count are
-all summed from that grouped result. NULL-ness is part of the grouping key,
-so the NULL counts come out exact without a second scan.
+``profile`` reads the table twice and never shuffles whole rows unless
+duplicates are many: one scan counts rows and the NULLs of every column,
+then :func:`duplicates_count` goes through the row-hash candidates of
+:mod:`.dedup`. ``profile_counts`` is the lazy one-job form (rows grouped on
+all columns, then the row count, duplicate count and NULL counts summed from
+the groups, since NULL-ness is part of the grouping key).
 """
 
 from __future__ import annotations
@@ -35,8 +36,16 @@ def null_counts(df: DataFrame, only_positive: bool = True) -> DataFrame:
 
 
 def duplicates_count(df: DataFrame) -> int:
-    """A3: rows minus distinct rows."""
-    return int(duplicates_count_df(df).first()[0])
+    """A3: rows minus distinct rows. Only duplicated groups add to it, and
+    those are found through the row-hash candidates of :mod:`.dedup` (no
+    shuffle of whole rows when duplicates are few)."""
+    from .dedup import duplicate_groups
+    groups, release = duplicate_groups(df, persist_candidates=True)
+    try:
+        row = groups.agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0))).first()
+        return int(row[0])
+    finally:
+        release()
 
 
 def duplicates_count_df(df: DataFrame) -> DataFrame:
@@ -92,9 +101,12 @@ def profile(df: DataFrame, preview: int = 5) -> Profile:
     preview; only scalars and ``preview`` rows reach the driver."""
     cols = df.columns
     if cols:
-        row = profile_counts(df).first()
-        total, dups = int(row["total_rows"]), int(row["duplicates_count"])
+        aggs = [F.count(F.lit(1)).alias("__total")]
+        aggs += [F.count_if(qcol(c).isNull()).alias(f"n{i}") for i, c in enumerate(cols)]
+        row = df.agg(*aggs).first()
+        total = int(row["__total"])
         nulls = {c: int(row[f"n{i}"]) for i, c in enumerate(cols) if row[f"n{i}"]}
+        dups = duplicates_count(df) if total else 0
     else:
         total, dups, nulls = df.count(), 0, {}
     return Profile(total_rows=total, total_columns=len(cols),

@@ -107,3 +107,54 @@ def test_fixed_width_and_general_paths_agree(spark):
     full = sorted((tuple(r) for r in tw.entity_duplicates(num, "k", None).collect()),
                   key=lambda t: tuple((x is not None, x) for x in t))
     assert a == full[:7]
+
+
+def _messy(spark):
+    rows = []
+    for k in range(300):
+        a = None if k % 7 == 0 else k % 13
+        b = None if k % 5 == 0 else float(k % 4)
+        rows.append((a, b, f"s{k % 3}" if k % 11 else None))
+    rows += [(None, 1.0, "x"), (1, None, "x"), (1, 1.0, None), (None, None, None)]
+    return spark.createDataFrame(rows, "a int, b double, c string")
+
+
+def _truth(df):
+    return df.count() - df.distinct().count()
+
+
+def test_hash_path_matches_plain_and_keeps_null_positions_apart(spark, monkeypatch):
+    from tablewash.operators import dedup
+    df = _messy(spark)
+    want = _truth(df)
+    assert tw.duplicates_count(df) == want
+    assert sorted(map(tuple, tw.remove_duplicates(df).collect()), key=repr) == \
+        sorted(map(tuple, df.distinct().collect()), key=repr)
+    pair = spark.createDataFrame([(None, 1.0), (1.0, None)], "a double, b double")
+    assert tw.duplicates_count(pair) == 0 and tw.remove_duplicates(pair).count() == 2
+    # over the broadcast bound: the plain grouping runs, same answers
+    monkeypatch.setattr(dedup, "CANDIDATE_BROADCAST_MAX", 0)
+    assert tw.duplicates_count(df) == want
+    assert tw.remove_duplicates(df).count() == df.distinct().count()
+
+
+def test_hash_collisions_never_merge_rows(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    from tablewash.operators import dedup
+    df = _messy(spark)
+    want = _truth(df)
+    # every row gets the same hash: all rows become candidates, grouping stays exact
+    monkeypatch.setattr(dedup, "_keyed", lambda d: d.select(
+        *d.columns, F.lit(1).cast("long").alias("__h1"), F.lit(1).alias("__h2")))
+    assert tw.duplicates_count(df) == want
+    assert tw.remove_duplicates(df).count() == df.distinct().count()
+    assert tw.exact_duplicate_rows(df, None).count() == \
+        df.groupBy(*df.columns).count().where("count > 1").agg(F.sum("count")).first()[0]
+
+
+def test_remove_duplicates_shuffles_only_candidates(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    plan = tw.remove_duplicates(df)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" in plan and "LeftAnti" in plan
+    # the only full-width exchange sits below the semi join (candidate rows)
+    assert plan.count("Exchange hashpartitioning(o_orderkey") <= 1
