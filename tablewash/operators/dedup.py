@@ -174,9 +174,11 @@ def entity_duplicate_keys(df: DataFrame, key: str) -> DataFrame:
       max and non-NULL count of each column; a key qualifies when it has
       more than one row and some column is not constant within the group;
     * otherwise (text, arrays...; their min/max would force a sort-based
-      aggregate): keys seen more than once, the rows with those keys
-      (``left_semi``; AQE broadcasts a small key set and splits a skewed key),
-      their distinct rows, and keys left with more than one of them.
+      aggregate): per key the count and the min/max of a 128-bit row hash.
+      Two hashes prove two different rows; keys whose rows share one hash are
+      re-checked exactly by grouping just their rows on all columns (a
+      ``left_semi`` join; AQE broadcasts a small key set and splits a skewed
+      key). No full-width shuffle of the other rows.
     """
     require_columns(df, [key])
     others = [c for c in df.columns if c != key]
@@ -194,11 +196,29 @@ def entity_duplicate_keys(df: DataFrame, key: str) -> DataFrame:
             varies = varies | F.coalesce(nonconst, F.lit(False))
         grouped = present.groupBy(qcol(key).alias(key)).agg(*aggs)
         return grouped.where((F.col("__n") > 1) & varies).select(key)
-    repeated = (present.groupBy(qcol(key).alias(key)).agg(F.count(F.lit(1)).alias("__n"))
+    if not _hashable(df):
+        repeated = (present.groupBy(qcol(key).alias(key)).agg(F.count(F.lit(1)).alias("__n"))
+                    .where(F.col("__n") > 1).select(key))
+        rows = present.join(repeated, on=key, how="left_semi").dropDuplicates()
+        return (rows.groupBy(qcol(key).alias(key)).agg(F.count(F.lit(1)).alias("__n"))
                 .where(F.col("__n") > 1).select(key))
-    rows = present.join(repeated, on=key, how="left_semi").dropDuplicates()
-    return (rows.groupBy(qcol(key).alias(key)).agg(F.count(F.lit(1)).alias("__n"))
-            .where(F.col("__n") > 1).select(key))
+    # Per key: row count and the range of the row hash (fixed-width, so a
+    # hash aggregate). Two different hashes prove two different rows; keys
+    # whose rows all share one hash (identical rows, or a collision) are
+    # checked exactly on all columns, and only their rows are grouped.
+    keyed = _keyed(present)
+    per = (keyed.groupBy(qcol(key).alias(key))
+           .agg(F.count(F.lit(1)).alias("__n"),
+                F.min("__h1").alias("__a1"), F.max("__h1").alias("__b1"),
+                F.min("__h2").alias("__a2"), F.max("__h2").alias("__b2")))
+    differ = (F.col("__a1") != F.col("__b1")) | (F.col("__a2") != F.col("__b2"))
+    proven = per.where((F.col("__n") > 1) & differ).select(key)
+    alike = per.where((F.col("__n") > 1) & ~differ).select(key)
+    rows = present.join(alike, on=key, how="left_semi")
+    checked = (rows.groupBy(*[qcol(c) for c in df.columns]).count()
+               .groupBy(qcol(key).alias(key)).agg(F.count(F.lit(1)).alias("__d"))
+               .where(F.col("__d") > 1).select(key))
+    return proven.unionByName(checked)
 
 
 def entity_duplicates(df: DataFrame, key: str, n: int | None = 10) -> DataFrame:

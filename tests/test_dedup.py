@@ -158,3 +158,18 @@ def test_remove_duplicates_shuffles_only_candidates(spark):
     assert "BroadcastExchange" in plan and "LeftAnti" in plan
     # the only full-width exchange sits below the semi join (candidate rows)
     assert plan.count("Exchange hashpartitioning(o_orderkey") <= 1
+
+
+def test_entity_keys_exact_under_hash_collisions(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    from tablewash.operators import dedup
+    rows = [(k % 23, f"v{(k * 5) % 3}" if k % 4 else None, k % 2) for k in range(300)]
+    rows += [(99, "same", 1)] * 3
+    df = spark.createDataFrame(rows, "k int, s string, b int")
+    want = sorted(r[0] for r in df.distinct().groupBy("k").count().where("count > 1")
+                  .select("k").collect())
+    assert sorted(r[0] for r in tw.entity_duplicate_keys(df, "k").collect()) == want
+    monkeypatch.setattr(dedup, "_keyed", lambda d: d.select(
+        *d.columns, F.lit(7).cast("long").alias("__h1"), F.lit(7).alias("__h2")))
+    assert sorted(r[0] for r in tw.entity_duplicate_keys(df, "k").collect()) == want
+    assert 99 not in want
