@@ -1,14 +1,16 @@
 """Duplicates: count (A3), exact-duplicate sample (W1), entity key heuristic
 (A11), entity duplicates (A12, A13, J1, W3), removal (U1), report (U2).
 
-Scale notes. Exact duplicates are found without shuffling whole rows when
-duplicates are few: only a 128-bit row hash (two 64/32-bit hashes plus a
+Scale notes. For inputs Catalyst estimates at ``HASH_PATH_MIN_BYTES`` or more,
+exact duplicates are found without shuffling whole rows when duplicates are
+few: only a 128-bit row hash (two 64/32-bit hashes plus a
 NULL mask) is shuffled to find hash values seen more than once; that
 candidate set is counted, and when it is small enough to broadcast (a proven
 bound, ``CANDIDATE_BROADCAST_MAX``) only the rows carrying a candidate hash
 are grouped on all columns -- exactly, so a hash collision can never merge
 different rows, and a row with a unique hash cannot be a duplicate. Beyond
-the bound the plain grouping on all columns runs. Every grouping starts with
+the bound the plain grouping on all columns runs (as it does for small inputs, where
+one shuffle beats an extra scan and job). Every grouping starts with
 map-side partial aggregation, so a row or key repeated a billion times is
 one buffer entry per task before the shuffle. "Has more than one *distinct* row" is decided per key with
 min/max/count of every other column (a group is all-identical exactly when
@@ -41,6 +43,23 @@ STRATEGIES = ("remove_exact_duplicates",)
 
 # Most candidate hashes broadcast to every task (two longs each).
 CANDIDATE_BROADCAST_MAX = 2_000_000
+# Below this estimated input size one shuffle of whole rows is cheaper than
+# the extra scan and job of the hash path.
+HASH_PATH_MIN_BYTES = 1 << 30
+
+
+def _estimated_bytes(df: DataFrame) -> int:
+    """Catalyst's size estimate of ``df`` (from file sizes; no job runs).
+    Unknown counts as large."""
+    try:
+        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+        return int(size if isinstance(size, int) else str(size))
+    except Exception:  # noqa: BLE001 - estimate unavailable
+        return 1 << 62
+
+
+def _hash_path(df: DataFrame) -> bool:
+    return _hashable(df) and _estimated_bytes(df) >= HASH_PATH_MIN_BYTES
 
 
 def _hashable(df: DataFrame) -> bool:
@@ -87,7 +106,7 @@ def duplicate_groups(df: DataFrame, persist_candidates: bool = False):
     returned frame is lazy. With ``persist_candidates`` the candidate hashes
     stay cached until ``release()`` (for callers that run several actions).
     """
-    if not _hashable(df):
+    if not _hash_path(df):
         return _plain_groups(df), (lambda: None)
     keyed = _keyed(df)
     cand = _candidates(keyed)
@@ -196,7 +215,7 @@ def entity_duplicate_keys(df: DataFrame, key: str) -> DataFrame:
             varies = varies | F.coalesce(nonconst, F.lit(False))
         grouped = present.groupBy(qcol(key).alias(key)).agg(*aggs)
         return grouped.where((F.col("__n") > 1) & varies).select(key)
-    if not _hashable(df):
+    if not _hash_path(df):
         repeated = (present.groupBy(qcol(key).alias(key)).agg(F.count(F.lit(1)).alias("__n"))
                     .where(F.col("__n") > 1).select(key))
         rows = present.join(repeated, on=key, how="left_semi").dropDuplicates()
@@ -248,7 +267,7 @@ def remove_duplicates(df: DataFrame, strategy: str = "remove_exact_duplicates")
     ``dropDuplicates()`` when the candidates are too many to broadcast."""
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy!r}; supported: {STRATEGIES}")
-    if not _hashable(df):
+    if not _hash_path(df):
         return df.dropDuplicates()
     keyed = _keyed(df)
     cand = _candidates(keyed)

@@ -136,7 +136,12 @@ def _fill_literal(value, dt: T.DataType, column: str):
 def impute_with_log(df: DataFrame, imputations):
     """A10: fill NULLs per column; returns ``(frame, log)``. A column whose
     statistic is NULL (all values missing) is left alone and not logged."""
-    values = imputation_values(df, imputations)
+    return fill_nulls(df, imputation_values(df, imputations))
+
+
+def fill_nulls(df: DataFrame, values: dict):
+    """Fill NULLs from ``{column: (strategy, value)}`` (one ``select``);
+    returns ``(frame, log)``. ``None`` values are skipped."""
     fills, log = {}, []
     for c, (strategy, v) in values.items():
         if v is None:

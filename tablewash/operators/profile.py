@@ -1,11 +1,12 @@
 """Profile (A1-A4): row and column counts, NULL counts, exact-duplicate count.
 
-``profile`` reads the table twice and never shuffles whole rows unless
-duplicates are many: one scan counts rows and the NULLs of every column,
-then :func:`duplicates_count` goes through the row-hash candidates of
-:mod:`.dedup`. ``profile_counts`` is the lazy one-job form (rows grouped on
-all columns, then the row count, duplicate count and NULL counts summed from
-the groups, since NULL-ness is part of the grouping key).
+``profile_counts`` is the one-job form: rows grouped on all columns (partial
+aggregation first), then the row count, duplicate count and NULL counts
+summed from the groups, since NULL-ness is part of the grouping key.
+``profile`` uses it for small inputs; for large ones it reads the table
+twice and never shuffles whole rows unless duplicates are many: one scan
+counts rows and the NULLs of every column, then :func:`duplicates_count`
+goes through the row-hash candidates of :mod:`.dedup`.
 """
 
 from __future__ import annotations
@@ -99,8 +100,13 @@ class Profile:
 def profile(df: DataFrame, preview: int = 5) -> Profile:
     """A4: the full profile. One aggregation job plus a ``limit`` for the
     preview; only scalars and ``preview`` rows reach the driver."""
+    from .dedup import _hash_path
     cols = df.columns
-    if cols:
+    if cols and not _hash_path(df):
+        row = profile_counts(df).first()
+        total, dups = int(row["total_rows"]), int(row["duplicates_count"])
+        nulls = {c: int(row[f"n{i}"]) for i, c in enumerate(cols) if row[f"n{i}"]}
+    elif cols:
         aggs = [F.count(F.lit(1)).alias("__total")]
         aggs += [F.count_if(qcol(c).isNull()).alias(f"n{i}") for i, c in enumerate(cols)]
         row = df.agg(*aggs).first()

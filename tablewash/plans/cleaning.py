@@ -27,9 +27,14 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from ..operators.clean import auto_clean_with_log, drop_columns, drop_columns_log
-from ..operators.convert import convert_types, conversion_report, suggest_types, suggested_conversions
+from pyspark.sql import functions as F
+
+from ..functions.casts import guarded_cast, text_to_double, type_label
+from ..functions.columns import is_numeric, is_text, nan_to_null, qcol
+from ..operators.convert import SUGGEST_THRESHOLD, SUGGEST_TO, _plan, convert_types
 from ..operators.dedup import remove_duplicates
-from ..operators.impute import impute_with_log, suggest_imputations
+from ..operators.impute import (MEAN_DEFAULT_TYPES, fill_nulls, imputation_values,
+                                mode_values)
 from ..session import ensure_checkpoint_dir
 
 # Step names in the order the flow runs them.
@@ -90,26 +95,35 @@ class CleaningPlan:
         else:
             log.append(("remove_duplicates", SKIP))
 
-        if self.convert_types not in (SKIP, None):
-            convs = (suggested_conversions(suggest_types(cur)) if self.convert_types == AUTO
-                     else self.convert_types)
+        do_convert = self.convert_types not in (SKIP, None)
+        do_impute = self.impute_nulls not in (SKIP, None)
+        survey = _survey(cur, self.convert_types if do_convert else [],
+                         self.impute_nulls == AUTO) if (do_convert or do_impute) else None
+
+        if do_convert:
+            convs, report = survey["conversions"], survey["report"]
             if convs:
-                report = conversion_report(cur, convs).collect()
                 cur = convert_types(cur, convs)
-                for r in report:
-                    log.append(("convert_types",
-                                f"{r['column_name']}: {r['status']} -> {r['new_type']}"
-                                + (f" ({r['conversion_failures']} failures)"
-                                   if r["status"] == "Success" else f" ({r['error']})")))
-            else:
+            for c, status, typ, fails, err in report:
+                log.append(("convert_types", f"{c}: {status} -> {typ}"
+                            + (f" ({fails} failures)" if status == "Success" else f" ({err})")))
+            if not report:
                 log.append(("convert_types", "no conversions"))
         else:
             log.append(("convert_types", SKIP))
 
-        if self.impute_nulls not in (SKIP, None):
-            imps = ([r.asDict() for r in suggest_imputations(cur).collect()]
-                    if self.impute_nulls == AUTO else self.impute_nulls)
-            cur, msgs = impute_with_log(cur, imps)
+        if do_impute:
+            if self.impute_nulls == AUTO:
+                values = survey["mean_values"]
+                plan = survey["imputations"]
+                modes = [c for c, strat in plan if strat == "mode"]
+                values = {c: ("mean", values[c]) for c, strat in plan if strat == "mean"}
+                if modes:
+                    values.update({c: ("mode", v) for c, v in mode_values(cur, modes).items()})
+                values = {c: values[c] for c, _ in plan}
+            else:
+                values = imputation_values(cur, self.impute_nulls)
+            cur, msgs = fill_nulls(cur, values)
             log += [("impute_nulls", m) for m in msgs] or [("impute_nulls", "nothing to impute")]
         else:
             log.append(("impute_nulls", SKIP))
@@ -120,3 +134,84 @@ class CleaningPlan:
         else:
             log.append(("drop_columns", SKIP))
         return cur, log
+
+
+def _survey(frame: DataFrame, conversions, auto_impute: bool) -> dict:
+    """One aggregation over ``frame`` (the de-duplicated table) that answers
+    what the conversion and imputation steps would otherwise ask in separate
+    passes: which text columns to convert (``"auto"``) or how many values an
+    explicit conversion loses, the NULL counts after conversion, and the mean
+    of every column that is numeric after conversion. The rules are those of
+    ``suggest_types``, ``conversion_report`` and ``suggest_imputations``."""
+    fields = frame.schema.fields
+    texts = [f.name for f in fields if is_text(f.dataType)]
+    auto = conversions == AUTO
+    aggs, keys = [], []
+
+    def add(key, expr):
+        keys.append(key)
+        aggs.append(expr.alias(f"a{len(aggs)}"))
+
+    if auto:
+        for c in texts:
+            x = qcol(c)
+            add(("ok", c), F.count_if(text_to_double(x).isNotNull()))
+            add(("ne", c), F.count_if(x.isNotNull() & (x != "")))
+            add(("nn", c), F.count(x))
+        valid, errors = {}, {}
+    else:
+        valid, errors = _plan(frame, conversions)
+        for c, (_, target) in valid.items():
+            src = qcol(c)
+            cast = guarded_cast(src, frame.schema[c].dataType, target)
+            add(("fail", c), F.count_if(src.isNotNull() & cast.isNull()))
+    if auto_impute:
+        for f in fields:
+            add(("null", f.name), F.count_if(qcol(f.name).isNull()))
+            # mean after a possible conversion: numeric now, or text that may
+            # become DOUBLE, or an explicit numeric target
+            if auto and is_text(f.dataType):
+                add(("mean", f.name), F.avg(F.when(~F.isnan(text_to_double(qcol(f.name))),
+                                                   text_to_double(qcol(f.name)))))
+            elif f.name in valid and is_numeric(valid[f.name][1]):
+                cast = guarded_cast(qcol(f.name), f.dataType, valid[f.name][1])
+                add(("mean", f.name), F.avg(nan_to_null_expr(cast, valid[f.name][1])))
+            elif f.name not in valid and is_numeric(f.dataType):
+                add(("mean", f.name), F.avg(nan_to_null(f.name, f.dataType)))
+    row = frame.agg(*aggs).first() if aggs else None
+    got = {k: row[f"a{i}"] for i, k in enumerate(keys)}
+
+    report, convs, fails = [], [], {}
+    if auto:
+        for c in texts:
+            ok, ne, nn = got[("ok", c)], got[("ne", c)], got[("nn", c)]
+            if ne > 0 and ok / ne > SUGGEST_THRESHOLD:
+                convs.append((c, SUGGEST_TO))
+                fails[c] = nn - ok
+                report.append((c, "Success", SUGGEST_TO, nn - ok, None))
+    else:
+        for c, (typ, _) in valid.items():
+            convs.append((c, typ))
+            fails[c] = got[("fail", c)]
+            report.append((c, "Success", typ, got[("fail", c)], None))
+        report += [(c, "Failed", typ, None, err) for c, (typ, err) in errors.items()]
+
+    out = {"conversions": convs, "report": report}
+    if auto_impute:
+        converted = convert_types(frame, convs).schema
+        plan, means = [], {}
+        for f in converted.fields:
+            nulls = got[("null", f.name)] + fails.get(f.name, 0)
+            if nulls > 0:
+                plan.append((f.name, "mean" if type_label(f.dataType) in MEAN_DEFAULT_TYPES
+                             else "mode"))
+            if is_numeric(f.dataType):
+                means[f.name] = got.get(("mean", f.name))
+        out["imputations"] = plan
+        out["mean_values"] = means
+    return out
+
+
+def nan_to_null_expr(x, dt):
+    from ..functions.columns import is_floating
+    return F.when(~F.isnan(x), x) if is_floating(dt) else x

@@ -95,3 +95,31 @@ def test_modes_batched_by_type(spark):
     df = spark.createDataFrame([("a", "x", 1.0, 5), ("b", "x", 2.0, 5), ("b", "y", 2.0, 6),
                                 ("a", None, float("nan"), None)], "s string, t string, d double, i int")
     assert mode_values(df, ["s", "t", "d", "i"]) == {"s": "a", "t": "x", "d": 2.0, "i": 5}
+
+
+def test_fused_plan_equals_composed_operators(spark):
+    rows = []
+    for k in range(200):
+        num_txt = None if k % 9 == 0 else ("NaN" if k % 50 == 0 else f" {k * 1.5} ")
+        rows.append((k % 17 if k % 6 else None, num_txt,
+                     None if k % 4 == 0 else ["a", "b", "c"][k % 3],
+                     float("nan") if k % 23 == 0 else (None if k % 8 == 0 else k / 7.0)))
+    rows += rows[:15]
+    raw = spark.createDataFrame(rows, "K int, `Num Text` string, Cat string, d double")
+    out, log = tw.CleaningPlan().run(raw)
+
+    cleaned = tw.remove_duplicates(tw.auto_clean(raw))
+    convs = tw.suggested_conversions(tw.suggest_types(cleaned))
+    report = {r["column_name"]: r["conversion_failures"]
+              for r in tw.conversion_report(cleaned, convs).collect()}
+    conv = tw.convert_types(cleaned, convs)
+    imps = [r.asDict() for r in tw.suggest_imputations(conv).collect()]
+    want = tw.impute(conv, imps)
+
+    assert out.columns == want.columns and out.dtypes == want.dtypes
+    key = repr
+    norm = lambda rows: sorted((tuple("nan" if x != x else x for x in r) for r in rows), key=key)
+    assert norm(out.collect()) == norm(want.collect())
+    conv_log = [m for s, m in log if s == "convert_types"]
+    assert conv_log == [f"{c}: Success -> DOUBLE ({report[c]} failures)" for c, _ in
+                        [(d["column_name"], d["new_type"]) for d in convs]]

@@ -97,3 +97,11 @@ def test_profile(spark):
     assert p["schema"][0] == {"column_name": "a", "column_type": "INTEGER", "null": "YES"}
     e = tw.profile(spark.createDataFrame([], "a int")).to_dict()
     assert e["total_rows"] == 0 and e["duplicates_count"] == 0
+
+
+def test_profile_large_input_path(spark, monkeypatch):
+    from tablewash.operators import dedup
+    monkeypatch.setattr(dedup, "HASH_PATH_MIN_BYTES", 0)
+    df = spark.createDataFrame([(1, None), (1, None), (2, "x"), (None, "x")], "a int, b string")
+    p = tw.profile(df).to_dict()
+    assert (p["total_rows"], p["duplicates_count"], p["null_counts"]) == (4, 1, {"a": 1, "b": 2})
