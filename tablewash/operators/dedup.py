@@ -28,7 +28,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import qcol, require_columns
-from .profile import duplicates_count
 
 # Name fragments that mark a likely entity key (matched as
 # substrings of the lower-cased column name, in column order).
