@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 
 def safe_corr(x: Column, y: Column) -> Column:
-    """Pearson r over pairwise-complete rows; NULL (not an error) when a side
-    is constant or fewer than two pairs exist. Clipped to [-1, 1]."""
-    both = x.isNotNull() & y.isNotNull()
-    xs, ys = F.when(both, x), F.when(both, y)
+    """Pearson r over pairwise-complete rows, as an aggregate expression (so it
+    also works per group). NaN counts as missing. NULL -- not an error -- when
+    a side is constant or fewer than two pairs exist. Clipped to [-1, 1]."""
+    xd, yd = x.cast("double"), y.cast("double")
+    both = xd.isNotNull() & yd.isNotNull() & ~F.isnan(xd) & ~F.isnan(yd)
+    xs, ys = F.when(both, xd), F.when(both, yd)
     r = F.try_divide(F.covar_pop(xs, ys), F.stddev_pop(xs) * F.stddev_pop(ys))
-    # greatest/least skip NULLs, so keep an undefined r NULL explicitly
-    return F.when(r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
+    # greatest/least skip NULLs and rank NaN above every number, so keep an
+    # undefined r NULL explicitly before clipping
+    return F.when(r.isNotNull() & ~F.isnan(r), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
