@@ -1,22 +1,27 @@
 """Duplicates: count (A3), exact-duplicate sample (W1), entity key heuristic
 (A11), entity duplicates (A12, A13, J1, W3), removal (U1), report (U2).
 
-Scale notes. For inputs Catalyst estimates at ``HASH_PATH_MIN_BYTES`` or more,
-exact duplicates are found without shuffling whole rows when duplicates are
-few: only a 128-bit row hash (two 64/32-bit hashes plus a
-NULL mask) is shuffled to find hash values seen more than once; that
-candidate set is counted, and when it is small enough to broadcast (a proven
-bound, ``CANDIDATE_BROADCAST_MAX``) only the rows carrying a candidate hash
-are grouped on all columns -- exactly, so a hash collision can never merge
-different rows, and a row with a unique hash cannot be a duplicate. Beyond
-the bound the plain grouping on all columns runs (as it does for small inputs, where
-one shuffle beats an extra scan and job). Every grouping starts with
-map-side partial aggregation, so a row or key repeated a billion times is
-one buffer entry per task before the shuffle. "Has more than one *distinct* row" is decided per key with
-min/max/count of every other column (a group is all-identical exactly when
-each column is constant within it), which avoids shuffling a ``DISTINCT`` of
-whole rows. Samples are ``TakeOrderedAndProject`` (a per-task top-n, never a
-full sort), ordered on all columns so results are reproducible.
+Scale notes.
+
+* Row hashes instead of whole rows. For inputs Catalyst estimates at
+  ``HASH_PATH_MIN_BYTES`` or more, only a 96-bit row hash (xxhash64 and
+  murmur3 over all columns and their NULL pattern) is shuffled to find hash
+  values seen more than once. That candidate set is counted; when it is
+  within ``CANDIDATE_BROADCAST_MAX`` (a proven bound) it is broadcast, and
+  only rows carrying a candidate hash are grouped on all columns -- exactly,
+  so a collision never merges different rows, and a row with a unique hash
+  cannot be a duplicate. Beyond the bound, and for small inputs (where one
+  shuffle beats an extra scan and job), the plain grouping on all columns
+  runs.
+* Skew. Every grouping starts with map-side partial aggregation, so a row or
+  key repeated a billion times is one buffer entry per task before the
+  shuffle.
+* Entity duplicates. "More than one *distinct* row per key" is decided per
+  key from min/max/count of every column (fixed-width schemas), or from the
+  range of the row hash with an exact re-check of keys whose rows share one
+  hash -- never a ``DISTINCT`` of all rows.
+* Samples are ``TakeOrderedAndProject`` (a per-task top-n, never a full
+  sort), ordered on all columns so results are reproducible.
 """
 
 from __future__ import annotations
@@ -192,7 +197,7 @@ def entity_duplicate_keys(df: DataFrame, key: str) -> DataFrame:
       max and non-NULL count of each column; a key qualifies when it has
       more than one row and some column is not constant within the group;
     * otherwise (text, arrays...; their min/max would force a sort-based
-      aggregate): per key the count and the min/max of a 128-bit row hash.
+      aggregate): per key the count and the min/max of the 96-bit row hash.
       Two hashes prove two different rows; keys whose rows share one hash are
       re-checked exactly by grouping just their rows on all columns (a
       ``left_semi`` join; AQE broadcasts a small key set and splits a skewed
