@@ -174,7 +174,7 @@ def _pearson(n, sa, sb, saa, sbb, sab):
     r = cov / math.sqrt(va * vb)
     if r != r or math.isinf(r):
         return None
-    return max(-1.0, min(1.0, r))
+    return float(max(-1.0, min(1.0, r)))
 
 
 def _ml_correlation(df: DataFrame, block: list[str], xs) -> list[list[float]]:
@@ -188,6 +188,59 @@ def _ml_correlation(df: DataFrame, block: list[str], xs) -> list[list[float]]:
     return Correlation.corr(vec, "__v", "pearson").first()[0].toArray().tolist()
 
 
+GRAM_BUCKETS = 256
+
+
+def _masked_gram(df: DataFrame, cols: list[str], xs, means: dict) -> dict:
+    """Pairwise-complete sums for every pair of ``cols`` in one pass.
+
+    Each task turns its Arrow batches into a matrix ``X`` (NULL and NaN are
+    missing), with ``M`` = present and ``D`` = ``X - mean`` (0 where missing),
+    and accumulates ``M'M`` (pair counts), ``D'M``, ``(D*D)'M`` and ``D'D``.
+    Spark then adds the per-task matrices in two levels (``GRAM_BUCKETS``
+    groups, then one row), so no task merges one row per input split.
+    Returns ``{(a, b): (n, sa, sb, saa, sbb, sab)}``.
+    """
+    import numpy as np
+    import pandas as pd
+
+    k = len(cols)
+    mu = np.array([means[c] for c in cols], dtype=float)
+    names = [f"__c{i}" for i in range(k)]
+
+    def partials(batches):
+        acc = None
+        for pdf in batches:
+            x = pdf[names].to_numpy(dtype=float, na_value=np.nan)
+            m = (~np.isnan(x)).astype(float)
+            dev = np.where(m > 0, x - mu, 0.0)
+            part = np.stack([m.T @ m, dev.T @ m, (dev * dev).T @ m, dev.T @ dev])
+            acc = part if acc is None else acc + part
+        if acc is not None:
+            yield pd.DataFrame({"v": [acc.ravel()]})
+
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.stat import Summarizer
+
+    per_task = df.select(*[xs[c].alias(n) for c, n in zip(cols, names)]).mapInPandas(
+        partials, "v array<double>")
+    # two-level addition of the per-task matrices (vector sums in the JVM)
+    level1 = (per_task.select(array_to_vector("v").alias("v"),
+                              (F.abs(F.xxhash64(F.monotonically_increasing_id()))
+                               % GRAM_BUCKETS).alias("__b"))
+              .groupBy("__b").agg(Summarizer.sum(F.col("v")).alias("v")))
+    row = level1.agg(Summarizer.sum(F.col("v")).alias("v")).first()
+    if row is None or row["v"] is None:
+        return {}
+    t = np.asarray(row["v"].toArray(), dtype=float).reshape(4, k, k)
+    out = {}
+    for i, a in enumerate(cols):
+        for j in range(i + 1, k):
+            out[(a, cols[j])] = (t[0, i, j], t[1, i, j], t[1, j, i], t[2, i, j], t[2, j, i],
+                                 t[3, i, j])
+    return out
+
+
 def correlation_pairs(df: DataFrame, columns: list[str] | None = None,
                       digits: int = 4) -> DataFrame:
     """``(col1, col2, correlation)`` for the upper triangle in column
@@ -199,9 +252,12 @@ def correlation_pairs(df: DataFrame, columns: list[str] | None = None,
     for) in chunks of ``AGG_CHUNK`` aggregates; a pair of NULL-free columns
     needs one sum, other pairs six (pairwise-complete rows). When the
     NULL-free columns alone would need more than one chunk, their whole block
-    comes from one pass of Spark ML's centred Gram matrix instead. r is
-    assembled from those few scalars on the driver; constant columns are
-    left out before any of this.
+    comes from one pass of Spark ML's centred Gram matrix instead, and when
+    the pairs that need pairwise-complete rows would need more than one chunk,
+    they come from one pass of masked Gram matrices (numpy per task via
+    ``mapInPandas``, added up by Spark in two levels). r is assembled from
+    those few scalars on the driver; constant columns are left out before
+    any of this.
     """
     cols = _numeric(df, columns)
     spark = df.sparkSession
@@ -230,10 +286,19 @@ def correlation_pairs(df: DataFrame, columns: list[str] | None = None,
     elif block:
         for c in block:
             exprs += [(f"s|{c}", F.sum(dx[c])), (f"q|{c}", F.sum(dx[c] * dx[c]))]
+    partial_pairs = [(a, b) for a, b in pairs if not (a in full and b in full)]
+    masked = None
+    if 6 * len(partial_pairs) > AGG_CHUNK:
+        # many pairs need pairwise-complete sums: one pass of masked Gram
+        # matrices over the columns those pairs touch
+        touched = [c for c in live if any(c in p for p in partial_pairs)]
+        masked = _masked_gram(df, touched, xs, {c: info[c]["m"] for c in touched})
     for a, b in pairs:
         if a in full and b in full:
             if gram is None:
                 exprs.append((f"p|{a}|{b}", F.sum(dx[a] * dx[b])))
+        elif masked is not None:
+            continue
         else:
             both = xs[a].isNotNull() & xs[b].isNotNull()
             da, db = F.when(both, dx[a]), F.when(both, dx[b])
@@ -254,6 +319,8 @@ def correlation_pairs(df: DataFrame, columns: list[str] | None = None,
         elif a in full and b in full:
             r = _pearson(total, sums[f"s|{a}"], sums[f"s|{b}"], sums[f"q|{a}"],
                          sums[f"q|{b}"], sums[f"p|{a}|{b}"])
+        elif masked is not None:
+            r = _pearson(*masked.get((a, b), (0, 0, 0, 0, 0, 0)))
         else:
             r = _pearson(sums[f"n|{a}|{b}"], sums[f"sa|{a}|{b}"], sums[f"sb|{a}|{b}"],
                          sums[f"qa|{a}|{b}"], sums[f"qb|{a}|{b}"], sums[f"p|{a}|{b}"])

@@ -154,3 +154,19 @@ def test_safe_corr_expression_per_group(spark):
     got = dict(df.groupBy("g").agg(safe_corr(F.col("x"), F.col("y")).alias("r")).collect())
     assert got[1.0] == pytest.approx(pdf[pdf.g == 1][["x", "y"]].corr().iloc[0, 1])
     assert got[2.0] is None                      # constant x: NULL, not an error
+
+
+def test_correlation_many_null_pairs_masked_gram(spark):
+    rng = np.random.default_rng(21)
+    base = rng.normal(size=(400, 1))
+    data = base + rng.normal(size=(400, 9)) * np.linspace(0.2, 2, 9)
+    pdf = pd.DataFrame(data, columns=[f"n{i}" for i in range(9)])
+    for i in range(9):                       # NULLs (and NaN) in every column, different rows
+        pdf.loc[(np.arange(400) % (i + 5)) == 0, f"n{i}"] = np.nan
+    df = spark.createDataFrame(pdf).replace(float("nan"), None)
+    df = df.withColumn("n0", F.when(F.col("n0") > 2.5, F.lit(float("nan"))).otherwise(F.col("n0")))
+    got = {(r["col1"], r["col2"]): r["correlation"] for r in tw.correlation_pairs(df).collect()}
+    ref = df.toPandas().astype(float).corr()
+    assert len(got) == 36
+    for (a, b), v in got.items():
+        assert v == pytest.approx(round(ref.loc[a, b], 4), abs=1e-4), (a, b)
