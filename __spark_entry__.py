@@ -79,6 +79,15 @@ MADE_ORDERS = [
     ("o_orderpriority", "o_orderpriority"),
 ]
 
+WIDE_LINEITEM = [(c, c) for c in [
+    "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
+    "l_extendedprice", "l_discount", "l_tax"]] + [
+    ("l_extendedprice * (1 - l_discount)", "disc_price"),
+    ("l_extendedprice * (1 - l_discount) * (1 + l_tax)", "charge"),
+    ("l_quantity * l_tax", "qty_tax"),
+    ("CAST(l_orderkey % 97 AS DOUBLE) + l_discount", "mixed"),
+]
+
 LINEITEM_NUMERIC = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
                     "l_extendedprice", "l_discount", "l_tax"]
 MADE_NUMERIC = ["o_orderkey", "o_custkey", "o_totalprice", "price_spiky", "price_linked"]
@@ -400,6 +409,16 @@ def q_stream_auto_clean(spark, d):
     return spark.read.parquet(base + "/out")
 
 
+def q_correlation_pairs_nulls(spark, d):
+    # NULL-bearing columns: pairwise-complete sums in one masked-Gram pass
+    return tw.correlation_pairs(dirty_lineitem(spark, d))
+
+
+def q_correlation_pairs_wide(spark, d):
+    # twelve NULL-free columns: one ML Gram-matrix pass
+    return tw.correlation_pairs(_made(spark, d, "lineitem", WIDE_LINEITEM))
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "profile_nulls": q_profile_nulls,
     "profile_columns": q_profile_columns,
@@ -453,6 +472,8 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "profile_summary_benchmark": q_profile_summary_benchmark,
     "chart_data_histogram": q_chart_data_histogram,
     "stream_auto_clean": q_stream_auto_clean,
+    "correlation_pairs_nulls": q_correlation_pairs_nulls,
+    "correlation_pairs_wide": q_correlation_pairs_wide,
 }
 
 
@@ -779,6 +800,9 @@ def oracle_sql() -> dict[str, str]:
                                  "l_returnflag IS NOT NULL GROUP BY 1 ORDER BY y DESC, x ASC LIMIT 50"),
         "stream_auto_clean": (f"SELECT {', '.join(auto_clean_cols)} FROM "
                               f"(SELECT {_sql_select(DIRT_CUSTOMER)} FROM customer)"),
+        "correlation_pairs_nulls": _sql_pairs(SQL_DIRTY_LINEITEM, LINEITEM_NUMERIC),
+        "correlation_pairs_wide": (f"WITH w AS (SELECT {_sql_select(WIDE_LINEITEM)} FROM lineitem) "
+                                   + _sql_pairs("w", [a for _, a in WIDE_LINEITEM])),
         "profile_summary_benchmark": (
             "SELECT (SELECT count(*) FROM benchmark) AS total_rows, CAST(2 AS BIGINT) AS total_columns, "
             "(SELECT count(*) FROM benchmark) - (SELECT count(*) FROM (SELECT DISTINCT * FROM "
