@@ -9,8 +9,10 @@ from tablewash.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    s = local_session("*", shuffle_partitions=8, app="tablewash-tests")
+def spark(tmp_path_factory):
+    warehouse = str(tmp_path_factory.mktemp("warehouse"))
+    s = local_session("*", shuffle_partitions=8, app="tablewash-tests",
+                      extra_conf={"spark.sql.warehouse.dir": warehouse})
     yield s
 
 

@@ -123,3 +123,13 @@ def test_fused_plan_equals_composed_operators(spark):
     conv_log = [m for s, m in log if s == "convert_types"]
     assert conv_log == [f"{c}: Success -> DOUBLE ({report[c]} failures)" for c, _ in
                         [(d["column_name"], d["new_type"]) for d in convs]]
+
+
+def test_eda_report_shares_one_summary(spark):
+    rows = [(float(i), float(i) * 2 + (i % 3), "y" if i % 20 else "x") for i in range(200)]
+    df = spark.createDataFrame(rows, "p double, q double, f string")
+    rep = tw.eda_report(df)
+    assert rep.summary.total_rows == 200
+    kinds = [r["type"] for r in rep.insights.collect()]
+    assert kinds == ["correlation", "distribution"]
+    assert rep.chart_suggestions.count() >= 2

@@ -105,3 +105,14 @@ def test_profile_large_input_path(spark, monkeypatch):
     df = spark.createDataFrame([(1, None), (1, None), (2, "x"), (None, "x")], "a int, b string")
     p = tw.profile(df).to_dict()
     assert (p["total_rows"], p["duplicates_count"], p["null_counts"]) == (4, 1, {"a": 1, "b": 2})
+
+
+def test_save_list_and_drop_tables(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "a int, b string")
+    name = tw.save_table(df, tw.project_table_name("t1"))
+    assert name == "project_t1" and "project_t1" in tw.list_tables(spark)
+    assert sorted(map(tuple, spark.table("project_t1").collect())) == [(1, "a"), (2, "b")]
+    tw.save_table(df.limit(1), "project_t1")                 # replaced, not appended
+    assert spark.table("project_t1").count() == 1
+    assert tw.drop_tables_with_prefix(spark, "project_t") == 1
+    assert "project_t1" not in tw.list_tables(spark)
