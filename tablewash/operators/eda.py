@@ -66,10 +66,16 @@ def numeric_summary(df: DataFrame, columns: list[str] | None = None,
     frame of one row per column. ``exact=False`` is one lazy aggregation with
     ``percentile_approx`` quartiles.
     """
+    return _numeric_summary(df, columns, exact)[0]
+
+
+def _numeric_summary(df: DataFrame, columns: list[str] | None = None, exact: bool = True):
+    """``(summary frame, total rows or None)``; the exact form counts all rows
+    in its first scan as well."""
     cols = _numeric(df, columns)
     spark = df.sparkSession
     if not cols:
-        return spark.createDataFrame([], NUMERIC_SCHEMA)
+        return spark.createDataFrame([], NUMERIC_SCHEMA), None
     xs = {c: nan_to_null(c, df.schema[c].dataType).cast("double") for c in cols}
 
     def basic(x):
@@ -78,6 +84,7 @@ def numeric_summary(df: DataFrame, columns: list[str] | None = None,
 
     if exact:
         extra = [F.struct(*basic(xs[c])).alias(f"s{i}") for i, c in enumerate(cols)]
+        extra.append(F.count(F.lit(1)).alias("__rows"))
         qs, row = exact_quantiles(df, cols, list(QUARTILES), extra_aggs=extra)
         rows = []
         for i, c in enumerate(cols):
@@ -86,7 +93,7 @@ def numeric_summary(df: DataFrame, columns: list[str] | None = None,
             rows.append((c, int(s["count"]), _finite(s["mean"]), _finite(s["std"]),
                          _finite(s["min"]), _finite(q[0]), _finite(q[1]), _finite(q[2]),
                          _finite(s["max"])))
-        return spark.createDataFrame(rows, NUMERIC_SCHEMA)
+        return spark.createDataFrame(rows, NUMERIC_SCHEMA), int(row["__rows"])
 
     stats = []
     for i, c in enumerate(cols):
@@ -97,9 +104,9 @@ def numeric_summary(df: DataFrame, columns: list[str] | None = None,
     long = unpivot_row(one, "column", [(c, F.col(f"s{i}")) for i, c in enumerate(cols)], "s")
     long = long.select("column", "s.count", "s.mean", "s.std", "s.min",
                        "s.p25", "s.p50", "s.p75", "s.max")
-    fin = lambda c: F.when(~F.isnan(F.col(c)) & (F.abs(F.col(c)) != float("inf")), F.col(c))
+    fin = lambda c: F.when(~F.isnan(F.col(c)) & (F.abs(F.col(c)) != float("inf")), F.col(c))
     return long.select("column", F.col("count").cast("bigint"),
-                       *[fin(c).alias(c) for c in ("mean", "std", "min", "p25", "p50", "p75", "max")])
+                       *[fin(c).alias(c) for c in ("mean", "std", "min", "p25", "p50", "p75", "max")]), None
 
 
 def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -427,11 +434,12 @@ def statistical_summary(df: DataFrame, k: int = 5, exact: bool = True,
     """
     src = df.persist() if persist else df
     vc = value_counts(src)
+    numeric, total = _numeric_summary(src, exact=exact)
     return StatisticalSummary(
-        numeric_summary=numeric_summary(src, exact=exact),
+        numeric_summary=numeric,
         categorical_summary=categorical_summary(src),
         top_values=top_values(src, k, counts=vc),
         correlation_pairs=correlation_pairs(src),
-        total_rows=src.count(),
+        total_rows=src.count() if total is None else total,
         total_columns=len(src.columns),
     )
