@@ -203,9 +203,15 @@ def entity_duplicate_keys(df: DataFrame, key: str) -> DataFrame:
       ``left_semi`` join; AQE broadcasts a small key set and splits a skewed
       key). No full-width shuffle of the other rows.
     """
+    return _entity_keys(df, key).select(F.col("__k").alias(key))
+
+
+def _entity_keys(df: DataFrame, key: str) -> DataFrame:
+    """Qualifying keys in a column named ``__k``."""
     require_columns(df, [key])
     others = [c for c in df.columns if c != key]
-    present = df.where(qcol(key).isNotNull())
+    k = qcol(key)
+    present = df.where(k.isNotNull())
     if all(_fixed_width(df.schema[c].dataType) for c in others):
         n = F.count(F.lit(1))
         aggs = [n.alias("__n")]
@@ -217,33 +223,39 @@ def entity_duplicate_keys(df: DataFrame, key: str) -> DataFrame:
             nonconst = ((F.col(f"__c{i}") > 0) & (F.col(f"__c{i}") < F.col("__n"))) | \
                        (F.col(f"__lo{i}") != F.col(f"__hi{i}"))
             varies = varies | F.coalesce(nonconst, F.lit(False))
-        grouped = present.groupBy(qcol(key).alias(key)).agg(*aggs)
-        return grouped.where((F.col("__n") > 1) & varies).select(key)
+        grouped = present.groupBy(k.alias("__k")).agg(*aggs)
+        return grouped.where((F.col("__n") > 1) & varies).select("__k")
     if not _hash_path(df):
-        repeated = (present.groupBy(qcol(key).alias(key)).agg(F.count(F.lit(1)).alias("__n"))
-                    .where(F.col("__n") > 1).select(key))
-        rows = present.join(repeated, on=key, how="left_semi").dropDuplicates()
-        return (rows.groupBy(qcol(key).alias(key)).agg(F.count(F.lit(1)).alias("__n"))
-                .where(F.col("__n") > 1).select(key))
+        repeated = (present.groupBy(k.alias("__k")).agg(F.count(F.lit(1)).alias("__n"))
+                    .where(F.col("__n") > 1).select("__k"))
+        rows = _semi(present, key, repeated).dropDuplicates()
+        return (rows.groupBy(qcol(key).alias("__k")).agg(F.count(F.lit(1)).alias("__n"))
+                .where(F.col("__n") > 1).select("__k"))
     # Per key: row count and the range of the row hash (fixed-width, so a
     # hash aggregate). Two different hashes prove two different rows; keys
     # whose rows all share one hash (identical rows, or a collision) are
     # checked exactly on all columns, and only their rows are grouped.
     keyed = _keyed(present)
-    per = (keyed.groupBy(qcol(key).alias(key))
+    per = (keyed.groupBy(k.alias("__k"))
            .agg(F.count(F.lit(1)).alias("__n"),
                 F.min("__h1").alias("__a1"), F.max("__h1").alias("__b1"),
                 F.min("__h2").alias("__a2"), F.max("__h2").alias("__b2")))
     differ = (F.col("__a1") != F.col("__b1")) | (F.col("__a2") != F.col("__b2"))
-    proven = per.where((F.col("__n") > 1) & differ).select(key)
-    alike = per.where((F.col("__n") > 1) & ~differ).select(key)
-    rows = present.join(alike, on=key, how="left_semi")
+    proven = per.where((F.col("__n") > 1) & differ).select("__k")
+    alike = per.where((F.col("__n") > 1) & ~differ).select("__k")
+    rows = _semi(present, key, alike)
     checked = (rows.groupBy(*[qcol(c) for c in df.columns]).count()
-               .groupBy(qcol(key).alias(key)).agg(F.count(F.lit(1)).alias("__d"))
-               .where(F.col("__d") > 1).select(key))
+               .groupBy(qcol(key).alias("__k")).agg(F.count(F.lit(1)).alias("__d"))
+               .where(F.col("__d") > 1).select("__k"))
     return proven.unionByName(checked)
 
 
+def _semi(df: DataFrame, key: str, keys: DataFrame, broadcast: bool = False) -> DataFrame:
+    """Rows of ``df`` whose ``key`` is in ``keys.__k`` (NULL never matches)."""
+    right = F.broadcast(keys) if broadcast else keys
+    return df.join(right, qcol(key) == right["__k"], "left_semi")
+
+
 def entity_duplicates(df: DataFrame, key: str, n: int | None = 10) -> DataFrame:
     """J1+W3: rows whose key is in :func:`entity_duplicate_keys`, ordered by the
     key (then the other columns, for a stable sample); first ``n``.
@@ -253,13 +265,12 @@ def entity_duplicates(df: DataFrame, key: str, n: int | None = 10) -> DataFrame:
     (a broadcast of a bounded set), and the table is never shuffled for the
     sample. ``n=None`` returns all such rows (a semi join on all keys).
     """
-    keys = entity_duplicate_keys(df, key)
+    keys = _entity_keys(df, key)
     cols = [key] + [c for c in df.columns if c != key]
     if n is None:
-        return df.join(keys, on=key, how="left_semi").select(*[qcol(c) for c in df.columns])
-    first_keys = keys.orderBy(qcol(key).asc()).limit((n + 1) // 2)
-    rows = df.join(F.broadcast(first_keys), on=key, how="left_semi")
-    rows = rows.select(*[qcol(c) for c in df.columns])
+        return _semi(df, key, keys)
+    first_keys = keys.orderBy(F.col("__k").asc()).limit((n + 1) // 2)
+    rows = _semi(df, key, first_keys, broadcast=True)
     return rows.orderBy(*_order(cols)).limit(n)
 
 
