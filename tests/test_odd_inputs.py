@@ -57,3 +57,18 @@ def test_odd_names_values(spark):
     assert tw.duplicates_count(df) == 1
     assert [r[0] for r in tw.entity_duplicate_keys(df, "a.b").collect()] == [2]
     assert tw.categorical_summary(df).where("column = 'g`h'").first()["mode"] == "p"   # tie p/q: smallest
+
+
+@pytest.mark.parametrize("empty", [False, True], ids=["rows", "empty"])
+def test_odd_names_on_the_hash_path(spark, monkeypatch, empty):
+    from tablewash.operators import dedup
+    monkeypatch.setattr(dedup, "HASH_PATH_MIN_BYTES", 0)
+    df = spark.createDataFrame([] if empty else ROWS, ODD)
+    assert tw.duplicates_count(df) == (0 if empty else 1)
+    assert tw.remove_duplicates(df).count() == (0 if empty else 4)
+    assert tw.exact_duplicate_rows(df).count() == (0 if empty else 2)
+    assert [r[0] for r in tw.entity_duplicate_keys(df, "c d").collect()] == ([] if empty else [])
+    assert sorted(r[0] for r in tw.entity_duplicate_keys(df, "g`h").collect()) == \
+        ([] if empty else ["q"])
+    assert tw.profile(df).to_dict()["duplicates_count"] == (0 if empty else 1)
+    tw.find_duplicates(df, key="a.b").to_dict()

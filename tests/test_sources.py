@@ -116,3 +116,15 @@ def test_save_list_and_drop_tables(spark):
     assert spark.table("project_t1").count() == 1
     assert tw.drop_tables_with_prefix(spark, "project_t") == 1
     assert "project_t1" not in tw.list_tables(spark)
+
+
+def test_csv_odd_header_round_trip(spark, tmp_path):
+    p = tmp_path / "odd.csv"
+    p.write_text('a.b,c d,"e""f"\n1,,x\n2,y,\n')
+    df = tw.load_csv(spark, str(p))
+    assert df.columns == ["a.b", "c d", 'e"f']
+    assert [tuple(r) for r in df.orderBy("`a.b`").collect()] == [("1", None, "x"), ("2", "y", None)]
+    out = str(tmp_path / "out.csv")
+    tw.export_csv(df, out, single_file=True)
+    back = tw.load_csv(spark, out)
+    assert back.columns == df.columns and back.count() == 2
