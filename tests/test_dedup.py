@@ -44,6 +44,8 @@ def test_remove(dupes):
     assert tw.duplicates_count(out) == 0
     with pytest.raises(ValueError, match="unknown strategy"):
         tw.remove_duplicates(dupes, "remove_all")
+    with pytest.raises(ValueError, match="method"):
+        tw.remove_duplicates(dupes, method="sort")
 
 
 ENTITIES = [(1, "a", 1), (1, "a", 1), (2, "b", 1), (2, "b", 2), (None, "c", 1), (None, "d", 2),
@@ -138,14 +140,16 @@ def test_hash_path_matches_plain_and_keeps_null_positions_apart(spark, monkeypat
     df = _messy(spark)
     want = _truth(df)
     assert tw.duplicates_count(df) == want
-    assert sorted(map(tuple, tw.remove_duplicates(df).collect()), key=repr) == \
-        sorted(map(tuple, df.distinct().collect()), key=repr)
+    for method in ("shuffle", "hash", "auto"):
+        assert sorted(map(tuple, tw.remove_duplicates(df, method=method).collect()), key=repr) == \
+            sorted(map(tuple, df.distinct().collect()), key=repr)
     pair = spark.createDataFrame([(None, 1.0), (1.0, None)], "a double, b double")
-    assert tw.duplicates_count(pair) == 0 and tw.remove_duplicates(pair).count() == 2
+    assert tw.duplicates_count(pair) == 0
+    assert tw.remove_duplicates(pair, method="hash").count() == 2
     # over the broadcast bound: the plain grouping runs, same answers
     monkeypatch.setattr(dedup, "CANDIDATE_BROADCAST_MAX", 0)
     assert tw.duplicates_count(df) == want
-    assert tw.remove_duplicates(df).count() == df.distinct().count()
+    assert tw.remove_duplicates(df, method="hash").count() == df.distinct().count()
 
 
 def test_hash_collisions_never_merge_rows(spark, monkeypatch):
@@ -155,9 +159,9 @@ def test_hash_collisions_never_merge_rows(spark, monkeypatch):
     want = _truth(df)
     # every row gets the same hash: all rows become candidates, grouping stays exact
     monkeypatch.setattr(dedup, "_keyed", lambda d: d.select(
-        *d.columns, F.lit(1).cast("long").alias("__h1"), F.lit(1).alias("__h2")))
+        *d.columns, F.lit(1).cast("long").alias("__h1")))
     assert tw.duplicates_count(df) == want
-    assert tw.remove_duplicates(df).count() == df.distinct().count()
+    assert tw.remove_duplicates(df, method="hash").count() == df.distinct().count()
     assert tw.exact_duplicate_rows(df, None).count() == \
         df.groupBy(*df.columns).count().where("count > 1").agg(F.sum("count")).first()[0]
 
@@ -166,7 +170,7 @@ def test_remove_duplicates_shuffles_only_candidates(spark, dedup_path):
     if dedup_path == "plain":
         pytest.skip("plan shape of the hash path")
     df = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
-    plan = tw.remove_duplicates(df)._jdf.queryExecution().executedPlan().toString()
+    plan = tw.remove_duplicates(df, method="hash")._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastExchange" in plan and "LeftAnti" in plan
     # the only full-width exchange sits below the semi join (candidate rows)
     assert plan.count("Exchange hashpartitioning(o_orderkey") <= 1
@@ -182,6 +186,6 @@ def test_entity_keys_exact_under_hash_collisions(spark, monkeypatch):
                   .select("k").collect())
     assert sorted(r[0] for r in tw.entity_duplicate_keys(df, "k").collect()) == want
     monkeypatch.setattr(dedup, "_keyed", lambda d: d.select(
-        *d.columns, F.lit(7).cast("long").alias("__h1"), F.lit(7).alias("__h2")))
+        *d.columns, F.lit(7).cast("long").alias("__h1")))
     assert sorted(r[0] for r in tw.entity_duplicate_keys(df, "k").collect()) == want
     assert 99 not in want

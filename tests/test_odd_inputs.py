@@ -65,7 +65,7 @@ def test_odd_names_on_the_hash_path(spark, monkeypatch, empty):
     monkeypatch.setattr(dedup, "HASH_PATH_MIN_BYTES", 0)
     df = spark.createDataFrame([] if empty else ROWS, ODD)
     assert tw.duplicates_count(df) == (0 if empty else 1)
-    assert tw.remove_duplicates(df).count() == (0 if empty else 4)
+    assert tw.remove_duplicates(df, method="hash").count() == (0 if empty else 4)
     assert tw.exact_duplicate_rows(df).count() == (0 if empty else 2)
     assert [r[0] for r in tw.entity_duplicate_keys(df, "c d").collect()] == ([] if empty else [])
     assert sorted(r[0] for r in tw.entity_duplicate_keys(df, "g`h").collect()) == \
