@@ -6,8 +6,10 @@ column at 100 TB. Here exactness comes from a few scans instead, none of
 which shuffles more than a handful of rows:
 
 1. One ``agg``: non-NULL count of every column plus ``percentile_approx``
-   brackets ``[q - d, q + d]`` around every wanted quantile (callers can add
-   their own aggregates to this scan).
+   brackets ``[q - w, q + w]`` around every wanted quantile, fed a seeded
+   Bernoulli sample of about ``SAMPLE_ROWS`` values (GK over every value
+   costs more CPU than the scan); ``w`` is chosen afterwards from the sample
+   size actually drawn. Callers can add their own aggregates to this scan.
 2. One classify-and-count job: each value is classed against its column's
    sorted bracket ends (below, equal to, between...), the rows are unpivoted
    to ``(column, class)`` and counted with map-side partial aggregation, so
@@ -37,6 +39,56 @@ from ..functions.columns import nan_to_null, require_columns
 BAND_ROWS = 200_000
 SMALL_COLUMN = 4_096
 ACCURACY = 10_000
+# Brackets come from a seeded Bernoulli sample of about this many values per
+# column (the count round checks them exactly, so a sample only has to be
+# roughly right); GK over every value would cost more than the scan itself.
+SAMPLE_ROWS = 2_000_000
+SEED = 17
+# Half-widths of the brackets computed in one pass, in units of 2/accuracy;
+# the narrowest one that is safe for the sample size actually drawn is used.
+WIDTHS = (1, 2, 4, 8, 16, 32, 64, 128, 256, 512)
+SIGMAS = 4.0
+
+
+def _est_rows(df: DataFrame) -> int | None:
+    """A generous row estimate from Catalyst's size estimate (4 bytes a row);
+    ``None`` when the plan has no size statistics."""
+    try:
+        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+        size = int(size if isinstance(size, int) else str(size))
+    except Exception:  # noqa: BLE001 - estimate unavailable
+        return None
+    return None if size >= (1 << 60) else max(1, size // 4)
+
+
+def _rate(df: DataFrame) -> float:
+    est = _est_rows(df)
+    return 1.0 if est is None else min(1.0, SAMPLE_ROWS / est)
+
+
+def _with_uniform(df: DataFrame) -> DataFrame:
+    """``df`` plus a seeded uniform column ``__u`` (random values may not sit
+    inside aggregate arguments, so the draw happens in a projection)."""
+    return df.withColumn("__u", F.rand(SEED))
+
+
+def _sampled(x, rate: float):
+    return x if rate >= 1.0 else F.when(F.col("__u") < F.lit(rate), x)
+
+
+def _half_width(q: float, expected_sample: float, d: float) -> float:
+    """Bracket half-width (in probability) safe at ``SIGMAS`` standard errors
+    of a sample quantile (a miss only costs another narrowing round)."""
+    if expected_sample <= 0:
+        return 1.0
+    return d + SIGMAS * math.sqrt(max(q * (1.0 - q), 1e-12) / expected_sample)
+
+
+def _pick(width_needed: float, d: float) -> float:
+    for w in WIDTHS:
+        if w * d >= width_needed:
+            return w * d
+    return WIDTHS[-1] * d
 
 
 def _x(df: DataFrame, c: str):
@@ -55,16 +107,19 @@ def _in_range(x, lo, hi):
 class _Target:
     """Search state of one order statistic: the wanted rank ``rel`` among the
     values strictly inside ``(lo, hi)`` (``None`` = unbounded), ``size`` of
-    them, and the current approximate bracket ``(blo, bhi)``."""
-    __slots__ = ("lo", "hi", "rel", "size", "bracket")
+    them, the current approximate bracket ``(blo, bhi)``, and whether the
+    next bracket must come from all values (``full``: the last round did not
+    halve the range, so sampling is not narrowing it)."""
+    __slots__ = ("lo", "hi", "rel", "size", "bracket", "full")
 
-    def __init__(self, lo, hi, rel, size, bracket=None):
+    def __init__(self, lo, hi, rel, size, bracket=None, full=False):
         self.lo, self.hi, self.rel, self.size, self.bracket = lo, hi, rel, size, bracket
+        self.full = full
 
 
 def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
                     band_rows: int = BAND_ROWS, accuracy: int = ACCURACY,
-                    max_rounds: int = 12, extra_aggs: list | None = None):
+                    max_rounds: int = 64, extra_aggs: list | None = None):
     """``{column: [quantile for each prob]}``; ``None`` for an all-NULL column.
 
     With ``extra_aggs`` (aggregate columns over ``df``) they are computed in
@@ -82,17 +137,24 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
     xs0 = {c: _x(df, c) for c in cols}
     xs = {c: F.col(f"__q{i}") for i, c in enumerate(cols)}
     d = 2.0 / accuracy
-    brackets = sorted({max(0.0, p - d) for p in probs} | {min(1.0, p + d) for p in probs})
+    rate = _rate(df)
+    widths = [w * d for w in WIDTHS] if rate < 1.0 else [d]
+    brackets = sorted({max(0.0, p - w) for p in probs for w in widths}
+                      | {min(1.0, p + w) for p in probs for w in widths})
     aggs = list(extra_aggs or [])
     for i, c in enumerate(cols):
         aggs.append(F.count(xs0[c]).alias(f"__n{i}"))
-        aggs.append(F.percentile_approx(xs0[c], brackets, accuracy).alias(f"__a{i}"))
-    first = df.agg(*aggs).first() if aggs else None
+        aggs.append(F.count(_sampled(xs0[c], rate)).alias(f"__m{i}"))
+        aggs.append(F.percentile_approx(_sampled(xs0[c], rate), brackets, accuracy)
+                    .alias(f"__a{i}"))
+    src = _with_uniform(df) if rate < 1.0 else df
+    first = src.agg(*aggs).first() if aggs else None
 
     plan: dict[str, list] = {}
     targets: dict[tuple[str, int], _Target] = {}
     for i, c in enumerate(cols):
         n = int(first[f"__n{i}"])
+        m = int(first[f"__m{i}"])
         approx = dict(zip(brackets, first[f"__a{i}"] or []))
         plan[c] = []
         for p in probs:
@@ -102,9 +164,11 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
             h = (n - 1) * p
             r0 = int(math.floor(h))
             plan[c].append((r0, min(r0 + 1, n - 1), h - r0))
-            lo_q, hi_q = max(0.0, p - d), min(1.0, p + d)
+            w = d if rate >= 1.0 else _pick(_half_width(p, m, d), d)
+            lo_q, hi_q = max(0.0, p - w), min(1.0, p + w)
+            bracket = (approx.get(lo_q), approx.get(hi_q)) if m else None
             for r in (r0, min(r0 + 1, n - 1)):
-                targets[(c, r)] = _Target(None, None, r, n, (approx.get(lo_q), approx.get(hi_q)))
+                targets[(c, r)] = _Target(None, None, r, n, bracket)
 
     wanted: dict[tuple[str, int], float] = {}
     for rnd in range(max_rounds):
@@ -117,7 +181,9 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
         need = [k for k, t in big.items() if t.bracket is None]
         if need:
             _approx_brackets(base, xs, big, need, d, accuracy)
-        _count_round(base, xs, big, targets, wanted)
+        big = {k: t for k, t in big.items() if t.bracket is not None}
+        if big:
+            _count_round(base, xs, big, targets, wanted)
     else:
         if any(t.size > band_rows for t in targets.values()):
             raise RuntimeError("quantile search did not converge")
@@ -139,17 +205,25 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
 
 
 def _approx_brackets(df, xs, big, need, d, accuracy):
-    aggs = []
+    """Brackets for narrowed ranges, from a sample of about ``SAMPLE_ROWS``
+    of the values inside each range (the range size is known exactly)."""
+    aggs, widths = [], []
     for j, k in enumerate(need):
         t = big[k]
         q = t.rel / (t.size - 1) if t.size > 1 else 0.0
-        aggs.append(F.percentile_approx(F.when(_in_range(xs[k[0]], t.lo, t.hi), xs[k[0]]),
-                                        [max(0.0, q - d), min(1.0, q + d)], accuracy)
+        rate = 1.0 if t.full else min(1.0, SAMPLE_ROWS / t.size)
+        w = d if rate >= 1.0 else _half_width(q, rate * t.size, d)
+        widths.append(w)
+        x = _sampled(F.when(_in_range(xs[k[0]], t.lo, t.hi), xs[k[0]]), rate)
+        aggs.append(F.percentile_approx(x, [max(0.0, q - w), min(1.0, q + w)], accuracy)
                     .alias(f"b{j}"))
-    row = df.agg(*aggs).first()
+    row = _with_uniform(df).agg(*aggs).first()
     for j, k in enumerate(need):
         v = row[f"b{j}"] or [None, None]
-        big[k].bracket = (v[0], v[1])
+        if v[0] is None:            # nothing was sampled: use every value next time
+            big[k].bracket, big[k].full = None, True
+        else:
+            big[k].bracket = (v[0], v[1])
 
 
 def _class_expr(x, ends: list[float]):
@@ -192,18 +266,22 @@ def _count_round(df, xs, big, targets, wanted):
             eh = per[2 * b + 1] if b > a else 0
             rel = t.rel
             if rel < lt:                                   # bracket too high
-                targets[k] = _Target(lo, blo, rel, lt)
+                nxt = _Target(lo, blo, rel, lt)
             elif rel < lt + el:
                 wanted[k] = blo
                 del targets[k]
+                continue
             elif rel < lt + el + md:
-                targets[k] = _Target(blo, bhi, rel - lt - el, md)
+                nxt = _Target(blo, bhi, rel - lt - el, md)
             elif rel < lt + el + md + eh:
                 wanted[k] = bhi
                 del targets[k]
+                continue
             else:                                          # bracket too low
                 above = lt + el + md + eh
-                targets[k] = _Target(bhi, hi, rel - above, t.size - above)
+                nxt = _Target(bhi, hi, rel - above, t.size - above)
+            nxt.full = 2 * nxt.size > t.size              # sampling stopped paying off
+            targets[k] = nxt
 
 
 def _select_ranks(df: DataFrame, xs, targets) -> dict:

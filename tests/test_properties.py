@@ -40,3 +40,22 @@ def test_conversion_counts_add_up(spark, texts):
     converted = tw.convert_types(df, [("t", "DOUBLE")]).where("t IS NOT NULL").count()
     present = sum(t is not None for t in texts)
     assert rep["conversion_failures"] + converted == present
+
+
+@settings(max_examples=25, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(vals=values, probs=st.lists(st.floats(0, 1), min_size=1, max_size=3),
+       rate=st.sampled_from([0.5, 0.1, 0.01]), sample_rows=st.sampled_from([1, 5, 50]))
+def test_sampled_quantile_search_matches_numpy(spark, vals, probs, rate, sample_rows):
+    saved = (Q._rate, Q.SAMPLE_ROWS, Q.SMALL_COLUMN)
+    Q._rate, Q.SAMPLE_ROWS, Q.SMALL_COLUMN = (lambda df: rate), sample_rows, 1
+    try:
+        df = spark.createDataFrame([(v,) for v in vals], "x double")
+        got = Q.exact_quantiles(df, ["x"], probs, band_rows=2, accuracy=20)["x"]
+    finally:
+        Q._rate, Q.SAMPLE_ROWS, Q.SMALL_COLUMN = saved
+    present = np.array([v for v in vals if v is not None], dtype=float)
+    if present.size == 0:
+        assert got == [None] * len(probs)
+    else:
+        assert got == pytest.approx(list(np.quantile(present, probs, method="linear")),
+                                    rel=1e-9, abs=1e-9)

@@ -38,3 +38,24 @@ def test_extra_aggs(spark):
     df = spark.range(10).selectExpr("CAST(id AS DOUBLE) AS x")
     q, row = Q.exact_quantiles(df, ["x"], [0.5], extra_aggs=[F.max("x").alias("mx")])
     assert q["x"] == [4.5] and row["mx"] == 9.0
+
+
+@pytest.mark.parametrize("rate,sample_rows,band", [(0.05, 100, 50), (0.3, 1000, 200), (0.002, 10, 30)])
+def test_sampled_brackets_stay_exact(spark, monkeypatch, rate, sample_rows, band):
+    monkeypatch.setattr(Q, "_rate", lambda df: rate)
+    monkeypatch.setattr(Q, "SAMPLE_ROWS", sample_rows)
+    monkeypatch.setattr(Q, "SMALL_COLUMN", 16)
+    rng = np.random.default_rng(3)
+    a = rng.lognormal(size=5000).tolist()
+    b = ([2.0] * 2000 + rng.integers(0, 50, 3000).astype(float).tolist())
+    df = spark.createDataFrame(list(zip(a, b)), "a double, b double")
+    probs = [0.0, 0.01, 0.25, 0.5, 0.75, 0.999, 1.0]
+    got = Q.exact_quantiles(df, ["a", "b"], probs, band_rows=band, accuracy=100)
+    assert got["a"] == pytest.approx(_expect(a, probs), rel=1e-12, abs=1e-12)
+    assert got["b"] == pytest.approx(_expect(b, probs), rel=1e-12, abs=1e-12)
+
+
+def test_parquet_input_gets_a_sampling_rate(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet")
+    assert 0.0 < Q._rate(df) <= 1.0
+    assert Q._est_rows(spark.createDataFrame([(1.0,)], "x double")) is None
