@@ -138,7 +138,9 @@ def exact_duplicate_rows(df: DataFrame, n: int | None = 10) -> DataFrame:
     result are the same either way, and a hot row never expands to millions.
     """
     cols = df.columns
-    counted, _ = duplicate_groups(df)
+    # the candidate hashes (at most CANDIDATE_BROADCAST_MAX longs) stay cached
+    # for the returned frame, so they are not computed a second time
+    counted, _ = duplicate_groups(df, persist_candidates=True)
     reps = F.col("count") if n is None else F.least(F.col("count"), F.lit(n))
     out = counted.select(*[qcol(c) for c in cols],
                          F.explode(F.sequence(F.lit(1).cast("bigint"), reps)).alias("__rep"))
