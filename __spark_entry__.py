@@ -86,6 +86,10 @@ WIDE_LINEITEM = [(c, c) for c in [
     ("l_extendedprice * (1 - l_discount) * (1 + l_tax)", "charge"),
     ("l_quantity * l_tax", "qty_tax"),
     ("CAST(l_orderkey % 97 AS DOUBLE) + l_discount", "mixed"),
+    ("l_extendedprice / l_quantity", "unit_price"),
+    ("l_tax - l_discount", "tax_less_disc"),
+    ("CAST(l_partkey + l_suppkey AS DOUBLE)", "part_supp"),
+    ("l_quantity * l_quantity", "qty_sq"),
 ]
 
 LINEITEM_NUMERIC = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
@@ -415,7 +419,7 @@ def q_correlation_pairs_nulls(spark, d):
 
 
 def q_correlation_pairs_wide(spark, d):
-    # twelve NULL-free columns: one ML Gram-matrix pass
+    # sixteen NULL-free columns: Spark ML's Gram matrix
     return tw.correlation_pairs(_made(spark, d, "lineitem", WIDE_LINEITEM))
 
 

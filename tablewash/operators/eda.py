@@ -258,8 +258,8 @@ def correlation_pairs(df: DataFrame, columns: list[str] | None = None,
     plain sums of mean-shifted values (stable, and cheap to generate code
     for) in chunks of ``AGG_CHUNK`` aggregates; a pair of NULL-free columns
     needs one sum, other pairs six (pairwise-complete rows). When the
-    NULL-free columns alone would need more than one chunk, their whole block
-    comes from one pass of Spark ML's centred Gram matrix instead, and when
+    NULL-free columns alone would need three chunks or more, their whole block
+    comes from Spark ML's centred Gram matrix (two passes) instead, and when
     the pairs that need pairwise-complete rows would need more than one chunk,
     they come from one pass of masked Gram matrices (numpy per task via
     ``mapInPandas``, added up by Spark in two levels). r is assembled from
@@ -286,9 +286,10 @@ def correlation_pairs(df: DataFrame, columns: list[str] | None = None,
     pairs = [(a, b) for i, a in enumerate(live) for b in live[i + 1:]]
     block = [c for c in live if c in full]
     gram = None
-    if len(block) * (len(block) + 3) // 2 > AGG_CHUNK:
-        # many NULL-free columns: one pass of Spark ML's centred Gram matrix
-        # (tree aggregation of packed k x k sums) instead of k^2 / 2 sums
+    if len(block) * (len(block) + 3) // 2 > 2 * AGG_CHUNK:
+        # many NULL-free columns: Spark ML's centred Gram matrix (a mean pass
+        # and one tree aggregation of packed k x k sums) instead of three or
+        # more chunks of k^2 / 2 sums
         gram = _ml_correlation(df, block, xs)
     elif block:
         for c in block:
