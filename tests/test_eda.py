@@ -170,3 +170,19 @@ def test_correlation_many_null_pairs_masked_gram(spark):
     assert len(got) == 36
     for (a, b), v in got.items():
         assert v == pytest.approx(round(ref.loc[a, b], 4), abs=1e-4), (a, b)
+
+
+def test_correlation_ml_gram_block(spark, monkeypatch):
+    from tablewash.operators import eda
+    used = []
+    real = eda._ml_correlation
+    monkeypatch.setattr(eda, "_ml_correlation", lambda *a: used.append(1) or real(*a))
+    rng = np.random.default_rng(8)
+    data = rng.normal(size=(250, 1)) + rng.normal(size=(250, 17)) * np.linspace(0.1, 2, 17)
+    pdf = pd.DataFrame(data, columns=[f"c{i}" for i in range(17)])
+    got = {(r["col1"], r["col2"]): r["correlation"]
+           for r in tw.correlation_pairs(spark.createDataFrame(pdf)).collect()}
+    assert used and len(got) == 17 * 16 // 2
+    corr = pdf.corr()
+    for (a, b), v in got.items():
+        assert v == pytest.approx(round(corr.loc[a, b], 4), abs=1e-4)
