@@ -36,9 +36,42 @@ def load_csv(spark: SparkSession, path: str | list[str], multi_line: bool = Fals
             "multiLine": str(bool(multi_line)).lower(), "mode": "PERMISSIVE"}
     opts.update({k: str(v) for k, v in options.items()})
     df = spark.read.options(**opts).csv(paths)
+    names = _header_names(spark, paths[0], opts, len(df.columns))
+    if names is not None:
+        df = df.toDF(*names)
     return df.select(*[F.nullif(qcol(c), F.lit("")).alias(c) for c in df.columns])
 
 
+def _header_names(spark: SparkSession, path: str, opts: dict, width: int):
+    """Column names as the cleaning flow expects them when the header repeats
+    a name: the first copy keeps it, later ones become ``name.1``, ``name.2``
+    (the rule of pandas' CSV reader; Spark would append the position).
+    ``None`` when nothing repeats. Reads only the first row of the first
+    file, parsed by Spark."""
+    raw = {**opts, "header": "false"}
+    first = spark.read.options(**raw).csv(path).limit(1).collect()
+    if not first:
+        return None
+    header = ["" if v is None else v for v in first[0]]
+    if len(header) != width or len(set(header)) == len(header):
+        return None
+    # a repeated name gets the next ".k" suffix that is not a name already in
+    # the header nor given out before
+    taken, used, nxt, out = set(header), set(), {}, []
+    for name in header:
+        if name not in used:
+            used.add(name)
+            out.append(name)
+            continue
+        k = nxt.get(name, 1)
+        while f"{name}.{k}" in taken or f"{name}.{k}" in used:
+            k += 1
+        nxt[name] = k + 1
+        used.add(f"{name}.{k}")
+        out.append(f"{name}.{k}")
+    return out
+
+
 @dataclass
 class DirLoad:
     """Outcome of :func:`load_csv_dir`: a frame, or the names to choose from."""

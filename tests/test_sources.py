@@ -128,3 +128,21 @@ def test_csv_odd_header_round_trip(spark, tmp_path):
     tw.export_csv(df, out, single_file=True)
     back = tw.load_csv(spark, out)
     assert back.columns == df.columns and back.count() == 2
+
+
+def test_repeated_header_names_numbered(spark, tmp_path):
+    import io
+
+    import pandas as pd
+    headers = ["id,x,x,x,x.1", "a,a,a", "a,a.1,a", "a,a,a.1,a.2,a", "b,a,b.1,b,a,b"]
+    for i, h in enumerate(headers):
+        p = tmp_path / f"dup{i}.csv"
+        width = len(h.split(","))
+        p.write_text(h + "\n" + ",".join(str(j) for j in range(width)) + "\n")
+        want = list(pd.read_csv(io.StringIO(p.read_text()), dtype=str).columns)
+        df = tw.load_csv(spark, str(p))
+        assert df.columns == want, h
+        assert tuple(df.first()) == tuple(str(j) for j in range(width))
+    q = tmp_path / "plain.csv"
+    q.write_text("a,b\n1,2\n")
+    assert tw.load_csv(spark, str(q)).columns == ["a", "b"]
