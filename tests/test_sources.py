@@ -146,3 +146,10 @@ def test_repeated_header_names_numbered(spark, tmp_path):
     q = tmp_path / "plain.csv"
     q.write_text("a,b\n1,2\n")
     assert tw.load_csv(spark, str(q)).columns == ["a", "b"]
+
+
+def test_blank_lines_and_short_rows(spark, tmp_path):
+    p = tmp_path / "gaps.csv"
+    p.write_text("a,b,c\n1,2,3\n\n4,5\n\n")
+    rows = [tuple(r) for r in tw.load_csv(spark, str(p)).collect()]
+    assert rows == [("1", "2", "3"), ("4", "5", None)]
