@@ -72,3 +72,20 @@ def test_odd_names_on_the_hash_path(spark, monkeypatch, empty):
         ([] if empty else ["q"])
     assert tw.profile(df).to_dict()["duplicates_count"] == (0 if empty else 1)
     tw.find_duplicates(df, key="a.b").to_dict()
+
+
+def test_decimal_columns(spark):
+    from decimal import Decimal
+    rows = [(Decimal("1.10"), 1), (Decimal("2.20"), 2), (None, 3), (Decimal("2.20"), 4),
+            (Decimal("9.90"), 5)]
+    df = spark.createDataFrame(rows, "d decimal(10,2), i int")
+    s = {r["column"]: r for r in tw.numeric_summary(df).collect()}
+    assert s["d"]["count"] == 4 and s["d"]["p50"] == pytest.approx(2.2)
+    assert tw.correlation_pairs(df).count() == 1
+    for strategy, want in (("mean", Decimal("3.85")), ("median", Decimal("2.20")),
+                           ("mode", Decimal("2.20")), ("custom", Decimal("0.50"))):
+        imp = {"column_name": "d", "strategy": strategy, "value": "0.5"}
+        out = tw.impute(df, [imp]).where("i = 3").first()["d"]
+        assert out == want, strategy
+    assert tw.convert_types(spark.createDataFrame([("1.235",)], "t string"),
+                            [("t", "DECIMAL(10,2)")]).first()[0] == Decimal("1.24")
