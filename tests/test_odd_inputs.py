@@ -89,3 +89,23 @@ def test_decimal_columns(spark):
         assert out == want, strategy
     assert tw.convert_types(spark.createDataFrame([("1.235",)], "t string"),
                             [("t", "DECIMAL(10,2)")]).first()[0] == Decimal("1.24")
+
+
+def test_date_timestamp_boolean_columns(spark, monkeypatch):
+    import datetime as dt
+    from tablewash.operators import dedup
+    d1, d2 = dt.date(2020, 1, 1), dt.date(2021, 6, 30)
+    t1 = dt.datetime(2020, 1, 1, 12, 0)
+    rows = [(d1, t1, True), (d1, t1, True), (d2, None, False), (None, t1, None), (d2, t1, True)]
+    df = spark.createDataFrame(rows, "d date, t timestamp_ntz, b boolean")
+    out = tw.impute(df, [("d", "mode"), ("t", "mode"), ("b", "custom", "false")])
+    row = out.where("d IS NOT NULL").collect()
+    assert {r["d"] for r in row} == {d1, d2} and all(r["t"] == t1 for r in row)
+    assert out.where("b IS NULL").count() == 0
+    assert tw.numeric_summary(df).count() == 0 and tw.categorical_summary(df).count() == 0
+    assert tw.duplicates_count(df) == 1
+    monkeypatch.setattr(dedup, "HASH_PATH_MIN_BYTES", 0)
+    assert tw.duplicates_count(df) == 1
+    assert tw.remove_duplicates(df, method="hash").count() == 4
+    assert tw.bar_chart_data(df, "d").first()["y"] == 2
+    assert sorted(r[0] for r in tw.entity_duplicate_keys(df, "d").collect()) == [d2]
