@@ -639,6 +639,27 @@ def _sql_correlation_long(src: str, cols) -> str:
             f"ELSE 'weak' END AS band FROM f")
 
 
+def _sql_suggest_charts() -> str:
+    text_cols = ["flag", "o_orderstatus", "o_orderpriority"]
+    return (f"WITH m AS {SQL_MADE_ORDERS}, "
+            f"p AS ({_sql_pairs('m', MADE_NUMERIC)}), "
+            f"sc AS (SELECT 'scatter_plot' AS chart_type, printf('%s vs %s', col2, col1) AS title, "
+            f"printf('Relationship between %s and %s (correlation %s).', col1, col2, "
+            f"CAST(correlation AS VARCHAR)) AS description, col1 AS x_axis, col2 AS y_axis, "
+            f"2.0 + abs(correlation) AS score FROM p ORDER BY score DESC, x_axis, y_axis LIMIT 2), "
+            f"cat AS ({_sql_categorical('m', text_cols)}), "
+            f"bar AS (SELECT 'bar_chart', printf('Distribution of %s', \"column\"), "
+            f"printf('Most frequent values of %s (%d distinct).', \"column\", unique_count), "
+            f"\"column\", CAST(NULL AS VARCHAR), 1.0 + 1.0 / unique_count FROM cat "
+            f"WHERE unique_count BETWEEN 2 AND 50), "
+            f"num AS (SELECT 'histogram', printf('Value counts of %s', c), "
+            f"printf('Frequency of each value of %s.', c), c, CAST(NULL AS VARCHAR), 0.5 FROM ("
+            + " UNION ALL ".join(f"SELECT '{c}' AS c, count({c}) AS n FROM m" for c in MADE_NUMERIC)
+            + ") WHERE n > 0) "
+            f"SELECT * FROM (SELECT * FROM sc UNION ALL SELECT * FROM bar UNION ALL SELECT * FROM num) "
+            f"ORDER BY score DESC, chart_type, x_axis LIMIT 5")
+
+
 def _sql_cleaning_plan() -> str:
     def cl(c):
         return (f"upper(CASE WHEN trim({_q(c)}) IN {NULL_LIKE_SQL} THEN NULL "
@@ -800,6 +821,7 @@ def oracle_sql() -> dict[str, str]:
             "p AS (SELECT text FROM d WHERE text IS NOT NULL GROUP BY text HAVING count(*) > 1) "
             "SELECT text FROM (SELECT DISTINCT * FROM d WHERE text IN (SELECT * FROM p)) "
             "GROUP BY text HAVING count(*) > 1"),
+        "suggest_charts": _sql_suggest_charts(),
         "chart_data_histogram": ("SELECT l_returnflag AS x, count(*) AS y FROM lineitem WHERE "
                                  "l_returnflag IS NOT NULL GROUP BY 1 ORDER BY y DESC, x ASC LIMIT 50"),
         "stream_auto_clean": (f"SELECT {', '.join(auto_clean_cols)} FROM "

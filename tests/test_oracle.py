@@ -30,7 +30,7 @@ def test_entry_runs(spark):
 
 def test_every_query_has_an_oracle_or_is_sampling():
     missing = set(entry.queries()) - set(entry.oracle_sql())
-    assert missing == {"scatter_data", "suggest_charts"}
+    assert missing == {"scatter_data"}
 
 
 @pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
