@@ -326,6 +326,12 @@ def q_scatter_data(spark, d):
     return tw.scatter_data(_read(spark, d, "part"), "p_size", "p_retailprice")
 
 
+def q_scatter_data_whole(spark, d):
+    # fewer qualifying rows than the sample size: every point, no sampling
+    return tw.scatter_data(_read(spark, d, "orders"), "o_totalprice", "o_custkey",
+                           n=1 << 40)
+
+
 def q_suggest_charts(spark, d):
     return tw.suggest_charts(made_orders(spark, d))
 
@@ -460,6 +466,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "bar_chart_data": q_bar_chart_data,
     "bar_chart_ties": q_bar_chart_ties,
     "scatter_data": q_scatter_data,
+    "scatter_data_whole": q_scatter_data_whole,
     "suggest_charts": q_suggest_charts,
     "preview": q_preview,
     "describe": q_describe,
@@ -822,6 +829,8 @@ def oracle_sql() -> dict[str, str]:
             "SELECT text FROM (SELECT DISTINCT * FROM d WHERE text IN (SELECT * FROM p)) "
             "GROUP BY text HAVING count(*) > 1"),
         "suggest_charts": _sql_suggest_charts(),
+        "scatter_data_whole": ("SELECT o_totalprice AS x, o_custkey AS y FROM orders "
+                               "WHERE o_totalprice IS NOT NULL AND o_custkey IS NOT NULL"),
         "chart_data_histogram": ("SELECT l_returnflag AS x, count(*) AS y FROM lineitem WHERE "
                                  "l_returnflag IS NOT NULL GROUP BY 1 ORDER BY y DESC, x ASC LIMIT 50"),
         "stream_auto_clean": (f"SELECT {', '.join(auto_clean_cols)} FROM "
