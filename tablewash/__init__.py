@@ -9,7 +9,7 @@ from .operators import __all__ as _ops
 from .sources import *  # noqa: F401,F403
 from .sources import __all__ as _srcs
 from .plans import CleaningPlan, EdaReport, eda_report
-from .streaming import clean_stream, read_csv_stream
+from .streaming import clean_stream, read_csv_stream, run_to_parquet
 
 __all__ = list(_ops) + list(_srcs) + ["CleaningPlan", "EdaReport", "eda_report",
-                                      "clean_stream", "read_csv_stream"]
+                                      "clean_stream", "read_csv_stream", "run_to_parquet"]

@@ -4,10 +4,10 @@ from .clean import (auto_clean, auto_clean_with_log, rename_columns, clean_value
                     clean_text, drop_columns, drop_columns_log, not_null, NULL_LIKE)
 from .convert import (suggest_types, convert_types, conversion_report,
                       convert_with_report, suggested_conversions)
-from .dedup import (exact_duplicate_rows, entity_key, entity_key_df, entity_duplicate_keys,
+from .dedup import (exact_duplicate_rows, duplicate_groups, entity_key, entity_key_df, entity_duplicate_keys,
                     entity_duplicates, remove_duplicates, find_duplicates,
                     DuplicateReport)
-from .impute import (impute, impute_with_log, imputation_values, mode_value, mode_values,
+from .impute import (impute, impute_with_log, imputation_values, fill_nulls, mode_value, mode_values,
                      suggest_imputations, allowed_strategies)
 from .quantiles import exact_quantiles, median
 from .eda import (numeric_summary, value_counts, top_values, categorical_summary,
