@@ -4,16 +4,18 @@ presentation rules the EDA page applies to them (I5-I8).
 Shapes are long (one row per column or per pair) so that a table with
 hundreds of columns gives a tall small frame, not a wide plan.
 
-* Numeric summary: one ``agg`` for count/mean/std/min/max of all numeric
-  columns plus :mod:`.quantiles` for exact quartiles (``exact=False`` uses
-  ``percentile_approx`` and stays a single lazy aggregation).
+* Numeric summary: count/mean/std/min/max of all numeric columns ride on
+  the first scan of :mod:`.quantiles` (exact quartiles); ``exact=False``
+  uses ``percentile_approx`` and stays a single lazy aggregation.
 * Categorical summary: all text columns are unpivoted to ``(column, value)``
   and counted in **one** shuffle with map-side partial aggregation; the
   top-k per column is a ``row_number`` window that Spark runs as a partial
   ``WindowGroupLimit`` before its exchange, so each task ships at most k
   rows per column.
-* Correlation: pairwise-complete Pearson r from mean-shifted sums (no
-  shuffle), left out for a constant column instead of failing.
+* Correlation: pairwise-complete Pearson r without a shuffle: mean-shifted
+  sums in chunks, Spark ML's Gram matrix for many NULL-free columns, masked
+  Gram matrices (``mapInPandas``) for many NULL-bearing pairs; a constant
+  column is left out instead of failing.
 """
 
 from __future__ import annotations

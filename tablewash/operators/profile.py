@@ -98,8 +98,10 @@ class Profile:
 
 
 def profile(df: DataFrame, preview: int = 5) -> Profile:
-    """A4: the full profile. One aggregation job plus a ``limit`` for the
-    preview; only scalars and ``preview`` rows reach the driver."""
+    """A4: the full profile: one grouped job for small inputs, or a counting
+    scan plus the row-hash duplicate path for large ones (see the module
+    notes), and a ``limit`` for the preview; only scalars and ``preview`` rows
+    reach the driver."""
     from .dedup import _hash_path
     cols = df.columns
     if cols and not _hash_path(df):
