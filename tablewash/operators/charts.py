@@ -15,7 +15,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import finite_or_null, is_text, qcol
+from ..functions.columns import finite_or_null, qcol
 from .clean import not_null
 
 # Chart kinds and default sizes.

@@ -8,7 +8,6 @@ reads each file in one task). Output is written by all tasks in parallel.
 
 from __future__ import annotations
 
-import os
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
