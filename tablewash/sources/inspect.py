@@ -18,8 +18,11 @@ def describe(df: DataFrame) -> DataFrame:
 
 
 def describe_rows(df: DataFrame) -> list[dict]:
+    """Schema records in the shape of a SQL ``DESCRIBE`` (``key``, ``default``
+    and ``extra`` are always empty for a DataFrame)."""
     return [{"column_name": f.name, "column_type": type_label(f.dataType),
-             "null": "YES" if f.nullable else "NO"} for f in df.schema.fields]
+             "null": "YES" if f.nullable else "NO", "key": None, "default": None,
+             "extra": None} for f in df.schema.fields]
 
 
 def preview(df: DataFrame, n: int = 5) -> DataFrame:

@@ -94,7 +94,8 @@ def test_profile(spark):
     assert p["total_rows"] == 3 and p["total_columns"] == 2
     assert p["null_counts"] == {"b": 2} and p["duplicates_count"] == 1
     assert len(p["sample_preview"]) == 3
-    assert p["schema"][0] == {"column_name": "a", "column_type": "INTEGER", "null": "YES"}
+    assert p["schema"][0] == {"column_name": "a", "column_type": "INTEGER", "null": "YES",
+                              "key": None, "default": None, "extra": None}
     e = tw.profile(spark.createDataFrame([], "a int")).to_dict()
     assert e["total_rows"] == 0 and e["duplicates_count"] == 0
 
