@@ -101,18 +101,28 @@ def mode_value(df: DataFrame, column: str):
     return mode_values(df, [column])[column]
 
 
-def imputation_values(df: DataFrame, imputations) -> dict[str, tuple[str, object]]:
-    """``{column: (strategy, value)}`` computed from ``df`` before any fill."""
+def imputation_values(df: DataFrame, imputations, exact: bool = True) -> dict[str, tuple[str, object]]:
+    """``{column: (strategy, value)}`` computed from ``df`` before any fill.
+
+    Medians are exact by default (:mod:`.quantiles`); ``exact=False`` takes
+    ``percentile_approx`` in the same aggregation as the means."""
     plan = _normalise(df, imputations)
     values: dict[str, tuple[str, object]] = {}
     means = [c for c, s, _ in plan if s == "mean"]
-    if means:
-        row = df.agg(*[F.avg(nan_to_null(c, df.schema[c].dataType)).alias(f"m{i}")
-                       for i, c in enumerate(means)]).first()
+    medians = [c for c, s, _ in plan if s == "median"]
+    aggs = [F.avg(nan_to_null(c, df.schema[c].dataType)).alias(f"m{i}")
+            for i, c in enumerate(means)]
+    if not exact:
+        aggs += [F.percentile_approx(nan_to_null(c, df.schema[c].dataType).cast("double"),
+                                     0.5, 10_000).alias(f"q{i}") for i, c in enumerate(medians)]
+    if aggs:
+        row = df.agg(*aggs).first()
         for i, c in enumerate(means):
             values[c] = ("mean", row[f"m{i}"])
-    medians = [c for c, s, _ in plan if s == "median"]
-    if medians:
+        if not exact:
+            for i, c in enumerate(medians):
+                values[c] = ("median", row[f"q{i}"])
+    if medians and exact:
         q = exact_quantiles(df, medians, [0.5])
         for c in medians:
             values[c] = ("median", q[c][0])
@@ -133,10 +143,10 @@ def _fill_literal(value, dt: T.DataType, column: str):
     return F.lit(value).try_cast(dt)
 
 
-def impute_with_log(df: DataFrame, imputations):
+def impute_with_log(df: DataFrame, imputations, exact: bool = True):
     """A10: fill NULLs per column; returns ``(frame, log)``. A column whose
     statistic is NULL (all values missing) is left alone and not logged."""
-    return fill_nulls(df, imputation_values(df, imputations))
+    return fill_nulls(df, imputation_values(df, imputations, exact))
 
 
 def fill_nulls(df: DataFrame, values: dict):
@@ -160,6 +170,6 @@ def fill_nulls(df: DataFrame, values: dict):
     return out, log
 
 
-def impute(df: DataFrame, imputations) -> DataFrame:
+def impute(df: DataFrame, imputations, exact: bool = True) -> DataFrame:
     """A10 without the log."""
-    return impute_with_log(df, imputations)[0]
+    return impute_with_log(df, imputations, exact)[0]

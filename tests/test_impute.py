@@ -63,3 +63,13 @@ def test_no_nulls_after(spark):
     df = spark.range(1000).selectExpr("CASE WHEN id % 3 = 0 THEN NULL ELSE id * 1.5 END AS x")
     out = tw.impute(df, [("x", "median")])
     assert out.where("x IS NULL").count() == 0
+
+
+def test_approximate_median(spark):
+    df = spark.range(10001).selectExpr("CASE WHEN id % 10 = 0 THEN NULL ELSE CAST(id AS DOUBLE) END AS x")
+    exact = tw.imputation_values(df, [("x", "median")])["x"][1]
+    approx = tw.imputation_values(df, [("x", "median")], exact=False)["x"][1]
+    import numpy as np
+    assert exact == float(np.median([i for i in range(10001) if i % 10]))
+    assert abs(approx - exact) <= 2          # within the sketch's rank error here
+    assert tw.impute(df, [("x", "median")], exact=False).where("x IS NULL").count() == 0
