@@ -48,9 +48,11 @@ DIRT_CUSTOMER = [
     ("CASE WHEN c_custkey % 3 = 0 THEN concat('  ', lower(c_mktsegment), ' ') "
      "WHEN c_custkey % 13 = 0 THEN 'null' ELSE c_mktsegment END", "MktSegment"),
 ]
-DIRT_CUSTOMER_REPEAT = "c_custkey % 10 = 0"
+# Repeated rows are made by appending, to the whole table, its rows of one
+# category (a content predicate, so every row is still read and kept).
+DIRT_CUSTOMER_REPEAT = "c_mktsegment = 'BUILDING'"
 
-DIRT_ORDERS_REPEAT = "o_orderkey % 10 = 0"
+DIRT_ORDERS_REPEAT = "o_orderpriority = '1-URGENT'"
 
 TEXT_ORDERS = [
     ("CAST(o_orderkey AS STRING)", "o_orderkey"),
