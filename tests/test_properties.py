@@ -59,3 +59,32 @@ def test_sampled_quantile_search_matches_numpy(spark, vals, probs, rate, sample_
     else:
         assert got == pytest.approx(list(np.quantile(present, probs, method="linear")),
                                     rel=1e-9, abs=1e-9)
+
+
+_cells = st.tuples(st.one_of(st.none(), st.integers(0, 3)),
+                   st.one_of(st.none(), st.sampled_from(["a", "b", ""])),
+                   st.one_of(st.none(), st.sampled_from([0.0, -0.0, 1.5, float("nan")])))
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(_cells, max_size=30))
+def test_dedup_plans_agree(spark, data):
+    from tablewash.operators import dedup
+
+    def norm(rows):
+        return sorted((tuple("nan" if isinstance(x, float) and x != x else x for x in r)
+                       for r in rows), key=repr)
+
+    df = spark.createDataFrame(data, "k int, s string, d double")
+    saved, out = dedup.HASH_PATH_MIN_BYTES, {}
+    try:
+        for path, threshold in (("plain", 1 << 62), ("hash", 0)):
+            dedup.HASH_PATH_MIN_BYTES = threshold
+            out[path] = (tw.duplicates_count(df),
+                         norm(tw.exact_duplicate_rows(df, None).collect()),
+                         norm(tw.remove_duplicates(df, method="auto").collect()),
+                         sorted(r[0] for r in tw.entity_duplicate_keys(df, "s").collect()))
+    finally:
+        dedup.HASH_PATH_MIN_BYTES = saved
+    assert out["plain"] == out["hash"]
+    assert out["plain"][0] == df.count() - df.distinct().count()
