@@ -495,8 +495,24 @@ def entry(spark: SparkSession) -> DataFrame:
     return q_cleaning_plan(spark, SF_SMOKE)
 
 
+# The training-data operators and their pipeline are optional: without them
+# everything else works.
+try:
+    from tablewash.llm.queries import ORACLE_SQL as _LLM_SQL
+    from tablewash.llm.queries import QUERIES as _LLM_QUERIES
+except ImportError:
+    _LLM_QUERIES, _LLM_SQL = {}, {}
+try:
+    import corpus_pipeline
+
+    _PIPELINE = {"pipeline": corpus_pipeline.run}
+    _PIPELINE_SQL = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+except ImportError:
+    _PIPELINE, _PIPELINE_SQL = {}, {}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    return {**_QUERIES, **_LLM_QUERIES, **_PIPELINE}
 
 
 # ---------------------------------------------------------------------------
@@ -720,6 +736,7 @@ def oracle_sql() -> dict[str, str]:
         convert_cols.append(f"{e} AS {a}")
     entity_others = [c for c in _LI_ALL]
     return {
+        **_LLM_SQL, **_PIPELINE_SQL,
         "profile_nulls": _sql_null_counts(dls, _DLS_COLS),
         "profile_columns": _sql_null_counts(dls, _DLS_COLS, positive=False, with_type=True),
         "profile_summary": (f"SELECT (SELECT count(*) FROM {do}) AS total_rows, "
