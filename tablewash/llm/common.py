@@ -3,6 +3,7 @@ folder, and reading the driver's tables."""
 
 from __future__ import annotations
 
+import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,17 @@ from tablewash.session import shared_scratch
 FOLDS = 5
 
 
+def ready(spark: SparkSession) -> None:
+    """Let Python workers find this package where they share the driver's files
+    (local sessions); elsewhere it is installed or sent with ``--py-files``."""
+    home = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if home not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([home, *filter(None, paths)])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ready(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -6,7 +6,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tablewash.llm import bpe, fingerprints, html_extract, pii, quality, toxicity
+from tablewash.llm import bpe, fingerprints, html_extract, jaccard_join, pii, quality, toxicity
 from tablewash.llm.common import table
 
 BPE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -32,6 +32,10 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edit_report(table(spark, sf_dir, "documents"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join_report(table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(table(spark, sf_dir, "pages"))
 
@@ -42,6 +46,7 @@ QUERIES = {
     "op3_byte_bpe": op3_byte_bpe,
     "op5_pii": op5_pii,
     "op6_fingerprints": op6_fingerprints,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_html_extraction": op10_html_extraction,
 }
 
