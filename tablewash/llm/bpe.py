@@ -339,16 +339,17 @@ def decode_documents(encoded: DataFrame, vocabulary: str, pattern: str,
 
 
 def round_trip(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id",
-               text_col: str = "text") -> DataFrame:
+               text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Encode, then decode the ids, in one pass over the texts: ``n_tokens``,
-    ``ids_sha256`` (decimal ids joined by commas), ``decoded_sha256`` (bytes)."""
+    ``ids_sha256`` (decimal ids joined by commas), ``decoded_sha256`` (bytes), and
+    the ``ids`` if asked for."""
     kind = dict(docs.dtypes)[id_col]
 
     def one(encoder, memo, text):
         ids, decimals = encoder.encode_with_text(text or "")
         decoder = StreamDecoder(encoder.transducer.vocab.bytes_of, memo)
         back = decoder.feed(ids) + decoder.finish()
-        return (len(ids), hashlib.sha256(decimals.encode()).hexdigest(),
+        return (ids, len(ids), hashlib.sha256(decimals.encode()).hexdigest(),
                 hashlib.sha256(back.encode("utf-8")).hexdigest())
 
     def run(batches):
@@ -356,9 +357,11 @@ def round_trip(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "do
         gc.disable()  # the tables hold no cycles, and scanning them takes a third of the time
         for b in batches:
             rows = [one(encoder, memo, t) for t in b["t"]]
-            n, ids, back = map(list, zip(*rows)) if rows else ([], [], [])
-            yield pd.DataFrame({"k": b["k"], "n_tokens": n, "ids_sha256": ids, "decoded_sha256": back})
+            ids, n, sha, back = map(list, zip(*rows)) if rows else ([], [], [], [])
+            out = pd.DataFrame({"k": b["k"], "n_tokens": n, "ids_sha256": sha, "decoded_sha256": back})
+            yield out.assign(ids=ids) if with_ids else out
 
     return (docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t"))
-            .mapInPandas(run, f"k {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+            .mapInPandas(run, f"k {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+                         + ", ids array<int>" * with_ids)
             .withColumnRenamed("k", id_col))

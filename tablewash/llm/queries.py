@@ -6,7 +6,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tablewash.llm import bpe, fingerprints, html_extract, jaccard_join, pii, quality, toxicity
+from tablewash.llm import (
+    bpe,
+    decontaminate,
+    fingerprints,
+    html_extract,
+    jaccard_join,
+    line_dedup,
+    pii,
+    quality,
+    toxicity,
+)
 from tablewash.llm.common import table
 
 BPE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -32,6 +42,14 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edit_report(table(spark, sf_dir, "documents"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join_report(table(spark, sf_dir, "documents"), n=3, percent=90)
 
@@ -46,8 +64,10 @@ QUERIES = {
     "op3_byte_bpe": op3_byte_bpe,
     "op5_pii": op5_pii,
     "op6_fingerprints": op6_fingerprints,
+    "op7_line_dedup": op7_line_dedup,
+    "op8_decontamination": op8_decontamination,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_html_extraction": op10_html_extraction,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op7_line_dedup": line_dedup.ORACLE_SQL}
