@@ -15,6 +15,7 @@ from tablewash.llm import (
     line_dedup,
     pii,
     quality,
+    suffix_dedup,
     toxicity,
 )
 from tablewash.llm.common import table
@@ -34,6 +35,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), BPE_RANKS, public_tokenizers.PATTERN)
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
@@ -62,6 +67,7 @@ QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_toxicity": op2_toxicity,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op5_pii": op5_pii,
     "op6_fingerprints": op6_fingerprints,
     "op7_line_dedup": op7_line_dedup,
