@@ -31,10 +31,10 @@ from collections.abc import Iterable
 from itertools import chain
 from operator import itemgetter
 
-import pandas as pd
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from tablewash.llm.common import map_texts
 
 _NEVER = 1 << 60
 
@@ -297,6 +297,7 @@ _made: dict[tuple, tuple[Encoder, dict]] = {}
 
 def _tools(path: str, pattern: str) -> tuple[Encoder, dict]:
     """One encoder and one decoder table for each worker process."""
+    gc.disable()  # the tables hold no cycles, and scanning them takes a third of the time
     if (path, pattern) not in _made:
         with open(path, "rb") as f:
             _made[path, pattern] = Encoder(parse_ranks(f.read()), pattern), {}
@@ -307,35 +308,27 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, id_col: str
                      text_col: str = "text") -> DataFrame:
     """Encode every text. ``vocabulary`` is the path of the ranks file, installed
     on every machine. Returns ``id_col`` and ``ids array<int>``."""
-    kind = dict(docs.dtypes)[id_col]
-
-    def run(batches):
+    def make():
         encoder, _ = _tools(vocabulary, pattern)
-        gc.disable()
-        for b in batches:
-            yield pd.DataFrame({"k": b["k"], "ids": [encoder.encode(t) for t in b["t"]]})
+        return lambda texts: [[encoder.encode(t) for t in texts]]
 
-    return (docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t"))
-            .mapInPandas(run, f"k {kind}, ids array<int>").withColumnRenamed("k", id_col))
+    return map_texts(docs, [id_col], text_col, make, {"ids": "array<int>"})
 
 
 def decode_documents(encoded: DataFrame, vocabulary: str, pattern: str,
                      id_col: str = "doc_id") -> DataFrame:
     """Texts of ``ids`` by the streaming decoder; null ids give an empty text."""
-    kind = dict(encoded.dtypes)[id_col]
-
-    def run(batches):
+    def make():
         encoder, memo = _tools(vocabulary, pattern)
         bytes_of = encoder.transducer.vocab.bytes_of
-        for b in batches:
-            out = []
-            for ids in b["ids"]:
-                d = StreamDecoder(bytes_of, memo)
-                out.append(d.feed(() if ids is None else ids) + d.finish())
-            yield pd.DataFrame({"k": b["k"], "text": out})
 
-    return (encoded.select(F.col(id_col).alias("k"), "ids")
-            .mapInPandas(run, f"k {kind}, text string").withColumnRenamed("k", id_col))
+        def one(ids):
+            decoder = StreamDecoder(bytes_of, memo)
+            return decoder.feed(ids or ()) + decoder.finish()
+
+        return lambda lists: [[one(ids) for ids in lists]]
+
+    return map_texts(encoded, [id_col], "ids", make, {"text": "string"})
 
 
 def round_trip(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id",
@@ -343,25 +336,18 @@ def round_trip(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "do
     """Encode, then decode the ids, in one pass over the texts: ``n_tokens``,
     ``ids_sha256`` (decimal ids joined by commas), ``decoded_sha256`` (bytes), and
     the ``ids`` if asked for."""
-    kind = dict(docs.dtypes)[id_col]
+    def make():
+        encoder, memo = _tools(vocabulary, pattern)
+        bytes_of = encoder.transducer.vocab.bytes_of
 
-    def one(encoder, memo, text):
-        ids, decimals = encoder.encode_with_text(text or "")
-        decoder = StreamDecoder(encoder.transducer.vocab.bytes_of, memo)
-        back = decoder.feed(ids) + decoder.finish()
-        return (ids, len(ids), hashlib.sha256(decimals.encode()).hexdigest(),
-                hashlib.sha256(back.encode("utf-8")).hexdigest())
+        def one(text):
+            ids, decimals = encoder.encode_with_text(text or "")
+            decoder = StreamDecoder(bytes_of, memo)
+            back = decoder.feed(ids) + decoder.finish()
+            return (len(ids), hashlib.sha256(decimals.encode()).hexdigest(),
+                    hashlib.sha256(back.encode("utf-8")).hexdigest(), *[ids] * with_ids)
 
-    def run(batches):
-        encoder, memo = _tools(vocabulary, pattern)
-        gc.disable()  # the tables hold no cycles, and scanning them takes a third of the time
-        for b in batches:
-            rows = [one(encoder, memo, t) for t in b["t"]]
-            ids, n, sha, back = map(list, zip(*rows)) if rows else ([], [], [], [])
-            out = pd.DataFrame({"k": b["k"], "n_tokens": n, "ids_sha256": sha, "decoded_sha256": back})
-            yield out.assign(ids=ids) if with_ids else out
-
-    return (docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t"))
-            .mapInPandas(run, f"k {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-                         + ", ids array<int>" * with_ids)
-            .withColumnRenamed("k", id_col))
+        return lambda texts: list(zip(*map(one, texts))) or [()] * (3 + with_ids)
+
+    out = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}
+    return map_texts(docs, [id_col], text_col, make, out | ({"ids": "array<int>"} if with_ids else {}))

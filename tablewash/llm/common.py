@@ -3,9 +3,12 @@ folder, and reading the driver's tables."""
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +36,39 @@ def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string")) % FOLDS == 0
 
 
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(),
+          "array<int>": pa.list_(pa.int32())}
+
+
+def map_texts(docs: DataFrame, keep: list[str], text_col: str, make: Callable, out: dict[str, str]) -> DataFrame:
+    """The columns ``keep`` as they are, and the columns ``out`` (name to type) that
+    ``make()``, called once per task, computes from each batch's texts: a function
+    from a list of texts to a list of values for each column. Names may clash: the
+    result's columns are found by place."""
+    kinds = dict(docs.dtypes)
+    names = [f"c{i}" for i in range(len(keep))] + [f"r{i}" for i in range(len(out))]
+    types = list(out.values())
+
+    def run(batches):
+        work = make()
+        for b in batches:
+            results = work(b.column(len(keep)).to_pylist())
+            arrays = [b.column(i) for i in range(len(keep))]
+            arrays += [pa.array(r, type=_ARROW[t]) for r, t in zip(results, types)]
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+    schema = ", ".join(f"{n} {t}" for n, t in zip(names, [kinds[c] for c in keep] + types))
+    picked = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)]
+    return (docs.select(*picked, F.col(f"`{text_col}`").alias("t")).mapInArrow(run, schema)
+            .toDF(*keep, *out))
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps whose results are written."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 class Scratch:
     """Written tables in the shared checkpoint folder.
 

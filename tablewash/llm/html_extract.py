@@ -20,9 +20,9 @@ from __future__ import annotations
 import html as html_lib
 import re
 
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from tablewash.llm.common import map_texts
 
 WINDOW = 3
 SURGE = 86  # characters in a window; a quarter of the largest window if that is less
@@ -201,13 +201,11 @@ def extract(html: str | None) -> str:
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
                   html_col: str = "html") -> DataFrame:
     """``id_col, url_col, text, n_chars`` of every page."""
-    kinds = dict(pages.dtypes)
+    def make():
+        def work(pages_):
+            text = [extract(h) for h in pages_]
+            return [text, [len(t) for t in text]]
 
-    def run(batches):
-        for b in batches:
-            text = [extract(h) for h in b["h"]]
-            yield pd.DataFrame({"k": b["k"], "u": b["u"], "text": text, "n_chars": [len(t) for t in text]})
+        return work
 
-    return (pages.select(F.col(id_col).alias("k"), F.col(url_col).alias("u"), F.col(html_col).alias("h"))
-            .mapInPandas(run, f"k {kinds[id_col]}, u {kinds[url_col]}, text string, n_chars long")
-            .withColumnsRenamed({"k": id_col, "u": url_col}))
+    return map_texts(pages, [id_col, url_col], html_col, make, {"text": "string", "n_chars": "long"})

@@ -120,13 +120,15 @@ def remove_runs(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_
     """The documents without later copies; one whose lines are all deleted goes.
     ``n_chars``, if there, is the length of the text that stays."""
     scratch = Scratch(docs.sparkSession, "lines")
-    out = _without(docs, deletions(docs, scratch, min_lines, id_col, text_col), id_col, text_col)
-    out = out.where(F.col("gone").isNull() | F.col("left").isNotNull())
+    # whatever other columns are called, they travel in one
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct(*docs.columns).alias("row"))
+    cut = deletions(own.select("id", "text"), scratch, min_lines, "id", "text")
+    out = _without(own, cut, "id", "text").where(F.col("gone").isNull() | F.col("left").isNotNull())
     new = {text_col: F.col("left")}
     if "n_chars" in docs.columns:
         kind = dict(docs.dtypes)["n_chars"]
-        new["n_chars"] = F.when(F.col("gone").isNull(), F.col("n_chars")).otherwise(F.length("left")).cast(kind)
-    return out.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+        new["n_chars"] = F.when(F.col("gone").isNull(), F.col("row")["n_chars"]).otherwise(F.length("left")).cast(kind)
+    return out.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def report(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

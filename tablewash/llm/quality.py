@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewash.llm.common import held_out
+from tablewash.llm.common import held_out, map_texts
 from tablewash.llm.training import labelled_sample
 
 BITS = 17
@@ -140,39 +140,28 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int =
     return train(rows_)
 
 
-def score(docs: DataFrame, model: np.ndarray, id_col: str = "doc_id", text_col: str = "text",
-          keep: tuple[str, ...] = ()) -> DataFrame:
-    """``id_col, score`` and the columns ``keep`` of every document."""
-    kinds = dict(docs.dtypes)
-    names = [id_col, text_col, *keep]
-
+def score(docs: DataFrame, model: np.ndarray, keep: list[str], text_col: str = "text",
+          name: str = "score") -> DataFrame:
+    """The columns ``keep`` and the score of every document."""
     def one(text):
         total, n = 0.0, 0
         for piece in _pieces(text):
             for f in features(piece):
                 total += float(model[f].sum(dtype=np.float64))
                 n += len(f)
-        return 1 / (1 + np.exp(-total / n)) if n else 0.5
-
-    def run(batches):
-        for b in batches:
-            yield b.drop(columns=[] if text_col in keep else [text_col]).assign(score=[one(t) for t in b[text_col]])
+        return float(1 / (1 + np.exp(-np.clip(total / n, -500, 500)))) if n else 0.5
 
-    out = [c for c in dict.fromkeys(names) if c != text_col or text_col in keep]
-    return (docs.select(*dict.fromkeys(names))
-            .mapInPandas(run, ", ".join(f"`{c}` {kinds[c]}" for c in out) + ", score double"))
+    return map_texts(docs, keep, text_col, lambda: lambda texts: [[one(t) for t in texts]], {name: "double"})
 
 
 def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every document."""
-    scored = score(docs, fit(docs, labels, label))
+    scored = score(docs, fit(docs, labels, label), ["doc_id"])
     return scored.select("doc_id", held_out().alias("held_out"), "score",
                          (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
     """The documents that the classifier doesn't reject, with all their columns."""
-    model = fit(docs, labels, label)
-    names = docs.columns
-    scored = score(docs, model, keep=tuple(c for c in names if c != "doc_id"))
-    return scored.where(F.col("score") >= threshold).select(*names)
+    scored = score(docs, fit(docs, labels, label), docs.columns, name="__quality")
+    return scored.where(F.col("__quality") >= threshold).drop("__quality")

@@ -30,7 +30,6 @@ neither remove nor lose bytes.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 
 import numpy as np
@@ -48,7 +47,7 @@ from tablewash.llm.anchors import (
     part_hashes,
     prefix_hashes,
 )
-from tablewash.llm.common import Scratch
+from tablewash.llm.common import Scratch, release
 
 LEFT = WIDTH - 1  # bytes before an anchor that a string through it can reach
 SPAN = LEFT + LENGTH  # bytes around an anchor: LEFT before its start, LENGTH from it on
@@ -321,10 +320,10 @@ def covered(docs: DataFrame, scratch: Scratch) -> DataFrame:
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.count() // DOCS_PER_PART)
     found = scratch.keep(docs.mapInPandas(_cover(parts), "part int, kind int, n long, data binary, gone binary")
                          .groupBy("part").applyInPandas(_meet, _FOUND), "found")
-    _release(spark)
+    release(spark)
     wanted = found.where("kind = 2").groupBy("doc").agg(F.collect_set("lo").alias("wanted"))
     contexts = scratch.keep(docs.join(wanted, "doc").mapInPandas(_around, _AROUND), "contexts")
-    _release(spark)
+    release(spark)
     hot = contexts.groupBy("gram").count().where(F.col("count") > HOT_GRAM).select("gram")
     of = contexts.join(hot.withColumn("hot", F.lit(True)), "gram", "left")
     key = F.pmod(F.col("gram"), F.lit(parts)).cast("int")
@@ -332,17 +331,11 @@ def covered(docs: DataFrame, scratch: Scratch) -> DataFrame:
         lambda pdf: _order(pdf), _SPANS)
     spans = later.unionByName(_by_hash(of.where("hot")))
     out = scratch.keep(spans.unionByName(found.where("kind = 1").select("doc", "lo", "hi")), "spans")
-    _release(spark)
+    release(spark)
     scratch.drop("found", "contexts")
     return out
 
 
-def _release(spark) -> None:
-    """Let Spark delete the shuffle files of steps whose results are written."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """Of every row: ``n_bytes, n_removed, n_spans, kept_sha256`` and, if asked for,
     the bytes ``kept``."""

@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewash.llm.common import held_out
+from tablewash.llm.common import held_out, map_texts
 from tablewash.llm.training import labelled_sample
 
 SAMPLE_ROWS = 20_000
@@ -312,26 +312,24 @@ def _regress(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
-def score(docs: DataFrame, model: tuple[list[str], list[str], dict[str, int], np.ndarray], id_col: str = "doc_id",
-          text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: tuple[list[str], list[str], dict[str, int], np.ndarray],
+          id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, score`` of every document, and its hits by kind."""
     words, stems, radius, w = model
-    kind = dict(docs.dtypes)[id_col]
-    made: list[Scorer] = []
 
-    def run(batches):
-        if not made:
-            made.append(Scorer(words, stems, radius))
-        for b in batches:
-            x = np.array([made[0].features(t) for t in b["t"]], dtype=float).reshape(len(b), 5)
-            p = 1 / (1 + np.exp(-np.clip(x @ w[:5] + w[5], -30, 30))) if len(words) + len(stems) else np.zeros(len(b))
+    def make():
+        scorer = Scorer(words, stems, radius)
+
+        def work(texts):
+            x = np.array([scorer.features(t) for t in texts], dtype=float).reshape(len(texts), 5)
+            p = 1 / (1 + np.exp(-np.clip(x @ w[:5] + w[5], -30, 30)))
             hits = np.rint(np.expm1(x[:, :4])).astype(int)
-            yield pd.DataFrame({"k": b["k"], "score": p, "n_exact": hits[:, 0], "n_misspelled": hits[:, 1],
-                                "n_stem": hits[:, 2], "n_mentions": hits[:, 3]})
+            return [p if words or stems else np.zeros(len(texts)), *hits.T]
+
+        return work
 
-    return (docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t"))
-            .mapInPandas(run, f"k {kind}, score double, n_exact int, n_misspelled int, n_stem int, n_mentions int")
-            .withColumnRenamed("k", id_col))
+    return map_texts(docs, [id_col], text_col, make, {
+        "score": "double", "n_exact": "int", "n_misspelled": "int", "n_stem": "int", "n_mentions": "int"})
 
 
 def classify(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = THRESHOLD) -> DataFrame:
