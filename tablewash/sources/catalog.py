@@ -24,14 +24,19 @@ def list_tables(spark: SparkSession, database: str | None = None) -> list[str]:
 
 
 def drop_tables_with_prefix(spark: SparkSession, prefix: str, database: str | None = None) -> int:
-    """Drop every table whose name starts with ``prefix``; returns the count.
+    """Drop every table or view whose name starts with ``prefix``; returns the count.
     The prefix must be non-empty."""
     if not prefix:
         raise ValueError("prefix must be non-empty")
-    n = 0
+    kinds = []
     for t in spark.catalog.listTables(database):
         if t.name.startswith(prefix):
-            q = f"`{t.database}`.`{t.name}`" if t.database else f"`{t.name}`"
-            spark.sql(f"DROP {'VIEW' if t.tableType == 'TEMPORARY' else 'TABLE'} IF EXISTS {q}")
-            n += 1
-    return n
+            view = t.tableType in ("TEMPORARY", "VIEW")
+            kinds.append(("VIEW" if view else "TABLE", f"`{t.database}`.`{t.name}`" if t.database else f"`{t.name}`"))
+    for kind, name in kinds:  # views first, they may read the tables
+        if kind == "VIEW":
+            spark.sql(f"DROP VIEW IF EXISTS {name}")
+    for kind, name in kinds:
+        if kind == "TABLE":
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+    return len(kinds)

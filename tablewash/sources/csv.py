@@ -1,9 +1,10 @@
 """CSV in and out.
 
 Input is read the way the cleaning flow expects: header row, every column as
-text, an empty field as NULL. Reading is split across tasks unless
-``multi_line=True`` (needed for newlines inside quoted fields; Spark then
-reads each file in one task). Output is written by all tasks in parallel.
+text, an empty field as NULL, and no field lost: a row with more fields than the
+header is an error (or is returned apart). Files with newlines inside quoted
+fields are read one file per task, all others are split across tasks. Output is
+written by all tasks in parallel.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import qcol
 
@@ -24,36 +26,85 @@ def _check_suffix(path: str) -> None:
         raise ValueError(f"not a CSV file name: {path!r}")
 
 
-def load_csv(spark: SparkSession, path: str | list[str], multi_line: bool = False,
-             require_suffix: bool = True, **options) -> DataFrame:
-    """S1+S2: read CSV with a header, all columns as text, ``''`` as NULL."""
+_RECORD = "__record"
+
+
+def load_csv(spark: SparkSession, path: str | list[str], multi_line: bool | None = None,
+             require_suffix: bool = True, bad_rows: str = "raise", **options) -> DataFrame:
+    """S1+S2: read CSV with a header, all columns as text, ``''`` as NULL.
+
+    A quoted field may hold newlines. Spark must then read each file in one task
+    (``multi_line=True``); by default (``None``) that is done only if some line has
+    an odd number of quotes, which a scan of the text finds out. With ``False``
+    such a line is an error.
+
+    A row with more fields than the header is an error when it is read
+    (``bad_rows="raise"``); ``"drop"`` leaves such rows out, and
+    :func:`csv_bad_rows` returns them. A row with fewer fields ends in NULLs.
+    """
+    if bad_rows not in ("raise", "drop"):
+        raise ValueError("bad_rows must be 'raise' or 'drop'")
+    raw, names, too_many = _read(spark, path, multi_line, require_suffix, options)
+    if names is None:
+        return raw
+    fine = ~too_many
+    if bad_rows == "raise":
+        message = F.concat(F.lit("CSV: row with more fields than the header: "), F.substring(_RECORD, 1, 200))
+        fine = F.when(too_many, F.raise_error(message).cast("boolean")).otherwise(F.lit(True))
+    return raw.where(fine).select(*[F.nullif(qcol(c), F.lit("")).alias(c) for c in names])
+
+
+def csv_bad_rows(spark: SparkSession, path: str | list[str], multi_line: bool | None = None,
+                 require_suffix: bool = True, **options) -> DataFrame:
+    """The text (``record``) of the rows that have more fields than the header."""
+    raw, names, too_many = _read(spark, path, multi_line, require_suffix, options)
+    if names is None:
+        return spark.createDataFrame([], "record string")
+    return raw.where(too_many).select(F.col(_RECORD).alias("record"))
+
+
+def _read(spark: SparkSession, path, multi_line, require_suffix: bool, options: dict):
+    """Text columns with the record of rows of another width, the header's names
+    (``None`` for a file without a header row), and whether a row is too wide."""
     paths = [path] if isinstance(path, str) else list(path)
     if require_suffix:
         for p in paths:
             _check_suffix(p)
-    opts = {"header": "true", "inferSchema": "false", "escape": '"',
-            "multiLine": str(bool(multi_line)).lower(), "mode": "PERMISSIVE"}
+    opts = {"header": "true", "inferSchema": "false", "escape": '"', "mode": "PERMISSIVE"}
     opts.update({k: str(v) for k, v in options.items()})
-    df = spark.read.options(**opts).csv(paths)
-    names = _header_names(spark, paths[0], opts, len(df.columns))
-    if names is not None:
-        df = df.toDF(*names)
-    return df.select(*[F.nullif(qcol(c), F.lit("")).alias(c) for c in df.columns])
-
-
-def _header_names(spark: SparkSession, path: str, opts: dict, width: int):
-    """Column names as the cleaning flow expects them when the header repeats
-    a name: the first copy keeps it, later ones become ``name.1``, ``name.2``
-    (the rule of pandas' CSV reader; Spark would append the position).
-    ``None`` when nothing repeats. Reads only the first row of the first
-    file, parsed by Spark."""
+    if not multi_line:
+        quotes = F.length(F.regexp_replace("value", '[^"]', ""))
+        unclosed = spark.read.text(paths).where(quotes % 2 == 1).limit(1).collect()
+        if unclosed and multi_line is False:
+            raise ValueError("CSV: unclosed quote; newlines in quoted fields need multi_line=True: "
+                             + unclosed[0][0][:200])
+        multi_line = bool(unclosed)
+    opts["multiLine"] = str(bool(multi_line)).lower()
+    names = _header_names(spark, paths[0], opts)
+    if names is None:
+        return spark.read.options(**opts).csv(paths), None, None
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, _RECORD]])
+    # every field must be parsed to know a row's width
+    opts |= {"columnNameOfCorruptRecord": _RECORD, "columnPruning": "false"}
+    raw = spark.read.options(**opts).schema(schema).csv(paths)
+    sep = opts.get("sep", opts.get("delimiter", ","))
+    unquoted = F.regexp_replace(_RECORD, '"(?:[^"]|"")*+"', "")
+    fields = F.size(F.split(unquoted, "\\Q" + sep + "\\E"))
+    # Spark refuses to read the record alone, so a column takes part without effect
+    some = F.length(F.concat_ws("", qcol(names[0]))) >= 0
+    return raw, names, F.coalesce(F.col(_RECORD).isNotNull() & (fields > len(names)) & some, F.lit(False))
+
+
+def _header_names(spark: SparkSession, path: str, opts: dict):
+    """Column names as the cleaning flow expects them (the rules of pandas' CSV
+    reader): a blank name is ``Unnamed: <position>``; of a repeated name the first
+    copy keeps it, later ones become ``name.1``, ``name.2``. ``None`` for an empty
+    file. Reads only the first row of the first file, parsed by Spark."""
     raw = {**opts, "header": "false"}
     first = spark.read.options(**raw).csv(path).limit(1).collect()
     if not first:
         return None
-    header = ["" if v is None else v for v in first[0]]
-    if len(header) != width or len(set(header)) == len(header):
-        return None
+    header = [f"Unnamed: {i}" if v is None or v == "" else v for i, v in enumerate(first[0])]
     # a repeated name gets the next ".k" suffix that is not a name already in
     # the header nor given out before
     taken, used, nxt, out = set(header), set(), {}, []

@@ -100,12 +100,49 @@ def test_profile(spark):
     assert e["total_rows"] == 0 and e["duplicates_count"] == 0
 
 
-def test_profile_large_input_path(spark, monkeypatch):
-    from tablewash.operators import dedup
-    monkeypatch.setattr(dedup, "HASH_PATH_MIN_BYTES", 0)
-    df = spark.createDataFrame([(1, None), (1, None), (2, "x"), (None, "x")], "a int, b string")
-    p = tw.profile(df).to_dict()
-    assert (p["total_rows"], p["duplicates_count"], p["null_counts"]) == (4, 1, {"a": 1, "b": 2})
+def test_csv_extra_fields_are_no_silent_loss(spark, tmp_path):
+    p = tmp_path / "x.csv"
+    p.write_text("a,b,c\n1,2,3\n1,3,4,5,6\n7,8\n9,9,9,\n\"x,y\",2,3\n")
+    with pytest.raises(Exception, match="more fields than the header"):
+        tw.load_csv(spark, str(p)).select("b").collect()
+    kept = tw.load_csv(spark, str(p), bad_rows="drop")
+    assert sorted(map(tuple, kept.collect())) == [("1", "2", "3"), ("7", "8", None), ("x,y", "2", "3")]
+    bad = tw.csv_bad_rows(spark, str(p)).collect()
+    assert sorted(r["record"] for r in bad) == ["1,3,4,5,6", "9,9,9,"]
+
+
+def test_csv_quoted_newlines(spark, tmp_path):
+    p = tmp_path / "x.csv"
+    p.write_text('a,b\n1,"two\nlines"\n2,"q ""x"" q"\n')
+    want = [("1", "two\nlines"), ("2", 'q "x" q')]
+    assert sorted(map(tuple, tw.load_csv(spark, str(p)).collect())) == want
+    assert sorted(map(tuple, tw.load_csv(spark, str(p), multi_line=True).collect())) == want
+    with pytest.raises(Exception, match="multi_line=True"):
+        tw.load_csv(spark, str(p), multi_line=False).collect()
+    plain = tmp_path / "y.csv"
+    plain.write_text('a,b\n1,"x,y"\n2,\n')
+    assert sorted(map(tuple, tw.load_csv(spark, str(plain), multi_line=False).collect())) == [("1", "x,y"), ("2", None)]
+
+
+def test_csv_blank_header_names(spark, tmp_path):
+    p = tmp_path / "x.csv"
+    p.write_text(",a,,a\n0,1,2,3\n")
+    df = tw.load_csv(spark, str(p))
+    assert df.columns == ["Unnamed: 0", "a", "Unnamed: 2", "a.1"] and tuple(df.first()) == ("0", "1", "2", "3")
+
+
+def test_drop_with_stored_view(spark):
+    tw.save_table(spark.range(3), "vw_t")
+    spark.sql("CREATE VIEW vw_v AS SELECT * FROM vw_t")
+    spark.range(1).createOrReplaceTempView("vw_temp")
+    assert tw.drop_tables_with_prefix(spark, "vw_") == 3
+    assert not [t for t in tw.list_tables(spark) if t.startswith("vw_")]
+
+
+def test_profile_columns_shuffles_no_rows(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    plan = tw.operators.profile_columns(df)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(l_orderkey" not in plan
 
 
 def test_save_list_and_drop_tables(spark):
