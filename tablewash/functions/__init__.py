@@ -1,13 +1,12 @@
-from .columns import (qcol, is_text, is_numeric, is_floating, text_columns,
-                      numeric_columns, require_columns, finite_or_null,
+from .columns import (qcol, is_text, is_numeric, is_floating,
+                      require_columns, finite_or_null,
                       nan_to_null, unpivot_row)
 from .names import normalize_name, normalize_names, clean_dataset_name
 from .casts import guarded_cast, parse_type, type_label
-from .stats import safe_corr
 
 __all__ = [
-    "qcol", "is_text", "is_numeric", "is_floating", "text_columns",
-    "numeric_columns", "require_columns", "finite_or_null", "nan_to_null",
+    "qcol", "is_text", "is_numeric", "is_floating",
+    "require_columns", "finite_or_null", "nan_to_null",
     "unpivot_row", "normalize_name", "normalize_names", "clean_dataset_name",
-    "guarded_cast", "parse_type", "type_label", "safe_corr",
+    "guarded_cast", "parse_type", "type_label",
 ]

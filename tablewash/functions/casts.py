@@ -7,7 +7,8 @@ text parsing accepts inputs a SQL engine rejects, or the reverse:
 
 * ``1d`` / ``2F``: Java number suffixes, rejected before a numeric cast.
 * ``1.5`` to an integer: parsed as a number and rounded half away from zero.
-* ``2020/01/01`` to a date: slashes become dashes; a bare ``2020`` is refused.
+* ``2020/01/01`` to a date or timestamp: slashes become dashes; a bare ``2020``
+  is refused.
 """
 
 from __future__ import annotations
@@ -96,6 +97,9 @@ def guarded_cast(c: Column, source: T.DataType, target: T.DataType) -> Column:
         if isinstance(target, T.DateType):
             dashed = F.regexp_replace(c, _SLASH_DATE, "$1-$2-$3")
             return F.when(dashed.rlike(_DASH_DATE), dashed).try_cast(T.DateType())
+        if isinstance(target, (T.TimestampType, T.TimestampNTZType)):
+            dashed = F.regexp_replace(c, _SLASH_DATE, "$1-$2-$3")
+            return F.when(dashed.rlike(_DASH_DATE), dashed).try_cast(target)
         return c.try_cast(target)
     if is_floating(source) and isinstance(target, T.IntegralType):
         # a SQL engine rounds half to even here; a plain cast truncates

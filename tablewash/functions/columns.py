@@ -28,14 +28,6 @@ def is_floating(dt: T.DataType) -> bool:
     return isinstance(dt, (T.FloatType, T.DoubleType))
 
 
-def text_columns(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema.fields if is_text(f.dataType)]
-
-
-def numeric_columns(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema.fields if is_numeric(f.dataType)]
-
-
 def require_columns(df: DataFrame, names, what: str = "column") -> None:
     missing = [n for n in names if n not in df.columns]
     if missing:

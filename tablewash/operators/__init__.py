@@ -10,7 +10,7 @@ from .dedup import (exact_duplicate_rows, duplicate_groups, entity_key, entity_k
 from .impute import (impute, impute_with_log, imputation_values, fill_nulls, mode_value, mode_values,
                      suggest_imputations, allowed_strategies)
 from .quantiles import exact_quantiles, median
-from .eda import (numeric_summary, value_counts, top_values, categorical_summary,
+from .eda import (numeric_summary, numeric_counts, value_counts, top_values, categorical_summary,
                   correlation_pairs, correlation_long, correlation_matrix,
                   correlation_band, numeric_table, top_values_text,
                   statistical_summary, StatisticalSummary)

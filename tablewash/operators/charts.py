@@ -55,14 +55,15 @@ def scatter_data(df: DataFrame, x: str, y: str, n: int = SCATTER_POINTS, seed: i
                  missing: str = "raise") -> DataFrame:
     """W6+W7: up to ``n`` ``(x, y)`` points with both values present; when more
     rows qualify, the ``n`` rows with the smallest ``rand(seed)`` key (a
-    uniform sample, the same rows again after a task retry).
+    uniform sample).
 
     A top-n straight over the input would merge ``n`` rows from every input
     split in one place. So the qualifying rows are counted first, and only
     keys below a threshold expected to keep ``n + 10 sqrt(n) + 100`` rows go
     into the top-n: those are exactly the ``n`` smallest keys whenever at
-    least ``n`` rows pass it. Otherwise (practically never) the unfiltered
-    form runs. The sample (``n`` rows) is returned as a small frame.
+    least ``n`` rows pass it, which a second count makes sure of. The result is
+    lazy, no row passes through the driver. ``rand`` is seeded per partition: an
+    input of the same layout gives the same rows, another layout may not.
     """
     if not _check(df, [x, y], missing):
         return _empty(df)
@@ -74,10 +75,8 @@ def scatter_data(df: DataFrame, x: str, y: str, n: int = SCATTER_POINTS, seed: i
     if total <= n:
         return pts.drop("__r")
     keep = min(1.0, (n + 10 * math.sqrt(n) + 100) / total)
-    rows = pts.where(F.col("__r") < keep).orderBy("__r").limit(n).drop("__r").collect()
-    if len(rows) < n:
-        rows = pts.orderBy("__r").limit(n).drop("__r").collect()
-    return df.sparkSession.createDataFrame(rows, pts.drop("__r").schema)
+    few = pts.where(F.col("__r") < keep)
+    return (few if few.count() >= n else pts).orderBy("__r").limit(n).drop("__r")
 
 
 def chart_data(df: DataFrame, chart_type: str, x: str, y: str | None = None,
@@ -120,22 +119,26 @@ def suggest_charts(df: DataFrame, summary=None, max_charts: int = 5,
 
     Reads only the small summary frames; nothing of the data is collected.
     """
-    from .eda import statistical_summary
-    s = summary or statistical_summary(df)
-    pairs = s.correlation_pairs.select(
+    from .eda import categorical_summary, correlation_pairs, numeric_counts
+    if summary is None:
+        correlated, categories, counts = correlation_pairs(df), categorical_summary(df), numeric_counts(df)
+    else:
+        correlated, categories, counts = (summary.correlation_pairs, summary.categorical_summary,
+                                          summary.numeric_summary)
+    pairs = correlated.select(
         F.lit(SCATTER).alias("chart_type"),
         F.format_string(SCATTER_TITLE, "col2", "col1").alias("title"),
         F.format_string(SCATTER_DESC, "col1", "col2", F.col("correlation").cast("string")).alias("description"),
         F.col("col1").alias("x_axis"), F.col("col2").alias("y_axis"),
         (F.lit(2.0) + F.abs("correlation")).alias("score"))
-    cats = (s.categorical_summary
+    cats = (categories
             .where((F.col("unique_count") >= 2) & (F.col("unique_count") <= max_categories))
             .select(F.lit(BAR).alias("chart_type"),
                     F.format_string(BAR_TITLE, "column").alias("title"),
                     F.format_string(BAR_DESC, "column", "unique_count").alias("description"),
                     F.col("column").alias("x_axis"), F.lit(None).cast("string").alias("y_axis"),
                     (F.lit(1.0) + F.lit(1.0) / F.col("unique_count")).alias("score")))
-    nums = (s.numeric_summary.where(F.col("count") > 0)
+    nums = (counts.where(F.col("count") > 0)
             .select(F.lit(HISTOGRAM).alias("chart_type"),
                     F.format_string(HIST_TITLE, "column").alias("title"),
                     F.format_string(HIST_DESC, "column").alias("description"),

@@ -140,7 +140,3 @@ def suggested_conversions(suggestions) -> list[dict]:
         d = r.asDict() if hasattr(r, "asDict") else dict(r)
         out.append({"column_name": d["column_name"], "new_type": d["suggested_type"]})
     return out
-
-
-def column_type_labels(df: DataFrame) -> dict[str, str]:
-    return {f.name: type_label(f.dataType) for f in df.schema.fields}

@@ -3,16 +3,8 @@
 
 Scale notes.
 
-* Row hashes instead of whole rows. For inputs Catalyst estimates at
-  ``HASH_PATH_MIN_BYTES`` or more, only a 64-bit row hash (xxhash64 over
-  all columns and their NULL pattern) is shuffled to find hash values seen
-  more than once. That candidate set is counted; when it is
-  within ``CANDIDATE_BROADCAST_MAX`` (a proven bound) it is broadcast, and
-  only rows carrying a candidate hash are grouped on all columns -- exactly,
-  so a collision never merges different rows, and a row with a unique hash
-  cannot be a duplicate. Beyond the bound, and for small inputs (where one
-  shuffle beats an extra scan and job), the plain grouping on all columns
-  runs.
+* One plan for every input size: rows are grouped on all columns after map-side
+  partial aggregation; nothing is broadcast and no size switches the plan.
 * Skew. Every grouping starts with map-side partial aggregation, so a row or
   key repeated a billion times is one buffer entry per task before the
   shuffle.
@@ -45,39 +37,8 @@ ENTITY_MSG = ("These rows may share a common ID in '{col}' but have different "
 
 STRATEGIES = ("remove_exact_duplicates",)
 
-# Most candidate hashes broadcast to every task (one long each).
-CANDIDATE_BROADCAST_MAX = 2_000_000
-# Below this estimated input size one shuffle of whole rows is cheaper than
-# the extra scan and job of the hash path (measured: at sf0.1 the plain path
-# wins; on 20 M rows / 121 MB of Parquet the hash path counts duplicates in
-# 19 s against 28-36 s).
-HASH_PATH_MIN_BYTES = 64 << 20
-
-
-def _estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of ``df`` (from file sizes; no job runs).
-    Unknown counts as large."""
-    try:
-        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-        return int(size if isinstance(size, int) else str(size))
-    except Exception:  # noqa: BLE001 - estimate unavailable
-        return 1 << 62
-
-
-def _hash_path(df: DataFrame) -> bool:
-    return _hashable(df) and _estimated_bytes(df) >= HASH_PATH_MIN_BYTES
-
-
-def _hashable(df: DataFrame) -> bool:
-    def has_map(dt):
-        if isinstance(dt, T.MapType):
-            return True
-        if isinstance(dt, T.ArrayType):
-            return has_map(dt.elementType)
-        if isinstance(dt, T.StructType):
-            return any(has_map(f.dataType) for f in dt.fields)
-        return False
-    return bool(df.columns) and not any(has_map(f.dataType) for f in df.schema.fields)
+# Copies of one row that one task makes; a hotter row is cut into chunks first.
+COPIES = 1 << 16
 
 
 def _keyed(df: DataFrame) -> DataFrame:
@@ -96,34 +57,22 @@ def _keyed(df: DataFrame) -> DataFrame:
     return df.select(*cols, F.xxhash64(*cols, *masks).alias("__h1"))
 
 
-def _candidates(keyed: DataFrame) -> DataFrame:
-    return (keyed.groupBy("__h1").agg(F.count(F.lit(1)).alias("__n"))
-            .where(F.col("__n") > 1).select("__h1"))
-
-
-def _plain_groups(df: DataFrame) -> DataFrame:
+def duplicate_groups(df: DataFrame) -> DataFrame:
+    """Every distinct row seen more than once with its ``count``."""
     return df.groupBy(*[qcol(c) for c in df.columns]).count().where(F.col("count") > 1)
 
 
-def duplicate_groups(df: DataFrame, persist_candidates: bool = False):
-    """``(groups, release)``: every distinct row seen more than once with its
-    ``count``, and a function that frees cached helpers.
-
-    Runs one small job (the candidate hash count) to choose the plan; the
-    returned frame is lazy. With ``persist_candidates`` the candidate hashes
-    stay cached until ``release()`` (for callers that run several actions).
-    """
-    if not _hash_path(df):
-        return _plain_groups(df), (lambda: None)
-    keyed = _keyed(df)
-    cand = _candidates(keyed)
-    if persist_candidates:
-        cand = cand.persist()
-    if cand.count() > CANDIDATE_BROADCAST_MAX:
-        cand.unpersist()
-        return _plain_groups(df), (lambda: None)
-    rows = keyed.join(F.broadcast(cand), ["__h1"], "left_semi").drop("__h1")
-    return _plain_groups(rows), cand.unpersist
+def _copies(groups: DataFrame, cols: list[str], copies: Column) -> DataFrame:
+    """Each group's row ``copies`` times: first as chunks of at most COPIES, which
+    are dealt out evenly, then the copies of each chunk. No row's copies ever
+    stand in one array or one task."""
+    last = F.floor((copies - 1) / COPIES).cast("bigint")
+    chunks = groups.select(*[qcol(c) for c in cols], copies.alias("__n"),
+                           F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("__chunk"))
+    size = F.least(F.lit(COPIES).cast("bigint"), F.col("__n") - F.col("__chunk") * COPIES)
+    return (chunks.withColumn("__n", size).repartition(*[qcol(c) for c in cols], F.col("__chunk"))
+            .withColumn("__rep", F.explode(F.sequence(F.lit(1).cast("bigint"), "__n")))
+            .select(*[qcol(c) for c in cols]))
 
 
 def _order(cols: list[str]) -> list[Column]:
@@ -132,27 +81,28 @@ def _order(cols: list[str]) -> list[Column]:
 
 def exact_duplicate_rows(df: DataFrame, n: int | None = 10) -> DataFrame:
     """Rows that occur more than once, each repeated as often as it
-    occurs, ordered by all columns; the first ``n`` (all when ``None``).
+    occurs, ordered by all columns; the first ``n`` (all when ``None``, unordered).
 
     A group contributes at most ``n`` copies: the first ``n`` rows of the
     result are the same either way, and a hot row never expands to millions.
     """
-    cols = df.columns
-    # the candidate hashes (at most CANDIDATE_BROADCAST_MAX longs) stay cached
-    # for the returned frame, so they are not computed a second time
-    counted, _ = duplicate_groups(df, persist_candidates=True)
-    reps = F.col("count") if n is None else F.least(F.col("count"), F.lit(n))
-    out = counted.select(*[qcol(c) for c in cols],
-                         F.explode(F.sequence(F.lit(1).cast("bigint"), reps)).alias("__rep"))
-    out = out.drop("__rep")
-    return out.orderBy(*_order(cols)).limit(n) if n is not None else out
+    groups = duplicate_groups(df)
+    if n is None:
+        return _copies(groups, df.columns, F.col("count"))
+    return _sample(groups, df.columns, n)
 
 
-def _repeat_flags(df: DataFrame, candidates: list[str]) -> DataFrame:
-    """One row: for each candidate, ``count(*) - count(DISTINCT c) > 0``."""
-    total = F.count(F.lit(1))
-    return df.agg(*[((total - F.count_distinct(qcol(c))) > 0).alias(f"r{i}")
-                    for i, c in enumerate(candidates)])
+def _sample(groups: DataFrame, cols: list[str], n: int) -> DataFrame:
+    # at least two copies of each group: n groups hold the first n rows
+    first = groups.orderBy(*_order(cols)).limit(n)
+    out = _copies(first, cols, F.least(F.col("count"), F.lit(n).cast("bigint")))
+    return out.orderBy(*_order(cols)).limit(n)
+
+
+def _repeats(df: DataFrame, column: str) -> DataFrame:
+    """One row: whether the column repeats a value or has a NULL."""
+    groups = df.groupBy(qcol(column).alias("k")).count()
+    return groups.agg(F.coalesce(F.max((F.col("count") > 1) | F.col("k").isNull()), F.lit(False)).alias("r"))
 
 
 def entity_key(df: DataFrame, key: str | None = None,
@@ -161,30 +111,21 @@ def entity_key(df: DataFrame, key: str | None = None,
 
     A given ``key`` must exist. Otherwise the first column (in order) whose
     lower-cased name contains a hint and that has a repeated value (or a
-    NULL, since ``COUNT(DISTINCT)`` skips NULL) is chosen; all candidates are
-    tested in one aggregation.
+    NULL, which a count of distinct values skips) is chosen; candidates are tested
+    one by one, and the first hit ends the search.
     """
     if key is not None:
         require_columns(df, [key])
         return key
-    cands = [c for c in df.columns if any(h in c.lower() for h in hints)]
-    if not cands:
-        return None
-    row = _repeat_flags(df, cands).first()
-    for i, c in enumerate(cands):
-        if row[f"r{i}"]:
+    for c in df.columns:
+        if any(h in c.lower() for h in hints) and _repeats(df, c).first()["r"]:
             return c
     return None
 
 
 def entity_key_df(df: DataFrame, hints: tuple[str, ...] = ENTITY_HINTS) -> DataFrame:
-    """A11 as a lazy one-row frame ``(checked_column)`` (NULL when none)."""
-    cands = [c for c in df.columns if any(h in c.lower() for h in hints)]
-    if not cands:
-        return df.sparkSession.range(1).select(F.lit(None).cast("string").alias("checked_column"))
-    flags = _repeat_flags(df, cands)
-    pick = F.coalesce(*[F.when(F.col(f"r{i}"), F.lit(c)) for i, c in enumerate(cands)])
-    return flags.select(pick.alias("checked_column"))
+    """A11 as a one-row frame ``(checked_column)`` (NULL when none)."""
+    return df.sparkSession.range(1).select(F.lit(entity_key(df, hints=hints)).cast("string").alias("checked_column"))
 
 
 def _fixed_width(dt: T.DataType) -> bool:
@@ -230,12 +171,6 @@ def _entity_keys(df: DataFrame, key: str) -> DataFrame:
             varies = varies | F.coalesce(nonconst, F.lit(False))
         grouped = present.groupBy(k.alias("__k")).agg(*aggs)
         return grouped.where((F.col("__n") > 1) & varies).select("__k")
-    if not _hash_path(df):
-        repeated = (present.groupBy(k.alias("__k")).agg(F.count(F.lit(1)).alias("__n"))
-                    .where(F.col("__n") > 1).select("__k"))
-        rows = _semi(present, key, repeated).dropDuplicates()
-        return (rows.groupBy(qcol(key).alias("__k")).agg(F.count(F.lit(1)).alias("__n"))
-                .where(F.col("__n") > 1).select("__k"))
     # Per key: row count and the range of the row hash (fixed-width, so a
     # hash aggregate). Two different hashes prove two different rows; keys
     # whose rows all share one hash (identical rows, or a collision) are
@@ -278,35 +213,12 @@ def entity_duplicates(df: DataFrame, key: str, n: int | None = 10) -> DataFrame:
     return rows.orderBy(*_order(cols)).limit(n)
 
 
-def remove_duplicates(df: DataFrame, strategy: str = "remove_exact_duplicates",
-                      method: str = "shuffle") -> DataFrame:
-    """Drop exact duplicate rows.
-
-    ``method="shuffle"`` (default) is ``dropDuplicates()``: one shuffle of
-    all rows after map-side de-duplication. ``method="hash"`` shuffles only
-    row hashes and de-duplicates just the rows whose hash repeats; the
-    others are read and kept as they are. That trades two extra scans (and
-    hashing) for the whole-row shuffle -- a win where moving rows across the
-    network is the bottleneck, a loss on one machine (20 M rows: 40-45 s
-    against 25-28 s). ``"auto"`` takes the hash form from
-    ``HASH_PATH_MIN_BYTES``. The hash form falls back to ``dropDuplicates()``
-    when the candidates are too many to broadcast."""
+def remove_duplicates(df: DataFrame, strategy: str = "remove_exact_duplicates") -> DataFrame:
+    """Drop exact duplicate rows: one shuffle of the rows that are left after
+    map-side de-duplication."""
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy!r}; supported: {STRATEGIES}")
-    if method not in ("shuffle", "hash", "auto"):
-        raise ValueError("method must be 'shuffle', 'hash' or 'auto'")
-    if method == "shuffle" or not _hashable(df) or (method == "auto" and not _hash_path(df)):
-        return df.dropDuplicates()
-    keyed = _keyed(df)
-    cand = _candidates(keyed)
-    if cand.count() > CANDIDATE_BROADCAST_MAX:
-        return df.dropDuplicates()
-    # rows with a unique hash pass straight through (no shuffle); only rows
-    # carrying a candidate hash are de-duplicated
-    hot = F.broadcast(cand)
-    unique = keyed.join(hot, ["__h1"], "left_anti").drop("__h1")
-    repeated = keyed.join(hot, ["__h1"], "left_semi").drop("__h1").dropDuplicates()
-    return unique.unionByName(repeated)
+    return df.dropDuplicates()
 
 
 @dataclass
@@ -331,17 +243,12 @@ def find_duplicates(df: DataFrame, key: str | None = None, n: int = 10) -> Dupli
     Only the count, the column name and at most ``2 n`` rows reach the driver."""
     # only groups seen more than once add to the count, and the sample is
     # drawn from the same groups: group once, keep those, use them twice
-    cand_groups, release = duplicate_groups(df, persist_candidates=True)
-    groups = cand_groups.persist()
+    groups = duplicate_groups(df).persist()
     try:
         count = int(groups.agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0))).first()[0])
-        reps = F.explode(F.sequence(F.lit(1).cast("bigint"), F.least(F.col("count"), F.lit(n))))
-        sample = (groups.select(*[qcol(c) for c in df.columns], reps.alias("__rep"))
-                  .drop("__rep").orderBy(*_order(df.columns)).limit(n))
-        exact = [r.asDict(recursive=True) for r in sample.collect()] if count else []
+        exact = [r.asDict(recursive=True) for r in _sample(groups, df.columns, n).collect()] if count else []
     finally:
         groups.unpersist()
-        release()
     col = entity_key(df, key)
     ent = [r.asDict(recursive=True) for r in entity_duplicates(df, col, n).collect()] \
         if col else []

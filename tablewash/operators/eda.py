@@ -33,6 +33,7 @@ from .quantiles import exact_quantiles
 
 AGG_CHUNK = 48
 QUARTILES = (0.25, 0.5, 0.75)
+TOP_BUCKETS = 64  # per column, when its most frequent values are ranked
 
 NUMERIC_SCHEMA = ("column string, count bigint, mean double, std double, min double, "
                   "p25 double, p50 double, p75 double, max double")
@@ -71,6 +72,20 @@ def numeric_summary(df: DataFrame, columns: list[str] | None = None,
     return _numeric_summary(df, columns, exact)[0]
 
 
+def numeric_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """``(column, count, mean, std)`` per numeric column, NaN as missing, from one
+    aggregation without quantiles."""
+    cols = _numeric(df, columns)
+    if not cols:
+        return df.sparkSession.createDataFrame([], "column string, count bigint, mean double, std double")
+    xs = [nan_to_null(c, df.schema[c].dataType).cast("double") for c in cols]
+    one = df.agg(*[F.struct(F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"))
+                   .alias(f"s{i}") for i, x in enumerate(xs)])
+    long = unpivot_row(one, "column", [(c, F.col(f"s{i}")) for i, c in enumerate(cols)], "s").select("column", "s.*")
+    finite = lambda c: F.when(~F.isnan(F.col(c)) & (F.abs(F.col(c)) != float("inf")), F.col(c))
+    return long.select("column", "count", finite("mean").alias("mean"), finite("std").alias("std"))
+
+
 def _numeric_summary(df: DataFrame, columns: list[str] | None = None, exact: bool = True):
     """``(summary frame, total rows or None)``; the exact form counts all rows
     in its first scan as well."""
@@ -126,21 +141,27 @@ def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 def top_values(df: DataFrame, k: int = 5, columns: list[str] | None = None,
                counts: DataFrame | None = None) -> DataFrame:
     """``(column, rank, value, count)``, the ``k`` most frequent values per
-    column; ties broken by value ascending."""
+    column; ties broken by value ascending. Values are ranked within
+    ``TOP_BUCKETS`` buckets per column first, so no task ranks all of a column."""
     vc = counts if counts is not None else value_counts(df, columns)
-    w = Window.partitionBy("column").orderBy(F.col("count").desc(), F.col("value").asc())
-    return (vc.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    order = [F.col("count").desc(), F.col("value").asc()]
+    bucket = F.pmod(F.xxhash64("value"), F.lit(TOP_BUCKETS))
+    part = Window.partitionBy("column", "__b").orderBy(*order)
+    best = vc.withColumn("__b", bucket).withColumn("__r", F.row_number().over(part)).where(F.col("__r") <= k)
+    w = Window.partitionBy("column").orderBy(*order)
+    return (best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
             .select("column", F.col("rank").cast("int"), "value", "count"))
 
 
 def categorical_summary(df: DataFrame, columns: list[str] | None = None,
-                        approx: bool = False) -> DataFrame:
+                        approx: bool = False, counts: DataFrame | None = None) -> DataFrame:
     """``(column, unique_count, mode, mode_count)`` per text column.
 
     One shuffle of ``(column, value)`` counts (planned once, reused), then
     per column the distinct-value count and the top count, and the mode as
-    the smallest value at the top count; every step is a hash aggregation
-    with partial aggregation, so each task sends a few rows per column.
+    the smallest value at the top count (a sort-based aggregate, of the few values
+    at that count only). Every step aggregates partially, so each task sends a few
+    rows per column. ``counts`` takes value counts made before.
     ``approx=True`` counts distinct values with HyperLogLog++ (the mode is
     still exact).
     """
@@ -148,7 +169,7 @@ def categorical_summary(df: DataFrame, columns: list[str] | None = None,
     if not cols:
         return df.sparkSession.createDataFrame(
             [], "column string, unique_count bigint, mode string, mode_count bigint")
-    vc = value_counts(df, cols)
+    vc = value_counts(df, cols) if counts is None else counts
     # hash aggregations only: count and top count per column, then the
     # values tied at the top count (a broadcast of one row per column, a
     # bound fixed by the schema) and the smallest of those
@@ -426,23 +447,20 @@ class StatisticalSummary:
                 "total_columns": self.total_columns}
 
 
-def statistical_summary(df: DataFrame, k: int = 5, exact: bool = True,
-                        persist: bool = False) -> StatisticalSummary:
+def statistical_summary(df: DataFrame, k: int = 5, exact: bool = True) -> StatisticalSummary:
     """The three summaries plus row and column counts.
 
     The frames are lazy except the numeric one (its exact quartiles need
-    counts first). ``persist=True`` caches the input while they run; for
-    very wide tables read from Parquet re-reading the needed columns is
-    usually cheaper than caching all of them.
+    counts first). The value counts are planned once for both frames that need
+    them.
     """
-    src = df.persist() if persist else df
-    vc = value_counts(src)
-    numeric, total = _numeric_summary(src, exact=exact)
+    counts = value_counts(df)
+    numeric, total = _numeric_summary(df, exact=exact)
     return StatisticalSummary(
         numeric_summary=numeric,
-        categorical_summary=categorical_summary(src),
-        top_values=top_values(src, k, counts=vc),
-        correlation_pairs=correlation_pairs(src),
-        total_rows=src.count() if total is None else total,
-        total_columns=len(src.columns),
+        categorical_summary=categorical_summary(df, counts=counts),
+        top_values=top_values(df, k, counts=counts),
+        correlation_pairs=correlation_pairs(df),
+        total_rows=df.count() if total is None else total,
+        total_columns=len(df.columns),
     )

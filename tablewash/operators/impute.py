@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.casts import type_label
-from ..functions.columns import is_numeric, nan_to_null, qcol, require_columns
+from ..functions.casts import guarded_cast, type_label
+from ..functions.columns import is_numeric, is_text, nan_to_null, qcol, require_columns
 from .quantiles import exact_quantiles
 from .profile import null_counts
 
@@ -136,7 +136,11 @@ def imputation_values(df: DataFrame, imputations, exact: bool = True) -> dict[st
     return {c: values[c] for c, _, _ in plan}
 
 
-def _fill_literal(value, dt: T.DataType, column: str):
+def fill_literal(value, dt: T.DataType):
+    """The fill value in its column's type; text is converted by the same rules as
+    a column of text (:func:`guarded_cast`), a value that doesn't fit is NULL."""
+    if isinstance(value, str) and not is_text(dt):
+        return guarded_cast(F.lit(value), T.StringType(), dt)
     if isinstance(dt, T.IntegralType) and isinstance(value, float):
         # filling a fractional statistic into an integer rounds half to even
         return F.lit(float(round(value))).cast(dt)
@@ -156,7 +160,7 @@ def fill_nulls(df: DataFrame, values: dict):
     for c, (strategy, v) in values.items():
         if v is None:
             continue
-        fills[c] = _fill_literal(v, df.schema[c].dataType, c)
+        fills[c] = fill_literal(v, df.schema[c].dataType)
         log.append(IMPUTE_MSG.format(col=c, strategy=strategy, value=v))
     custom = [c for c in fills if values[c][0] == "custom"]
     if custom:   # a custom value must fit its column: check all in one tiny job

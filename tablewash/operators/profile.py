@@ -1,12 +1,10 @@
 """Profile (A1-A4): row and column counts, NULL counts, exact-duplicate count.
 
-``profile_counts`` is the one-job form: rows grouped on all columns (partial
-aggregation first), then the row count, duplicate count and NULL counts
-summed from the groups, since NULL-ness is part of the grouping key.
-``profile`` uses it for small inputs; for large ones it reads the table
-twice and never shuffles whole rows unless duplicates are many: one scan
-counts rows and the NULLs of every column, then :func:`duplicates_count`
-goes through the row-hash candidates of :mod:`.dedup`.
+NULL counts and types come from one scan (:func:`null_counts`,
+:func:`profile_columns`) without a shuffle of rows. ``profile`` takes the row,
+duplicate and NULL counts in one job: rows grouped on all columns (partial
+aggregation first), then the counts summed from the groups, since NULL-ness is
+part of the grouping key.
 """
 
 from __future__ import annotations
@@ -37,16 +35,8 @@ def null_counts(df: DataFrame, only_positive: bool = True) -> DataFrame:
 
 
 def duplicates_count(df: DataFrame) -> int:
-    """A3: rows minus distinct rows. Only duplicated groups add to it, and
-    those are found through the row-hash candidates of :mod:`.dedup` (no
-    shuffle of whole rows when duplicates are few)."""
-    from .dedup import duplicate_groups
-    groups, release = duplicate_groups(df, persist_candidates=True)
-    try:
-        row = groups.agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0))).first()
-        return int(row[0])
-    finally:
-        release()
+    """A3: rows minus distinct rows."""
+    return int(duplicates_count_df(df).first()[0]) if df.columns else 0
 
 
 def duplicates_count_df(df: DataFrame) -> DataFrame:
@@ -72,13 +62,11 @@ def profile_counts(df: DataFrame) -> DataFrame:
 def profile_columns(df: DataFrame) -> DataFrame:
     """Per-column profile rows ``(column_name, column_type, null_count)``."""
     from ..functions.casts import type_label
-    counts = profile_counts(df)
-    entries = [(c, F.struct(F.lit(type_label(df.schema[c].dataType)).alias("t"),
-                            F.col(f"n{i}").alias("n")))
-               for i, c in enumerate(df.columns)]
-    long = unpivot_row(counts, "column_name", entries, "v")
-    return long.select("column_name", F.col("v.t").alias("column_type"),
-                       F.col("v.n").alias("null_count"))
+    labels = F.create_map(*[F.lit(x) for c in df.columns for x in (c, type_label(df.schema[c].dataType))]) \
+        if df.columns else F.lit(None)
+    return null_counts(df, only_positive=False).select(
+        "column_name", F.element_at(labels, F.col("column_name")).alias("column_type"), "null_count") \
+        if df.columns else null_counts(df).select("column_name", labels.cast("string").alias("column_type"), "null_count")
 
 
 @dataclass
@@ -98,23 +86,13 @@ class Profile:
 
 
 def profile(df: DataFrame, preview: int = 5) -> Profile:
-    """A4: the full profile: one grouped job for small inputs, or a counting
-    scan plus the row-hash duplicate path for large ones (see the module
-    notes), and a ``limit`` for the preview; only scalars and ``preview`` rows
-    reach the driver."""
-    from .dedup import _hash_path
+    """A4: the full profile: one grouped job, and a ``limit`` for the preview; only
+    scalars and ``preview`` rows reach the driver."""
     cols = df.columns
-    if cols and not _hash_path(df):
+    if cols:
         row = profile_counts(df).first()
         total, dups = int(row["total_rows"]), int(row["duplicates_count"])
         nulls = {c: int(row[f"n{i}"]) for i, c in enumerate(cols) if row[f"n{i}"]}
-    elif cols:
-        aggs = [F.count(F.lit(1)).alias("__total")]
-        aggs += [F.count_if(qcol(c).isNull()).alias(f"n{i}") for i, c in enumerate(cols)]
-        row = df.agg(*aggs).first()
-        total = int(row["__total"])
-        nulls = {c: int(row[f"n{i}"]) for i, c in enumerate(cols) if row[f"n{i}"]}
-        dups = duplicates_count(df) if total else 0
     else:
         total, dups, nulls = df.count(), 0, {}
     return Profile(total_rows=total, total_columns=len(cols),

@@ -22,6 +22,6 @@ class EdaReport:
     chart_suggestions: DataFrame
 
 
-def eda_report(df: DataFrame, k: int = 5, exact: bool = True, persist: bool = False) -> EdaReport:
-    s = statistical_summary(df, k=k, exact=exact, persist=persist)
+def eda_report(df: DataFrame, k: int = 5, exact: bool = True) -> EdaReport:
+    s = statistical_summary(df, k=k, exact=exact)
     return EdaReport(s, detect_insights(df, s), suggest_charts(df, s))

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from ..functions.columns import qcol
 from ..operators.clean import auto_clean, drop_columns
 from ..operators.convert import convert_types
+from ..operators.impute import fill_literal
 
 
 def read_csv_stream(spark: SparkSession, directory: str, columns: list[str],
@@ -57,7 +58,7 @@ def clean_stream(df: DataFrame, auto: bool = True, conversions=None,
         unknown = [c for c in fill_values if c not in cur.columns]
         if unknown:
             raise ValueError(f"unknown column(s) {unknown}")
-        cur = cur.select(*[F.coalesce(qcol(f.name), F.lit(fill_values[f.name]).try_cast(f.dataType))
+        cur = cur.select(*[F.coalesce(qcol(f.name), fill_literal(fill_values[f.name], f.dataType))
                            .alias(f.name) if f.name in fill_values else qcol(f.name)
                            for f in cur.schema.fields])
     if drop:

@@ -146,16 +146,6 @@ def test_summary_to_dict(spark):
     assert [(i["type"], i["affected_columns"]) for i in ins] == [("correlation", ["i", "d"])]
 
 
-def test_safe_corr_expression_per_group(spark):
-    from tablewash.functions import safe_corr
-    pdf = pd.DataFrame({"g": [1] * 6 + [2] * 4, "x": [1, 2, 3, 4, 5, None, 1, 1, 1, 1],
-                        "y": [2, 4, 5, 4, 5, 7, 1, 2, 3, 4]}, dtype=float)
-    df = spark.createDataFrame(pdf)
-    got = dict(df.groupBy("g").agg(safe_corr(F.col("x"), F.col("y")).alias("r")).collect())
-    assert got[1.0] == pytest.approx(pdf[pdf.g == 1][["x", "y"]].corr().iloc[0, 1])
-    assert got[2.0] is None                      # constant x: NULL, not an error
-
-
 def test_correlation_many_null_pairs_masked_gram(spark):
     rng = np.random.default_rng(21)
     base = rng.normal(size=(400, 1))

@@ -73,3 +73,13 @@ def test_approximate_median(spark):
     assert exact == float(np.median([i for i in range(10001) if i % 10]))
     assert abs(approx - exact) <= 2          # within the sketch's rank error here
     assert tw.impute(df, [("x", "median")], exact=False).where("x IS NULL").count() == 0
+
+
+def test_custom_text_follows_the_conversion_rules(spark):
+    df = spark.createDataFrame([(None, None, None, None)], "i int, d date, x double, t timestamp_ntz")
+    fill = lambda c, v: tw.impute(df, [{"column_name": c, "strategy": "custom", "value": v}]).first()[c]
+    assert fill("i", "2.5") == 3 and str(fill("d", "2020/01/02")) == "2020-01-02"
+    assert str(fill("t", "2020/01/02 03:04:05")) == "2020-01-02 03:04:05"
+    for column, value in (("x", "1d"), ("t", "2020"), ("i", "x")):
+        with pytest.raises(ValueError):
+            fill(column, value)

@@ -60,12 +60,10 @@ def test_odd_names_values(spark):
 
 
 @pytest.mark.parametrize("empty", [False, True], ids=["rows", "empty"])
-def test_odd_names_on_the_hash_path(spark, monkeypatch, empty):
-    from tablewash.operators import dedup
-    monkeypatch.setattr(dedup, "HASH_PATH_MIN_BYTES", 0)
+def test_odd_names_in_duplicates(spark, empty):
     df = spark.createDataFrame([] if empty else ROWS, ODD)
     assert tw.duplicates_count(df) == (0 if empty else 1)
-    assert tw.remove_duplicates(df, method="hash").count() == (0 if empty else 4)
+    assert tw.remove_duplicates(df).count() == (0 if empty else 4)
     assert tw.exact_duplicate_rows(df).count() == (0 if empty else 2)
     assert [r[0] for r in tw.entity_duplicate_keys(df, "c d").collect()] == ([] if empty else [])
     assert sorted(r[0] for r in tw.entity_duplicate_keys(df, "g`h").collect()) == \
@@ -91,9 +89,8 @@ def test_decimal_columns(spark):
                             [("t", "DECIMAL(10,2)")]).first()[0] == Decimal("1.24")
 
 
-def test_date_timestamp_boolean_columns(spark, monkeypatch):
+def test_date_timestamp_boolean_columns(spark):
     import datetime as dt
-    from tablewash.operators import dedup
     d1, d2 = dt.date(2020, 1, 1), dt.date(2021, 6, 30)
     t1 = dt.datetime(2020, 1, 1, 12, 0)
     rows = [(d1, t1, True), (d1, t1, True), (d2, None, False), (None, t1, None), (d2, t1, True)]
@@ -104,8 +101,6 @@ def test_date_timestamp_boolean_columns(spark, monkeypatch):
     assert out.where("b IS NULL").count() == 0
     assert tw.numeric_summary(df).count() == 0 and tw.categorical_summary(df).count() == 0
     assert tw.duplicates_count(df) == 1
-    monkeypatch.setattr(dedup, "HASH_PATH_MIN_BYTES", 0)
-    assert tw.duplicates_count(df) == 1
-    assert tw.remove_duplicates(df, method="hash").count() == 4
+    assert tw.remove_duplicates(df).count() == 4
     assert tw.bar_chart_data(df, "d").first()["y"] == 2
     assert sorted(r[0] for r in tw.entity_duplicate_keys(df, "d").collect()) == [d2]
