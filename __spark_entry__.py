@@ -10,6 +10,7 @@ Computed doubles are rounded (4 places) on both sides for a stable compare.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -273,7 +274,7 @@ def q_numeric_summary_nulls(spark, d):
 
 
 def q_numeric_table(spark, d):
-    return tw.numeric_table(tw.numeric_summary(dirty_lineitem(spark, d), exact=False))
+    return tw.numeric_table(tw.numeric_counts(dirty_lineitem(spark, d)))
 
 
 def q_categorical_summary(spark, d):
@@ -348,7 +349,6 @@ def q_describe(spark, d):
 
 def _round_trip(spark, d, table, cols, tag, **kw):
     src = _read(spark, d, table).select(*cols)
-    import uuid
     path = shared_scratch(spark, f"csv-{tag}-{uuid.uuid4().hex}")
     tw.export_csv(src, path + "/" + tw.export_name(f"{table}.csv"))
     return tw.load_csv(spark, path + "/" + tw.export_name(f"{table}.csv"), **kw)
@@ -359,8 +359,96 @@ def q_csv_round_trip(spark, d):
 
 
 def q_csv_round_trip_documents(spark, d):
-    return _round_trip(spark, d, "documents", ["doc_id", "text", "lang"], "docs",
-                       multi_line=True)
+    return _round_trip(spark, d, "documents", ["doc_id", "text", "lang", "source", "n_chars"],
+                       "docs")
+
+
+def q_csv_bad_rows(spark, d):
+    """Orders as CSV, one field too many where the priority is urgent: the rows that
+    load, and one row (order key -1) with the number of bad ones as its priority."""
+    cols = ["o_orderkey", "o_orderstatus", "o_orderpriority"]
+    urgent = F.when(F.col("o_orderpriority") == "1-URGENT", F.lit("too many"))
+    path = shared_scratch(spark, f"csv-bad-{uuid.uuid4().hex}") + "/orders.csv"
+    # whole lines as the only column, so that nothing is quoted and each part has the header
+    (_read(spark, d, "orders").select(F.concat_ws(",", *cols, urgent).alias(",".join(cols)))
+     .write.option("header", "true").option("sep", "\u0001").option("quote", "\u0000").csv(path))
+    bad = tw.csv_bad_rows(spark, path)
+    return tw.load_csv(spark, path, bad_rows="drop").unionByName(bad.agg(
+        F.lit("-1").alias("o_orderkey"), F.lit("bad").alias("o_orderstatus"),
+        F.count("record").cast("string").alias("o_orderpriority")))
+
+
+def q_load_csv_dir(spark, d):
+    """A folder of two CSVs: without a name it gives their names, with one its rows."""
+    base = shared_scratch(spark, f"csv-dir-{uuid.uuid4().hex}")
+    nation = _read(spark, d, "nation")
+    for part in (nation.where("n_regionkey < 2"), nation.where("n_regionkey >= 2")):
+        tw.export_csv(part, base, single_file=True, mode="append")
+    first, second = tw.load_csv_dir(spark, base).available
+    return (tw.load_csv_dir(spark, base, first).frame
+            .unionByName(tw.load_csv_dir(spark, base, second).frame))
+
+
+def q_profile_report(spark, d):
+    """The whole profile as rows (item, value)."""
+    p = tw.profile(dirty_orders(spark, d))
+    rows = [("total_rows", p.total_rows), ("total_columns", p.total_columns),
+            ("duplicates_count", p.duplicates_count), ("preview_rows", len(p.sample_preview))]
+    rows += [(f"null:{c}", n) for c, n in p.null_counts.items()]
+    rows += [(f"type:{r['column_type']}:{r['column_name']}", 1) for r in p.schema]
+    return spark.createDataFrame(rows, "item string, value bigint")
+
+
+def q_find_duplicates_report(spark, d):
+    """Duplicate count, checked column and sample sizes of a table with repeated rows."""
+    turns = _read(spark, d, "conversations")
+    r = tw.find_duplicates(turns.unionByName(turns.where("role = 'user'")), n=10)
+    return spark.createDataFrame([(r.count, r.checked_column, len(r.exact_sample), len(r.entity_sample))],
+                                 "duplicates bigint, checked_column string, exact_rows bigint, entity_rows bigint")
+
+
+def q_statistical_summary(spark, d):
+    """The categorical part and the counts of the combined summary."""
+    s = tw.statistical_summary(_read(spark, d, "events"))
+    return s.categorical_summary.select(
+        "column", "unique_count", "mode", "mode_count",
+        F.lit(s.total_rows).cast("bigint").alias("total_rows"),
+        F.lit(s.total_columns).cast("bigint").alias("total_columns"))
+
+
+def q_correlation_square(spark, d):
+    """The heat map's square matrix."""
+    m = tw.correlation_matrix(tw.correlation_pairs(_read(spark, d, "lineitem")))
+    return m.select("column", *[F.round(c, 4).alias(c) for c in LINEITEM_NUMERIC])
+
+
+def q_suggested_conversions(spark, d):
+    found = tw.suggested_conversions(tw.suggest_types(_made(spark, d, "orders", TEXT_ORDERS)))
+    return spark.createDataFrame([(c["column_name"], c["new_type"]) for c in found],
+                                 "column_name string, new_type string")
+
+
+def q_scatter_sample(spark, d):
+    """How many points the sample has, and how many of them are not in the table."""
+    src = _read(spark, d, "orders").select(F.col("o_totalprice").alias("x"), F.col("o_custkey").alias("y"))
+    pts = tw.chart_data(_read(spark, d, "orders"), "scatter_plot", "o_totalprice", "o_custkey").persist()
+    try:
+        row = (pts.count(), pts.join(src.distinct(), ["x", "y"], "left_anti").count())
+    finally:
+        pts.unpersist()
+    return spark.createDataFrame([row], "sampled bigint, not_in_source bigint")
+
+
+def q_impute_custom_text(spark, d):
+    """Custom fills given as text, as a form sends them."""
+    df = dirty_lineitem(spark, d).select("l_orderkey", "l_partkey", "l_linenumber", "l_discount")
+    return tw.impute(df, [{"column_name": "l_partkey", "strategy": "custom", "value": "2.5"},
+                          {"column_name": "l_discount", "strategy": "custom", "value": "0.25"}])
+
+
+def q_entity_key_events(spark, d):
+    # event_id repeats nothing, user_id does
+    return tw.entity_key_df(_read(spark, d, "events"))
 
 
 def q_cleaning_plan(spark, d):
@@ -411,7 +499,6 @@ def q_chart_data_histogram(spark, d):
 
 def q_stream_auto_clean(spark, d):
     """The row-local cleaning steps on a file stream of the customer table."""
-    import uuid
     from tablewash.streaming import clean_stream, run_to_parquet
     stream = (spark.readStream.schema(_read(spark, d, "customer").schema)
               .option("pathGlobFilter", "customer.parquet").parquet(d)
@@ -474,6 +561,16 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "describe": q_describe,
     "csv_round_trip": q_csv_round_trip,
     "csv_round_trip_documents": q_csv_round_trip_documents,
+    "csv_bad_rows": q_csv_bad_rows,
+    "load_csv_dir": q_load_csv_dir,
+    "profile_report": q_profile_report,
+    "find_duplicates_report": q_find_duplicates_report,
+    "statistical_summary": q_statistical_summary,
+    "correlation_square": q_correlation_square,
+    "suggested_conversions": q_suggested_conversions,
+    "scatter_sample": q_scatter_sample,
+    "impute_custom_text": q_impute_custom_text,
+    "entity_key_events": q_entity_key_events,
     "cleaning_plan": q_cleaning_plan,
     "numeric_summary_embeddings": q_numeric_summary_embeddings,
     "duplicates_count_embeddings": q_duplicates_count_embeddings,
@@ -701,6 +798,22 @@ def _sql_cleaning_plan() -> str:
             f"coalesce(mkt_segment, {_sql_mode('mkt_segment', 'v')}) AS mkt_segment FROM v")
 
 
+def _sql_square(src: str, cols) -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{a}' AS \"column\", " + ", ".join(
+            f"{'CAST(1 AS DOUBLE)' if a == b else f'round(corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)), 4)'} AS {b}"
+            for b in cols) + f" FROM {src}" for a in cols)
+
+
+def _sql_find_duplicates() -> str:
+    src = "(SELECT * FROM conversations UNION ALL SELECT * FROM conversations WHERE role = 'user')"
+    return (f"WITH t AS {src}, g AS (SELECT *, count(*) AS n FROM t GROUP BY ALL), "
+            f"k AS (SELECT conv_id FROM g WHERE conv_id IS NOT NULL GROUP BY 1 HAVING count(*) > 1) "
+            f"SELECT CAST(sum(n) - count(*) AS BIGINT) AS duplicates, 'conv_id' AS checked_column, "
+            f"CAST(least(10, sum(n) FILTER (n > 1)) AS BIGINT) AS exact_rows, "
+            f"least(10, (SELECT count(*) FROM t WHERE conv_id IN (SELECT * FROM k))) AS entity_rows FROM g")
+
+
 def oracle_sql() -> dict[str, str]:
     li_num = LINEITEM_NUMERIC
     dl = SQL_DIRTY_LINEITEM
@@ -793,6 +906,33 @@ def oracle_sql() -> dict[str, str]:
         "suggest_imputations": (
             f"SELECT column_name, CASE WHEN column_type IN ('DOUBLE', 'INTEGER') THEN 'mean' "
             f"ELSE 'mode' END AS strategy FROM ({_sql_null_counts(dls, _DLS_COLS, True, True)})"),
+        "csv_bad_rows": (
+            "SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderstatus, o_orderpriority FROM orders "
+            "WHERE o_orderpriority <> '1-URGENT' UNION ALL SELECT '-1', 'bad', CAST(count(*) AS VARCHAR) "
+            "FROM orders WHERE o_orderpriority = '1-URGENT'"),
+        "load_csv_dir": ("SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name, "
+                         "CAST(n_regionkey AS VARCHAR) AS n_regionkey FROM nation"),
+        "profile_report": (
+            f"WITH t AS {do} SELECT 'total_rows' AS item, count(*) AS value FROM t "
+            f"UNION ALL SELECT 'total_columns', 6 UNION ALL SELECT 'duplicates_count', "
+            f"(SELECT count(*) FROM t) - (SELECT count(*) FROM (SELECT DISTINCT * FROM t)) "
+            f"UNION ALL SELECT 'preview_rows', least(5, (SELECT count(*) FROM t)) "
+            f"UNION ALL SELECT 'type:' || column_type || ':' || column_name, 1 FROM (DESCRIBE orders)"),
+        "find_duplicates_report": _sql_find_duplicates(),
+        "statistical_summary": (
+            f"SELECT *, (SELECT count(*) FROM events) AS total_rows, CAST(6 AS BIGINT) AS total_columns "
+            f"FROM ({_sql_categorical('events', ['event_type', 'props'])})"),
+        "correlation_square": _sql_square("lineitem", li_num),
+        "suggested_conversions": (
+            f"WITH t AS {to} SELECT column_name, 'DOUBLE' AS new_type FROM ({suggest_parts}) "
+            f"WHERE ne > 0 AND ok / ne > 0.95"),
+        "scatter_sample": "SELECT CAST(1000 AS BIGINT) AS sampled, CAST(0 AS BIGINT) AS not_in_source",
+        "impute_custom_text": (
+            f"WITH d AS {dl} SELECT l_orderkey, coalesce(l_partkey, 3) AS l_partkey, l_linenumber, "
+            f"coalesce(l_discount, 0.25) AS l_discount FROM d"),
+        "entity_key_events": (
+            "SELECT CASE WHEN count(*) - count(DISTINCT event_id) > 0 THEN 'event_id' "
+            "WHEN count(*) - count(DISTINCT user_id) > 0 THEN 'user_id' END AS checked_column FROM events"),
         "drop_columns": "SELECT * EXCLUDE (p_type, p_size) FROM part",
         "numeric_summary": _sql_numeric("lineitem", li_num),
         "numeric_summary_nulls": _sql_numeric(dl, li_num),
@@ -826,7 +966,9 @@ def oracle_sql() -> dict[str, str]:
                            "CAST(n_regionkey AS VARCHAR) AS n_regionkey FROM nation"),
         "csv_round_trip_documents": ("SELECT CAST(doc_id AS VARCHAR) AS doc_id, "
                                      "CASE WHEN text = '' THEN NULL ELSE text END AS text, "
-                                     "CASE WHEN lang = '' THEN NULL ELSE lang END AS lang "
+                                     "CASE WHEN lang = '' THEN NULL ELSE lang END AS lang, "
+                                     "CASE WHEN source = '' THEN NULL ELSE source END AS source, "
+                                     "CAST(n_chars AS VARCHAR) AS n_chars "
                                      "FROM documents"),
         "cleaning_plan": _sql_cleaning_plan(),
         "numeric_summary_embeddings": _sql_numeric("embeddings", ["vec_id", "label"]),
