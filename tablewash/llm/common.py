@@ -63,6 +63,21 @@ def map_texts(docs: DataFrame, keep: list[str], text_col: str, make: Callable, o
             .toDF(*keep, *out))
 
 
+def portions(batches, text_of: Callable, limit: int = 1 << 22):
+    """Pandas batches cut where their texts exceed ``limit`` characters, so that what a
+    task makes of a batch stays small."""
+    for batch in batches:
+        start, total = 0, 0
+        for i, row in enumerate(text_of(batch)):
+            size = sum(len(t or "") for t in row)
+            if total and total + size > limit:
+                yield batch.iloc[start:i]
+                start, total = i, 0
+            total += size
+        if start < len(batch):
+            yield batch.iloc[start:]
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of steps whose results are written."""
     gc.collect()

@@ -13,14 +13,14 @@ the n-gram hashes is cut into fragments, and fragments are compared on their own
   n-grams of the order too, as many as a pair of similarity t must share one of.
   So every such pair shares a key: no candidate is lost, and hardly any comes from
   single frequent n-grams.
-* Overlaps. The sets of candidates are cut into fragments of the order too; partial
-  overlaps are counted fragment by fragment and summed for each pair.
-
-Large groups. Within a key only pairs with the smallest document are checked
-first; pairs that the links found so far already connect need no check. If many
-pairs are left, further rounds take other centres; the last round checks every
-pair of a key that still lies in different components, so no link between
-different texts is lost, and a group of copies is not expanded into its pairs.
+* Overlaps. Of the documents with a key, the one that shares most keys with others
+  is its centre; a centre and all documents of its keys are a family, so every
+  candidate pair lies in one. A family's sets are cut into fragments of the order
+  again; the partial overlaps of all its pairs are counted fragment by fragment as
+  products of incidence matrices and summed. Only links that connect something not
+  connected yet leave the task, so a family of copies is never expanded into its
+  pairs, and no link between different texts is lost. A family of many or long
+  documents is cut into blocks, and each pair of blocks is a task of its own.
 
 Keys travel packed, one block per input batch and part; a batch sends each key
 once, so a key of very many documents loads no task. Nulls count as empty texts;
@@ -37,12 +37,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewash.llm.common import Scratch
+from tablewash.llm.common import Scratch, portions, release
 from tablewash.llm.components import components
 from tablewash.llm.shingles import mix, shingles
 
 DOCS_PER_PART = 8_000
-FRAGMENTS = 4  # of the order, for the partial overlaps
+FRAGMENT = 4096  # n-grams of the order that one product of incidence matrices covers
+BLOCK_DOCS, BLOCK_NGRAMS = 512, 500_000  # of a family; more of either is cut into blocks
 NO_ID = -(1 << 63)
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -74,6 +75,8 @@ def candidate_keys(s: np.ndarray, percent: int, classes: np.ndarray) -> np.ndarr
         if low < 0:
             continue
         d, m = _fragments(int(classes[low]), int(classes[low + 2]) - 1, percent)
+        if not d:  # so small that only equal sets are similar enough
+            continue
         of = mix(_C[3] * np.array([low + 1], dtype=np.uint64))
         at = (((s >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)).astype(np.int64)  # s is in order
         first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
@@ -82,7 +85,27 @@ def candidate_keys(s: np.ndarray, percent: int, classes: np.ndarray) -> np.ndarr
         if m - len(first) >= m - d:  # all fragments that agree may be empty ones
             prefix = len(s) - -(-percent * len(s) // 100) + 1
             out.append(mix(s[:prefix] + of * _C[1]))
-    return np.unique(np.concatenate(out))
+    return np.unique(np.concatenate(out)) if out else np.empty(0, dtype=np.uint64)
+
+
+def _pack(keys: np.ndarray, docs: np.ndarray) -> bytes:
+    """Low six bytes of the keys (the part holds the high ones), and the documents'
+    ids in as many bytes as the largest takes; the first byte tells how many."""
+    width = 8 if docs.min() < 0 else max(1, -(-int(docs.max()).bit_length() // 8))
+    cut = [np.ascontiguousarray(x.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :w].tobytes()
+           for x, w in ((keys, 6), (docs.view(np.uint64), width))]
+    return bytes([width]) + b"".join(cut)
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    width = data[0]
+    n, at, out = (len(data) - 1) // (6 + width), 1, []
+    for w in (6, width):
+        wide = np.zeros((n, 8), dtype=np.uint8)
+        wide[:, :w] = np.frombuffer(data, dtype=np.uint8, count=n * w, offset=at).reshape(n, w)
+        out.append(wide.view("<u8").reshape(-1).view(np.int64))
+        at += n * w
+    return np.stack(out)
 
 
 def _set_hash(s: np.ndarray) -> tuple[int, int]:
@@ -96,7 +119,7 @@ def _blocks(n: int, percent: int, parts: int):
     classes = size_classes(percent)
 
     def run(batches):
-        for b in batches:
+        for b in portions(batches, lambda b: b["t"].map(lambda t: [t])):
             rows, keys, of, seen = [], [], [], set()
             for doc, text in zip(b["k"], b["t"]):
                 s = shingles(text, n)
@@ -124,9 +147,7 @@ def _blocks(n: int, percent: int, parts: int):
                     x = slice(cut[p], cut[p + 1])
                     kk, dd, nn, rr = k[x], d[x], new[x], again[x]
                     # the first document of each key, and all documents of repeated keys
-                    sent = np.stack([kk[nn].view(np.int64), dd[nn]])
-                    more = np.stack([kk[rr].view(np.int64), dd[rr]])
-                    out.append((int(p), sent.tobytes(), b"", more.tobytes()))
+                    out.append((int(p), _pack(kk[nn], dd[nn]), b"", _pack(kk[rr], dd[rr]) if rr.any() else b""))
             yield pd.DataFrame(out, columns=["part", "sent", "docs", "more"])
 
     return run
@@ -138,7 +159,7 @@ _FOUND = "kind int, a long, b long, c long, d long"
 def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
     """Of one part: its documents, and (key, document) of the keys that more than one batch or document has."""
     def joined(name):
-        blocks = [np.frombuffer(x, dtype=np.int64).reshape(2, -1) for x in pdf[name] if x]
+        blocks = [_unpack(x) for x in pdf[name] if x]
         return np.concatenate(blocks, axis=1) if blocks else np.empty((2, 0), dtype=np.int64)
 
     sent, more = joined("sent"), joined("more")
@@ -155,118 +176,131 @@ def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
                       members], ignore_index=True)
 
 
-def _overlaps(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose similarity reaches the threshold: partial overlaps by
-    fragment, summed for each pair."""
-    left = pairs.join(sets.select(F.col("doc").alias("a"), "fragment", F.col("n").alias("na"),
-                                  F.col("part").alias("x")), "a")
-    both = left.join(sets.select(F.col("doc").alias("b"), "fragment", F.col("n").alias("nb"),
-                                 F.col("part").alias("y")), ["b", "fragment"])
+def _links(x: list[np.ndarray], y: list[np.ndarray] | None, percent: int):
+    """Places (i, j) of the similar pairs of x, or between x and y, found from
+    incidence matrices over fragments of the order."""
+    sets = x if y is None else x + y
+    size = np.array([len(s) for s in sets])
+    at = np.repeat(np.arange(len(sets)), size)
+    grams, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    common = np.zeros((len(x), len(sets) if y is None else len(y)), dtype=np.float32)
+    shared = np.flatnonzero(count > 1)  # the others overlap with nothing
+    rank = np.full(len(grams), -1)
+    rank[shared] = np.arange(len(shared))
+    rank = rank[place]
+    order = np.argsort(rank, kind="stable")
+    rank, at = rank[order], at[order]
+    for low in range(0, len(shared), FRAGMENT):
+        cut = slice(*np.searchsorted(rank, [low, low + FRAGMENT]))
+        m = np.zeros((len(sets), min(FRAGMENT, len(shared) - low)), dtype=np.float32)
+        m[at[cut], rank[cut] - low] = 1
+        common += m[:len(x)] @ (m if y is None else m[len(x):]).T
+    other = size if y is None else size[len(x):]
+    similar = common * 100 >= percent * (size[:len(x), None] + other[None, :] - common)
+    return np.argwhere(np.triu(similar, 1) if y is None else similar)
+
+
+def _forest(pdf: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
+    """Links of one family, or of two blocks of it, without those inside what is
+    connected already."""
+    sides = [pdf[pdf["side"] == i] for i in (0, 1)]
+    x, y = ([np.frombuffer(b, dtype=np.uint64) for b in p["grams"]] for p in sides)
+    ids = [p["doc"].tolist() for p in sides]
+    if not x or (len(sides[1]) == 0 and int(pdf["pair"].iloc[0])):
+        return []
+    parent = {i: i for p in ids for i in p}
+
+    def top(i):
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        return i
 
-    def count(batches):
-        for b in batches:
-            n = [len(np.intersect1d(np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64), True))
-                 for x, y in zip(b["x"], b["y"])]
-            yield pd.DataFrame({"a": b["a"], "b": b["b"], "na": b["na"], "nb": b["nb"], "common": n})
+    out = []
+    for i, j in _links(x, y or None, percent):
+        a, b = ids[0][i], ids[1 if y else 0][j]
+        if top(a) != top(b):
+            parent[top(a)] = top(b)
+            out.append((a, b))
+    return out
+
+
+def _similar(families: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: links that connect all documents of a family that links connect.
+    Families of one block share tasks, pairs of blocks have their own."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = [e for _, f in pdf.groupby(["centre", "low", "high"]) for e in _forest(f, percent)]
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return (both.select("a", "b", "na", "nb", "x", "y").mapInPandas(count, "a long, b long, na long, nb long, common long")
-            .groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common"))
-            .where(F.col("common") * 100 >= percent * (F.col("na") + F.col("nb") - F.col("common")))
-            .select("a", "b"))
+    return families.groupBy("task", "low", "high").applyInPandas(run, "a long, b long")
 
 
-def groups(docs: DataFrame, n: int, percent: int, id_col: str = "doc_id", text_col: str = "text",
-           centre_rounds: int = 3) -> tuple[DataFrame, Scratch]:
-    """``doc, n_shingles, component`` of every row, and the folder of the written
-    tables. Two documents link when 100 * intersection >= percent * union."""
+def groups(docs: DataFrame, n: int, percent: int, id_col: str = "doc_id",
+           text_col: str = "text") -> DataFrame:
+    """``doc, n_shingles, component`` of every row. Two documents link when
+    100 * intersection >= percent * union."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("k"), F.col(text_col).alias("t"))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.count() // DOCS_PER_PART)
     found = scratch.keep(own.mapInPandas(_blocks(n, percent, parts), "part int, sent binary, docs binary, more binary")
                          .groupBy("part").applyInPandas(_meet, _FOUND), "found")
+    release(spark)
     rows = found.where("kind = 0").select(F.col("a").alias("doc"), F.col("b").alias("n"), "c", "d")
     real = rows.where((F.col("doc") != NO_ID) & (F.col("n") > 0))
     first = real.groupBy("c", "d").agg(F.min("doc").alias("of"))
-    # documents to the first of their class; a document of several texts links them
+    # documents to the first of their class; a document of several texts links their classes
     classes = scratch.keep(real.select("doc", "n", "c", "d").distinct().join(first, ["c", "d"])
                            .select("doc", "n", "of"), "classes")
     members = (found.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("doc"))
-               .join(classes.select("doc", "n", "of"), "doc").select("key", F.col("of").alias("doc"), "n").distinct())
-    shared = members.groupBy("key").agg(F.count_distinct("doc").alias("m"), F.min("doc").alias("centre")).where("m > 1")
-    members = scratch.keep(members.join(shared.select("key", "centre"), "key"), "members")
-    wanted = members.select("doc").distinct()
+               .join(classes.select("doc", "of").distinct(), "doc").select("key", F.col("of").alias("doc")).distinct())
+    shared = members.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    members = scratch.keep(members.join(shared, "key"), "members")
+    degree = members.groupBy("doc").agg(F.sum("m").alias("degree"))
+    ranked = members.join(degree, "doc")
+    centres = ranked.groupBy("key").agg(F.max(F.struct("degree", (-F.col("doc")).alias("doc"))).alias("c"))
+    families = scratch.keep(members.join(centres.select("key", (-F.col("c.doc")).alias("centre")), "key")
+                            .select("centre", "doc").distinct(), "families")
+    wanted = families.select(F.col("doc").alias("k")).distinct()
 
     def cut(batches):
         for b in batches:
-            out = []
-            for doc, text in zip(b["k"], b["t"]):
-                s = shingles(text, n)
-                place = (s >> np.uint64(62)).astype(np.int64)  # the order cut into FRAGMENTS = 4
-                at = np.searchsorted(place, np.arange(FRAGMENTS + 1))
-                out += [(doc, f, len(s), s[at[f]:at[f + 1]].tobytes()) for f in range(FRAGMENTS)]
-            yield pd.DataFrame(out, columns=["doc", "fragment", "n", "part"])
-
-    sets = scratch.keep(own.join(wanted.withColumnRenamed("doc", "k"), "k", "left_semi")
-                        .mapInPandas(cut, "doc long, fragment int, n long, part binary")
-                        .dropDuplicates(["doc", "fragment", "n"]), "sets")
-
-    def in_size(pairs):
-        return (pairs.where((F.col("a") < F.col("b")) & (F.col("na") * 100 >= F.col("nb") * percent)
-                            & (F.col("nb") * 100 >= F.col("na") * percent)).select("a", "b").distinct())
-
-    size = members.select(F.col("doc").alias("centre"), F.col("n").alias("nc")).distinct()
-    links = scratch.keep(_overlaps(in_size(
-        members.where("doc <> centre").join(size, "centre")
-        .select(F.col("centre").alias("a"), F.col("doc").alias("b"), F.col("nc").alias("na"), F.col("n").alias("nb"))),
-        sets, percent), "links-0")
-    # every text of a document belongs to it
-    links = links.union(classes.where("doc <> of").select(F.col("of").alias("a"), F.col("doc").alias("b")))
-    label = components(links, scratch, "round-0")
-    for round_ in range(1, centre_rounds + 1):
-        marked = (members.join(label.withColumnRenamed("node", "doc"), "doc", "left")
-                  .select("key", "doc", "n", F.coalesce("component", "doc").alias("component")))
-        open_ = marked.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-        left = scratch.keep(marked.join(open_.select("key"), "key"), f"open-{round_}")
-        by = left.groupBy("key", "component").agg(F.count("*").alias("m"))
-        work = by.groupBy("key").agg(((F.sum("m") ** 2 - F.sum(F.col("m") ** 2)) / 2).alias("pairs"),
-                                     F.sum("m").alias("m")).agg(F.sum("pairs"), F.sum("m")).first()
-        if not work[0]:
-            break
-        last = round_ == centre_rounds or work[0] <= 4 * work[1]
-        x = left.select("key", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-        if not last:  # another centre of each key, from the component that has most of it
-            order = F.struct(F.col("m"), F.col("component"))
-            most = by.groupBy("key").agg(F.max(order).alias("o")).select("key", F.col("o.component").alias("ca"))
-            pick = F.max(F.struct(F.xxhash64("a", F.lit(round_)).alias("h"), "a", "na")).alias("p")
-            x = (x.join(most, ["key", "ca"]).groupBy("key", "ca").agg(pick)
-                 .select("key", "ca", F.col("p.a").alias("a"), F.col("p.na").alias("na")))
-        y = left.select("key", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-        pairs = x.join(y, "key").where("ca <> cb")
-        ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "na", "nb")
-        more = scratch.keep(_overlaps(in_size(ordered), sets, percent), f"links-{round_}")
-        links = links.union(more)
-        label = components(links, scratch, f"round-{round_}")
-        if last:
-            break
-    doc_label = (classes.select("doc", "of").distinct().join(label.withColumnRenamed("node", "of"), "of", "left")
-                 .groupBy("doc").agg(F.min(F.coalesce("component", "of")).alias("component")))
+            sets = [shingles(t, n) for t in b["t"]]
+            yield pd.DataFrame({"doc": b["k"], "n": [len(s) for s in sets], "grams": [s.tobytes() for s in sets]})
+
+    sets = scratch.keep(own.join(wanted, "k", "left_semi").mapInPandas(cut, "doc long, n long, grams binary")
+                        .dropDuplicates(["doc", "n", "grams"]), "sets")
+    release(spark)
+    total = families.join(sets.select("doc", "n"), "doc").groupBy("centre").agg(
+        F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_NGRAMS)).cast("int").alias("blocks"))
+    placed = families.join(total, "centre").withColumn("block", F.pmod(F.xxhash64("doc", "centre"), "blocks").cast("int"))
+    # a document goes to the pairs of its block with every block, itself included
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(
+        F.least(i, "block").alias("low"), F.greatest(i, "block").alias("high"),
+        (F.col("block") > i).cast("int").alias("side"), (F.col("block") != i).cast("int").alias("pair")))
+    task = F.when(F.col("blocks") > 1, F.col("centre")).otherwise(F.pmod(F.xxhash64("centre"), F.lit(4 * parts)))
+    dealt = (placed.select("centre", "doc", task.alias("task"), F.explode(pairs).alias("p"))
+             .select("centre", "doc", "task", "p.*").join(sets.select("doc", "grams"), "doc"))
+    links = scratch.keep(_similar(dealt, percent), "links").union(
+        classes.where("doc <> of").select(F.col("of").alias("a"), F.col("doc").alias("b")))
+    label = components(links, scratch, "round")
+    doc_label = label.select(F.col("node").alias("doc"), "component")
     out = rows.join(doc_label, "doc", "left").select(
         F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc"), F.col("n").alias("n_shingles"),
         F.when(F.col("doc") != NO_ID, F.coalesce("component", "doc")).alias("component"))
-    return out, scratch
+    scratch.drop("members", "families", "sets")
+    return out
 
 
 def join_report(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row."""
-    out, _ = groups(docs, n, percent)
+    out = groups(docs, n, percent)
     return out.select(F.col("doc").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
 
 
 def keep_first(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """One document of each linked group: the one with the smallest id, all its
     columns kept; rows without id stay."""
-    out, _ = groups(docs, n, percent)
+    out = groups(docs, n, percent)
     later = out.where("doc <> component").select(F.col("doc").alias("__later")).distinct()
     kept = docs.join(later, F.col("doc_id") == F.col("__later"), "left_anti")
     named = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
