@@ -16,7 +16,9 @@ which shuffles more than a handful of rows:
    only a few rows per task cross the shuffle. Ties at a bracket end are
    answered by the counts alone: a value that fills a third of the column
    costs nothing. If the rank falls strictly inside a bracket that is still
-   large, steps 1-2 repeat on the values inside it.
+   large, steps 1-2 repeat on the values inside it, which are written once to the
+   shared checkpoint folder (if the session names one), so that the whole input
+   is scanned two or three times and not once per round.
 3. When every remaining range holds at most ``band_rows`` values: one job
    tags each in-range value with its target and ``row_number`` per target (a
    window whose partitions are bounded by ``band_rows``) picks the ranks.
@@ -30,14 +32,19 @@ NaN counts as missing.
 from __future__ import annotations
 
 import math
+import uuid
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import nan_to_null, require_columns
+from ..session import shared_scratch
 
 BAND_ROWS = 200_000
 SMALL_COLUMN = 4_096
+NARROW = 0.1  # once the ranges hold at most this share of all values they are written apart
 ACCURACY = 10_000
 # Brackets come from a seeded Bernoulli sample of about this many values per
 # column (the count round checks them exactly, so a sample only has to be
@@ -150,6 +157,7 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
     src = _with_uniform(df) if rate < 1.0 else df
     first = src.agg(*aggs).first() if aggs else None
 
+    rows = sum(int(first[f"__n{i}"]) for i in range(len(cols))) if aggs else 0
     plan: dict[str, list] = {}
     targets: dict[tuple[str, int], _Target] = {}
     for i, c in enumerate(cols):
@@ -171,6 +179,7 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
                 targets[(c, r)] = _Target(None, None, r, n, bracket)
 
     wanted: dict[tuple[str, int], float] = {}
+    narrowed = None
     for rnd in range(max_rounds):
         # the first round also narrows mid-sized columns: a count round is
         # cheaper than ranking every value of a column
@@ -178,6 +187,10 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
         big = {k: t for k, t in targets.items() if t.size > limit}
         if not big:
             break
+        left = {(c, t.lo, t.hi): t.size for (c, _), t in targets.items()}
+        if rnd and narrowed is None and sum(left.values()) <= NARROW * rows:
+            narrowed = _narrowed(base, xs, targets)  # later rounds read only these values
+            base = narrowed.frame if narrowed else base
         need = [k for k, t in big.items() if t.bracket is None]
         if need:
             _approx_brackets(base, xs, big, need, d, accuracy)
@@ -189,6 +202,8 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
             raise RuntimeError("quantile search did not converge")
     if targets:
         wanted.update(_select_ranks(base, xs, targets))
+    if narrowed:
+        narrowed.drop()
 
     out = {}
     for c in cols:
@@ -204,6 +219,36 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
     return (out, first) if extra_aggs else out
 
 
+class _narrowed_table:
+    """The values inside the targets' ranges, written once to the shared folder."""
+
+    def __init__(self, df: DataFrame, path: str):
+        self.spark, self.path = df.sparkSession, path
+        df.write.mode("overwrite").parquet(path)
+        self.frame = self.spark.read.parquet(path)
+
+    def drop(self) -> None:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def _narrowed(df: DataFrame, xs, targets) -> _narrowed_table | None:
+    """Only the rows, and of each column only the values, inside a range that is
+    still searched. ``None`` where the session names no shared folder."""
+    try:
+        path = shared_scratch(df.sparkSession, f"quantiles-{uuid.uuid4().hex}")
+    except ValueError:
+        return None
+    ranges: dict[str, set] = {}
+    for (c, _), t in targets.items():
+        ranges.setdefault(c, set()).add((t.lo, t.hi))
+    inside = {c: reduce(or_, [_in_range(xs[c], lo, hi) for lo, hi in sorted(r, key=repr)]) for c, r in ranges.items()}
+    kept = df.where(reduce(or_, inside.values())).select(*[
+        (F.when(inside[c], x) if c in inside else F.lit(None).cast("double")).alias(n)
+        for (c, x), n in zip(xs.items(), df.columns)])
+    return _narrowed_table(kept, path)
+
+
 def _approx_brackets(df, xs, big, need, d, accuracy):
     """Brackets for narrowed ranges, from a sample of about ``SAMPLE_ROWS``
     of the values inside each range (the range size is known exactly)."""

@@ -59,3 +59,18 @@ def test_parquet_input_gets_a_sampling_rate(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet")
     assert 0.0 < Q._rate(df) <= 1.0
     assert Q._est_rows(spark.createDataFrame([(1.0,)], "x double")) is None
+
+
+def test_later_rounds_read_only_the_narrowed_values(spark, monkeypatch):
+    monkeypatch.setattr(Q, "SMALL_COLUMN", 16)
+    made = []
+    real = Q._narrowed
+    monkeypatch.setattr(Q, "_narrowed", lambda *a: made.append(real(*a)) or made[-1])
+    vals = np.random.default_rng(5).normal(size=20_000).tolist()
+    df = spark.createDataFrame([(v, 2 * v) for v in vals], "a double, b double")
+    got = Q.exact_quantiles(df, ["a", "b"], [0.25, 0.5], band_rows=20, accuracy=100)
+    assert got["a"] == pytest.approx(_expect(vals, [0.25, 0.5]), rel=1e-12)
+    assert got["b"] == pytest.approx(_expect([2 * v for v in vals], [0.25, 0.5]), rel=1e-12)
+    assert len(made) == 1
+    with pytest.raises(Exception):  # the table is gone again
+        spark.read.parquet(made[0].path).count()
