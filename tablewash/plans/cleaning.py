@@ -12,11 +12,11 @@ and returns the final frame and the log. Steps that only *look* at data
 The steps after duplicate removal run several small actions on its result
 (suggestions, the conversion report, NULL counts, statistics). So that the
 duplicate shuffle runs once, the plan materialises that result:
-``materialize="persist"`` (default) caches it (memory, spilling to disk; a
-lost block is recomputed from lineage), ``"checkpoint"`` writes it with
-``df.checkpoint()`` to the cluster's shared ``spark.checkpoint.dir`` and cuts
-the lineage, so a lost executor restarts from the written copy; ``None``
-recomputes. :meth:`CleaningPlan.release` drops the cached copy.
+``materialize="checkpoint"`` (default) writes it with ``df.checkpoint()`` to the
+cluster's shared ``spark.checkpoint.dir`` and cuts the lineage, so a lost
+executor restarts from the written copy and nothing stays on executor disks;
+``"persist"`` caches it (memory, spilling to disk; a lost block is recomputed from
+lineage) until :meth:`CleaningPlan.release`; ``None`` recomputes.
 """
 
 from __future__ import annotations
@@ -52,7 +52,7 @@ class CleaningPlan:
     convert_types: list | str | None = AUTO
     impute_nulls: list | str | None = AUTO
     drop_columns: list | str | None = SKIP
-    materialize: str | None = "persist"
+    materialize: str | None = "checkpoint"
     checkpoint: bool = False          # same as materialize="checkpoint"
     _held: list = field(default_factory=list, repr=False)
 

@@ -31,6 +31,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     return spark
 
 
+_local_folder: tempfile.TemporaryDirectory | None = None
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 
@@ -47,7 +50,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return sc.getCheckpointDir()
     if not sc.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="tablewash-ckpt-"))
+    global _local_folder
+    if _local_folder is None:  # one for the process, removed when it ends
+        _local_folder = tempfile.TemporaryDirectory(prefix="tablewash-ckpt-", ignore_cleanup_errors=True)
+    sc.setCheckpointDir(_local_folder.name)
     return sc.getCheckpointDir()
 
 
