@@ -47,12 +47,13 @@ from tablewash.llm.anchors import (
     part_hashes,
     prefix_hashes,
 )
-from tablewash.llm.common import Scratch, release
+from tablewash.llm.common import Scratch, portions, release
 
 LEFT = WIDTH - 1  # bytes before an anchor that a string through it can reach
 SPAN = LEFT + LENGTH  # bytes around an anchor: LEFT before its start, LENGTH from it on
-DOCS_PER_PART = 5_000
-HOT_GRAM = 100_000
+DOCS_PER_PART = 1_250
+HOT_GRAM = 20_000
+PORTION = 10_000  # contexts that are ordered at a time
 
 
 def _pack(columns: list[tuple[np.ndarray, int]]) -> bytes:
@@ -73,37 +74,58 @@ def _unpack(blocks: list[tuple[bytes, int]], widths: list[int]) -> list[np.ndarr
     return [np.concatenate(x) if x else np.empty(0, dtype=np.uint64) for x in out]
 
 
+_NONE = np.uint64((1 << 64) - 1)
 _CHUNK_WIDTHS = [8, 8, 5, 5]  # hash, document, start, end
 _ANCHOR_WIDTHS = [6, 6, 8, 5]  # gram hash, chunk hash, document, place
 
 
-def _texts(row) -> list[tuple[int, np.ndarray]]:
-    """(offset in the document, bytes) of each text of a document."""
-    out, base = [], 0
-    for t in row:
-        b = np.frombuffer((t or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)
-        out.append((base, b))
-        base += len(b)
-    return out
-
-
-def _read(b: np.ndarray):
-    """Anchors of one text, the hashes of all grams, and the prefix hashes."""
-    prefix = prefix_hashes(b)
-    grams = gram_hashes(prefix, GRAM)
-    return anchors(grams), grams, prefix
+class _Joined:
+    """The texts of some documents in one buffer: of each text where it starts and
+    ends, its document, and its offset in the document's texts."""
+
+    def __init__(self, docs, texts):
+        parts, ids, bases = [], [], []
+        for doc, row in zip(docs, texts):
+            base = 0
+            for t in row:
+                parts.append((t or "").encode("utf-8", "surrogatepass"))
+                ids.append(doc)
+                bases.append(base)
+                base += len(parts[-1])
+        size = np.array([len(x) for x in parts], dtype=np.int64)
+        self.end = np.cumsum(size)
+        self.start = self.end - size
+        self.doc, self.base = np.array(ids, dtype=np.int64), np.array(bases, dtype=np.int64)
+        self.bytes = np.frombuffer(b"".join(parts), dtype=np.uint8)
+        self.text = np.repeat(np.arange(len(parts)), size)  # of each byte
+        self.prefix = prefix_hashes(self.bytes)
+        self.grams = gram_hashes(self.prefix, GRAM)
+        # grams over the end of a text are never the smallest
+        n = len(self.grams)
+        self.grams[np.arange(GRAM, n + GRAM) > self.end[self.text[:n]]] = _NONE
+
+    def anchors(self) -> np.ndarray:
+        at = anchors(self.grams)
+        at = at[self.grams[at] != _NONE]
+        long_enough = self.end - self.start >= LENGTH
+        return at[long_enough[self.text[at]]]
+
+    def place(self, at: np.ndarray) -> np.ndarray:
+        """Places in the documents of places in the buffer."""
+        t = self.text[np.minimum(at, len(self.text) - 1)]
+        return at - self.start[t] + self.base[t]
 
 
 def _starts(grams: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """How far before each anchor the strings start whose smallest gram, the first
     of equal ones, is the anchor's: from first to last."""
-    pad = np.full(LEFT, np.iinfo(np.uint64).max, dtype=np.uint64)
+    pad = np.full(LEFT, _NONE, dtype=np.uint64)
     near = np.concatenate([pad, grams, pad])[at[:, None] + np.arange(2 * LEFT + 1)]
     own = near[:, LEFT:LEFT + 1]
     before, after = near[:, LEFT - 1::-1] <= own, near[:, LEFT + 1:] < own
     last = np.where(before.any(axis=1), before.argmax(axis=1), LEFT)
     free = np.where(after.any(axis=1), after.argmax(axis=1), LEFT)  # grams after it that are no smaller
-    return LEFT - free, np.minimum(last, at)
+    return LEFT - free, last
 
 
 def _cover(parts: int):
@@ -111,25 +133,21 @@ def _cover(parts: int):
     smallest document goes on; the others are covered at once."""
 
     def run(batches):
-        for batch in batches:
-            chunks, found = [], []
-            for doc, texts in zip(batch["doc"], batch["texts"]):
-                for base, b in _texts(texts):
-                    if len(b) < LENGTH:
-                        continue
-                    at, grams, prefix = _read(b)
-                    h = grams[at]
-                    start = np.unique(np.append(0, at[(h >> np.uint64(20)) % np.uint64(CHUNK) == 0]))
-                    lo = np.maximum(start - LEFT, 0)
-                    hi = np.minimum(np.append(start[1:], len(b)) + LENGTH - 1, len(b))
-                    c = part_hashes(prefix, lo, hi)
-                    chunks.append((c, np.full(len(c), doc, dtype=np.int64), lo + base, hi + base))
-                    k = np.searchsorted(start, at, "right") - 1
-                    found.append((h, c[k], np.full(len(h), doc, dtype=np.int64), at + base))
-            if not chunks:
+        for batch in portions(batches, lambda b: b["texts"], 1 << 20):
+            x = _Joined(batch["doc"], batch["texts"])
+            place = x.anchors()
+            if not len(place):
                 continue
-            c, doc, lo, hi = (np.concatenate(x) for x in zip(*chunks))
-            h, own, whose, place = (np.concatenate(x) for x in zip(*found))
+            h = x.grams[place]
+            whole = x.start[x.end - x.start >= LENGTH]
+            start = np.unique(np.append(whole, place[(h >> np.uint64(20)) % np.uint64(CHUNK) == 0]))
+            t = x.text[start]
+            lo = np.maximum(start - LEFT, x.start[t])
+            hi = np.minimum(np.minimum(np.append(start[1:], len(x.bytes)), x.end[t]) + LENGTH - 1, x.end[t])
+            c, doc = part_hashes(x.prefix, lo, hi), x.doc[t]
+            own, whose = c[np.searchsorted(start, place, "right") - 1], x.doc[x.text[place]]
+            shift = x.base[t] - x.start[t]
+            lo, hi, place = lo + shift, hi + shift, x.place(place)
             order = np.lexsort((doc, c))
             c, doc, lo, hi = c[order], doc[order], lo[order], hi[order]
             new = np.append(True, c[1:] != c[:-1])
@@ -199,39 +217,50 @@ _AROUND = "gram long, doc long, place long, first int, last int, bytes binary"
 def _around(batches):
     """The bytes around each wanted anchor. ``first`` to ``last``: how far before it
     its strings start; each string belongs to the anchor of its smallest gram."""
-    for batch in batches:
-        out = []
-        for doc, texts, wanted in zip(batch["doc"], batch["texts"], batch["wanted"]):
+    for batch in portions(batches, lambda b: b["texts"], 1 << 20):
+        x = _Joined(batch["doc"], batch["texts"])
+        at, k = [], 0
+        for texts, wanted in zip(batch["texts"], batch["wanted"]):
             wanted = np.sort(np.asarray(wanted, dtype=np.int64))
-            for base, b in _texts(texts):
-                mine = wanted[np.searchsorted(wanted, base):np.searchsorted(wanted, base + len(b))] - base
-                if not len(mine):
-                    continue
-                _, grams, _ = _read(b)
-                first, last = _starts(grams, mine)
-                first = np.maximum(mine + LENGTH - len(b), first)
-                wide = np.concatenate([np.zeros(LEFT, dtype=np.uint8), b, np.zeros(LENGTH, dtype=np.uint8)])
-                for j in np.flatnonzero(first <= last):
-                    p = int(mine[j])
-                    out.append((int(grams[p].astype(np.int64)), doc, p + base, int(first[j]), int(last[j]),
-                                wide[p:p + SPAN].tobytes()))
-        yield pd.DataFrame(out, columns=["gram", "doc", "place", "first", "last", "bytes"])
+            for _ in texts:
+                low = x.base[k]
+                mine = wanted[slice(*np.searchsorted(wanted, [low, low + x.end[k] - x.start[k]]))]
+                at.append(mine - low + x.start[k])
+                k += 1
+        at = np.concatenate(at) if at else np.empty(0, dtype=np.int64)
+        if not len(at):
+            continue
+        t = x.text[at]
+        first, last = _starts(x.grams, at)
+        first, last = np.maximum(at + LENGTH - x.end[t], first), np.minimum(at - x.start[t], last)
+        fine = first <= last
+        at, t, first, last = at[fine], t[fine], first[fine], last[fine]
+        wide = np.concatenate([np.zeros(LEFT, dtype=np.uint8), x.bytes, np.zeros(LENGTH, dtype=np.uint8)])
+        around = wide[at[:, None] + np.arange(SPAN)].tobytes()
+        yield pd.DataFrame({"gram": x.grams[at].view(np.int64), "doc": x.doc[t], "place": x.place(at),
+                            "first": first.astype(np.int32), "last": last.astype(np.int32),
+                            "bytes": [around[i:i + SPAN] for i in range(0, len(around), SPAN)]})
 
 
 def _name(*columns: np.ndarray) -> np.ndarray:
     """Ranks of the tuples of names, in their order."""
     out = columns[0].astype(np.uint64)
+    if len(columns) == 3 and all(c.size and int(c.max()) < 1 << 21 for c in columns):
+        for c in columns[1:]:
+            out = out << np.uint64(21) | c.astype(np.uint64)
+        columns = columns[:1]
     for c in columns[1:]:
         _, out = np.unique(out, return_inverse=True)
         out = out.reshape(c.shape).astype(np.uint64) << np.uint64(24) | c.astype(np.uint64)
     return np.unique(out, return_inverse=True)[1].reshape(columns[0].shape)
 
 
-def _later_strings(s: np.ndarray, gram: np.ndarray, doc: np.ndarray, first: np.ndarray,
+def _later_strings(s: np.ndarray, of: np.ndarray, gram: np.ndarray, doc: np.ndarray, first: np.ndarray,
                    last: np.ndarray) -> np.ndarray:
-    """For each row of bytes and each place of its LENGTH-byte strings, whether a
-    smaller document has the same string, by difference-cover suffix order."""
-    n = len(s)
+    """For each context (of: its row of bytes in s) and each place of its LENGTH-byte
+    strings, whether a smaller document has the same string, by difference-cover
+    suffix order."""
+    n = len(of)
     # names of 3, 9 and 27 bytes of the suffixes at places 1 and 2 modulo 3
     name = {r: s[:, r:SPAN - 2:3].astype(np.uint64) << np.uint64(16) | s[:, r + 1:SPAN - 1:3].astype(np.uint64) << np.uint64(8)
             | s[:, r + 2:SPAN:3].astype(np.uint64) for r in (1, 2)}
@@ -256,7 +285,7 @@ def _later_strings(s: np.ndarray, gram: np.ndarray, doc: np.ndarray, first: np.n
             keys = (at(p), at(p + LENGTH - 28), s[:, p + LENGTH - 1])
         else:
             keys = (at(p), at(p + LENGTH - 27))
-        keys = [k[rows] for k in keys] + [gram[rows]]
+        keys = [k[of[rows]] for k in keys] + [gram[rows]]
         d = doc[rows]
         order = np.lexsort((d, *keys[::-1]))
         new = np.zeros(len(rows), dtype=bool)
@@ -273,12 +302,21 @@ _SPANS = "doc long, lo long, hi long"
 
 
 def _order(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Covered strings of one part's contexts."""
-    s = np.frombuffer(b"".join(pdf["bytes"]), dtype=np.uint8).reshape(-1, SPAN)
-    doc, place = pdf["doc"].to_numpy(), pdf["place"].to_numpy()
-    later = _later_strings(s, pdf["gram"].to_numpy(), doc, pdf["first"].to_numpy(), pdf["last"].to_numpy())
-    row, back = np.nonzero(later)
-    return _united(doc[row], place[row] - back, place[row] - back + LENGTH)
+    """Covered strings of one part's contexts, some grams at a time."""
+    pdf = pdf.sort_values("gram", kind="stable")
+    gram = pdf["gram"].to_numpy()
+    out, start = [], 0
+    while start < len(pdf):
+        end = int(np.searchsorted(gram, gram[min(start + PORTION, len(pdf)) - 1], "right"))
+        part = pdf.iloc[start:end]
+        of, different = pd.factorize(part["bytes"])  # equal contexts are named once
+        s = np.frombuffer(b"".join(different), dtype=np.uint8).reshape(-1, SPAN)
+        doc, place = part["doc"].to_numpy(), part["place"].to_numpy()
+        later = _later_strings(s, of, gram[start:end], doc, part["first"].to_numpy(), part["last"].to_numpy())
+        row, back = np.nonzero(later)
+        out.append(_united(doc[row], place[row] - back, place[row] - back + LENGTH))
+        start = end
+    return pd.concat(out, ignore_index=True)
 
 
 def _united(doc, lo, hi) -> pd.DataFrame:
@@ -336,6 +374,16 @@ def covered(docs: DataFrame, scratch: Scratch) -> DataFrame:
     return out
 
 
+def _texts(row) -> list[tuple[int, np.ndarray]]:
+    """(offset in the document, bytes) of each text of a document."""
+    out, base = [], 0
+    for t in row:
+        b = np.frombuffer((t or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)
+        out.append((base, b))
+        base += len(b)
+    return out
+
+
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """Of every row: ``n_bytes, n_removed, n_spans, kept_sha256`` and, if asked for,
     the bytes ``kept``."""
@@ -353,7 +401,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_
     spans = covered(grouped, scratch).groupBy("doc").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
 
     def finish(batches):
-        for batch in batches:
+        for batch in portions(batches, lambda b: b["texts"], 1 << 20):
             out = []
             for doc, texts, spans_ in zip(batch["doc"], batch["texts"], batch["spans"]):
                 runs = [] if spans_ is None else [(x["lo"], x["hi"]) for x in spans_]
