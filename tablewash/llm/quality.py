@@ -93,7 +93,7 @@ def _counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return at.astype(np.int32), total[at].astype(np.float32)
 
 
-def train(sample: list[tuple[list[int], list[float], int]], seed: int = 7) -> np.ndarray:
+def train(sample: list[tuple[np.ndarray, np.ndarray, int]], seed: int = 7) -> np.ndarray:
     """Logit difference of each bucket, from rows of buckets, counts and label.
     Without rows of both classes every bucket is neutral."""
     if len({y for _, _, y in sample}) < 2:
@@ -135,9 +135,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int =
             yield pd.DataFrame({"at": [f[0] for f in found], "n": [f[1] for f in found], "y": b["y"]})
 
     sample = labelled_sample(docs, labels, label, rows).mapInPandas(run, "at array<int>, n array<float>, y int")
-    got = sample.toArrow().to_pydict() if sample.columns else {}
-    rows_ = sorted(zip(got["at"], got["n"], got["y"]), key=lambda r: (r[2], len(r[0]), r[0][:50]))
-    return train(rows_)
+    rows_ = []
+    for batch in sample.toArrow().to_batches():  # arrays, not lists of numbers
+        at, n = batch.column(0), batch.column(1)
+        ends = at.offsets.to_numpy()
+        places, counts = at.values.to_numpy(), n.values.to_numpy()
+        rows_ += [(places[lo:hi], counts[lo:hi], y) for lo, hi, y in
+                  zip(ends[:-1], ends[1:], batch.column(2).to_pylist())]
+    return train(sorted(rows_, key=lambda r: (r[2], len(r[0]), r[0][:99].tobytes(), r[1][:99].tobytes())))
 
 
 def score(docs: DataFrame, model: np.ndarray, keep: list[str], text_col: str = "text",
