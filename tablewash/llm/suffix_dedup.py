@@ -398,20 +398,24 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_
     else:
         grouped = named.select("doc", F.array("text").alias("texts"))
     grouped = grouped.withColumn("doc", F.col("doc").cast("long"))
-    spans = covered(grouped, scratch).groupBy("doc").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    spans = covered(grouped, scratch).groupBy("doc").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
 
     def finish(batches):
         for batch in portions(batches, lambda b: b["texts"], 1 << 20):
             out = []
-            for doc, texts, spans_ in zip(batch["doc"], batch["texts"], batch["spans"]):
-                runs = [] if spans_ is None else [(x["lo"], x["hi"]) for x in spans_]
-                all_ = _united(np.zeros(len(runs), dtype=np.int64), np.array([r[0] for r in runs], dtype=np.int64),
-                               np.array([r[1] for r in runs], dtype=np.int64))
+            for doc, texts, lows, highs in zip(batch["doc"], batch["texts"], batch["lo"], batch["hi"]):
+                runs: list[list[int]] = []
+                for lo, hi in () if lows is None else sorted(zip(lows.tolist(), highs.tolist())):
+                    if runs and lo <= runs[-1][1]:
+                        runs[-1][1] = max(hi, runs[-1][1])
+                    else:
+                        runs.append([lo, hi])
                 for (base, b), text in zip(_texts(texts), texts):
                     keep, n = [], 0
                     at = base
-                    for lo, hi in zip(all_["lo"].tolist(), all_["hi"].tolist()):
-                        if lo >= base + len(b) or hi <= base:
+                    for lo, hi in runs:
+                        lo, hi = max(lo, base), min(hi, base + len(b))
+                        if lo >= hi:
                             continue
                         keep.append(b[at - base:lo - base])
                         at, n = hi, n + 1
