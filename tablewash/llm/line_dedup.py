@@ -55,20 +55,22 @@ def lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             .select(*_KEY, "i", "x.line", "x.a", "x.b"))
 
 
-def _shared(named: DataFrame) -> DataFrame:
-    """The suffixes that share their name, and whether they are a later copy."""
-    intervals = (named.groupBy("a", "b").agg(F.min(_place()).alias("lo"), F.max(_place()).alias("hi"))
-                 .where("lo <> hi").select("a", "b", "lo"))
-    return (named.join(intervals, ["a", "b"])
-            .select(*_KEY, "i", "line", "a", "b", (_place() != F.col("lo")).alias("later")))
+def _shared(named: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """The suffixes that share their name, and whether they are a later copy. The
+    intervals are written first: joined to a table, a name of very many suffixes
+    can be split among tasks."""
+    intervals = scratch.keep(named.groupBy("a", "b").agg(F.min(_place()).alias("lo"), F.max(_place()).alias("hi"))
+                             .where("lo <> hi").select("a", "b", "lo"), f"{name}-intervals")
+    return scratch.keep(named.join(intervals, ["a", "b"])
+                        .select(*_KEY, "i", "line", "a", "b", (_place() != F.col("lo")).alias("later")), name)
 
 
-def _doubled(shared: DataFrame, step: int, carry: list[str]) -> DataFrame:
+def _doubled(shared: DataFrame, step: int) -> DataFrame:
     """Names of the runs made of a suffix's run and the one ``step`` lines on."""
     at = W.partitionBy(*_KEY).orderBy("i").rangeBetween(step, step)
     next_ = [F.first(c).over(at).alias(f"n{c}") for c in ("a", "b")]
-    return (shared.select(*_KEY, "i", "line", *carry, "a", "b", *next_).where("na IS NOT NULL")
-            .select(*_KEY, "i", "line", *carry, F.xxhash64("a", "b", "na", "nb").alias("a"),
+    return (shared.select(*_KEY, "i", "line", "a", "b", *next_).where("na IS NOT NULL")
+            .select(*_KEY, "i", "line", F.xxhash64("a", "b", "na", "nb").alias("a"),
                     F.xxhash64("b", "a", "nb", "na", F.lit(1)).alias("b")))
 
 
@@ -76,15 +78,15 @@ def deletions(docs: DataFrame, scratch: Scratch, min_lines: int = MIN_LINES, id_
               text_col: str = "text", depth: bool = False) -> DataFrame:
     """``k1, k2, gone`` (numbers of the deleted lines), ``n_runs`` and, if asked for, ``depth``."""
     named = lines(docs, id_col, text_col).dropDuplicates([*_KEY, "i"])
-    first = shared = scratch.keep(_shared(named), "level-0")
+    first = shared = _shared(named, scratch, "level-0")
     size, level = 1, 0
     while 2 * size <= min_lines:
         level += 1
-        shared = scratch.keep(_shared(_doubled(shared, size, [])), f"level-{level}")
+        shared = _shared(_doubled(shared, size), scratch, f"level-{level}")
         size *= 2
     runs = shared
     if size < min_lines:  # two overlapping names
-        runs = scratch.keep(_shared(_doubled(shared, min_lines - size, [])), "runs")
+        runs = _shared(_doubled(shared, min_lines - size), scratch, "runs")
     marked = first.select(*_KEY, "i", "line").join(
         runs.select(*_KEY, "i", "later"), [*_KEY, "i"], "left") if min_lines > 1 else first
     covered = F.max(F.coalesce("later", F.lit(False))).over(
@@ -98,7 +100,7 @@ def deletions(docs: DataFrame, scratch: Scratch, min_lines: int = MIN_LINES, id_
     reach = runs.where("later").groupBy(*_KEY).agg(F.lit(min_lines).alias("depth"))
     while shared.where("later").limit(1).count():
         level += 1
-        shared = scratch.keep(_shared(_doubled(shared, size, [])), f"level-{level}")
+        shared = _shared(_doubled(shared, size), scratch, f"level-{level}")
         size *= 2
         if size >= min_lines:
             reach = reach.union(shared.where("later").groupBy(*_KEY).agg(F.lit(size).alias("depth")))
