@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 from tablewash.llm.common import map_texts
 
 _NEVER = 1 << 60
+CACHE = 300_000  # words, pieces and states that a worker keeps, about 400 MB; fewer cost time only
 
 
 def parse_ranks(data: bytes) -> dict[bytes, int]:
@@ -114,7 +115,7 @@ class Vocabulary:
                 i += 1
             else:
                 j += 1
-        if len(self._fits) > 1_000_000:
+        if len(self._fits) > 500_000:
             self._fits.clear()
         self._fits[a << 32 | b] = out
         return out
@@ -181,9 +182,9 @@ class Encoder:
     # Beside a single blank between two other characters no match crosses over.
     _UNEVEN = re.compile(r"^ | $| \s|\s ")
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, cache: int = 300_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, cache: int = CACHE):
         self.pattern = regex.compile(pattern)
-        self.transducer = Transducer(Vocabulary(ranks))
+        self.transducer = Transducer(Vocabulary(ranks), max_states=cache)
         self.cache, self.words, self.pieces = cache, {}, {}
 
     def _piece(self, piece: str) -> list[int]:
@@ -295,13 +296,15 @@ class StreamDecoder:
 _made: dict[tuple, tuple[Encoder, dict]] = {}
 
 
-def _tools(path: str, pattern: str) -> tuple[Encoder, dict]:
+def _tools(path: str, pattern: str, cache: int = CACHE) -> tuple[Encoder, dict]:
     """One encoder and one decoder table for each worker process."""
     gc.disable()  # the tables hold no cycles, and scanning them takes a third of the time
-    if (path, pattern) not in _made:
+    key = path, pattern, cache
+    if key not in _made:
+        _made.clear()
         with open(path, "rb") as f:
-            _made[path, pattern] = Encoder(parse_ranks(f.read()), pattern), {}
-    return _made[path, pattern]
+            _made[key] = Encoder(parse_ranks(f.read()), pattern, cache), {}
+    return _made[key]
 
 
 def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id",
@@ -332,12 +335,12 @@ def decode_documents(encoded: DataFrame, vocabulary: str, pattern: str,
 
 
 def round_trip(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id",
-               text_col: str = "text", with_ids: bool = False) -> DataFrame:
+               text_col: str = "text", with_ids: bool = False, cache: int = CACHE) -> DataFrame:
     """Encode, then decode the ids, in one pass over the texts: ``n_tokens``,
     ``ids_sha256`` (decimal ids joined by commas), ``decoded_sha256`` (bytes), and
     the ``ids`` if asked for."""
     def make():
-        encoder, memo = _tools(vocabulary, pattern)
+        encoder, memo = _tools(vocabulary, pattern, cache)
         bytes_of = encoder.transducer.vocab.bytes_of
 
         def one(text):

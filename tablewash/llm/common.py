@@ -36,6 +36,7 @@ def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string")) % FOLDS == 0
 
 
+SLICE = 512
 _ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(),
           "array<int>": pa.list_(pa.int32())}
 
@@ -51,11 +52,13 @@ def map_texts(docs: DataFrame, keep: list[str], text_col: str, make: Callable, o
 
     def run(batches):
         work = make()
-        for b in batches:
-            results = work(b.column(len(keep)).to_pylist())
-            arrays = [b.column(i) for i in range(len(keep))]
-            arrays += [pa.array(r, type=_ARROW[t]) for r, t in zip(results, types)]
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
+        for whole in batches:
+            for at in range(0, max(1, whole.num_rows), SLICE):  # few texts at a time as Python strings
+                b = whole.slice(at, SLICE)
+                results = work(b.column(len(keep)).to_pylist())
+                arrays = [b.column(i) for i in range(len(keep))]
+                arrays += [pa.array(r, type=_ARROW[t]) for r, t in zip(results, types)]
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     schema = ", ".join(f"{n} {t}" for n, t in zip(names, [kinds[c] for c in keep] + types))
     picked = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)]

@@ -41,7 +41,7 @@ from tablewash.llm.common import Scratch, portions, release
 from tablewash.llm.components import components
 from tablewash.llm.shingles import mix, shingles
 
-DOCS_PER_PART = 8_000
+DOCS_PER_PART = 2_000
 FRAGMENT = 4096  # n-grams of the order that one product of incidence matrices covers
 BLOCK_DOCS, BLOCK_NGRAMS = 512, 500_000  # of a family; more of either is cut into blocks
 NO_ID = -(1 << 63)
@@ -119,7 +119,7 @@ def _blocks(n: int, percent: int, parts: int):
     classes = size_classes(percent)
 
     def run(batches):
-        for b in portions(batches, lambda b: b["t"].map(lambda t: [t])):
+        for b in portions(batches, lambda b: b["t"].map(lambda t: [t]), 1 << 20):
             rows, keys, of, seen = [], [], [], set()
             for doc, text in zip(b["k"], b["t"]):
                 s = shingles(text, n)
@@ -263,7 +263,7 @@ def groups(docs: DataFrame, n: int, percent: int, id_col: str = "doc_id",
     wanted = families.select(F.col("doc").alias("k")).distinct()
 
     def cut(batches):
-        for b in batches:
+        for b in portions(batches, lambda b: b["t"].map(lambda t: [t]), 1 << 20):
             sets = [shingles(t, n) for t in b["t"]]
             yield pd.DataFrame({"doc": b["k"], "n": [len(s) for s in sets], "grams": [s.tobytes() for s in sets]})
 
