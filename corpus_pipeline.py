@@ -38,10 +38,11 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text, with the hashes of a full round trip."""
+    """Token ids of every text, with the hashes of a full round trip. Small tables:
+    Python workers keep them while the stages of another run need the memory."""
     ready(spark)
     return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
-                          public_tokenizers.PATTERN, with_ids=True)
+                          public_tokenizers.PATTERN, with_ids=True, cache=60_000)
 
 
 STAGES = [
