@@ -6,8 +6,10 @@ sidebars, notices, adverts, forms, reader comments) and, where the page has an
 ``article`` or ``main`` element, lines outside it, weigh nothing. The weights
 are summed over sliding windows of ``WINDOW`` lines. A surge point is a line
 whose window sum rises over a threshold, a dive point the next line whose
-window sum is nothing; the text between them is kept. Inside an article the
-threshold is zero, so nothing of it is lost.
+window sum is nothing; the text between them is kept. Inside an article a line
+weighs its whole text, links included, and the threshold is zero, so nothing of
+it is lost. An article of linked lines only is kept whole, and the lines outside it
+are judged as on a page without one.
 
 Character references are decoded after the markup is gone, white space inside a
 block becomes one blank, and blocks are joined by one blank in page order.
@@ -182,13 +184,15 @@ def extract(html: str | None) -> str:
         return ""
     lines = _Page(html).lines
     article = any(inside and weight for _, weight, inside in lines)
-    weights = [w if inside or not article else 0 for _, w, inside in lines]
+    weights = [w if not article else len(text) if inside else 0 for text, w, inside in lines]
     n = len(weights)
     sums = [sum(weights[i:i + WINDOW]) for i in range(n)]
     threshold = 0 if article else min(SURGE, max(sums, default=0) / 4)
     out, i = [], 0
     while i < n:
         if sums[i] <= threshold or not (weights[i] or lines[i][0]):
+            if lines[i][0] and lines[i][2]:
+                out.append(lines[i][0])
             i += 1
             continue
         while i < n and sums[i]:  # from the surge to the dive

@@ -107,6 +107,19 @@ def test_extract(html, text):
     assert html_extract.extract(html) == text
 
 
+@pytest.mark.parametrize("html, text", [
+    ("<article><p>Text</p><p><a href=x>Source</a></p></article>", "Text Source"),
+    ("<article><p>One</p><p><a href=x>See</a></p><aside>s</aside><p>Two</p></article>", "One See Two"),
+    ("<main><ul>" + "".join(f"<li><a href={i}>R{i}</a></li>" for i in range(6)) + "</ul><p>End</p></main>",
+     "R0 R1 R2 R3 R4 R5 End"),
+    ("<nav><a href=/>Menu</a></nav><article><p><a href=x>A</a></p><p><a href=y>B</a></p></article>", "A B"),
+    ("<div><a href=z>Z</a></div><article><p><a href=x>A</a></p><p>B</p></article><p>Outside</p>", "A B"),
+    ("<main><a href=x>A</a></main><div>" + "Story. " * 20 + "</div>", "A " + "Story. " * 19 + "Story."),
+])
+def test_extract_keeps_linked_lines_of_an_article(html, text):
+    assert html_extract.extract(html) == text
+
+
 def test_extract_without_article_keeps_the_surge():
     menu = "".join(f"<div><a href='/{i}'>Link {i}</a></div>" for i in range(20))
     body = "".join(f"<div>{'Long sentence of the story. ' * 8}{i}</div>" for i in range(6))
