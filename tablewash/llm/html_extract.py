@@ -29,13 +29,16 @@ from tablewash.llm.common import map_texts
 WINDOW = 3
 SURGE = 86  # characters in a window; a quarter of the largest window if that is less
 
-# A quoted value that is longer, or never ends, stops at the next ">"; so the scan stays linear.
+# A quoted value of over 4,000 characters ends where an attribute or the tag can end. After a
+# quote that never closes so, and in a tag that never ends, the next ">" ends the tag.
+_QUOTED = "|".join(f"{q}[^{q}]{{0,4000}}{q}|{q}[^{q}]*+{q}(?=[\\s/>]|[a-zA-Z_:@][\\w:.-]{{0,100}}\\s*=)" for q in "\"'")
+_ATTRS = f"(?:[^>\"']|{_QUOTED})*+(?:[\"'][^>]*+)?"
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|title|textarea|noscript|template|iframe|xmp|noembed)\b(?:[^>\"']|\"[^\"]{0,4000}\"|'[^']{0,4000}')*+>.*?(?:</\1\s*>|\Z)"
+    rf"|<(script|style|title|textarea|noscript|template|iframe|xmp|noembed)\b{_ATTRS}>.*?(?:</\1\s*>|\Z)"
     r"|<[!?][^>]*>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]{0,4000}\"|'[^']{0,4000}')*+)>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
+    rf"|<(/?)([a-zA-Z][^\s/>]*+)({_ATTRS})>"
+    r"|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>",
     re.S | re.I)
 _ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 

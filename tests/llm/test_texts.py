@@ -120,6 +120,22 @@ def test_extract_keeps_linked_lines_of_an_article(html, text):
     assert html_extract.extract(html) == text
 
 
+LONG = "y" * 5000 + " > z"
+
+
+@pytest.mark.parametrize("html, text", [
+    (f'<article><p data-x="{LONG}">Text</p></article>', "Text"),
+    (f"<article><p data-x='{LONG}' class=k>Text</p><img alt=\"{LONG}\"/><p>More</p></article>", "Text More"),
+    (f'<p data-x="{LONG}"class="k">Text</p>', "Text"),
+    (f"<script data-x='{LONG}'>var a = 1</script><style title=\"{LONG}\">b</style><p>Text</p>", "Text"),
+    ('<p title="open>Text</p><p>More</p>', "Text More"),
+    ('<p id="a > b" title="open>Text</p><p>More</p>', "Text More"),
+    ('<p title="open>Text</p><p>' + "z" * 5000 + '</p><p class="k">More</p>', "Text " + "z" * 5000 + " More"),
+])
+def test_extract_long_attribute_values(html, text):
+    assert html_extract.extract(html) == text
+
+
 def test_extract_without_article_keeps_the_surge():
     menu = "".join(f"<div><a href='/{i}'>Link {i}</a></div>" for i in range(20))
     body = "".join(f"<div>{'Long sentence of the story. ' * 8}{i}</div>" for i in range(6))
