@@ -88,9 +88,9 @@ def items(benchmark: DataFrame) -> DataFrame:
     return out.withColumn("fp", simhash(F.col("shingles")))
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``doc_id, item_id, similarity`` and first word of the most similar window of
-    each document and item at or above the threshold."""
+def _windows(docs: DataFrame, benchmark: DataFrame, percent: int) -> DataFrame:
+    """``doc_id, __row`` (hash of the text), ``item_id, at, similarity`` of the
+    windows at or above the threshold."""
     all_items = items(benchmark)
     size = all_items.agg(F.sum(F.size("shingles"))).first()[0] or 0
     small = F.broadcast if size <= BROADCAST_SHINGLES else (lambda df: df)
@@ -115,9 +115,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> Da
                                    F.greatest(F.col("n") - f["words"], F.lit(0))).alias("at"))))))
     back = docs.select(F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__r"), F.col("text").alias("__t"))
     windows = (back.join(aligned, F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__r") == F.col("__row")))
-               .select("doc_id", _word_hashes(F.col("__t")).alias("h"), near.alias("near"))
-               .select("doc_id", "h", F.explode("near").alias("w"))
-               .select("doc_id", "w.words", "w.at", _shingles(F.slice("h", F.col("w.at") + 1, F.col("w.words"))).alias("mine")))
+               .select("doc_id", "__row", _word_hashes(F.col("__t")).alias("h"), near.alias("near"))
+               .select("doc_id", "__row", "h", F.explode("near").alias("w"))
+               .select("doc_id", "__row", "w.words", "w.at", _shingles(F.slice("h", F.col("w.at") + 1, F.col("w.words"))).alias("mine")))
     windows = windows.withColumn("fp_mine", simhash(F.col("mine")))
 
     def keys(fp: str) -> Column:
@@ -131,9 +131,16 @@ def matches(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> Da
              .where(F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_mine"))) <= RADIUS)
              # of the blocks that agree only the first one counts
              .where(F.col("block") == _first_block("fp", "fp_mine"))
-             .select("doc_id", "item_id", "at", similarity(F.col("mine"), F.col("shingles")).alias("similarity")))
+             .select("doc_id", "__row", "item_id", "at",
+                     similarity(F.col("mine"), F.col("shingles")).alias("similarity")))
+    return close.where(F.col("similarity") * 100 >= percent)
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``doc_id, item_id, similarity`` and first word of the most similar window of
+    each document and item at or above the threshold."""
     best = F.max(F.struct(F.col("similarity"), (-F.col("at")).alias("at")))
-    return (close.where(F.col("similarity") * 100 >= percent).groupBy("doc_id", "item_id").agg(best.alias("best"))
+    return (_windows(docs, benchmark, percent).groupBy("doc_id", "item_id").agg(best.alias("best"))
             .select("doc_id", "item_id", F.col("best.similarity").alias("similarity"),
                     (-F.col("best.at")).cast("long").alias("first_word")))
 
@@ -145,7 +152,9 @@ def _first_block(a: str, b: str) -> Column:
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The documents that hold no benchmark item, with all their columns. Rows that
-    share their id with a contaminated one go too; rows without id are judged together."""
-    found = matches(docs, benchmark, percent).select(F.col("doc_id").alias("__found")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("__found")), "left_anti").select(*docs.columns)
+    """The documents that hold no benchmark item, with all their columns. Every row is
+    judged by its own text, whatever id it has."""
+    found = (_windows(docs, benchmark, percent)
+             .select(F.col("doc_id").alias("__found"), F.col("__row").alias("__text")).distinct())
+    own = F.col("doc_id").eqNullSafe(F.col("__found")) & (F.xxhash64("text") == F.col("__text"))
+    return docs.join(found, own, "left_anti").select(*docs.columns)

@@ -299,9 +299,25 @@ def join_report(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
 
 def keep_first(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """One document of each linked group: the one with the smallest id, all its
-    columns kept; rows without id stay."""
-    out = groups(docs, n, percent)
-    later = out.where("doc <> component").select(F.col("doc").alias("__later")).distinct()
-    kept = docs.join(later, F.col("doc_id") == F.col("__later"), "left_anti")
-    named = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    columns kept; rows without id stay. Rows that share their id but not their text
+    are documents of their own."""
+    scratch = Scratch(docs.sparkSession, "first")
+    text = F.xxhash64("text")
+    several = scratch.keep(docs.where("doc_id IS NOT NULL").groupBy("doc_id")
+                           .agg(F.min(text).alias("lo"), F.max(text).alias("hi")).where("lo <> hi")
+                           .select(F.col("doc_id").alias("__several")), "several")
+    node = F.when(F.col("__several").isNull(), F.col("doc_id").cast("long")).otherwise(F.xxhash64("doc_id", "text"))
+    keyed = docs.join(several, F.col("doc_id") == F.col("__several"), "left").withColumn("__node", node)
+    # ids of the keys that are hashes
+    ids = (keyed.where("__several IS NOT NULL").select(F.col("__node").alias("doc"), F.col("doc_id").cast("long").alias("id"))
+           .distinct())
+    members = scratch.keep(groups(keyed.select("__node", "text"), n, percent, "__node").where("doc IS NOT NULL")
+                           .select("doc", "component").distinct().join(ids, "doc", "left")
+                           .select("component", F.struct(F.coalesce("id", "doc").alias("id"), "doc").alias("member")),
+                           "members")
+    first = members.groupBy("component").agg(F.min("member").alias("first"), F.count("*").alias("m")).where("m > 1")
+    later = (members.join(first, "component").where("member <> first")
+             .select(F.col("member.doc").alias("__later")))
+    kept = keyed.join(later, F.col("__node") == F.col("__later"), "left_anti")
+    named = kept.where("doc_id IS NOT NULL").dropDuplicates(["__node"])
     return named.unionByName(kept.where("doc_id IS NULL")).select(*docs.columns)

@@ -360,6 +360,22 @@ def test_decontamination_of_changed_items(spark):
     assert decontaminate.matches(frame.limit(0), bench).count() == 0
 
 
+def test_rows_are_judged_by_their_own_text(spark):
+    """Null and repeated ids: only rows with an item, or later copies, go."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    near = " ".join(b.split()[:-1])
+    rows = [(None, a, 1), (None, b, 2), (1, a, 3), (1, b, 4), (2, c, 5), (3, None, 6), (3, b, 7), (-5, near, 8), (-5, c, 9),
+            (-5, c, 10), (9, near, 11), (-6, b, 12), (-6, c + " x", 13), (-6, "", 14)]
+    frame = spark.createDataFrame(rows, SCHEMA + ", n int")
+    bench = spark.createDataFrame([(1, a)], "item_id long, text string")
+    left = decontaminate.remove_contaminated(frame, bench)
+    assert left.columns == frame.columns
+    assert {r.n for r in left.collect()} == {r[2] for r in rows} - {1, 3}
+    kept = jaccard_join.keep_first(frame)
+    assert kept.columns == frame.columns
+    assert sorted(r.n for r in kept.collect()) == [1, 2, 3, 6, 12, 13, 14]
+
+
 # --- pipeline ---------------------------------------------------------------
 
 
