@@ -8,13 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tablewash.llm import (
     bpe,
+    conversation_repair,
     decontaminate,
+    exact_dedup,
     fingerprints,
     html_extract,
     jaccard_join,
     line_dedup,
     pii,
     quality,
+    source_divergence,
     suffix_dedup,
     toxicity,
 )
@@ -63,6 +66,18 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.damage_report(table(spark, sf_dir, "conversations"))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.report(table(spark, sf_dir, "documents"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.audit(table(spark, sf_dir, "documents"), min_docs=10, top=10)
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_toxicity": op2_toxicity,
@@ -74,6 +89,13 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_html_extraction": op10_html_extraction,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_exact_dedup": op12_exact_dedup,
+    "op13_source_divergence": op13_source_divergence,
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_line_dedup": line_dedup.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op7_line_dedup": line_dedup.ORACLE_SQL,
+    "op12_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op13_source_divergence": source_divergence.ORACLE_SQL,
+}
