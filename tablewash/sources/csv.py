@@ -2,9 +2,8 @@
 
 Input is read the way the cleaning flow expects: header row, every column as
 text, an empty field as NULL, and no field lost: a row with more fields than the
-header is an error (or is returned apart). Files with newlines inside quoted
-fields are read one file per task, all others are split across tasks. Output is
-written by all tasks in parallel.
+header is an error (or is returned apart). Files are split across tasks, also those with
+newlines inside quoted fields (``records.py``). Output is written by all tasks in parallel.
 """
 
 from __future__ import annotations
@@ -16,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import qcol
+from .records import records
 
 EXPORT_PREFIX = "cleaned_"
 
@@ -33,10 +33,12 @@ def load_csv(spark: SparkSession, path: str | list[str], multi_line: bool | None
              require_suffix: bool = True, bad_rows: str = "raise", **options) -> DataFrame:
     """S1+S2: read CSV with a header, all columns as text, ``''`` as NULL.
 
-    A quoted field may hold newlines. Spark must then read each file in one task
-    (``multi_line=True``); by default (``None``) that is done only if some line has
-    an odd number of quotes, which a scan of the text finds out. With ``False``
-    such a line is an error.
+    A quoted field may hold newlines (``multi_line=True``); its records are then put
+    together across lines and splits first. By default (``None``) that is done only if some
+    line has an odd number of quotes, which a scan of the text finds out. With ``False``
+    such a line is an error. With options of another quote, escape, encoding, comment or
+    line end, or a separator of several characters, Spark's reader takes each such file in
+    one task.
 
     A row with more fields than the header is an error when it is read
     (``bad_rows="raise"``); ``"drop"`` leaves such rows out, and
@@ -80,14 +82,21 @@ def _read(spark: SparkSession, path, multi_line, require_suffix: bool, options:
                              + unclosed[0][0][:200])
         multi_line = bool(unclosed)
     opts["multiLine"] = str(bool(multi_line)).lower()
+    sep = opts.get("sep", opts.get("delimiter", ","))
+    own = {"header", "inferSchema", "mode", "multiLine", "sep", "delimiter", "nullValue", "emptyValue", "escape",
+           "ignoreLeadingWhiteSpace", "ignoreTrailingWhiteSpace"}
     names = _header_names(spark, paths[0], opts)
     if names is None:
         return spark.read.options(**opts).csv(paths), None, None
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, _RECORD]])
     # every field must be parsed to know a row's width
     opts |= {"columnNameOfCorruptRecord": _RECORD, "columnPruning": "false"}
-    raw = spark.read.options(**opts).schema(schema).csv(paths)
-    sep = opts.get("sep", opts.get("delimiter", ","))
+    if multi_line and set(options) <= own and opts["escape"] == '"' and len(sep) == 1 and opts["header"] == "true":
+        places = ", ".join(f"c{i} string" for i in range(len(names)))
+        parsed = records(spark, paths, sep).select(F.from_csv("record", f"{places}, {_RECORD} string", opts).alias("r"))
+        raw = parsed.select(*[F.col(f"r.c{i}").alias(c) for i, c in enumerate(names)], f"r.{_RECORD}")
+    else:
+        raw = spark.read.options(**opts).schema(schema).csv(paths)
     unquoted = F.regexp_replace(_RECORD, '"(?:[^"]|"")*+"', "")
     fields = F.size(F.split(unquoted, "\\Q" + sep + "\\E"))
     # Spark refuses to read the record alone, so a column takes part without effect

@@ -191,3 +191,72 @@ def test_blank_lines_and_short_rows(spark, tmp_path):
     p.write_text("a,b,c\n1,2,3\n\n4,5\n\n")
     rows = [tuple(r) for r in tw.load_csv(spark, str(p)).collect()]
     assert rows == [("1", "2", "3"), ("4", "5", None)]
+
+
+# --- records across lines and splits ----------------------------------------
+
+_FIELDS = ["a", "", "two words", 'x"y', '"', '""', ",", "line\nbreak", "\n", "a\r\nb", '"\n"', ' "lead', "é\n日", "\n\n\n", '5" pipe']
+
+
+def _csv_field(rnd, value):
+    if any(c in value for c in '",\n\r') or rnd.random() < 0.3:
+        if value == '5" pipe' and rnd.random() < 0.5:
+            return value  # a quote inside an unquoted field
+        return '"' + value.replace('"', '""') + '"'
+    return value
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+@pytest.mark.parametrize("split", ["40", "333", "128m"])
+def test_records_equal_the_one_task_reader(spark, tmp_path, end, split):
+    import random
+
+    rnd = random.Random(len(end))
+    name = '"na\nme"' if end == "\n" else "name"  # Spark takes the first line end it sees for the file's
+    for k in range(3):
+        body = end.join(",".join(_csv_field(rnd, rnd.choice(_FIELDS)) for _ in range(3)) for _ in range(rnd.choice([0, 1, 60, 150])))
+        (tmp_path / f"f{k}.csv").write_bytes((name + ",b,c" + end + body + rnd.choice(["", end])).encode())
+    paths = [str(tmp_path / f"f{k}.csv") for k in range(3)]
+    want = (spark.read.options(header="true", multiLine="true", escape='"').schema("a string, b string, c string").csv(paths)
+            .collect())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        for limit in (1_000_000, -1):
+            from tablewash.sources import records
+            old, records.BROADCAST_SPLITS = records.BROADCAST_SPLITS, limit
+            try:
+                got = tw.load_csv(spark, paths, multi_line=True, bad_rows="drop")
+                assert got.columns == [name.strip('"'), "b", "c"]
+                assert sorted(map(tuple, got.collect()), key=repr) == sorted(
+                    (tuple(v or None for v in r) for r in want), key=repr)
+            finally:
+                records.BROADCAST_SPLITS = old
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_records_of_one_file_are_read_by_many_tasks(spark, tmp_path):
+    p = tmp_path / "big.csv"
+    p.write_text("k,t\n" + "".join(f'{i},"row {i}\nsecond ""line"", {i}"\n' for i in range(4000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+    try:
+        from tablewash.sources.records import _lines
+        assert _lines(spark, [str(p)], ",").rdd.getNumPartitions() > 8
+        got = {r.k: r.t for r in tw.load_csv(spark, str(p)).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == {str(i): f'row {i}\nsecond "line", {i}' for i in range(4000)}
+
+
+def test_record_that_is_never_closed(spark, tmp_path):
+    p = tmp_path / "open.csv"
+    p.write_text('a,b\n1,x\n2,"open\n' + "\n".join(f"line {i}" for i in range(50)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "60")
+    try:
+        want = [tuple(r) for r in spark.read.options(header="true", multiLine="true", escape='"').csv(str(p)).collect()]
+        assert sorted(map(tuple, tw.load_csv(spark, str(p)).collect())) == sorted(want)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
