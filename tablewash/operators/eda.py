@@ -12,15 +12,13 @@ hundreds of columns gives a tall small frame, not a wide plan.
   top-k per column is a ``row_number`` window that Spark runs as a partial
   ``WindowGroupLimit`` before its exchange, so each task ships at most k
   rows per column.
-* Correlation: pairwise-complete Pearson r without a shuffle: mean-shifted
-  sums in chunks, Spark ML's Gram matrix for many NULL-free columns, masked
-  Gram matrices (``mapInPandas``) for many NULL-bearing pairs; a constant
-  column is left out instead of failing.
+* Correlation: pairwise-complete Pearson r from co-moment states of column
+  tiles, added up by Spark; no rows are shuffled, and a constant column is
+  left out instead of failing.
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -31,7 +29,6 @@ from ..functions.columns import (is_numeric, is_text, nan_to_null, qcol,
                                  require_columns, unpivot_row)
 from .quantiles import exact_quantiles
 
-AGG_CHUNK = 48
 QUARTILES = (0.25, 0.5, 0.75)
 TOP_BUCKETS = 64  # per column, when its most frequent values are ranked
 
@@ -192,83 +189,81 @@ def categorical_summary(df: DataFrame, columns: list[str] | None = None,
                     "mode", F.col("mode_count").cast("bigint")))
 
 
-def _pearson(n, sa, sb, saa, sbb, sab):
-    """r from sums of mean-shifted values over the rows where both exist."""
-    if n is None or n < 2:
-        return None
-    cov = sab / n - (sa / n) * (sb / n)
-    va = saa / n - (sa / n) ** 2
-    vb = sbb / n - (sb / n) ** 2
-    if not (va > 0 and vb > 0):
-        return None
-    r = cov / math.sqrt(va * vb)
-    if r != r or math.isinf(r):
-        return None
-    return float(max(-1.0, min(1.0, r)))
-
-
-def _ml_correlation(df: DataFrame, block: list[str], xs) -> list[list[float]]:
-    """Pearson matrix of NULL-free columns with ``pyspark.ml.stat.Correlation``
-    (two JVM passes: means, then centred outer products, tree-aggregated)."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.stat import Correlation
-    names = [f"__g{i}" for i in range(len(block))]
-    vec = VectorAssembler(inputCols=names, outputCol="__v").transform(
-        df.select(*[xs[c].alias(n) for c, n in zip(block, names)]))
-    return Correlation.corr(vec, "__v", "pearson").first()[0].toArray().tolist()
-
-
-GRAM_BUCKETS = 256
-
-
-def _masked_gram(df: DataFrame, cols: list[str], xs, means: dict) -> dict:
-    """Pairwise-complete sums for every pair of ``cols`` in one pass.
-
-    Each task turns its Arrow batches into a matrix ``X`` (NULL and NaN are
-    missing), with ``M`` = present and ``D`` = ``X - mean`` (0 where missing),
-    and accumulates ``M'M`` (pair counts), ``D'M``, ``(D*D)'M`` and ``D'D``.
-    Spark then adds the per-task matrices in two levels (``GRAM_BUCKETS``
-    groups, then one row), so no task merges one row per input split.
-    Returns ``{(a, b): (n, sa, sb, saa, sbb, sab)}``.
+TILE = 64  # columns; a task sends one state for each pair of tiles
+STATE_BUCKETS = 256
+CELLS = 1 << 20  # values that a task looks at together
+
+
+def _comoments(frame: DataFrame, means: list[float]) -> DataFrame:
+    """``ti, tj, v``: the summed state of every pair of tiles of columns. Columns ``x0``,
+    ``x1`` and so on hold doubles, NULL or NaN where missing.
+
+    With ``M`` = present and ``D`` = value less the column's mean (0 where missing), a
+    state holds, over the rows where both values of a pair exist: their number
+    ``M'M``, the sums ``D'M`` and ``M'D``, the sums of squares ``(D*D)'M`` and
+    ``M'(D*D)``, and the products ``D'D``. States add up. Spark adds them in two levels,
+    so that no task takes one state from every input split.
     """
-    import numpy as np
-    import pandas as pd
-
-    k = len(cols)
-    mu = np.array([means[c] for c in cols], dtype=float)
-    names = [f"__c{i}" for i in range(k)]
-
-    def partials(batches):
-        acc = None
-        for pdf in batches:
-            x = pdf[names].to_numpy(dtype=float, na_value=np.nan)
-            m = (~np.isnan(x)).astype(float)
-            dev = np.where(m > 0, x - mu, 0.0)
-            part = np.stack([m.T @ m, dev.T @ m, (dev * dev).T @ m, dev.T @ dev])
-            acc = part if acc is None else acc + part
-        if acc is not None:
-            yield pd.DataFrame({"v": [acc.ravel()]})
+    k, tile, cells = len(means), TILE, CELLS
+
+    def states(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        mu, acc = np.array(means), {}
+        step = max(1, cells // k)
+        for b in batches:
+            for at in range(0, b.num_rows, step):
+                part = b.slice(at, step)
+                d = np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in part.columns], axis=1) - mu
+                m = ~np.isnan(d)
+                d[~m] = 0.0
+                m, dd = m.astype(float), d * d
+                for i in range(0, k, tile):
+                    x = slice(i, i + tile)
+                    for j in range(i, k, tile):
+                        y = slice(j, j + tile)
+                        v = np.stack([m[:, x].T @ m[:, y], d[:, x].T @ m[:, y], m[:, x].T @ d[:, y],
+                                      dd[:, x].T @ m[:, y], m[:, x].T @ dd[:, y], d[:, x].T @ d[:, y]])
+                        acc[i, j] = v if (i, j) not in acc else acc[i, j] + v
+        for (i, j), v in acc.items():
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([j], pa.int32()), pa.array([v.ravel()])],
+                                             names=["ti", "tj", "v"])
 
     from pyspark.ml.functions import array_to_vector
     from pyspark.ml.stat import Summarizer
 
-    per_task = df.select(*[xs[c].alias(n) for c, n in zip(cols, names)]).mapInPandas(
-        partials, "v array<double>")
-    # two-level addition of the per-task matrices (vector sums in the JVM)
-    level1 = (per_task.select(array_to_vector("v").alias("v"),
-                              (F.abs(F.xxhash64(F.monotonically_increasing_id()))
-                               % GRAM_BUCKETS).alias("__b"))
-              .groupBy("__b").agg(Summarizer.sum(F.col("v")).alias("v")))
-    row = level1.agg(Summarizer.sum(F.col("v")).alias("v")).first()
-    if row is None or row["v"] is None:
-        return {}
-    t = np.asarray(row["v"].toArray(), dtype=float).reshape(4, k, k)
-    out = {}
-    for i, a in enumerate(cols):
-        for j in range(i + 1, k):
-            out[(a, cols[j])] = (t[0, i, j], t[1, i, j], t[1, j, i], t[2, i, j], t[2, j, i],
-                                 t[3, i, j])
-    return out
+    bucket = F.pmod(F.xxhash64(F.spark_partition_id()), F.lit(STATE_BUCKETS)).alias("b")
+    per_task = frame.mapInArrow(states, "ti int, tj int, v array<double>").select("ti", "tj", bucket, array_to_vector("v").alias("v"))
+    some = per_task.groupBy("ti", "tj", "b").agg(Summarizer.sum(F.col("v")).alias("v"))
+    return some.groupBy("ti", "tj").agg(Summarizer.sum(F.col("v")).alias("v"))
+
+
+def _pearson(states: DataFrame, k: int) -> DataFrame:
+    """``i, j, r`` of the pairs i < j with a defined correlation."""
+    tile = TILE
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            for ti, tj, v in zip(*(c.to_pylist() for c in b.columns)):
+                wide, high = min(tile, k - ti), min(tile, k - tj)
+                n, sa, sb, saa, sbb, sab = np.array(v).reshape(6, wide, high)
+                with np.errstate(all="ignore"):
+                    cov = sab / n - (sa / n) * (sb / n)
+                    va, vb = saa / n - (sa / n) ** 2, sbb / n - (sb / n) ** 2
+                    r = cov / np.sqrt(va * vb)
+                    # a variance this small is what rounding leaves of a constant
+                    fine = (n >= 2) & (va > 1e-13 * saa / n) & (vb > 1e-13 * sbb / n) & np.isfinite(r)
+                i, j = np.nonzero(fine & (np.arange(wide)[:, None] + ti < np.arange(high)[None, :] + tj))
+                yield pa.RecordBatch.from_arrays([pa.array(i + ti, pa.int32()), pa.array(j + tj, pa.int32()),
+                                                  pa.array(np.clip(r[i, j], -1.0, 1.0))], names=["i", "j", "r"])
+
+    from pyspark.ml.functions import vector_to_array
+
+    return states.select("ti", "tj", vector_to_array("v").alias("v")).mapInArrow(run, "i int, j int, r double")
 
 
 def correlation_pairs(df: DataFrame, columns: list[str] | None = None,
@@ -277,87 +272,28 @@ def correlation_pairs(df: DataFrame, columns: list[str] | None = None,
     order, over pairwise-complete rows, rounded; undefined pairs (a constant
     side, fewer than two rows) are left out.
 
-    No shuffle: one ``agg`` for count, mean, min and max of every column, then
-    plain sums of mean-shifted values (stable, and cheap to generate code
-    for) in chunks of ``AGG_CHUNK`` aggregates; a pair of NULL-free columns
-    needs one sum, other pairs six (pairwise-complete rows). When the
-    NULL-free columns alone would need three chunks or more, their whole block
-    comes from Spark ML's centred Gram matrix (two passes) instead, and when
-    the pairs that need pairwise-complete rows would need more than one chunk,
-    they come from one pass of masked Gram matrices (numpy per task via
-    ``mapInPandas``, added up by Spark in two levels). r is assembled from
-    those few scalars on the driver; constant columns are left out before
-    any of this.
+    One plan for every table, with or without NULLs, narrow or wide: an ``agg`` for
+    count, mean, minimum and maximum of every column (constant columns end there), then
+    one pass of pairwise-complete co-moment states (:func:`_comoments`), a matrix
+    product per pair of tiles and batch. No rows are shuffled, only states, whose size is
+    that of the tiles. The result, one row per pair, is made once and is small.
     """
     cols = _numeric(df, columns)
     spark = df.sparkSession
-    schema = "col1 string, col2 string, r double"
     if len(cols) < 2:
         return spark.createDataFrame([], "col1 string, col2 string, correlation double")
     xs = {c: nan_to_null(c, df.schema[c].dataType).cast("double") for c in cols}
-    first = df.agg(F.count(F.lit(1)).alias("__n"),
-                   *[F.struct(F.count(xs[c]).alias("n"), F.avg(xs[c]).alias("m"),
+    first = df.agg(*[F.struct(F.count(xs[c]).alias("n"), F.avg(xs[c]).alias("m"),
                               F.min(xs[c]).alias("lo"), F.max(xs[c]).alias("hi")).alias(f"c{i}")
                      for i, c in enumerate(cols)]).first()
-    total = first["__n"]
     info = {c: first[f"c{i}"] for i, c in enumerate(cols)}
     live = [c for c in cols if info[c]["n"] >= 2 and info[c]["lo"] != info[c]["hi"]
             and _finite(info[c]["m"]) is not None]
-    full = {c for c in live if info[c]["n"] == total}
-    dx = {c: xs[c] - F.lit(info[c]["m"]) for c in live}
-    exprs: list[tuple[str, object]] = []
-    pairs = [(a, b) for i, a in enumerate(live) for b in live[i + 1:]]
-    block = [c for c in live if c in full]
-    gram = None
-    if len(block) * (len(block) + 3) // 2 > 2 * AGG_CHUNK:
-        # many NULL-free columns: Spark ML's centred Gram matrix (a mean pass
-        # and one tree aggregation of packed k x k sums) instead of three or
-        # more chunks of k^2 / 2 sums
-        gram = _ml_correlation(df, block, xs)
-    elif block:
-        for c in block:
-            exprs += [(f"s|{c}", F.sum(dx[c])), (f"q|{c}", F.sum(dx[c] * dx[c]))]
-    partial_pairs = [(a, b) for a, b in pairs if not (a in full and b in full)]
-    masked = None
-    if 6 * len(partial_pairs) > AGG_CHUNK:
-        # many pairs need pairwise-complete sums: one pass of masked Gram
-        # matrices over the columns those pairs touch
-        touched = [c for c in live if any(c in p for p in partial_pairs)]
-        masked = _masked_gram(df, touched, xs, {c: info[c]["m"] for c in touched})
-    for a, b in pairs:
-        if a in full and b in full:
-            if gram is None:
-                exprs.append((f"p|{a}|{b}", F.sum(dx[a] * dx[b])))
-        elif masked is not None:
-            continue
-        else:
-            both = xs[a].isNotNull() & xs[b].isNotNull()
-            da, db = F.when(both, dx[a]), F.when(both, dx[b])
-            exprs += [(f"n|{a}|{b}", F.count_if(both)), (f"sa|{a}|{b}", F.sum(da)),
-                      (f"sb|{a}|{b}", F.sum(db)), (f"qa|{a}|{b}", F.sum(da * da)),
-                      (f"qb|{a}|{b}", F.sum(db * db)), (f"p|{a}|{b}", F.sum(da * db))]
-    sums: dict[str, float] = {}
-    for start in range(0, len(exprs), AGG_CHUNK):
-        chunk = exprs[start:start + AGG_CHUNK]
-        row = df.agg(*[e.alias(f"e{j}") for j, (_, e) in enumerate(chunk)]).first()
-        for j, (key, _) in enumerate(chunk):
-            sums[key] = row[f"e{j}"]
     out = []
-    for a, b in pairs:
-        if a in full and b in full and gram is not None:
-            r = gram[block.index(a)][block.index(b)]
-            r = None if r != r or math.isinf(r) else max(-1.0, min(1.0, float(r)))
-        elif a in full and b in full:
-            r = _pearson(total, sums[f"s|{a}"], sums[f"s|{b}"], sums[f"q|{a}"],
-                         sums[f"q|{b}"], sums[f"p|{a}|{b}"])
-        elif masked is not None:
-            r = _pearson(*masked.get((a, b), (0, 0, 0, 0, 0, 0)))
-        else:
-            r = _pearson(sums[f"n|{a}|{b}"], sums[f"sa|{a}|{b}"], sums[f"sb|{a}|{b}"],
-                         sums[f"qa|{a}|{b}"], sums[f"qb|{a}|{b}"], sums[f"p|{a}|{b}"])
-        if r is not None:
-            out.append((a, b, r))
-    return (spark.createDataFrame(out, schema)
+    if len(live) > 1:
+        states = _comoments(df.select(*[xs[c].alias(f"x{i}") for i, c in enumerate(live)]), [info[c]["m"] for c in live])
+        out = [(live[i], live[j], r) for i, j, r in sorted(tuple(x) for x in _pearson(states, len(live)).collect())]
+    return (spark.createDataFrame(out, "col1 string, col2 string, r double")
             .select("col1", "col2", F.round("r", digits).alias("correlation")))
 
 

@@ -2,28 +2,26 @@
 
 Spark's exact ``percentile`` keeps a value->count map per group and merges
 them in one task: fine for a bounded column, an OOM for a high-cardinality
-column at 100 TB. Here exactness comes from a few scans instead, none of
-which shuffles more than a handful of rows:
-
-1. One ``agg``: non-NULL count of every column plus ``percentile_approx``
-   brackets ``[q - w, q + w]`` around every wanted quantile, fed a seeded
-   Bernoulli sample of about ``SAMPLE_ROWS`` values (GK over every value
-   costs more CPU than the scan); ``w`` is chosen afterwards from the sample
-   size actually drawn. Callers can add their own aggregates to this scan.
-2. One classify-and-count job: each value is classed against its column's
-   sorted bracket ends (below, equal to, between...), the rows are unpivoted
-   to ``(column, class)`` and counted with map-side partial aggregation, so
-   only a few rows per task cross the shuffle. Ties at a bracket end are
-   answered by the counts alone: a value that fills a third of the column
-   costs nothing. If the rank falls strictly inside a bracket that is still
-   large, steps 1-2 repeat on the values inside it, which are written once to the
-   shared checkpoint folder (if the session names one), so that the whole input
-   is scanned two or three times and not once per round.
-3. When every remaining range holds at most ``band_rows`` values: one job
-   tags each in-range value with its target and ``row_number`` per target (a
-   window whose partitions are bounded by ``band_rows``) picks the ranks.
-
-Only counts and the wanted values reach the driver. Interpolation is linear
+column at 100 TB. Here the wanted order statistics are found by a radix descent
+over order-preserving 64-bit keys (the bits of a double, with the sign turned so that
+unsigned order is numeric order), all columns and ranks together:
+
+1. One ``agg``: non-NULL count, minimum and maximum of every column. Callers can add
+   their own aggregates to this scan.
+2. A pass cuts the key range that holds a wanted rank into at most ``CELLS`` equal cells.
+   Each task counts its values per cell (numpy over Arrow batches), Spark adds the counts,
+   and a running sum over the cells tells in which one each rank lies; that cell is
+   the next range. A task sends at most ``CELLS`` rows per range, whatever the values
+   are; ties cost nothing, since a range of one key is an answer. 64 bits and 12 bits a
+   pass bound the passes by six, for any column of any size.
+3. As soon as every range holds at most ``band_rows`` values, one last job ranks the
+   values inside the ranges (a window whose partitions are bounded by ``band_rows``).
+
+When the ranges together hold a small share of the values but are not done, the
+values in them are written once to the shared checkpoint folder (if the session names
+one) and the remaining passes read only these.
+
+Only the wanted cells and values reach the driver. Interpolation is linear
 between the order statistics at ``floor(h)`` and ``floor(h) + 1`` with
 ``h = (n - 1) q``, the rule of pandas ``describe`` and SQL ``quantile_cont``.
 NaN counts as missing.
@@ -32,9 +30,8 @@ NaN counts as missing.
 from __future__ import annotations
 
 import math
+import struct
 import uuid
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,90 +40,38 @@ from ..functions.columns import nan_to_null, require_columns
 from ..session import shared_scratch
 
 BAND_ROWS = 200_000
-SMALL_COLUMN = 4_096
+BITS = 12
+CELLS = 1 << BITS
 NARROW = 0.1  # once the ranges hold at most this share of all values they are written apart
-ACCURACY = 10_000
-# Brackets come from a seeded Bernoulli sample of about this many values per
-# column (the count round checks them exactly, so a sample only has to be
-# roughly right); GK over every value would cost more than the scan itself.
-SAMPLE_ROWS = 2_000_000
-SEED = 17
-# Half-widths of the brackets computed in one pass, in units of 2/accuracy;
-# the narrowest one that is safe for the sample size actually drawn is used.
-WIDTHS = (1, 2, 4, 8, 16, 32, 64, 128, 256, 512)
-SIGMAS = 4.0
-
-
-def _est_rows(df: DataFrame) -> int | None:
-    """A generous row estimate from Catalyst's size estimate (4 bytes a row);
-    ``None`` when the plan has no size statistics."""
-    try:
-        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-        size = int(size if isinstance(size, int) else str(size))
-    except Exception:  # noqa: BLE001 - estimate unavailable
-        return None
-    return None if size >= (1 << 60) else max(1, size // 4)
-
-
-def _rate(df: DataFrame) -> float:
-    est = _est_rows(df)
-    return 1.0 if est is None else min(1.0, SAMPLE_ROWS / est)
-
-
-def _with_uniform(df: DataFrame) -> DataFrame:
-    """``df`` plus a seeded uniform column ``__u`` (random values may not sit
-    inside aggregate arguments, so the draw happens in a projection)."""
-    return df.withColumn("__u", F.rand(SEED))
-
-
-def _sampled(x, rate: float):
-    return x if rate >= 1.0 else F.when(F.col("__u") < F.lit(rate), x)
 
 
-def _half_width(q: float, expected_sample: float, d: float) -> float:
-    """Bracket half-width (in probability) safe at ``SIGMAS`` standard errors
-    of a sample quantile (a miss only costs another narrowing round)."""
-    if expected_sample <= 0:
-        return 1.0
-    return d + SIGMAS * math.sqrt(max(q * (1.0 - q), 1e-12) / expected_sample)
+def _key(v: float) -> int:
+    """A number that orders as the double does (-0.0 is 0.0)."""
+    bits = struct.unpack("<Q", struct.pack("<d", v + 0.0))[0]
+    return bits ^ 0xFFFFFFFFFFFFFFFF if bits >> 63 else bits | 1 << 63
 
 
-def _pick(width_needed: float, d: float) -> float:
-    for w in WIDTHS:
-        if w * d >= width_needed:
-            return w * d
-    return WIDTHS[-1] * d
+def _value(key: int) -> float:
+    bits = key ^ (1 << 63) if key >> 63 else key ^ 0xFFFFFFFFFFFFFFFF
+    return struct.unpack("<d", struct.pack("<Q", bits))[0]
 
 
-def _x(df: DataFrame, c: str):
-    return nan_to_null(c, df.schema[c].dataType).cast("double")
-
-
-def _in_range(x, lo, hi):
-    cond = x.isNotNull()
-    if lo is not None:
-        cond = cond & (x > F.lit(lo))
-    if hi is not None:
-        cond = cond & (x < F.lit(hi))
-    return cond
+def _shift(low: int, high: int) -> int:
+    """How many low bits a cell of the key range [low, high] spans."""
+    return max(0, (high - low).bit_length() - BITS)
 
 
 class _Target:
-    """Search state of one order statistic: the wanted rank ``rel`` among the
-    values strictly inside ``(lo, hi)`` (``None`` = unbounded), ``size`` of
-    them, the current approximate bracket ``(blo, bhi)``, and whether the
-    next bracket must come from all values (``full``: the last round did not
-    halve the range, so sampling is not narrowing it)."""
-    __slots__ = ("lo", "hi", "rel", "size", "bracket", "full")
+    """Search state of one order statistic: the rank ``rel`` among the ``size`` values
+    whose keys lie in [low, high]."""
+    __slots__ = ("low", "high", "rel", "size")
 
-    def __init__(self, lo, hi, rel, size, bracket=None, full=False):
-        self.lo, self.hi, self.rel, self.size, self.bracket = lo, hi, rel, size, bracket
-        self.full = full
+    def __init__(self, low, high, rel, size):
+        self.low, self.high, self.rel, self.size = low, high, rel, size
 
 
 def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
-                    band_rows: int = BAND_ROWS, accuracy: int = ACCURACY,
-                    max_rounds: int = 64, extra_aggs: list | None = None):
+                    band_rows: int = BAND_ROWS, extra_aggs: list | None = None):
     """``{column: [quantile for each prob]}``; ``None`` for an all-NULL column.
 
     With ``extra_aggs`` (aggregate columns over ``df``) they are computed in
@@ -137,90 +82,151 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
         if not 0.0 <= p <= 1.0:
             raise ValueError(f"probability {p} outside [0, 1]")
     cols = list(dict.fromkeys(columns))
-    # later passes read one projected double per column (evaluated once per
-    # row, not once per comparison); the first scan works on ``df`` itself so
-    # that ``extra_aggs`` can use any of its columns
-    base = df.select(*[_x(df, c).alias(f"__q{i}") for i, c in enumerate(cols)])
-    xs0 = {c: _x(df, c) for c in cols}
-    xs = {c: F.col(f"__q{i}") for i, c in enumerate(cols)}
-    d = 2.0 / accuracy
-    rate = _rate(df)
-    widths = [w * d for w in WIDTHS] if rate < 1.0 else [d]
-    brackets = sorted({max(0.0, p - w) for p in probs for w in widths}
-                      | {min(1.0, p + w) for p in probs for w in widths})
+    xs = [nan_to_null(c, df.schema[c].dataType).cast("double") for c in cols]
     aggs = list(extra_aggs or [])
-    for i, c in enumerate(cols):
-        aggs.append(F.count(xs0[c]).alias(f"__n{i}"))
-        aggs.append(F.count(_sampled(xs0[c], rate)).alias(f"__m{i}"))
-        aggs.append(F.percentile_approx(_sampled(xs0[c], rate), brackets, accuracy)
-                    .alias(f"__a{i}"))
-    src = _with_uniform(df) if rate < 1.0 else df
-    first = src.agg(*aggs).first() if aggs else None
-
-    rows = sum(int(first[f"__n{i}"]) for i in range(len(cols))) if aggs else 0
-    plan: dict[str, list] = {}
-    targets: dict[tuple[str, int], _Target] = {}
+    for i, x in enumerate(xs):
+        aggs += [F.count(x).alias(f"__n{i}"), F.min(x).alias(f"__lo{i}"), F.max(x).alias(f"__hi{i}")]
+    first = df.agg(*aggs).first() if aggs else None
+
+    plan: dict[str, list] = {c: [] for c in cols}
+    targets: dict[tuple[int, int], _Target] = {}
     for i, c in enumerate(cols):
         n = int(first[f"__n{i}"])
-        m = int(first[f"__m{i}"])
-        approx = dict(zip(brackets, first[f"__a{i}"] or []))
-        plan[c] = []
-        for p in probs:
-            if n == 0:
-                plan[c].append(None)
-                continue
+        for p in probs if n else []:
             h = (n - 1) * p
             r0 = int(math.floor(h))
             plan[c].append((r0, min(r0 + 1, n - 1), h - r0))
-            w = d if rate >= 1.0 else _pick(_half_width(p, m, d), d)
-            lo_q, hi_q = max(0.0, p - w), min(1.0, p + w)
-            bracket = (approx.get(lo_q), approx.get(hi_q)) if m else None
-            for r in (r0, min(r0 + 1, n - 1)):
-                targets[(c, r)] = _Target(None, None, r, n, bracket)
-
-    wanted: dict[tuple[str, int], float] = {}
-    narrowed = None
-    for rnd in range(max_rounds):
-        # the first round also narrows mid-sized columns: a count round is
-        # cheaper than ranking every value of a column
-        limit = band_rows if rnd else min(band_rows, SMALL_COLUMN)
-        big = {k: t for k, t in targets.items() if t.size > limit}
-        if not big:
-            break
-        left = {(c, t.lo, t.hi): t.size for (c, _), t in targets.items()}
-        if rnd and narrowed is None and sum(left.values()) <= NARROW * rows:
-            narrowed = _narrowed(base, xs, targets)  # later rounds read only these values
-            base = narrowed.frame if narrowed else base
-        need = [k for k, t in big.items() if t.bracket is None]
-        if need:
-            _approx_brackets(base, xs, big, need, d, accuracy)
-        big = {k: t for k, t in big.items() if t.bracket is not None}
-        if big:
-            _count_round(base, xs, big, targets, wanted)
-    else:
-        if any(t.size > band_rows for t in targets.values()):
-            raise RuntimeError("quantile search did not converge")
-    if targets:
-        wanted.update(_select_ranks(base, xs, targets))
-    if narrowed:
-        narrowed.drop()
+            for r in plan[c][-1][:2]:
+                targets[i, r] = _Target(_key(first[f"__lo{i}"]), _key(first[f"__hi{i}"]), r, n)
+    wanted = _search(df.select(*[x.alias(f"q{i}") for i, x in enumerate(xs)]), targets, band_rows)
 
     out = {}
-    for c in cols:
+    for i, c in enumerate(cols):
         vals = []
-        for entry in plan[c]:
-            if entry is None:
-                vals.append(None)
-                continue
-            r0, r1, frac = entry
-            v0, v1 = wanted[(c, r0)], wanted[(c, r1)]
+        for r0, r1, frac in plan[c]:
+            v0, v1 = wanted[i, r0], wanted[i, r1]
             vals.append(v0 if frac == 0.0 or v0 == v1 else v0 + (v1 - v0) * frac)
-        out[c] = vals
+        out[c] = vals or [None] * len(probs)
     return (out, first) if extra_aggs else out
 
 
-class _narrowed_table:
-    """The values inside the targets' ranges, written once to the shared folder."""
+def _search(wide: DataFrame, targets: dict, band_rows: int) -> dict:
+    """The value of each target (column place, rank)."""
+    wanted: dict = {}
+    rows = sum({i: t.size for (i, _), t in targets.items()}.values())
+    apart = None
+    try:
+        while True:
+            for k, t in list(targets.items()):
+                if t.low == t.high:
+                    wanted[k] = _value(t.low)
+                    del targets[k]
+            if not targets:
+                return wanted
+            ranges = sorted({(i, t.low, t.high): t.size for (i, _), t in targets.items()}.items())
+            place = {r: g for g, (r, _) in enumerate(ranges)}
+            if all(size <= band_rows for _, size in ranges):
+                found = _ranked(wide, [r for r, _ in ranges], [(place[i, t.low, t.high], t.rel) for (i, _), t in targets.items()])
+                return wanted | {k: found[place[k[0], t.low, t.high], t.rel] for k, t in targets.items()}
+            if apart is None and sum(size for _, size in ranges) <= NARROW * rows:
+                apart = _written(wide, [r for r, _ in ranges])
+                wide = apart.frame if apart else wide
+            cells = _cells(wide, [r for r, _ in ranges], [(place[i, t.low, t.high], t.rel) for (i, _), t in targets.items()])
+            for (i, r), t in list(targets.items()):
+                cell, before, size = cells[place[i, t.low, t.high], t.rel]
+                s = _shift(t.low, t.high)
+                low = t.low + (cell << s)
+                targets[i, r] = _Target(low, min(t.high, low + (1 << s) - 1), t.rel - before, size)
+    finally:
+        if apart:
+            apart.drop()
+
+
+def _keyed(ranges: list):
+    """A function from an Arrow batch to (range, keys of the values in it) pairs. The batch
+    has a column of doubles ``q<place>`` for each place, or rows of place ``c`` and value ``v``."""
+    by_column: dict = {}
+    for g, (i, low, high) in enumerate(ranges):
+        by_column.setdefault(i, []).append((g, low, high))
+
+    def run(batch):
+        import numpy as np
+
+        long = batch.schema.names == ["c", "v"]
+        column = batch.column(0).to_numpy(zero_copy_only=False) if long else None
+        for i, own in by_column.items():
+            x = batch.column("v" if long else f"q{i}").to_numpy(zero_copy_only=False)
+            x = x[column == i] if long else x
+            x = x[~np.isnan(x)] + 0.0
+            bits = x.view(np.uint64)
+            keys = np.where(bits >> np.uint64(63), ~bits, bits | np.uint64(1 << 63))
+            for g, low, high in own:
+                yield g, keys[(keys >= np.uint64(low)) & (keys <= np.uint64(high))]
+
+    return run
+
+
+def _needed(frame: DataFrame, ranges: list) -> DataFrame:
+    own = sorted({i for i, _, _ in ranges})
+    return frame if frame.columns == ["c", "v"] else frame.select(*[f"q{i}" for i in own])
+
+
+def _cells(frame: DataFrame, ranges: list, ranks: list) -> dict:
+    """For each (range, rank): its cell, the values of the range in earlier cells, and in this one."""
+    inside = _keyed(ranges)
+    cuts = [(low, _shift(low, high)) for _, low, high in ranges]
+
+    def count(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        counts: dict = {}
+        for b in batches:
+            for g, keys in inside(b):
+                if len(keys):
+                    cell = ((keys - np.uint64(cuts[g][0])) >> np.uint64(cuts[g][1])).astype(np.int64)
+                    if g not in counts:
+                        counts[g] = np.zeros(CELLS, dtype=np.int64)
+                    counts[g] += np.bincount(cell, minlength=CELLS)
+        for g, n in counts.items():
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), g, dtype=np.int32)), pa.array(at), pa.array(n[at])],
+                                             names=["g", "cell", "n"])
+
+    w = Window.partitionBy("g").orderBy("cell")
+    total = (_needed(frame, ranges).mapInArrow(count, "g int, cell long, n long").groupBy("g", "cell").agg(F.sum("n").alias("n"))
+             .withColumn("before", F.sum("n").over(w) - F.col("n")))
+    want = frame.sparkSession.createDataFrame(ranks, "g int, rank long").distinct()
+    hit = (total.join(F.broadcast(want), "g")  # one row for each order statistic asked for
+           .where((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("n"))))
+    return {(r["g"], r["rank"]): (r["cell"], r["before"], r["n"]) for r in hit.collect()}
+
+
+def _ranked(frame: DataFrame, ranges: list, ranks: list) -> dict:
+    """The value of each (range, rank), from the values inside the ranges."""
+    inside = _keyed(ranges)
+
+    def pick(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            for g, keys in inside(b):
+                if len(keys):
+                    bits = np.where(keys >> np.uint64(63), keys ^ np.uint64(1 << 63), ~keys)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(keys), g, dtype=np.int32)), pa.array(bits.view(np.float64))], names=["g", "v"])
+
+    own = _needed(frame, ranges).mapInArrow(pick, "g int, v double").groupBy("g", "v").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("g").orderBy("v")
+    want = frame.sparkSession.createDataFrame(ranks, "g int, rank long").distinct()
+    hit = (own.withColumn("upto", F.sum("n").over(w)).join(F.broadcast(want), "g")
+           .where((F.col("rank") >= F.col("upto") - F.col("n")) & (F.col("rank") < F.col("upto"))))
+    return {(r["g"], r["rank"]): r["v"] for r in hit.collect()}
+
+
+class _Written:
+    """The values inside ranges as rows (column place, value), in the shared folder."""
 
     def __init__(self, df: DataFrame, path: str):
         self.spark, self.path = df.sparkSession, path
@@ -232,123 +238,24 @@ class _narrowed_table:
         p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def _narrowed(df: DataFrame, xs, targets) -> _narrowed_table | None:
-    """Only the rows, and of each column only the values, inside a range that is
-    still searched. ``None`` where the session names no shared folder."""
+def _written(wide: DataFrame, ranges: list) -> _Written | None:
+    """``None`` where the session names no shared folder."""
     try:
-        path = shared_scratch(df.sparkSession, f"quantiles-{uuid.uuid4().hex}")
+        path = shared_scratch(wide.sparkSession, f"quantiles-{uuid.uuid4().hex}")
     except ValueError:
         return None
-    ranges: dict[str, set] = {}
-    for (c, _), t in targets.items():
-        ranges.setdefault(c, set()).add((t.lo, t.hi))
-    inside = {c: reduce(or_, [_in_range(xs[c], lo, hi) for lo, hi in sorted(r, key=repr)]) for c, r in ranges.items()}
-    kept = df.where(reduce(or_, inside.values())).select(*[
-        (F.when(inside[c], x) if c in inside else F.lit(None).cast("double")).alias(n)
-        for (c, x), n in zip(xs.items(), df.columns)])
-    return _narrowed_table(kept, path)
-
-
-def _approx_brackets(df, xs, big, need, d, accuracy):
-    """Brackets for narrowed ranges, from a sample of about ``SAMPLE_ROWS``
-    of the values inside each range (the range size is known exactly)."""
-    aggs, widths = [], []
-    for j, k in enumerate(need):
-        t = big[k]
-        q = t.rel / (t.size - 1) if t.size > 1 else 0.0
-        rate = 1.0 if t.full else min(1.0, SAMPLE_ROWS / t.size)
-        w = d if rate >= 1.0 else _half_width(q, rate * t.size, d)
-        widths.append(w)
-        x = _sampled(F.when(_in_range(xs[k[0]], t.lo, t.hi), xs[k[0]]), rate)
-        aggs.append(F.percentile_approx(x, [max(0.0, q - w), min(1.0, q + w)], accuracy)
-                    .alias(f"b{j}"))
-    row = _with_uniform(df).agg(*aggs).first()
-    for j, k in enumerate(need):
-        v = row[f"b{j}"] or [None, None]
-        if v[0] is None:            # nothing was sampled: use every value next time
-            big[k].bracket, big[k].full = None, True
-        else:
-            big[k].bracket = (v[0], v[1])
-
-
-def _class_expr(x, ends: list[float]):
-    """Class of ``x`` against sorted distinct ends ``e0 < e1 < ...``:
-    ``2j`` below ``e_j`` (and above ``e_{j-1}``), ``2j + 1`` equal to ``e_j``,
-    ``2m`` above the last."""
-    expr = None
-    for j, v in enumerate(ends):
-        expr = F.when(x < F.lit(v), 2 * j) if expr is None else expr.when(x < F.lit(v), 2 * j)
-        expr = expr.when(x == F.lit(v), 2 * j + 1)
-    return expr.otherwise(2 * len(ends))
-
-
-def _count_round(df, xs, big, targets, wanted):
-    """Class every in-range value against all bracket ends of its search
-    range and count per (range, class) -- ``posexplode`` of one small int
-    array per row, then a partial-aggregated ``groupBy`` (no lambdas, so the
-    stage stays in generated code). Then move each target to its new range."""
-    groups: dict[tuple, list] = {}
-    for k, t in big.items():
-        groups.setdefault((k[0], t.lo, t.hi), []).append(k)
-    gkeys = list(groups)
-    ends = {g: sorted({e for k in groups[g] for e in targets[k].bracket}) for g in gkeys}
-    codes = [F.when(_in_range(xs[c], lo, hi), _class_expr(xs[c], ends[(c, lo, hi)]))
-             for (c, lo, hi) in gkeys]
-    tagged = df.select(F.posexplode(F.array(*codes)).alias("g", "k")).where(F.col("k").isNotNull())
-    counted = tagged.groupBy("g", "k").agg(F.count(F.lit(1)).alias("n")).collect()
-    cnt = {(int(r["g"]), int(r["k"])): int(r["n"]) for r in counted}
-    for g, key in enumerate(gkeys):
-        c, lo, hi = key
-        e = ends[key]
-        per = [cnt.get((g, k), 0) for k in range(2 * len(e) + 1)]
-        for k in groups[key]:
-            t = targets[k]
-            blo, bhi = t.bracket
-            a, b = e.index(blo), e.index(bhi)
-            lt = sum(per[:2 * a + 1])                  # strictly below blo
-            el = per[2 * a + 1]
-            md = sum(per[2 * a + 2:2 * b + 1]) if b > a else 0
-            eh = per[2 * b + 1] if b > a else 0
-            rel = t.rel
-            if rel < lt:                                   # bracket too high
-                nxt = _Target(lo, blo, rel, lt)
-            elif rel < lt + el:
-                wanted[k] = blo
-                del targets[k]
-                continue
-            elif rel < lt + el + md:
-                nxt = _Target(blo, bhi, rel - lt - el, md)
-            elif rel < lt + el + md + eh:
-                wanted[k] = bhi
-                del targets[k]
-                continue
-            else:                                          # bracket too low
-                above = lt + el + md + eh
-                nxt = _Target(bhi, hi, rel - above, t.size - above)
-            nxt.full = 2 * nxt.size > t.size              # sampling stopped paying off
-            targets[k] = nxt
-
-
-def _select_ranks(df: DataFrame, xs, targets) -> dict:
-    """Pick order statistics inside small ranges with a bounded window."""
-    groups: dict[tuple, list] = {}
-    for (c, r), t in targets.items():
-        groups.setdefault((c, t.lo, t.hi), []).append(((c, r), t.rel))
-    tags, rank_map = [], []
-    for g, ((c, lo, hi), items) in enumerate(groups.items()):
-        tags.append(F.when(_in_range(xs[c], lo, hi), xs[c]))
-        rank_map += [F.lit(g), F.array(*[F.lit(rel + 1) for _, rel in items])]
-    tagged = (df.select(F.posexplode(F.array(*tags)).alias("t", "v"))
-              .where(F.col("v").isNotNull()))
-    w = Window.partitionBy("t").orderBy("v")
-    ranked = (tagged.withColumn("rn", F.row_number().over(w))
-              .where(F.array_contains(F.element_at(F.create_map(*rank_map), F.col("t")),
-                                      F.col("rn"))))
-    found = {(int(r["t"]), int(r["rn"])): r["v"] for r in ranked.collect()}
-    out = {}
-    for g, (_, items) in enumerate(groups.items()):
-        for key, rel in items:
-            out[key] = found[(g, rel + 1)]
+    span: dict = {}
+    for i, low, high in ranges:
+        span.setdefault(i, []).append((_value(low), _value(high)))
+    values = [F.struct(F.lit(i).alias("c"), F.when(
+        F.lit(False) if not own else _any(F.col(f"q{i}"), own), F.col(f"q{i}")).alias("v")) for i, own in span.items()]
+    return _Written(wide.select(F.inline(F.array(*values))).where("v IS NOT NULL"), path)
+
+
+def _any(x, spans: list):
+    out = F.lit(False)
+    for low, high in spans:
+        out = out | x.between(low, high)
     return out
 
 

@@ -146,7 +146,7 @@ def test_summary_to_dict(spark):
     assert [(i["type"], i["affected_columns"]) for i in ins] == [("correlation", ["i", "d"])]
 
 
-def test_correlation_many_null_pairs_masked_gram(spark):
+def test_correlation_many_null_pairs(spark):
     rng = np.random.default_rng(21)
     base = rng.normal(size=(400, 1))
     data = base + rng.normal(size=(400, 9)) * np.linspace(0.2, 2, 9)
@@ -162,17 +162,36 @@ def test_correlation_many_null_pairs_masked_gram(spark):
         assert v == pytest.approx(round(ref.loc[a, b], 4), abs=1e-4), (a, b)
 
 
-def test_correlation_ml_gram_block(spark, monkeypatch):
+@pytest.mark.parametrize("tile", [64, 5])
+def test_correlation_tiles(spark, monkeypatch, tile):
     from tablewash.operators import eda
-    used = []
-    real = eda._ml_correlation
-    monkeypatch.setattr(eda, "_ml_correlation", lambda *a: used.append(1) or real(*a))
+    monkeypatch.setattr(eda, "TILE", tile)
+    monkeypatch.setattr(eda, "CELLS", 100)
     rng = np.random.default_rng(8)
-    data = rng.normal(size=(250, 1)) + rng.normal(size=(250, 17)) * np.linspace(0.1, 2, 17)
+    data = rng.normal(size=(250, 1)) + rng.normal(size=(250, 17)) * np.linspace(0.1, 2, 17) + 1e6
     pdf = pd.DataFrame(data, columns=[f"c{i}" for i in range(17)])
+    pdf.loc[3, "c4"] = np.nan                       # a stray missing value
     got = {(r["col1"], r["col2"]): r["correlation"]
            for r in tw.correlation_pairs(spark.createDataFrame(pdf)).collect()}
-    assert used and len(got) == 17 * 16 // 2
+    assert len(got) == 17 * 16 // 2
     corr = pdf.corr()
     for (a, b), v in got.items():
         assert v == pytest.approx(round(corr.loc[a, b], 4), abs=1e-4)
+
+
+def test_correlation_plan_does_not_depend_on_nulls(spark, monkeypatch):
+    """The same jobs with and without a stray NULL, for few columns and for many."""
+    from tablewash.operators import eda
+    calls = []
+    real = eda._comoments
+    monkeypatch.setattr(eda, "_comoments", lambda *a: calls.append(1) or real(*a))
+    for k in (2, 150):
+        for stray in ("id", "IF(id = 5, NULL, id)"):
+            df = spark.range(40).selectExpr(f"CAST({stray} AS DOUBLE) AS c0", *[f"(id * {i + 3}) % 7 AS c{i + 1}" for i in range(k - 1)])
+            assert tw.correlation_pairs(df).where("col1 = 'c0'").count() == k - 1 - (k - 1 + 2) // 7
+    assert len(calls) == 4
+
+
+def test_correlation_constant_on_common_rows(spark):
+    df = spark.createDataFrame([(0.1, 1.0), (0.1, 2.0), (0.1, 3.0), (None, 4.0), (7.3, None)], "a double, b double")
+    assert tw.correlation_pairs(df).count() == 0

@@ -20,7 +20,7 @@ def test_exact_quantiles_match_numpy(spark, vals, probs):
     Q.SMALL_COLUMN = 2                     # force the bracket-and-count rounds
     try:
         df = spark.createDataFrame([(v,) for v in vals], "x double")
-        got = Q.exact_quantiles(df, ["x"], probs, band_rows=3, accuracy=20)["x"]
+        got = Q.exact_quantiles(df, ["x"], probs, band_rows=3)["x"]
     finally:
         Q.SMALL_COLUMN = old
     present = np.array([v for v in vals if v is not None], dtype=float)
@@ -44,15 +44,15 @@ def test_conversion_counts_add_up(spark, texts):
 
 @settings(max_examples=25, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(vals=values, probs=st.lists(st.floats(0, 1), min_size=1, max_size=3),
-       rate=st.sampled_from([0.5, 0.1, 0.01]), sample_rows=st.sampled_from([1, 5, 50]))
-def test_sampled_quantile_search_matches_numpy(spark, vals, probs, rate, sample_rows):
-    saved = (Q._rate, Q.SAMPLE_ROWS, Q.SMALL_COLUMN)
-    Q._rate, Q.SAMPLE_ROWS, Q.SMALL_COLUMN = (lambda df: rate), sample_rows, 1
+       bits=st.sampled_from([2, 5, 12]))
+def test_quantile_search_by_cells_matches_numpy(spark, vals, probs, bits):
+    saved = (Q.BITS, Q.CELLS)
+    Q.BITS, Q.CELLS = bits, 1 << bits
     try:
         df = spark.createDataFrame([(v,) for v in vals], "x double")
-        got = Q.exact_quantiles(df, ["x"], probs, band_rows=2, accuracy=20)["x"]
+        got = Q.exact_quantiles(df, ["x"], probs, band_rows=2)["x"]
     finally:
-        Q._rate, Q.SAMPLE_ROWS, Q.SMALL_COLUMN = saved
+        Q.BITS, Q.CELLS = saved
     present = np.array([v for v in vals if v is not None], dtype=float)
     if present.size == 0:
         assert got == [None] * len(probs)

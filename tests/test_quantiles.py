@@ -12,8 +12,7 @@ def _expect(vals, probs):
 
 
 @pytest.mark.parametrize("band", [10**6, 50])
-def test_matches_numpy_with_ties_and_hot_value(spark, band, monkeypatch):
-    monkeypatch.setattr(Q, "SMALL_COLUMN", 16)
+def test_matches_numpy_with_ties_and_hot_value(spark, band):
     rng = np.random.default_rng(7)
     a = rng.normal(size=3000).round(2).tolist()
     b = [5.0] * 1500 + rng.integers(0, 10, 1500).astype(float).tolist()   # a third is one value
@@ -21,7 +20,7 @@ def test_matches_numpy_with_ties_and_hot_value(spark, band, monkeypatch):
     rows = list(zip(a, b, c + [None] * (3000 - len(c))))
     df = spark.createDataFrame(rows, "a double, b double, c double")
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0]
-    got = Q.exact_quantiles(df, ["a", "b", "c"], probs, band_rows=band, accuracy=100)
+    got = Q.exact_quantiles(df, ["a", "b", "c"], probs, band_rows=band)
     for col, vals in (("a", a), ("b", b), ("c", c)):
         assert got[col] == pytest.approx(_expect(vals, probs), rel=1e-12, abs=1e-12), col
 
@@ -40,35 +39,58 @@ def test_extra_aggs(spark):
     assert q["x"] == [4.5] and row["mx"] == 9.0
 
 
-@pytest.mark.parametrize("rate,sample_rows,band", [(0.05, 100, 50), (0.3, 1000, 200), (0.002, 10, 30)])
-def test_sampled_brackets_stay_exact(spark, monkeypatch, rate, sample_rows, band):
-    monkeypatch.setattr(Q, "_rate", lambda df: rate)
-    monkeypatch.setattr(Q, "SAMPLE_ROWS", sample_rows)
-    monkeypatch.setattr(Q, "SMALL_COLUMN", 16)
+@pytest.mark.parametrize("bits,band", [(12, 50), (3, 1), (1, 7)])
+def test_descent_stays_exact(spark, monkeypatch, bits, band):
+    monkeypatch.setattr(Q, "BITS", bits)
+    monkeypatch.setattr(Q, "CELLS", 1 << bits)
     rng = np.random.default_rng(3)
     a = rng.lognormal(size=5000).tolist()
     b = ([2.0] * 2000 + rng.integers(0, 50, 3000).astype(float).tolist())
-    df = spark.createDataFrame(list(zip(a, b)), "a double, b double")
+    c = (rng.normal(size=4990) * 10.0 ** rng.integers(-300, 300, 4990)).tolist() + [0.0, -0.0, 5e-324, -5e-324, 1e308,
+                                                                                  -1e308, 1.0, -1.0, 1.0, 1.0]
+    df = spark.createDataFrame(list(zip(a, b, c)), "a double, b double, c double")
     probs = [0.0, 0.01, 0.25, 0.5, 0.75, 0.999, 1.0]
-    got = Q.exact_quantiles(df, ["a", "b"], probs, band_rows=band, accuracy=100)
-    assert got["a"] == pytest.approx(_expect(a, probs), rel=1e-12, abs=1e-12)
-    assert got["b"] == pytest.approx(_expect(b, probs), rel=1e-12, abs=1e-12)
+    got = Q.exact_quantiles(df, ["a", "b", "c"], probs, band_rows=band)
+    for name, vals in (("a", a), ("b", b), ("c", c)):
+        assert got[name] == pytest.approx(_expect(vals, probs), rel=1e-12, abs=0), name
 
 
-def test_parquet_input_gets_a_sampling_rate(spark):
-    df = spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet")
-    assert 0.0 < Q._rate(df) <= 1.0
-    assert Q._est_rows(spark.createDataFrame([(1.0,)], "x double")) is None
+def test_keys_order_as_values():
+    rng = np.random.default_rng(4)
+    vals = sorted([*(rng.normal(size=300) * 10.0 ** rng.integers(-300, 300, 300)), 0.0, float("inf"), -float("inf"), 5e-324])
+    keys = [Q._key(v) for v in vals]
+    assert keys == sorted(keys) and [Q._value(k) for k in keys] == vals
+    assert Q._key(-0.0) == Q._key(0.0)
 
 
-def test_later_rounds_read_only_the_narrowed_values(spark, monkeypatch):
-    monkeypatch.setattr(Q, "SMALL_COLUMN", 16)
+def test_infinities(spark):
+    vals = [float("inf")] * 3 + [-float("inf")] * 2 + [1.0, 2.0]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    assert Q.exact_quantiles(df, ["x"], [0.0, 0.5, 1.0], band_rows=1)["x"] == [-float("inf"), 2.0, float("inf")]
+
+
+def test_passes_do_not_depend_on_layout_or_size(spark, monkeypatch):
+    """The jobs of a search are bounded by the key width, whatever the values."""
+    calls = []
+    real = Q._cells
+    monkeypatch.setattr(Q, "_cells", lambda *a: calls.append(1) or real(*a))
+    rng = np.random.default_rng(6)
+    vals = (rng.normal(size=20_000) * 10.0 ** rng.integers(-300, 300, 20_000)).tolist()
+    for parts in (1, 7):
+        calls.clear()
+        got = Q.exact_quantiles(spark.createDataFrame([(v,) for v in vals], "x double").repartition(parts), ["x"], [0.3, 0.5], band_rows=0)
+        assert got["x"] == pytest.approx(_expect(vals, [0.3, 0.5]), rel=1e-12) and len(calls) <= 6
+
+
+def test_later_passes_read_only_the_values_in_range(spark, monkeypatch):
+    monkeypatch.setattr(Q, "BITS", 5)
+    monkeypatch.setattr(Q, "CELLS", 1 << 5)
     made = []
-    real = Q._narrowed
-    monkeypatch.setattr(Q, "_narrowed", lambda *a: made.append(real(*a)) or made[-1])
+    real = Q._written
+    monkeypatch.setattr(Q, "_written", lambda *a: made.append(real(*a)) or made[-1])
     vals = np.random.default_rng(5).normal(size=20_000).tolist()
     df = spark.createDataFrame([(v, 2 * v) for v in vals], "a double, b double")
-    got = Q.exact_quantiles(df, ["a", "b"], [0.25, 0.5], band_rows=20, accuracy=100)
+    got = Q.exact_quantiles(df, ["a", "b"], [0.25, 0.5], band_rows=2)
     assert got["a"] == pytest.approx(_expect(vals, [0.25, 0.5]), rel=1e-12)
     assert got["b"] == pytest.approx(_expect([2 * v for v in vals], [0.25, 0.5]), rel=1e-12)
     assert len(made) == 1
