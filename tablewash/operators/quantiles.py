@@ -196,33 +196,41 @@ def _cells(frame: DataFrame, ranges: list, ranks: list) -> dict:
     w = Window.partitionBy("g").orderBy("cell")
     total = (_needed(frame, ranges).mapInArrow(count, "g int, cell long, n long").groupBy("g", "cell").agg(F.sum("n").alias("n"))
              .withColumn("before", F.sum("n").over(w) - F.col("n")))
-    want = frame.sparkSession.createDataFrame(ranks, "g int, rank long").distinct()
-    hit = (total.join(F.broadcast(want), "g")  # one row for each order statistic asked for
-           .where((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("n"))))
-    return {(r["g"], r["rank"]): (r["cell"], r["before"], r["n"]) for r in hit.collect()}
+    return {(r["g"], rank): (r["cell"], r["before"], r["n"]) for r in _with_ranks(total, ranks).collect() for rank in r["ranks"]}
+
+
+def _with_ranks(counted: DataFrame, ranks: list) -> DataFrame:
+    """Of rows (range ``g``, ``before``, ``n``) those that hold a wanted rank, with their ``ranks``."""
+    own: dict = {}
+    for g, rank in set(ranks):
+        own.setdefault(g, []).append(rank)
+    of = F.create_map(*[x for g, r in own.items() for x in (F.lit(g), F.array(*[F.lit(v).cast("long") for v in r]))])
+    held = F.filter(F.element_at(of, F.col("g")), lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("n")))
+    return counted.withColumn("ranks", held).where(F.size("ranks") > 0)
 
 
 def _ranked(frame: DataFrame, ranges: list, ranks: list) -> dict:
     """The value of each (range, rank), from the values inside the ranges."""
-    inside = _keyed(ranges)
-
-    def pick(batches):
-        import numpy as np
-        import pyarrow as pa
+    own = _inside(frame, ranges).groupBy("g", "v").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("g").orderBy("v")
+    counted = own.withColumn("before", F.sum("n").over(w) - F.col("n"))
+    return {(r["g"], rank): r["v"] for r in _with_ranks(counted, ranks).collect() for rank in r["ranks"]}
 
-        for b in batches:
-            for g, keys in inside(b):
-                if len(keys):
-                    bits = np.where(keys >> np.uint64(63), keys ^ np.uint64(1 << 63), ~keys)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(keys), g, dtype=np.int32)), pa.array(bits.view(np.float64))], names=["g", "v"])
 
-    own = _needed(frame, ranges).mapInArrow(pick, "g int, v double").groupBy("g", "v").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("g").orderBy("v")
-    want = frame.sparkSession.createDataFrame(ranks, "g int, rank long").distinct()
-    hit = (own.withColumn("upto", F.sum("n").over(w)).join(F.broadcast(want), "g")
-           .where((F.col("rank") >= F.col("upto") - F.col("n")) & (F.col("rank") < F.col("upto"))))
-    return {(r["g"], r["rank"]): r["v"] for r in hit.collect()}
+def _inside(frame: DataFrame, ranges: list) -> DataFrame:
+    """``g, c, v``: the values inside the ranges, with the number of the range and the place of the column."""
+    long = frame.columns == ["c", "v"]
+    found = []
+    for g, (i, low, high) in enumerate(ranges):
+        x = F.col("v" if long else f"q{i}")
+        # no value has the key of -0.0, and 0.0 is not below it
+        fits = x.between(_value(low), _value(high - (high == _key(0.0) - 1)))
+        found.append((g, i, (F.col("c") == i) & fits if long else fits, x))
+    some = found[0][2]
+    for _, _, fits, _ in found[1:]:
+        some = some | fits
+    rows = F.array(*[F.when(fits, F.struct(F.lit(g).alias("g"), F.lit(i).alias("c"), (x + 0.0).alias("v"))) for g, i, fits, x in found])
+    return frame.where(some).select(F.explode(rows).alias("r")).where("r IS NOT NULL").select("r.*")
 
 
 class _Written:
@@ -244,19 +252,7 @@ def _written(wide: DataFrame, ranges: list) -> _Written | None:
         path = shared_scratch(wide.sparkSession, f"quantiles-{uuid.uuid4().hex}")
     except ValueError:
         return None
-    span: dict = {}
-    for i, low, high in ranges:
-        span.setdefault(i, []).append((_value(low), _value(high)))
-    values = [F.struct(F.lit(i).alias("c"), F.when(
-        F.lit(False) if not own else _any(F.col(f"q{i}"), own), F.col(f"q{i}")).alias("v")) for i, own in span.items()]
-    return _Written(wide.select(F.inline(F.array(*values))).where("v IS NOT NULL"), path)
-
-
-def _any(x, spans: list):
-    out = F.lit(False)
-    for low, high in spans:
-        out = out | x.between(low, high)
-    return out
+    return _Written(_inside(wide, ranges).select("c", "v"), path)
 
 
 def median(df: DataFrame, column: str) -> float | None:
