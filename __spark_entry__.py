@@ -990,6 +990,11 @@ def oracle_sql() -> dict[str, str]:
             "SELECT text FROM (SELECT DISTINCT * FROM d WHERE text IN (SELECT * FROM p)) "
             "GROUP BY text HAVING count(*) > 1"),
         "suggest_charts": _sql_suggest_charts(),
+        # the sample's definition: the 1000 copies of points with the smallest keys
+        "scatter_data": (
+            "WITH c AS (SELECT p_size AS x, p_retailprice AS y, row_number() OVER (PARTITION BY p_size, p_retailprice) AS k "
+            "FROM part WHERE p_size IS NOT NULL AND p_retailprice IS NOT NULL) "
+            "SELECT x, y FROM c ORDER BY md5(md5('42|' || x || '|' || y) || ':' || k) LIMIT 1000"),
         "scatter_data_whole": ("SELECT o_totalprice AS x, o_custkey AS y FROM orders "
                                "WHERE o_totalprice IS NOT NULL AND o_custkey IS NOT NULL"),
         "chart_data_histogram": ("SELECT l_returnflag AS x, count(*) AS y FROM lineitem WHERE "

@@ -3,16 +3,16 @@
 * Bar chart / "histogram": value counts of ``x`` (no binning, as the
   reference does), top ``limit`` by count then value: a partial-aggregated
   ``groupBy`` and a per-task top-n (``TakeOrderedAndProject``).
-* Scatter: rows with both values, then a seeded uniform sample of ``n`` rows
-  taken as the ``n`` smallest random keys (a count, then a top-n over the
-  rows under a key threshold; no full sort).
+* Scatter: rows with both values, then the ``n`` copies of points with the smallest
+  seeded hashes, the same for any layout of the input (point hashes are counted
+  with partial aggregation, then a top-n over the keys under a threshold; no full sort).
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import finite_or_null, qcol
@@ -51,32 +51,54 @@ def bar_chart_data(df: DataFrame, x: str, limit: int = TOP_GROUPS,
     return top.select(finite_or_null("x", dt).alias("x"), "y")
 
 
+COPIES = 1 << 16  # keys of a repeated point that one row of a chunk makes
+
+
+def _copy_keys(points: DataFrame) -> DataFrame:
+    """``h, k, key`` of every copy k = 1, 2, ... of a point hash ``h`` that occurs ``m``
+    times. A hot point's copies are cut into chunks that are dealt out evenly."""
+    first = points.select("h", F.lit(1).cast("long").alias("k"))
+    chunks = points.where("m > 1").select("h", "m", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("m") - 2) / COPIES)))
+                                          .alias("c"))
+    low = F.col("c") * COPIES + 2
+    more = (chunks.repartition("h", "c").select("h", F.explode(F.sequence(low, F.least(F.col("m"), low + COPIES - 1))).alias("k")))
+    return first.union(more).withColumn("key", F.md5(F.concat("h", F.lit(":"), F.col("k").cast("string"))))
+
+
 def scatter_data(df: DataFrame, x: str, y: str, n: int = SCATTER_POINTS, seed: int = 42,
                  missing: str = "raise") -> DataFrame:
     """W6+W7: up to ``n`` ``(x, y)`` points with both values present; when more
-    rows qualify, the ``n`` rows with the smallest ``rand(seed)`` key (a
-    uniform sample).
-
-    A top-n straight over the input would merge ``n`` rows from every input
-    split in one place. So the qualifying rows are counted first, and only
-    keys below a threshold expected to keep ``n + 10 sqrt(n) + 100`` rows go
-    into the top-n: those are exactly the ``n`` smallest keys whenever at
-    least ``n`` rows pass it, which a second count makes sure of. The result is
-    lazy, no row passes through the driver. ``rand`` is seeded per partition: an
-    input of the same layout gives the same rows, another layout may not.
+    rows qualify, a uniform sample that depends on the values and the seed alone: the
+    same for any partitioning and order of the input.
+
+    A point's hash is ``h = md5('seed|x|y')`` of the values as text, the key of its k-th
+    copy ``md5('h:k')``, and the sample the ``n`` smallest keys. Hashes are counted
+    with partial aggregation, so equal points cost one row per task. The rows are counted
+    first: only keys below a threshold expected to keep ``n + 10 sqrt(n) + 100`` of them go
+    into the top-n, which are exactly the ``n`` smallest whenever at least ``n`` pass it; a
+    second count makes sure of that. The values of the at most ``n`` hashes are then
+    fetched from the input. Points that share a hash take its copies in order of (x, y).
     """
     if not _check(df, [x, y], missing):
         return _empty(df)
-    pts = not_null(df, x, y).select(
-        finite_or_null(x, df.schema[x].dataType).alias("x"),
-        finite_or_null(y, df.schema[y].dataType).alias("y"),
-        F.rand(seed).alias("__r"))
+    pts = not_null(df, x, y)
+    out = [finite_or_null(c, df.schema[c].dataType).alias(a) for c, a in ((x, "x"), (y, "y"))]
     total = pts.count()
     if total <= n:
-        return pts.drop("__r")
+        return pts.select(*out)
+    point = F.md5(F.concat_ws("|", F.lit(str(seed)), qcol(x).cast("string"), qcol(y).cast("string")))
+    hashed = pts.select(qcol(x).alias("x"), qcol(y).alias("y"), point.alias("h"))
+    keys = _copy_keys(hashed.groupBy("h").agg(F.count("*").alias("m")))
     keep = min(1.0, (n + 10 * math.sqrt(n) + 100) / total)
-    few = pts.where(F.col("__r") < keep)
-    return (few if few.count() >= n else pts).orderBy("__r").limit(n).drop("__r")
+    few = keys.where(F.col("key") <= f"{min(2 ** 64 - 1, int(keep * 2 ** 64)):016x}" + "f" * 16)
+    chosen = (few if few.count() >= n else keys).orderBy("key").limit(n)
+    # at most n hashes are broadcast
+    found = (hashed.join(F.broadcast(chosen.select("h").distinct()), "h", "left_semi")
+             .groupBy("h", "x", "y").agg(F.count("*").alias("m")))
+    upto = found.withColumn("upto", F.sum("m").over(Window.partitionBy("h").orderBy("x", "y")))
+    got = upto.join(chosen, "h").where((F.col("k") <= F.col("upto")) & (F.col("k") > F.col("upto") - F.col("m")))
+    return got.orderBy("key").select(finite_or_null("x", df.schema[x].dataType).alias("x"),
+                                     finite_or_null("y", df.schema[y].dataType).alias("y"))
 
 
 def chart_data(df: DataFrame, chart_type: str, x: str, y: str | None = None,

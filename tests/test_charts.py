@@ -54,10 +54,29 @@ def test_suggest_charts(spark):
     assert (sc["x_axis"], sc["y_axis"]) == ("x", "y")
 
 
-def test_scatter_threshold_keeps_the_same_rows(spark):
-    from pyspark.sql import functions as F
-    df = spark.range(20000).selectExpr("CAST(id AS DOUBLE) AS x", "CAST(id % 97 AS DOUBLE) AS y")
-    got = sorted(tuple(r) for r in tw.scatter_data(df, "x", "y", n=300, seed=5).collect())
-    pts = tw.not_null(df, "x", "y").select("x", "y", F.rand(5).alias("r"))
-    direct = sorted(tuple(r) for r in pts.orderBy("r").limit(300).select("x", "y").collect())
-    assert got == direct
+def _smallest_keys(points, n, seed):
+    """The definition: every copy's key, the n smallest."""
+    import hashlib
+    from collections import Counter
+
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+    keyed = [(md5(md5(f"{seed}|{x}|{y}") + f":{k}"), (x, y)) for (x, y), m in Counter(points).items() for k in range(1, m + 1)]
+    return sorted(p for _, p in sorted(keyed)[:n])
+
+
+@pytest.mark.parametrize("n", [1, 300, 5000])
+@pytest.mark.parametrize("copies", [1 << 16, 7])
+def test_scatter_takes_the_smallest_keys_in_any_layout(spark, monkeypatch, n, copies):
+    from tablewash.operators import charts
+    monkeypatch.setattr(charts, "COPIES", copies)
+    points = [(i % 1009, i % 7) for i in range(3000)] + [(5, 5)] * 2000 + [(6, 6)] * 2
+    want = _smallest_keys(points, n, 5)
+    df = spark.createDataFrame([(*p, None) for p in points] + [(1, None, 1)] * 9, "x int, y int, h int")
+    for layout in (df, df.repartition(13, "y"), df.orderBy("x").coalesce(1)):
+        assert sorted(tuple(r) for r in tw.scatter_data(layout, "x", "y", n=n, seed=5).collect()) == want
+
+
+def test_scatter_share_of_a_hot_point(spark):
+    df = spark.range(30000).selectExpr("IF(id % 3 = 0, 0, id) AS x", "IF(id % 3 = 0, 0.5D, id / 2D) AS y")
+    got = tw.scatter_data(df, "x", "y", n=900, seed=3).collect()
+    assert len(got) == 900 and 240 < sum(r["x"] == 0 for r in got) < 360
