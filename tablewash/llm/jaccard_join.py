@@ -13,19 +13,29 @@ the n-gram hashes is cut into fragments, and fragments are compared on their own
   n-grams of the order too, as many as a pair of similarity t must share one of.
   So every such pair shares a key: no candidate is lost, and hardly any comes from
   single frequent n-grams.
-* Overlaps. Of the documents with a key, the one that shares most keys with others
-  is its centre; a centre and all documents of its keys are a family, so every
-  candidate pair lies in one. A family's sets are cut into fragments of the order
-  again; the partial overlaps of all its pairs are counted fragment by fragment as
-  products of incidence matrices and summed. Only links that connect something not
-  connected yet leave the task, so a family of copies is never expanded into its
-  pairs, and no link between different texts is lost. A family of many or long
-  documents is cut into blocks, and each pair of blocks is a task of its own.
-
-Keys travel packed, one block per input batch and part; a batch sends each key
-once, so a key of very many documents loads no task. Nulls count as empty texts;
-texts without words link with nothing. Rows that share an id are one document;
-rows without id link with nothing and have no component.
+* Families. A batch sends each of its keys once, with the smallest document that has it,
+  and names the others as members of that document's family; where keys of batches
+  meet, their smallest document gets a family of the senders and of the members
+  behind them. So every candidate pair lies in some family, no list of a key's documents
+  meets anywhere, and a batch's share of a hot key is one entry.
+* Overlaps with pivots. Each document is compared with one pivot, of the family with which
+  it shares most keys: the member that shares most keys in all. Sets are cut at fixed
+  places of the global order; (pivot, fragment) tasks count the partial overlap of the pivot's
+  fragment with those of at most ``BLOCK_DOCS`` members and send (pair, count), and Spark
+  sums them per pair. Near copies of one text are linked to it by as many pairs as there
+  are copies.
+* The rest. Families whose members still lie in several components are compared
+  wholly, but for pairs inside a component: the members outside the largest one with each
+  other and with those of the largest whose sizes allow a link, block by block, their
+  overlaps counted fragment by fragment as products of incidence matrices. Only
+  links that connect something not connected yet leave a task. No link between
+  documents of different components is lost, and a family of copies is never expanded
+  into its pairs.
+
+Which pivot is taken affects the work alone, never the result. Nulls count as empty
+texts; texts without words link with nothing. Rows that share an id are one document;
+rows without id link with nothing and have no component. Inside, a set is named by a
+64-bit hash; equal hashes count as equal.
 """
 
 from __future__ import annotations
@@ -43,7 +53,9 @@ from tablewash.llm.shingles import mix, shingles
 
 DOCS_PER_PART = 2_000
 FRAGMENT = 4096  # n-grams of the order that one product of incidence matrices covers
+FRAGMENTS = 8  # of a set compared with its pivot, cut by the highest bits
 BLOCK_DOCS, BLOCK_NGRAMS = 512, 500_000  # of a family; more of either is cut into blocks
+BROADCAST_DOCS = 1_000_000  # ids (8 bytes) that a join may broadcast; beyond, it shuffles the texts
 NO_ID = -(1 << 63)
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -114,8 +126,18 @@ def _set_hash(s: np.ndarray) -> tuple[int, int]:
     return int(a.astype(np.int64)), int(b.astype(np.int64))
 
 
+def _families(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Of keys in order, each with its documents in order: rows (first document, document,
+    number of keys) of the keys with several documents, the first one included."""
+    new = np.append(True, key[1:] != key[:-1])
+    first = np.repeat(doc[new], np.diff(np.append(np.flatnonzero(new), len(key))))
+    several = np.append(~new[1:], False) | ~new
+    pairs, count = np.unique(np.stack([first[several], doc[several]], axis=1), axis=0, return_counts=True)
+    return np.concatenate([pairs, count[:, None]], axis=1)
+
+
 def _blocks(n: int, percent: int, parts: int):
-    """Documents to packed blocks: (part, documents or keys, arrays of longs)."""
+    """Documents to packed blocks: (part, keys with a document, documents, families in the batch)."""
     classes = size_classes(percent)
 
     def run(batches):
@@ -124,56 +146,48 @@ def _blocks(n: int, percent: int, parts: int):
             for doc, text in zip(b["k"], b["t"]):
                 s = shingles(text, n)
                 a, c = _set_hash(s)
-                rows.append((doc, len(s), a, c))
+                rows.append((doc, len(s), a))
                 if len(s) and doc != NO_ID and (a, c) not in seen:
                     seen.add((a, c))
                     k = candidate_keys(s, percent, classes)
                     keys.append(k)
                     of.append(np.full(len(k), doc, dtype=np.int64))
             out = []
-            if rows:
-                table = np.array(rows, dtype=np.int64)
-                part = int(table[0, 2]) % parts
-                out.append((part, b"", table.tobytes(), b""))
+            local = np.empty((0, 3), dtype=np.int64)
             if keys:
                 k, d = np.concatenate(keys), np.concatenate(of)
                 order = np.lexsort((d, k))
                 k, d = k[order], d[order]
+                if len(k):
+                    local = _families(k, d)
+                new = np.append(True, k[1:] != k[:-1])[:len(k)]
+                k, d = k[new], d[new]
                 part = ((k >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-                new = np.append(True, k[1:] != k[:-1])
-                again = np.append(~new[1:], False) | ~new  # in a key that the batch holds more than once
                 cut = np.searchsorted(part, np.arange(parts + 1))
-                for p in np.unique(part):
-                    x = slice(cut[p], cut[p + 1])
-                    kk, dd, nn, rr = k[x], d[x], new[x], again[x]
-                    # the first document of each key, and all documents of repeated keys
-                    out.append((int(p), _pack(kk[nn], dd[nn]), b"", _pack(kk[rr], dd[rr]) if rr.any() else b""))
-            yield pd.DataFrame(out, columns=["part", "sent", "docs", "more"])
+                out = [(int(p), _pack(k[cut[p]:cut[p + 1]], d[cut[p]:cut[p + 1]]), b"", b"") for p in np.unique(part)]
+            if rows:
+                out.append((rows[0][2] % parts, b"", np.array(rows, dtype=np.int64).tobytes(), local.tobytes()))
+            yield pd.DataFrame(out, columns=["part", "sent", "docs", "local"])
 
     return run
 
 
-_FOUND = "kind int, a long, b long, c long, d long"
+_FOUND = "kind int, a long, b long, c long"
+_DOC, _LOCAL, _MET = range(3)
 
 
 def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of one part: its documents, and (key, document) of the keys that more than one batch or document has."""
-    def joined(name):
-        blocks = [_unpack(x) for x in pdf[name] if x]
-        return np.concatenate(blocks, axis=1) if blocks else np.empty((2, 0), dtype=np.int64)
-
-    sent, more = joined("sent"), joined("more")
-    order = np.argsort(sent[0], kind="stable")
-    k, d = sent[0][order], sent[1][order]
-    if len(k):
-        new = np.append(True, k[1:] != k[:-1])
-        again = np.append(~new[1:], False) | ~new
-        more = np.concatenate([more, np.stack([k[again], d[again]])], axis=1)
-    docs = [np.frombuffer(x, dtype=np.int64).reshape(-1, 4) for x in pdf["docs"] if x]
-    docs = np.concatenate(docs) if docs else np.empty((0, 4), dtype=np.int64)
-    members = pd.DataFrame({"kind": 1, "a": more[0], "b": more[1], "c": 0, "d": 0}).drop_duplicates()
-    return pd.concat([pd.DataFrame({"kind": 0, "a": docs[:, 0], "b": docs[:, 1], "c": docs[:, 2], "d": docs[:, 3]}),
-                      members], ignore_index=True)
+    """Of one part: its documents (id, size, set), the families inside batches, and
+    those of the documents that batches sent with equal keys."""
+    blocks = [_unpack(x) for x in pdf["sent"] if x]
+    met = np.empty((0, 3), dtype=np.int64)
+    if blocks:
+        k, d = np.concatenate(blocks, axis=1)
+        order = np.lexsort((d, k))
+        met = _families(k[order], d[order])
+    found = [[np.frombuffer(x, dtype=np.int64).reshape(-1, 3) for x in pdf[c] if x] for c in ("docs", "local")] + [[met]]
+    return pd.concat([pd.DataFrame({"kind": kind, "a": r[:, 0], "b": r[:, 1], "c": r[:, 2]})
+                      for kind, tables in enumerate(found) for r in tables], ignore_index=True)
 
 
 def _links(x: list[np.ndarray], y: list[np.ndarray] | None, percent: int):
@@ -204,8 +218,8 @@ def _forest(pdf: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
     """Links of one family, or of two blocks of it, without those inside what is
     connected already."""
     sides = [pdf[pdf["side"] == i] for i in (0, 1)]
-    x, y = ([np.frombuffer(b, dtype=np.uint64) for b in p["grams"]] for p in sides)
-    ids = [p["doc"].tolist() for p in sides]
+    x, y = ([np.concatenate([np.frombuffer(b, dtype=np.uint64) for b in g]) for g in p["grams"]] for p in sides)
+    ids = [p["component"].tolist() for p in sides]
     if not x or (len(sides[1]) == 0 and int(pdf["pair"].iloc[0])):
         return []
     parent = {i: i for p in ids for i in p}
@@ -225,7 +239,7 @@ def _forest(pdf: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
 
 
 def _similar(families: DataFrame, percent: int) -> DataFrame:
-    """``a, b``: links that connect all documents of a family that links connect.
+    """``a, b``: links that connect the components of a family's documents.
     Families of one block share tasks, pairs of blocks have their own."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = [e for _, f in pdf.groupby(["centre", "low", "high"]) for e in _forest(f, percent)]
@@ -234,6 +248,79 @@ def _similar(families: DataFrame, percent: int) -> DataFrame:
     return families.groupBy("task", "low", "high").applyInPandas(run, "a long, b long")
 
 
+def _partial_overlaps(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Of one task: for each (pivot, fragment, block) the n-grams that each member's
+    fragment shares with the pivot's."""
+    out = []
+    pdf = pdf.sort_values(["pivot", "fragment", "block", "member"], kind="stable", ignore_index=True)
+    key = pdf[["pivot", "fragment", "block"]].to_numpy()
+    first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(axis=1)))
+    for low, high in zip(first, np.append(first[1:], len(pdf))):
+        if pdf["member"].iloc[low] or high == low + 1:  # no pivot or no members
+            continue
+        pivot = np.frombuffer(pdf["grams"].iloc[low], dtype=np.uint64)
+        sets = [np.frombuffer(b, dtype=np.uint64) for b in pdf["grams"].iloc[low + 1:high]]
+        grams = np.concatenate(sets)
+        hit = np.zeros(len(grams) + 1, dtype=np.int64)
+        if len(pivot) and len(grams):
+            hit[1:] = np.cumsum(pivot[np.minimum(np.searchsorted(pivot, grams), len(pivot) - 1)] == grams)
+        ends = np.cumsum([len(x) for x in sets])
+        common = hit[ends] - hit[np.append(0, ends[:-1])]
+        out.append(pd.DataFrame({"pivot": pdf["pivot"].iloc[low], "node": pdf["node"].iloc[low + 1:high].to_numpy(),
+                                 "size": pdf["n"].iloc[low], "n": pdf["n"].iloc[low + 1:high].to_numpy(), "common": common}))
+    none = pd.DataFrame({c: np.empty(0, dtype=np.int64) for c in ("pivot", "node", "size", "n", "common")})
+    return pd.concat(out, ignore_index=True) if out else none
+
+
+def _pivot_links(families: DataFrame, sets: DataFrame, percent: int, parts: int) -> DataFrame:
+    """``a, b``: the links of each document with the pivot of its family."""
+    best = families.groupBy("node").agg(F.max(F.struct("keys", "centre")).alias("best"), F.sum("keys").alias("degree"))
+    placed = best.select("node", "degree", F.col("best.centre").alias("centre"))
+    pivots = placed.groupBy("centre").agg(F.max(F.struct("degree", "node")).alias("top"), F.count("*").alias("m")).where("m > 1")
+    pivots = pivots.select("centre", F.col("top.node").alias("pivot"), F.ceil(F.col("m") / BLOCK_DOCS).cast("int").alias("blocks"))
+    pairs = placed.join(pivots, "centre").where("node <> pivot").select(
+        "pivot", "node", F.pmod(F.xxhash64("node", "pivot"), "blocks").cast("int").alias("block"), F.lit(1).alias("member"))
+    own = pivots.select("pivot", F.col("pivot").alias("node"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
+                        F.lit(0).alias("member")).distinct()
+    dealt = (pairs.union(own).join(sets, "node")
+             .select("pivot", "node", "block", "member", "n", F.posexplode("grams").alias("fragment", "grams"))
+             .withColumn("task", F.pmod(F.xxhash64("pivot", "fragment", "block"), F.lit(4 * parts))))
+    counted = (dealt.groupBy("task").applyInPandas(_partial_overlaps, "pivot long, node long, size long, n long, common long")
+               .groupBy("pivot", "node", "size", "n").agg(F.sum("common").alias("common")))
+    return (counted.where(F.col("common") * 100 >= percent * (F.col("size") + F.col("n") - F.col("common")))
+            .select(F.col("pivot").alias("a"), F.col("node").alias("b")))
+
+
+def _rest_links(families: DataFrame, label: DataFrame, sets: DataFrame, percent: int, parts: int, scratch: Scratch) -> DataFrame:
+    """``a, b``: links between components, from the families that hold several."""
+    placed = families.join(label, "node", "left").select(
+        "centre", "node", F.coalesce("component", "node").alias("component"))
+    mixed = placed.groupBy("centre").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("centre")
+    placed = scratch.keep(placed.join(mixed, "centre").join(sets.select("node", "n"), "node"), "mixed")
+    main = (placed.groupBy("centre", "component").agg(F.count("*").alias("m")).groupBy("centre")
+            .agg(F.max(F.struct("m", "component")).alias("main")).select("centre", F.col("main.component").alias("main")))
+    placed = placed.join(main, "centre").withColumn("inner", F.col("component") == F.col("main"))
+    blocks = lambda at: F.greatest(F.ceil(F.count(F.when(at, 1)) / BLOCK_DOCS),
+                                   F.ceil(F.sum(F.when(at, F.col("n"))) / BLOCK_NGRAMS)).cast("int")
+    shape = placed.groupBy("centre").agg(
+        F.min(F.when(~F.col("inner"), F.col("n"))).alias("least"), F.max(F.when(~F.col("inner"), F.col("n"))).alias("most"),
+        blocks(~F.col("inner")).alias("outer"), blocks(F.col("inner")).alias("whole"))
+    fits = (F.col("n") * 100 >= F.col("least") * percent) & (F.col("n") * percent <= F.col("most") * 100)
+    spread = F.pmod(F.xxhash64("node", "centre"), F.when(F.col("inner"), F.col("whole")).otherwise(F.col("outer"))).cast("int")
+    placed = (placed.join(shape, "centre").where(~F.col("inner") | fits)
+              .withColumn("block", spread + F.when(F.col("inner"), F.col("outer")).otherwise(0)))
+    # a document outside the main component goes to the pairs of its block with every
+    # block, itself included; one inside it to those with every block outside it
+    last = F.when(F.col("inner"), F.col("outer")).otherwise(F.col("outer") + F.col("whole")) - 1
+    pairs = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(
+        F.least(i, "block").alias("low"), F.greatest(i, "block").alias("high"),
+        (F.col("block") > i).cast("int").alias("side"), (F.col("block") != i).cast("int").alias("pair")))
+    task = F.when(F.col("outer") + F.col("whole") > 2, F.col("centre")).otherwise(F.pmod(F.xxhash64("centre"), F.lit(4 * parts)))
+    dealt = (placed.select("centre", "node", "component", task.alias("task"), F.explode(pairs).alias("p"))
+             .select("centre", "node", "component", "task", "p.*").join(sets.select("node", "grams"), "node"))
+    return _similar(dealt, percent)
+
+
 def groups(docs: DataFrame, n: int, percent: int, id_col: str = "doc_id",
            text_col: str = "text") -> DataFrame:
     """``doc, n_shingles, component`` of every row. Two documents link when
@@ -242,53 +329,55 @@ def groups(docs: DataFrame, n: int, percent: int, id_col: str = "doc_id",
     scratch = Scratch(spark, "jaccard")
     own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("k"), F.col(text_col).alias("t"))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.count() // DOCS_PER_PART)
-    found = scratch.keep(own.mapInPandas(_blocks(n, percent, parts), "part int, sent binary, docs binary, more binary")
+    found = scratch.keep(own.mapInPandas(_blocks(n, percent, parts), "part int, sent binary, docs binary, local binary")
                          .groupBy("part").applyInPandas(_meet, _FOUND), "found")
     release(spark)
-    rows = found.where("kind = 0").select(F.col("a").alias("doc"), F.col("b").alias("n"), "c", "d")
-    real = rows.where((F.col("doc") != NO_ID) & (F.col("n") > 0))
-    first = real.groupBy("c", "d").agg(F.min("doc").alias("of"))
-    # documents to the first of their class; a document of several texts links their classes
-    classes = scratch.keep(real.select("doc", "n", "c", "d").distinct().join(first, ["c", "d"])
-                           .select("doc", "n", "of"), "classes")
-    members = (found.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("doc"))
-               .join(classes.select("doc", "of").distinct(), "doc").select("key", F.col("of").alias("doc")).distinct())
-    shared = members.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    members = scratch.keep(members.join(shared, "key"), "members")
-    degree = members.groupBy("doc").agg(F.sum("m").alias("degree"))
-    ranked = members.join(degree, "doc")
-    centres = ranked.groupBy("key").agg(F.max(F.struct("degree", (-F.col("doc")).alias("doc"))).alias("c"))
-    families = scratch.keep(members.join(centres.select("key", (-F.col("c.doc")).alias("centre")), "key")
-                            .select("centre", "doc").distinct(), "families")
-    wanted = families.select(F.col("doc").alias("k")).distinct()
+    rows = found.where(F.col("kind") == _DOC).select(F.col("a").alias("doc"), F.col("b").alias("n"), F.col("c").alias("node"))
+    real = rows.where((F.col("doc") != NO_ID) & (F.col("n") > 0)).select("doc", "node").distinct()
+
+    def family(kind):
+        return (found.where(F.col("kind") == kind).groupBy(F.col("a").alias("centre"), F.col("b").alias("doc"))
+                .agg(F.sum("c").alias("keys")))
+
+    local, met = family(_LOCAL), family(_MET)
+    lifted = local.select(F.col("centre").alias("sender"), F.col("doc").alias("behind"), F.col("keys").alias("there")).join(
+        met, F.col("sender") == met["doc"]).select("centre", F.col("behind").alias("doc"), F.least("keys", "there").alias("keys"))
+    named = local.union(met).union(lifted).groupBy("centre", "doc").agg(F.sum("keys").alias("keys"))
+    families = scratch.keep(
+        named.join(real, "doc").select("centre", "node", "keys")
+        .join(real.select(F.col("doc").alias("centre"), F.col("node").alias("of")), "centre")
+        .groupBy(F.col("of").alias("centre"), "node").agg(F.sum("keys").alias("keys")), "families")
+    release(spark)
+    wanted = scratch.keep(real.join(families.select("node").union(families.select(F.col("centre").alias("node"))).distinct(), "node")
+                          .groupBy("node").agg(F.min("doc").alias("k")).select("k").distinct(), "wanted")
+    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_DOCS else wanted
+    bounds = np.arange(1, FRAGMENTS, dtype=np.uint64) * np.uint64((1 << 64) // FRAGMENTS)
 
     def cut(batches):
         for b in portions(batches, lambda b: b["t"].map(lambda t: [t]), 1 << 20):
             sets = [shingles(t, n) for t in b["t"]]
-            yield pd.DataFrame({"doc": b["k"], "n": [len(s) for s in sets], "grams": [s.tobytes() for s in sets]})
+            yield pd.DataFrame({"node": [_set_hash(s)[0] for s in sets], "n": [len(s) for s in sets],
+                                "grams": [[x.tobytes() for x in np.split(s, np.searchsorted(s, bounds))] for s in sets]})
 
-    sets = scratch.keep(own.join(wanted, "k", "left_semi").mapInPandas(cut, "doc long, n long, grams binary")
-                        .dropDuplicates(["doc", "n", "grams"]), "sets")
+    sets = scratch.keep(own.join(few, "k", "left_semi").mapInPandas(cut, "node long, n long, grams array<binary>")
+                        .dropDuplicates(["node"]), "sets")
+    release(spark)
+    several = real.groupBy("doc").agg(F.min("node").alias("a"), F.max("node").alias("hi")).where("a <> hi").select("doc", "a")
+    same = real.join(several, "doc").where("node <> a").select("a", F.col("node").alias("b"))  # texts of one document
+    links = scratch.keep(_pivot_links(families, sets, percent, parts).union(same), "links")
     release(spark)
-    total = families.join(sets.select("doc", "n"), "doc").groupBy("centre").agg(
-        F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_NGRAMS)).cast("int").alias("blocks"))
-    placed = families.join(total, "centre").withColumn("block", F.pmod(F.xxhash64("doc", "centre"), "blocks").cast("int"))
-    # a document goes to the pairs of its block with every block, itself included
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(
-        F.least(i, "block").alias("low"), F.greatest(i, "block").alias("high"),
-        (F.col("block") > i).cast("int").alias("side"), (F.col("block") != i).cast("int").alias("pair")))
-    task = F.when(F.col("blocks") > 1, F.col("centre")).otherwise(F.pmod(F.xxhash64("centre"), F.lit(4 * parts)))
-    dealt = (placed.select("centre", "doc", task.alias("task"), F.explode(pairs).alias("p"))
-             .select("centre", "doc", "task", "p.*").join(sets.select("doc", "grams"), "doc"))
-    links = scratch.keep(_similar(dealt, percent), "links").union(
-        classes.where("doc <> of").select(F.col("of").alias("a"), F.col("doc").alias("b")))
     label = components(links, scratch, "round")
-    doc_label = label.select(F.col("node").alias("doc"), "component")
-    out = rows.join(doc_label, "doc", "left").select(
+    more = scratch.keep(_rest_links(families, label, sets, percent, parts, scratch), "more")
+    release(spark)
+    if more.limit(1).count():
+        label = components(more.union(label.select(F.col("node").alias("a"), F.col("component").alias("b"))), scratch, "last")
+    placed = scratch.keep(rows.join(label, "node", "left").select(
+        "doc", "n", F.when((F.col("doc") != NO_ID) & (F.col("n") > 0), F.coalesce("component", "node")).alias("of")), "placed")
+    first = placed.where("of IS NOT NULL").groupBy("of").agg(F.min("doc").alias("component"), F.count("*").alias("m")).where("m > 1")
+    scratch.drop("found", "families", "wanted", "sets", "mixed")
+    return placed.join(first, "of", "left").select(
         F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc"), F.col("n").alias("n_shingles"),
         F.when(F.col("doc") != NO_ID, F.coalesce("component", "doc")).alias("component"))
-    scratch.drop("members", "families", "sets")
-    return out
 
 
 def join_report(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
@@ -302,22 +391,20 @@ def keep_first(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     columns kept; rows without id stay. Rows that share their id but not their text
     are documents of their own."""
     scratch = Scratch(docs.sparkSession, "first")
-    text = F.xxhash64("text")
-    several = scratch.keep(docs.where("doc_id IS NOT NULL").groupBy("doc_id")
-                           .agg(F.min(text).alias("lo"), F.max(text).alias("hi")).where("lo <> hi")
-                           .select(F.col("doc_id").alias("__several")), "several")
-    node = F.when(F.col("__several").isNull(), F.col("doc_id").cast("long")).otherwise(F.xxhash64("doc_id", "text"))
-    keyed = docs.join(several, F.col("doc_id") == F.col("__several"), "left").withColumn("__node", node)
+    named = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("text").alias("t"))
+    several = scratch.keep(named.where("id IS NOT NULL").groupBy("id")
+                           .agg(F.min(F.xxhash64("t")).alias("lo"), F.max(F.xxhash64("t")).alias("hi"))
+                           .where("lo <> hi").select(F.col("id").alias("several")), "several")
+    keyed = named.join(several, F.col("id") == F.col("several"), "left").withColumn(
+        "node", F.when(F.col("several").isNull(), F.col("id")).otherwise(F.xxhash64("id", "t")))
     # ids of the keys that are hashes
-    ids = (keyed.where("__several IS NOT NULL").select(F.col("__node").alias("doc"), F.col("doc_id").cast("long").alias("id"))
-           .distinct())
-    members = scratch.keep(groups(keyed.select("__node", "text"), n, percent, "__node").where("doc IS NOT NULL")
+    ids = keyed.where("several IS NOT NULL").select(F.col("node").alias("doc"), "id").distinct()
+    members = scratch.keep(groups(keyed.select("node", "t"), n, percent, "node", "t").where("doc IS NOT NULL")
                            .select("doc", "component").distinct().join(ids, "doc", "left")
                            .select("component", F.struct(F.coalesce("id", "doc").alias("id"), "doc").alias("member")),
                            "members")
     first = members.groupBy("component").agg(F.min("member").alias("first"), F.count("*").alias("m")).where("m > 1")
-    later = (members.join(first, "component").where("member <> first")
-             .select(F.col("member.doc").alias("__later")))
-    kept = keyed.join(later, F.col("__node") == F.col("__later"), "left_anti")
-    named = kept.where("doc_id IS NOT NULL").dropDuplicates(["__node"])
-    return named.unionByName(kept.where("doc_id IS NULL")).select(*docs.columns)
+    later = members.join(first, "component").where("member <> first").select(F.col("member.doc").alias("later"))
+    kept = keyed.join(later, F.col("node") == F.col("later"), "left_anti")
+    one = kept.where("id IS NOT NULL").dropDuplicates(["node"])
+    return one.union(kept.where("id IS NULL")).select("row.*")
