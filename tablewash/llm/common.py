@@ -11,6 +11,7 @@ from collections.abc import Callable
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablewash.session import shared_scratch
 
@@ -39,6 +40,8 @@ def held_out(doc_id: str = "doc_id"):
 SLICE = 512
 _ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(),
           "array<int>": pa.list_(pa.int32())}
+_SPARK = {"long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "string": T.StringType(),
+          "array<int>": T.ArrayType(T.IntegerType())}
 
 
 def map_texts(docs: DataFrame, keep: list[str], text_col: str, make: Callable, out: dict[str, str]) -> DataFrame:
@@ -46,7 +49,7 @@ def map_texts(docs: DataFrame, keep: list[str], text_col: str, make: Callable, o
     ``make()``, called once per task, computes from each batch's texts: a function
     from a list of texts to a list of values for each column. Names may clash: the
     result's columns are found by place."""
-    kinds = dict(docs.dtypes)
+    kinds = {f.name: f.dataType for f in docs.schema.fields}
     names = [f"c{i}" for i in range(len(keep))] + [f"r{i}" for i in range(len(out))]
     types = list(out.values())
 
@@ -60,7 +63,7 @@ def map_texts(docs: DataFrame, keep: list[str], text_col: str, make: Callable, o
                 arrays += [pa.array(r, type=_ARROW[t]) for r, t in zip(results, types)]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    schema = ", ".join(f"{n} {t}" for n, t in zip(names, [kinds[c] for c in keep] + types))
+    schema = T.StructType([T.StructField(n, t) for n, t in zip(names, [kinds[c] for c in keep] + [_SPARK[t] for t in types])])
     picked = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)]
     return (docs.select(*picked, F.col(f"`{text_col}`").alias("t")).mapInArrow(run, schema)
             .toDF(*keep, *out))

@@ -1,21 +1,23 @@
 """Benchmark decontamination: documents that hold a benchmark item, native.
 
 Every item is compared with the windows of its own number of words in every
-document. A window that is similar enough shares a shingle (``SHINGLE`` words) with
-the item; each shared shingle aligns the two, and the windows at that alignment and
-up to the number of words by which similar texts can be shifted are fingerprinted.
-A SimHash of 64 bits is cut into ``RADIUS + 1`` blocks; fingerprints within
-``RADIUS`` bits agree in at least one block, so an equi-join on window size, block
-and its value finds them all. Candidates within the radius are verified by the
+document. A window that is similar enough holds a certain number of places whose
+shingle (``SHINGLE`` words) occurs in the item, wherever there; so the places of shared
+shingles are collected per document and item, and sliding counts over them give all windows
+that can be similar enough, moved and reordered passages included. These windows are
+fingerprinted: a SimHash of 64 bits is cut into ``RADIUS + 1`` blocks; fingerprints
+within ``RADIUS`` bits agree in at least one block, so an equi-join on window size,
+block and its value finds them all. Candidates within the radius are verified by the
 exact weighted similarity of their shingles (each weighs as often as it occurs).
 At the threshold itself the fingerprints of two texts differ by 10 bits on average;
-beyond ``RADIUS`` lie fewer than one in a thousand such pairs.
+beyond ``RADIUS`` lies fewer than one in a million such pairs.
 
 Words are separated by white space and lower-cased. An item with fewer words than a
 shingle is a single shingle. A document shorter than the item is one window.
 Nulls and texts or items without words match nothing. Items are broadcast up to
-``BROADCAST_SHINGLES`` shingles, counted first; beyond that the same joins shuffle.
-Rows that share an id are looked at separately and reported under that id.
+``BROADCAST_SHINGLES`` shingles, the documents' windows up to ``BROADCAST_WINDOWS``,
+counted first; beyond that the same joins shuffle. Rows that share an id are looked at
+separately and reported under that id. Other columns may have any name.
 """
 
 from __future__ import annotations
@@ -23,12 +25,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablewash.llm.common import Scratch
+
 SHINGLE = 5
 PERCENT = 80
-RADIUS = 19
+RADIUS = 26
 BROADCAST_SHINGLES = 1_000_000
+BROADCAST_WINDOWS = 2_000_000  # of 12 bytes
 _BLANKS = " \t\n\u000b\f\r"
-_LANES = 4  # counters of 16 bits in a long
+_LANES = 2  # counters of 32 bits in a long
 
 
 def _word_hashes(text: Column) -> Column:
@@ -52,7 +57,7 @@ def _blocks() -> list[tuple[int, int]]:
 
 
 def simhash(s: Column) -> Column:
-    """64 majority bits of the shingle hashes; 16-bit counters share a long."""
+    """64 majority bits of the shingle hashes; two counters share a long."""
     step = 64 // _LANES
     mask = sum(1 << (i * step) for i in range(_LANES))
 
@@ -88,36 +93,53 @@ def items(benchmark: DataFrame) -> DataFrame:
     return out.withColumn("fp", simhash(F.col("shingles")))
 
 
+def _begins(hits: DataFrame, percent: int) -> DataFrame:
+    """``doc_id, row, words, at`` of the windows that hold enough places shared with an item."""
+    mine = F.greatest(F.least("words", "n") - (SHINGLE - 1), F.lit(1))
+    theirs = F.greatest(F.col("words") - (SHINGLE - 1), F.lit(1))
+    need = F.ceil(percent * (mine + theirs) / (100 + percent)).cast("int")
+    enough = (hits.groupBy("doc_id", "row", "n", "item_id", "words").agg(F.collect_set("p").alias("at"))
+              .withColumn("need", need).where(F.size("at") >= F.col("need"))
+              .select("doc_id", "row", "words", "need", (mine - 1).alias("reach"), F.greatest(F.col("n") - F.col("words"), F.lit(0))
+                      .alias("last"), F.sort_array("at").alias("at")))
+    # any `need` places in a row that fit into a window, and the begins of the windows around them
+    spans = F.filter(F.transform(F.sequence(F.lit(0), F.size("at") - F.col("need")), lambda i: F.struct(
+        F.greatest(F.get("at", i + F.col("need") - 1) - F.col("reach"), F.lit(0)).alias("low"),
+        F.least(F.get("at", i), F.col("last")).alias("high"))), lambda w: w["low"] <= w["high"])
+    begins = F.array_distinct(F.flatten(F.transform(spans, lambda w: F.sequence(w["low"], w["high"]))))
+    return enough.select("doc_id", "row", "words", F.explode(begins).alias("at")).distinct()
+
+
 def _windows(docs: DataFrame, benchmark: DataFrame, percent: int) -> DataFrame:
-    """``doc_id, __row`` (hash of the text), ``item_id, at, similarity`` of the
-    windows at or above the threshold."""
+    """``doc_id, row`` (hash of the text), ``item_id, at, similarity`` of the
+    windows at or above the threshold. ``docs``: columns doc_id and text."""
+    scratch = Scratch(docs.sparkSession, "windows")
     all_items = items(benchmark)
     size = all_items.agg(F.sum(F.size("shingles"))).first()[0] or 0
     small = F.broadcast if size <= BROADCAST_SHINGLES else (lambda df: df)
-    starts = all_items.select("item_id", "words", F.posexplode("shingles").alias("q", "s"))
-    hashed = docs.select(F.col("doc_id"), F.xxhash64("text").alias("__row"), _word_hashes(F.col("text")).alias("h"))
+    shingles = all_items.select("item_id", "words", F.explode("shingles").alias("s")).distinct()
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("row"), _word_hashes(F.col("text")).alias("h"))
     # items of fewer words than a shingle meet the runs of just as many words
     short = [r[0] for r in all_items.where(F.col("words") < SHINGLE).select("words").distinct().collect()]
-    runs = hashed.select("doc_id", "__row", F.size("h").alias("n"), F.posexplode(_shingles(F.col("h"))).alias("p", "s"))
+    runs = hashed.select("doc_id", "row", F.size("h").alias("n"), F.posexplode(_shingles(F.col("h"))).alias("p", "s"))
     for k in short:
         few = F.transform(F.sequence(F.lit(0), F.size("h") - k), lambda i: F.xxhash64(
             *[F.get(F.col("h"), i + j) if j < k else F.lit(None).cast("long") for j in range(SHINGLE)]))
         runs = runs.unionByName(hashed.where(F.size("h") >= k).select(
-            "doc_id", "__row", F.size("h").alias("n"), F.posexplode(few).alias("p", "s")))
-    shift = F.floor(F.col("words") * (100 - percent) / 200).cast("int")
-    first = F.least(F.greatest(F.col("p") - F.col("q"), F.lit(0)), F.greatest(F.col("n") - F.col("words"), F.lit(0)))
-    aligned = (runs.join(small(starts), "s").select("doc_id", "__row", "n", "words", shift.alias("shift"), first.alias("at"))
-               .distinct().groupBy("doc_id", "__row", "n").agg(F.collect_set(F.struct("words", "shift", "at")).alias("found")))
-    near = F.array_distinct(F.flatten(F.transform("found", lambda f: F.transform(
-        F.sequence(-f["shift"], f["shift"]),
-        lambda d: F.struct(f["words"].alias("words"),
-                           F.least(F.greatest(f["at"] + d, F.lit(0)),
-                                   F.greatest(F.col("n") - f["words"], F.lit(0))).alias("at"))))))
-    back = docs.select(F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__r"), F.col("text").alias("__t"))
-    windows = (back.join(aligned, F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__r") == F.col("__row")))
-               .select("doc_id", "__row", _word_hashes(F.col("__t")).alias("h"), near.alias("near"))
-               .select("doc_id", "__row", "h", F.explode("near").alias("w"))
-               .select("doc_id", "__row", "w.words", "w.at", _shingles(F.slice("h", F.col("w.at") + 1, F.col("w.words"))).alias("mine")))
+            "doc_id", "row", F.size("h").alias("n"), F.posexplode(few).alias("p", "s")))
+    begins = scratch.keep(_begins(runs.join(small(shingles), "s"), percent), "begins")
+    near = begins.groupBy("doc_id", "row").agg(F.collect_set(F.struct("words", "at")).alias("near"))
+    # beyond the bound the texts are shuffled
+    near = F.broadcast(near) if begins.count() <= BROADCAST_WINDOWS else near
+    back = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("r"), "text")
+    found = back.join(near, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("r") == F.col("row"))).select(
+        "doc_id", "row", "near", _word_hashes(F.col("text")).alias("h"))
+    whole = found.select("doc_id", "row", "near", "h", _shingles(F.col("h")).alias("all"))
+    cut = F.transform("near", lambda w: F.struct(w["words"].alias("words"), w["at"].alias("at"), F.when(
+        F.least(w["words"], F.size("h")) >= SHINGLE,
+        F.slice("all", w["at"] + 1, F.least(w["words"], F.size("h")) - (SHINGLE - 1)))
+        .otherwise(_shingles(F.slice("h", w["at"] + 1, w["words"]))).alias("mine")))
+    windows = (whole.select("doc_id", "row", F.explode(cut).alias("w")).select("doc_id", "row", "w.words", "w.at", "w.mine"))
     windows = windows.withColumn("fp_mine", simhash(F.col("mine")))
 
     def keys(fp: str) -> Column:
@@ -131,7 +153,7 @@ def _windows(docs: DataFrame, benchmark: DataFrame, percent: int) -> DataFrame:
              .where(F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_mine"))) <= RADIUS)
              # of the blocks that agree only the first one counts
              .where(F.col("block") == _first_block("fp", "fp_mine"))
-             .select("doc_id", "__row", "item_id", "at",
+             .select("doc_id", "row", "item_id", "at",
                      similarity(F.col("mine"), F.col("shingles")).alias("similarity")))
     return close.where(F.col("similarity") * 100 >= percent)
 
@@ -140,7 +162,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> Da
     """``doc_id, item_id, similarity`` and first word of the most similar window of
     each document and item at or above the threshold."""
     best = F.max(F.struct(F.col("similarity"), (-F.col("at")).alias("at")))
-    return (_windows(docs, benchmark, percent).groupBy("doc_id", "item_id").agg(best.alias("best"))
+    return (_windows(docs.select("doc_id", "text"), benchmark, percent).groupBy("doc_id", "item_id").agg(best.alias("best"))
             .select("doc_id", "item_id", F.col("best.similarity").alias("similarity"),
                     (-F.col("best.at")).cast("long").alias("first_word")))
 
@@ -154,7 +176,7 @@ def _first_block(a: str, b: str) -> Column:
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The documents that hold no benchmark item, with all their columns. Every row is
     judged by its own text, whatever id it has."""
-    found = (_windows(docs, benchmark, percent)
-             .select(F.col("doc_id").alias("__found"), F.col("__row").alias("__text")).distinct())
-    own = F.col("doc_id").eqNullSafe(F.col("__found")) & (F.xxhash64("text") == F.col("__text"))
-    return docs.join(found, own, "left_anti").select(*docs.columns)
+    found = _windows(docs.select("doc_id", "text"), benchmark, percent).select("doc_id", "row").distinct()
+    own = docs.select(F.struct("*").alias("whole"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("r"))
+    left = own.join(found, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("r") == F.col("row")), "left_anti")
+    return left.select("whole.*")

@@ -168,5 +168,7 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", thresho
 
 def keep_good(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
     """The documents that the classifier doesn't reject, with all their columns."""
-    scored = score(docs, fit(docs, labels, label), docs.columns, name="__quality")
-    return scored.where(F.col("__quality") >= threshold).drop("__quality")
+    # whatever the columns are called, they travel in one
+    own = docs.select(F.struct("*").alias("row"), F.col("text").alias("text"))
+    scored = score(own, fit(docs, labels, label), ["row"])
+    return scored.where(F.col("score") >= threshold).select("row.*")

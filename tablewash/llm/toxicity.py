@@ -1,8 +1,8 @@
 """Toxicity: misspelling-tolerant lexicon hits, judged in their context.
 
 The lexicon is learned from a bounded sample of labelled rows (``SAMPLE_ROWS``),
-of which near copies count once (rows that share one of two min-hashes of their
-word pairs): whole words, and word beginnings of 4 to 6 characters, whose
+of which near copies count once (of rows that share one of two min-hashes of their
+word pairs, that with the smallest hash): whole words, and word beginnings of 4 to 6 characters, whose
 document counts lean to the toxic class beyond chance (``MIN_G2``). Its trie is intersected with the
 Levenshtein automata of the terms: a state is a set of (trie node, edits so far),
 determinised lazily, so a word is tested against the whole lexicon in one walk
@@ -33,14 +33,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewash.llm.common import held_out, map_texts
+from tablewash.llm.common import Scratch, held_out, map_texts
 from tablewash.llm.training import labelled_sample
 
 SAMPLE_ROWS = 20_000
 MIN_G2 = 30.0
 MIN_PURITY = 0.95
 MAX_CLEAN_SHARE = 0.001
-MAX_TERMS = 5_000  # bound of the learned lexicon: its best terms
 STEMS = (4, 5, 6)
 WINDOW = 6
 THRESHOLD = 0.5
@@ -232,41 +231,43 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic",
             s = [_signatures(t) for t in b["text"]]
             yield b.assign(s1=[x[0] for x in s], s2=[x[1] for x in s])
 
-    sample = (labelled_sample(docs, labels, label, rows)
-              .mapInPandas(sign, "text string, y int, s1 long, s2 long")
-              .dropDuplicates(["s1", "y"]).dropDuplicates(["s2", "y"]).select("text", "y").persist())
+    # of rows that share a min-hash the one with the smallest hash of its text stays,
+    # whatever the layout; the rows are written once, so every step reads the same
+    first = F.min(F.struct(F.xxhash64("text").alias("h"), "text", "s2")).alias("row")
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    sample = scratch.keep(
+        labelled_sample(docs, labels, label, rows).mapInPandas(sign, "text string, y int, s1 long, s2 long")
+        .groupBy("s1", "y").agg(first).select("y", "row.text", "row.s2")
+        .groupBy("s2", "y").agg(first).select("row.text", "y"), "sample")
     try:
         return _fit(sample)
     finally:
-        sample.unpersist()
+        scratch.drop("sample")
 
 
 def _fit(sample: DataFrame) -> tuple[list[str], list[str], dict[str, int], np.ndarray]:
 
     def count(batches):
         for b in batches:
-            toxic, other, n = Counter(), Counter(), [0, 0]
+            toxic, other = Counter(), Counter()
             for text, y in zip(b["text"], b["y"]):
                 (toxic if y else other).update(_terms(text))
-                n[1 if y else 0] += 1
-            # the empty term holds the number of documents
-            toxic[""], other[""] = n[1], n[0]
             names = list(toxic.keys() | other.keys())
             yield pd.DataFrame({"term": names, "a": [toxic[t] for t in names], "b": [other[t] for t in names]})
 
     counts = (sample.mapInPandas(count, "term string, a long, b long").groupBy("term")
-              .agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-              .where((F.col("a") > 2) & (F.col("a") >= F.col("b")) | (F.col("term") == "")))
-    best = counts.orderBy((F.col("term") != ""), F.col("a").desc(), "term").limit(4 * MAX_TERMS).collect()
-    total = next(((r["a"], r["b"]) for r in best if r["term"] == ""), (0, 0))
-    if not total[0] or not total[1]:
+              .agg(F.sum("a").alias("a"), F.sum("b").alias("b")))
+    n1, n0 = next(((r["a"], r["b"]) for r in sample.agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b")).collect()
+                   if r["a"] and r["b"]), (0, 0))
+    if not n1 or not n0:
         return [], [], {}, np.zeros(6)
-    n1, n0 = total
-    good = sorted(((g, r["term"]) for r in best if r["term"]
-                   and (g := _g2(r["a"], r["b"], n1, n0)) >= MIN_G2
-                   and r["a"] / n1 >= MIN_PURITY * (r["a"] / n1 + r["b"] / n0)), reverse=True)[:MAX_TERMS]
-    words = sorted(t for _, t in good if not t.endswith("*"))
-    stems = sorted(t[:-1] for _, t in good if t.endswith("*"))
+    # a term in fewer toxic documents than this cannot be beyond chance, even if no other document has it
+    least = next((a for a in range(1, n1 + 1) if _g2(a, 0, n1, n0) >= MIN_G2), n1 + 1)
+    pure = F.col("a") / n1 >= MIN_PURITY * (F.col("a") / n1 + F.col("b") / n0)
+    good = [r["term"] for r in counts.where((F.col("term") != "") & (F.col("a") >= least) & pure).collect()
+            if _g2(r["a"], r["b"], n1, n0) >= MIN_G2]
+    words = sorted(t for t in good if not t.endswith("*"))
+    stems = sorted(t[:-1] for t in good if t.endswith("*"))
 
     def near(batches):
         lexicon = Lexicon(words, stems)
@@ -288,8 +289,9 @@ def _fit(sample: DataFrame) -> tuple[list[str], list[str], dict[str, int], np.nd
             yield pd.DataFrame({"x": [scorer.features(t) for t in b["text"]], "y": b["y"]})
 
     got = sample.mapInPandas(found, "x array<double>, y int").toPandas()
-    x = np.array(got["x"].tolist(), dtype=float)
-    w = _regress(x, got["y"].to_numpy(float))
+    rows = np.array(sorted((*x, y) for x, y in zip(got["x"], got["y"])), dtype=float)  # sums in one order
+    x = rows[:, :-1]
+    w = _regress(x, rows[:, -1])
     if not x[:, FUZZY].any():  # no misspelled hit to learn from: half as much as an exact one
         w[FUZZY] = max(0.0, w[EXACT]) / 2
     return words, stems, radius, w

@@ -12,7 +12,8 @@ import pytest
 import tiktoken
 
 import corpus_pipeline
-from tablewash.llm import bpe, components, decontaminate, fingerprints, jaccard_join, line_dedup, queries, suffix_dedup
+from tablewash.llm import (bpe, components, decontaminate, fingerprints, jaccard_join, line_dedup, quality, queries,
+                            suffix_dedup)
 from tablewash.llm.common import Scratch, ready, table
 
 SF = "/root/testdata/sf0.001"
@@ -360,6 +361,43 @@ def test_decontamination_of_changed_items(spark):
     assert decontaminate.matches(frame.limit(0), bench).count() == 0
 
 
+def test_decontamination_of_moved_passages(spark):
+    """Halves swapped and sentences moved inside longer texts: shared shingles at other places."""
+    rnd = random.Random(12)
+    items = [(k, " ".join(f"t{rnd.randrange(900)}" for _ in range(n))) for k, n in enumerate([100, 100, 60, 150, 8])]
+    docs = []
+    for i in range(100):
+        w = items[rnd.randrange(4)][1].split()
+        a, b = sorted(rnd.sample(range(len(w)), 2))
+        w = rnd.choice([w[len(w) // 2:] + w[:len(w) // 2], w[:a] + w[b:] + w[a:b], w[b:] + w[a:b] + w[:a], w + w[a:], w[a:b] + w])
+        docs.append((i, " ".join([f"x{rnd.randrange(99)}" for _ in range(rnd.randint(0, 40))] + w
+                                 + [f"y{rnd.randrange(99)}" for _ in range(rnd.randint(0, 40))])))
+    want = _leaks(docs, items)
+    assert len(want) > 60
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for bound in (1 << 20, 0):
+        decontaminate.BROADCAST_WINDOWS, before = bound, decontaminate.BROADCAST_WINDOWS
+        got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.matches(spark.createDataFrame(docs, SCHEMA), bench).collect()}
+        decontaminate.BROADCAST_WINDOWS = before
+        assert got == want
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    """Columns that are called as the operators' own."""
+    names = ["id", "row", "t", "r", "text_", "node", "several", "later", "whole", "near", "n", "h", "k", "at", "words", "score", "__quality",
+             "__found", "__text", "__several", "__later", "__node", "c0", "component", "gone", "left", "k1"]
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    rows = [(1, a, *range(len(names))), (2, b, *range(len(names))), (3, b, *range(len(names))), (4, None, *range(len(names)))]
+    frame = spark.createDataFrame(rows, SCHEMA + "".join(f", {c} long" for c in names))
+    bench = spark.createDataFrame([(1, a)], "item_id long, text string")
+    for got, left in ((decontaminate.remove_contaminated(frame, bench), {2, 3, 4}), (jaccard_join.keep_first(frame), {1, 2, 4}),
+                      (line_dedup.remove_runs(frame), {1, 2, 3, 4}), (quality.keep_good(frame, table(spark, SF, "labels")), None)):
+        assert got.columns == frame.columns
+        found = got.collect()
+        assert left is None or {r.doc_id for r in found} == left
+        assert all(tuple(r)[2:] == tuple(range(len(names))) for r in found)
+
+
 def test_rows_are_judged_by_their_own_text(spark):
     """Null and repeated ids: only rows with an item, or later copies, go."""
     a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")

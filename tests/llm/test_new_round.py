@@ -336,3 +336,37 @@ def test_query_equals_sql(spark, name):
     got = [tuple(r) for r in queries.QUERIES[name](spark, SF).collect()]
     want = _sql(queries.ORACLE_SQL[name], {"documents": f"{SF}/documents.parquet"})
     assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+# --- toxicity: the same model for any layout --------------------------------
+
+
+def test_toxicity_does_not_depend_on_the_layout(spark):
+    from tablewash.llm import toxicity
+
+    docs, labels = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    models = []
+    try:
+        for parts, frame in (("8", docs), ("13", docs), ("8", docs.orderBy(F.xxhash64("doc_id")).repartition(5, "source"))):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            models.append(toxicity.fit(frame, labels))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert models[0][0] or models[0][1]
+    for m in models[1:]:
+        assert m[:3] == models[0][:3] and (m[3] == models[0][3]).all()
+
+
+def test_toxicity_scores_equal_a_plain_scorer(spark):
+    """Features from plain edit distances and the logistic function, document by document."""
+    from tablewash.llm import toxicity
+
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    model = toxicity.fit(docs, labels)
+    words, stems, radius, w = model
+    scorer = toxicity.Scorer(words, stems, radius)
+    rows = docs.select("doc_id", "text").collect()
+    want = {r.doc_id: 1 / (1 + np.exp(-(np.array(scorer.features(r.text)) @ w[:5] + w[5]))) if words or stems else 0.0 for r in rows}
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in want)
