@@ -416,6 +416,56 @@ def q_statistical_summary(spark, d):
         F.lit(s.total_columns).cast("bigint").alias("total_columns"))
 
 
+def q_statistical_summary_whole(spark, d):
+    """Every part of the combined summary as rows."""
+    return _r4(tw.summary_rows(tw.statistical_summary(_read(spark, d, "orders"))), "number")
+
+
+def q_find_duplicates_rows(spark, d):
+    """The samples of the duplicate report, row by row in their order."""
+    turns = _read(spark, d, "conversations")
+    r = tw.find_duplicates(turns.unionByName(turns.where("role = 'user'")), n=10)
+    rows = [(part, i + 1, *(x[c] for c in _CONV)) for part, sample in (("exact", r.exact_sample), ("entity", r.entity_sample))
+            for i, x in enumerate(sample)]
+    return spark.createDataFrame(rows, "part string, place int, conv_id bigint, turn bigint, role string, text string")
+
+
+def q_load_csv_dir_orders(spark, d):
+    """A folder of two CSV files of orders, each loaded by its name."""
+    base = shared_scratch(spark, f"csv-dir-{uuid.uuid4().hex}")
+    src = _read(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    for part in (src.where("o_orderstatus = 'F'"), src.where("o_orderstatus <> 'F'")):
+        tw.export_csv(part, base, single_file=True, mode="append")
+    first, second = tw.load_csv_dir(spark, base).available
+    return (tw.load_csv_dir(spark, base, first).frame
+            .unionByName(tw.load_csv_dir(spark, base, second).frame))
+
+
+def q_catalog_tables(spark, d):
+    """Tables saved, replaced by a frame that reads the old one, listed and dropped by prefix."""
+    prefix = f"project_{uuid.uuid4().hex}_"
+    orders = _read(spark, d, "orders")
+    try:
+        tw.save_table(orders, prefix + "a")
+        tw.save_table(orders.where("o_orderstatus = 'F'"), prefix + "b")
+        saved = [("saved", t, spark.table(prefix + t).count()) for t in "ab"]
+        tw.save_table(spark.table(prefix + "a").where("o_orderpriority = '1-URGENT'"), prefix + "a")
+        saved.append(("replaced", "a", spark.table(prefix + "a").count()))
+        saved += [("listed", t[len(prefix):], 1) for t in tw.list_tables(spark) if t.startswith(prefix)]
+    finally:
+        dropped = tw.drop_tables_with_prefix(spark, prefix)
+    left = sum(t.startswith(prefix) for t in tw.list_tables(spark))
+    return spark.createDataFrame([*saved, ("dropped", "", dropped), ("left", "", left)], "step string, name string, n bigint")
+
+
+def q_allowed_strategies(spark, d):
+    """The imputation strategies that each column with missing values may take."""
+    df = dirty_lineitem(spark, d)
+    kinds = {f.name: ",".join(tw.allowed_strategies(f.dataType)) for f in df.schema.fields}
+    names = F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv])
+    return tw.suggest_imputations(df).select("column_name", F.element_at(names, F.col("column_name")).alias("allowed"))
+
+
 def q_correlation_square(spark, d):
     """The heat map's square matrix."""
     m = tw.correlation_matrix(tw.correlation_pairs(_read(spark, d, "lineitem")))
@@ -566,6 +616,11 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "profile_report": q_profile_report,
     "find_duplicates_report": q_find_duplicates_report,
     "statistical_summary": q_statistical_summary,
+    "statistical_summary_whole": q_statistical_summary_whole,
+    "find_duplicates_rows": q_find_duplicates_rows,
+    "load_csv_dir_orders": q_load_csv_dir_orders,
+    "catalog_tables": q_catalog_tables,
+    "allowed_strategies": q_allowed_strategies,
     "correlation_square": q_correlation_square,
     "suggested_conversions": q_suggested_conversions,
     "scatter_sample": q_scatter_sample,
@@ -814,6 +869,34 @@ def _sql_find_duplicates() -> str:
             f"least(10, (SELECT count(*) FROM t WHERE conv_id IN (SELECT * FROM k))) AS entity_rows FROM g")
 
 
+def _sql_summary_whole(src: str, numeric, texts, columns: int) -> str:
+    none = "CAST(NULL AS VARCHAR)"
+    stats = (("count", "count"), ("mean", "mean"), ("std", "std"), ("min", "min"), ("p25", "25%"), ("p50", "50%"), ("p75", "75%"),
+             ("max", "max"))
+    num = " UNION ALL ".join(f"SELECT 'numeric' AS part, \"column\", '{key}' AS name, {none} AS text, "
+                             f"CAST({_q(c)} AS DOUBLE) AS number FROM num" for c, key in stats)
+    cat = " UNION ALL ".join(f"SELECT 'categorical', \"column\", '{c}', {'mode' if c == 'mode' else none}, "
+                             f"CAST({'NULL' if c == 'mode' else c} AS DOUBLE) FROM cat" for c in ("unique_count", "mode", "mode_count"))
+    return (f"WITH num AS ({_sql_numeric(src, numeric)}), cat AS ({_sql_categorical(src, texts)}), "
+            f"top AS ({_sql_top(src, texts, 5)}), pairs AS ({_sql_pairs(src, numeric)}) "
+            f"{num} UNION ALL {cat} "
+            f"UNION ALL SELECT 'top_values', \"column\", CAST(rank AS VARCHAR), value, CAST(count AS DOUBLE) FROM top "
+            f"UNION ALL SELECT 'correlation', col1, col2, {none}, correlation FROM pairs "
+            f"UNION ALL SELECT 'table', {none}, 'total_rows', {none}, CAST(count(*) AS DOUBLE) FROM {src} "
+            f"UNION ALL SELECT 'table', {none}, 'total_columns', {none}, CAST({columns} AS DOUBLE)")
+
+
+def _sql_find_duplicates_rows() -> str:
+    t = "(SELECT * FROM conversations UNION ALL SELECT * FROM conversations WHERE role = 'user')"
+    order = _order_all(_CONV)
+    return (f"WITH t AS {t}, g AS (SELECT *, count(*) OVER (PARTITION BY conv_id, turn, role, text) AS n FROM t), "
+            f"k AS (SELECT conv_id FROM (SELECT DISTINCT * FROM t) WHERE conv_id IS NOT NULL GROUP BY 1 HAVING count(*) > 1), "
+            f"e AS (SELECT * EXCLUDE n, row_number() OVER (ORDER BY {order}) AS place FROM g WHERE n > 1), "
+            f"f AS (SELECT *, row_number() OVER (ORDER BY {order}) AS place FROM t WHERE conv_id IN (SELECT * FROM k)) "
+            f"SELECT 'exact' AS part, CAST(place AS INTEGER) AS place, conv_id, turn, role, text FROM e WHERE place <= 10 "
+            f"UNION ALL SELECT 'entity', CAST(place AS INTEGER), conv_id, turn, role, text FROM f WHERE place <= 10")
+
+
 def oracle_sql() -> dict[str, str]:
     li_num = LINEITEM_NUMERIC
     dl = SQL_DIRTY_LINEITEM
@@ -922,6 +1005,24 @@ def oracle_sql() -> dict[str, str]:
         "statistical_summary": (
             f"SELECT *, (SELECT count(*) FROM events) AS total_rows, CAST(6 AS BIGINT) AS total_columns "
             f"FROM ({_sql_categorical('events', ['event_type', 'props'])})"),
+        "statistical_summary_whole": _sql_summary_whole(
+            "orders", ["o_orderkey", "o_custkey", "o_totalprice"], ["o_orderstatus", "o_orderpriority"], 6),
+        "find_duplicates_rows": _sql_find_duplicates_rows(),
+        "load_csv_dir_orders": "SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderstatus, o_orderpriority FROM orders",
+        "catalog_tables": (
+            "SELECT 'saved' AS step, 'a' AS name, count(*) AS n FROM orders "
+            "UNION ALL SELECT 'saved', 'b', count(*) FROM orders WHERE o_orderstatus = 'F' "
+            "UNION ALL SELECT 'replaced', 'a', count(*) FROM orders WHERE o_orderpriority = '1-URGENT' "
+            "UNION ALL SELECT 'listed', unnest(['a', 'b']), 1 UNION ALL SELECT 'dropped', '', 2 UNION ALL SELECT 'left', '', 0"),
+        "allowed_strategies": (
+            f"SELECT column_name, CASE WHEN column_type = 'VARCHAR' THEN 'mode,custom' ELSE 'mean,median,mode,custom' END AS allowed "
+            f"FROM (VALUES ('l_partkey', 'BIGINT', (SELECT count(*) - count(l_partkey) FROM {dl})), "
+            f"('l_quantity', 'DOUBLE', (SELECT count(*) - count(l_quantity) FROM {dl})), "
+            f"('l_discount', 'DOUBLE', (SELECT count(*) - count(l_discount) FROM {dl})), "
+            f"('l_tax', 'DOUBLE', (SELECT count(*) - count(l_tax) FROM {dl})), "
+            f"('l_returnflag', 'VARCHAR', (SELECT count(*) - count(l_returnflag) FROM {dl})), "
+            f"('l_linestatus', 'VARCHAR', (SELECT count(*) - count(l_linestatus) FROM {dl}))) AS v(column_name, column_type, missing) "
+            f"WHERE missing > 0"),
         "correlation_square": _sql_square("lineitem", li_num),
         "suggested_conversions": (
             f"WITH t AS {to} SELECT column_name, 'DOUBLE' AS new_type FROM ({suggest_parts}) "

@@ -13,7 +13,7 @@ from .quantiles import exact_quantiles, median
 from .eda import (numeric_summary, numeric_counts, value_counts, top_values, categorical_summary,
                   correlation_pairs, correlation_long, correlation_matrix,
                   correlation_band, numeric_table, top_values_text,
-                  statistical_summary, StatisticalSummary)
+                  statistical_summary, summary_rows, StatisticalSummary)
 from .insights import (detect_insights, insights_list, correlation_insights, outlier_insights,
                        outlier_counts, imbalance_insights)
 from .charts import bar_chart_data, scatter_data, chart_data, suggest_charts

@@ -400,3 +400,26 @@ def statistical_summary(df: DataFrame, k: int = 5, exact: bool = True) -> Statis
         total_rows=df.count() if total is None else total,
         total_columns=len(df.columns),
     )
+
+
+def summary_rows(summary: StatisticalSummary) -> DataFrame:
+    """A17 as one long frame ``(part, column, name, text, number)``: ``numeric`` rows by
+    statistic, ``categorical`` rows (``unique_count``, ``mode``, ``mode_count``), ``top_values``
+    by rank, ``correlation`` rows by the second column, and the two totals of the ``table``."""
+    text, number, none = F.lit(None).cast("string"), F.lit(None).cast("double"), F.lit(None).cast("string")
+    numeric = summary.numeric_summary.select("column", F.inline(F.array(*[
+        F.struct(F.lit(key).alias("name"), F.col(col).cast("double").alias("number")) for col, key in NUMERIC_KEYS]))).select(
+        F.lit("numeric").alias("part"), "column", "name", text.alias("text"), "number")
+    c = summary.categorical_summary
+    categorical = c.select(F.lit("categorical").alias("part"), "column", F.inline(F.array(
+        F.struct(F.lit("unique_count").alias("name"), text.alias("text"), F.col("unique_count").cast("double").alias("number")),
+        F.struct(F.lit("mode").alias("name"), F.col("mode").alias("text"), number.alias("number")),
+        F.struct(F.lit("mode_count").alias("name"), text.alias("text"), F.col("mode_count").cast("double").alias("number")))))
+    top = summary.top_values.select(F.lit("top_values").alias("part"), "column", F.col("rank").cast("string").alias("name"),
+                                    F.col("value").alias("text"), F.col("count").cast("double").alias("number"))
+    pairs = summary.correlation_pairs.select(F.lit("correlation").alias("part"), F.col("col1").alias("column"),
+                                             F.col("col2").alias("name"), text.alias("text"), F.col("correlation").alias("number"))
+    table = summary.numeric_summary.sparkSession.range(1).select(F.lit("table").alias("part"), none.alias("column"), F.inline(F.array(*[
+        F.struct(F.lit(n).alias("name"), text.alias("text"), F.lit(v).cast("double").alias("number"))
+        for n, v in (("total_rows", summary.total_rows), ("total_columns", summary.total_columns))])))
+    return numeric.union(categorical).union(top).union(pairs).union(table)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 PROJECT_PREFIX = "project_"
@@ -11,10 +13,42 @@ def project_table_name(project_id) -> str:
     return f"{PROJECT_PREFIX}{project_id}"
 
 
+def _quoted(name: str) -> tuple[str, str]:
+    """The database part of a table name, quoted and with its dot, and the bare name."""
+    *base, table = [p.strip("`") for p in name.split(".")]
+    return "".join(f"`{p}`." for p in base), table
+
+
 def save_table(df: DataFrame, name: str, mode: str = "overwrite",
                fmt: str = "parquet") -> str:
-    """Write ``df`` as a named catalog table (replacing it by default)."""
-    df.write.mode(mode).format(fmt).saveAsTable(name)
+    """Write ``df`` as a named catalog table (replacing it by default).
+
+    A table that exists is replaced as a whole or not at all: the rows go to a new
+    table first, and only when all are written do the names change. If the write fails,
+    the old table is as it was; if the last renaming fails, the old one gets its name
+    back. ``df`` may read the table that it replaces. A view is never replaced.
+    """
+    spark = df.sparkSession
+    if mode != "overwrite" or not spark.catalog.tableExists(name) or (
+            spark.catalog.getTable(name).tableType in ("VIEW", "TEMPORARY")):
+        df.write.mode(mode).format(fmt).saveAsTable(name)
+        return name
+    base, table = _quoted(name)
+    own, tag = f"{base}`{table}`", uuid.uuid4().hex
+    new, old = (f"{base}`{table}__{kind}_{tag}`" for kind in ("new", "old"))
+    try:
+        df.write.format(fmt).saveAsTable(new)
+    except Exception:
+        spark.sql(f"DROP TABLE IF EXISTS {new}")
+        raise
+    spark.sql(f"ALTER TABLE {own} RENAME TO {old}")
+    try:
+        spark.sql(f"ALTER TABLE {new} RENAME TO {own}")
+    except Exception:
+        spark.sql(f"ALTER TABLE {old} RENAME TO {own}")
+        spark.sql(f"DROP TABLE IF EXISTS {new}")
+        raise
+    spark.sql(f"DROP TABLE IF EXISTS {old}")
     return name
 
 

@@ -156,6 +156,21 @@ def test_save_list_and_drop_tables(spark):
     assert "project_t1" not in tw.list_tables(spark)
 
 
+def test_failed_overwrite_leaves_the_old_table(spark):
+    from pyspark.sql import functions as F
+    tw.save_table(spark.range(5), "keep_t")
+    bad = spark.range(1000).select(F.when(F.col("id") == 999, F.raise_error(F.lit("broken row"))).otherwise(F.col("id")).cast("long").alias("id"))
+    with pytest.raises(Exception, match="broken row"):
+        tw.save_table(bad, "keep_t")
+    assert spark.table("keep_t").count() == 5
+    tw.save_table(spark.table("keep_t").where("id > 2"), "default.keep_t")  # reads what it replaces
+    assert sorted(r[0] for r in spark.table("keep_t").collect()) == [3, 4]
+    tw.save_table(spark.range(1), "keep_t", mode="append")
+    assert spark.table("keep_t").count() == 3
+    assert [t for t in tw.list_tables(spark) if t.startswith("keep_t")] == ["keep_t"]  # nothing left beside it
+    assert tw.drop_tables_with_prefix(spark, "keep_t") == 1
+
+
 def test_csv_odd_header_round_trip(spark, tmp_path):
     p = tmp_path / "odd.csv"
     p.write_text('a.b,c d,"e""f"\n1,,x\n2,y,\n')
