@@ -126,18 +126,21 @@ def _set_hash(s: np.ndarray) -> tuple[int, int]:
     return int(a.astype(np.int64)), int(b.astype(np.int64))
 
 
-def _families(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
+def _families(key: np.ndarray, doc: np.ndarray, held: np.ndarray) -> np.ndarray:
     """Of keys in order, each with its documents in order: rows (first document, document,
-    number of keys) of the keys with several documents, the first one included."""
+    number of keys, number of those with ``held``) of the keys with several documents, the
+    first one included."""
     new = np.append(True, key[1:] != key[:-1])
     first = np.repeat(doc[new], np.diff(np.append(np.flatnonzero(new), len(key))))
     several = np.append(~new[1:], False) | ~new
-    pairs, count = np.unique(np.stack([first[several], doc[several]], axis=1), axis=0, return_counts=True)
-    return np.concatenate([pairs, count[:, None]], axis=1)
+    pairs, place = np.unique(np.stack([first[several], doc[several]], axis=1), axis=0, return_inverse=True)
+    count = [np.bincount(place.reshape(-1), weights=w, minlength=len(pairs)).astype(np.int64) for w in (None, held[several])]
+    return np.concatenate([pairs, np.stack(count, axis=1)], axis=1)
 
 
 def _blocks(n: int, percent: int, parts: int):
-    """Documents to packed blocks: (part, keys with a document, documents, families in the batch)."""
+    """Documents to packed blocks: (part, keys with a document, those with others behind
+    it, documents, families in the batch)."""
     classes = size_classes(percent)
 
     def run(batches):
@@ -153,40 +156,44 @@ def _blocks(n: int, percent: int, parts: int):
                     keys.append(k)
                     of.append(np.full(len(k), doc, dtype=np.int64))
             out = []
-            local = np.empty((0, 3), dtype=np.int64)
+            local = np.empty((0, 4), dtype=np.int64)
             if keys:
                 k, d = np.concatenate(keys), np.concatenate(of)
                 order = np.lexsort((d, k))
                 k, d = k[order], d[order]
                 if len(k):
-                    local = _families(k, d)
+                    local = _families(k, d, np.zeros(len(k)))
                 new = np.append(True, k[1:] != k[:-1])[:len(k)]
+                alone = np.append(new[1:], True)[new]  # nobody behind the sender
                 k, d = k[new], d[new]
                 part = ((k >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
                 cut = np.searchsorted(part, np.arange(parts + 1))
-                out = [(int(p), _pack(k[cut[p]:cut[p + 1]], d[cut[p]:cut[p + 1]]), b"", b"") for p in np.unique(part)]
+                for p in np.unique(part):
+                    x = slice(cut[p], cut[p + 1])
+                    out.append((int(p), *(_pack(k[x][i], d[x][i]) if i.any() else b"" for i in (alone[x], ~alone[x])), b"", b""))
             if rows:
-                out.append((rows[0][2] % parts, b"", np.array(rows, dtype=np.int64).tobytes(), local.tobytes()))
-            yield pd.DataFrame(out, columns=["part", "sent", "docs", "local"])
+                out.append((rows[0][2] % parts, b"", b"", np.array([(*r, 0) for r in rows], dtype=np.int64).tobytes(), local.tobytes()))
+            yield pd.DataFrame(out, columns=["part", "sent", "held", "docs", "local"])
 
     return run
 
 
-_FOUND = "kind int, a long, b long, c long"
+_FOUND = "kind int, a long, b long, c long, d long"
 _DOC, _LOCAL, _MET = range(3)
 
 
 def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
     """Of one part: its documents (id, size, set), the families inside batches, and
     those of the documents that batches sent with equal keys."""
-    blocks = [_unpack(x) for x in pdf["sent"] if x]
-    met = np.empty((0, 3), dtype=np.int64)
+    blocks = [(_unpack(x), held) for held, c in enumerate(("sent", "held")) for x in pdf[c] if x]
+    met = np.empty((0, 4), dtype=np.int64)
     if blocks:
-        k, d = np.concatenate(blocks, axis=1)
+        k, d = np.concatenate([x for x, _ in blocks], axis=1)
+        held = np.concatenate([np.full(x.shape[1], h) for x, h in blocks])
         order = np.lexsort((d, k))
-        met = _families(k[order], d[order])
-    found = [[np.frombuffer(x, dtype=np.int64).reshape(-1, 3) for x in pdf[c] if x] for c in ("docs", "local")] + [[met]]
-    return pd.concat([pd.DataFrame({"kind": kind, "a": r[:, 0], "b": r[:, 1], "c": r[:, 2]})
+        met = _families(k[order], d[order], held[order])
+    found = [[np.frombuffer(x, dtype=np.int64).reshape(-1, 4) for x in pdf[c] if x] for c in ("docs", "local")] + [[met]]
+    return pd.concat([pd.DataFrame({"kind": kind, "a": r[:, 0], "b": r[:, 1], "c": r[:, 2], "d": r[:, 3]})
                       for kind, tables in enumerate(found) for r in tables], ignore_index=True)
 
 
@@ -329,7 +336,7 @@ def groups(docs: DataFrame, n: int, percent: int, id_col: str = "doc_id",
     scratch = Scratch(spark, "jaccard")
     own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("k"), F.col(text_col).alias("t"))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.count() // DOCS_PER_PART)
-    found = scratch.keep(own.mapInPandas(_blocks(n, percent, parts), "part int, sent binary, docs binary, local binary")
+    found = scratch.keep(own.mapInPandas(_blocks(n, percent, parts), "part int, sent binary, held binary, docs binary, local binary")
                          .groupBy("part").applyInPandas(_meet, _FOUND), "found")
     release(spark)
     rows = found.where(F.col("kind") == _DOC).select(F.col("a").alias("doc"), F.col("b").alias("n"), F.col("c").alias("node"))
@@ -337,12 +344,12 @@ def groups(docs: DataFrame, n: int, percent: int, id_col: str = "doc_id",
 
     def family(kind):
         return (found.where(F.col("kind") == kind).groupBy(F.col("a").alias("centre"), F.col("b").alias("doc"))
-                .agg(F.sum("c").alias("keys")))
+                .agg(F.sum("c").alias("keys"), F.sum("d").alias("held")))
 
     local, met = family(_LOCAL), family(_MET)
     lifted = local.select(F.col("centre").alias("sender"), F.col("doc").alias("behind"), F.col("keys").alias("there")).join(
-        met, F.col("sender") == met["doc"]).select("centre", F.col("behind").alias("doc"), F.least("keys", "there").alias("keys"))
-    named = local.union(met).union(lifted).groupBy("centre", "doc").agg(F.sum("keys").alias("keys"))
+        met.where("held > 0"), F.col("sender") == F.col("doc")).select("centre", F.col("behind").alias("doc"), F.least("held", "there").alias("keys"))
+    named = local.drop("held").union(met.drop("held")).union(lifted).groupBy("centre", "doc").agg(F.sum("keys").alias("keys"))
     families = scratch.keep(
         named.join(real, "doc").select("centre", "node", "keys")
         .join(real.select(F.col("doc").alias("centre"), F.col("node").alias("of")), "centre")
