@@ -8,7 +8,9 @@ are summed over sliding windows of ``WINDOW`` lines. A surge point is a line
 whose window sum rises over a threshold, a dive point the next line whose
 window sum is nothing; the text between them is kept. Inside an article a line
 weighs its whole text, links included, and the threshold is zero, so nothing of
-it is lost. An article of linked lines only is kept whole, and the lines outside it
+it is lost. There a class or id alone drops no heading, paragraph or block of prose
+(``PROSE`` characters), reader comments excepted, and a block marked as a header keeps its
+headings. A form around most of the page's prose is no furniture. An article of linked lines only is kept whole, and the lines outside it
 are judged as on a page without one.
 
 Character references are decoded after the markup is gone, white space inside a
@@ -55,16 +57,24 @@ _FURNITURE_WORDS = frozenset(
     "menu menus nav navbar navigation breadcrumb breadcrumbs header masthead topbar footer comment comments "
     "commentlist disqus respond reply replies share sharing social related recommended popup modal overlay widget "
     "widgets toolbar pager pagination login".split())
+# Inside an article these words on a class or id mark a heading block like <header>; blocks marked
+# by another word stay there if they hold this much text in paragraphs, reader comments excepted.
+_HEADER_WORDS = frozenset("header masthead topbar".split())
+_COMMENT_WORDS = frozenset("comment comments commentlist disqus respond reply replies".split())
+PROSE = 300
 _MAIN = frozenset(("article", "main"))
 _PAGE = frozenset(("html", "body", "article", "main"))
 _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
 
-def _furniture(name: str, attrs: str) -> bool:
+def _furniture(name: str, attrs: str) -> set[str] | bool:
+    """Whether an element is furniture by its name, role or state; the words of its
+    class and id if it is furniture only by these."""
     if name in _FURNITURE:
         return True
     if not attrs or attrs.isspace():
         return False
+    words: set[str] = set()
     for m in _ATTR.finditer(attrs):
         key = m[1].lower()
         value = (m[2] or m[3] or m[4] or "").lower()
@@ -74,10 +84,9 @@ def _furniture(name: str, attrs: str) -> bool:
             return True
         if key == "role" and value in _FURNITURE_ROLES:
             return True
-        if key in ("class", "id") and name not in _PAGE \
-                and not _FURNITURE_WORDS.isdisjoint(re.split(r"[^a-z0-9]+", value)):
-            return True
-    return False
+        if key in ("class", "id") and name not in _PAGE:
+            words |= _FURNITURE_WORDS.intersection(re.split(r"[^a-z0-9]+", value))
+    return words or False
 
 
 class _Page:
@@ -119,6 +128,7 @@ class _Page:
                 last_close[name] = len(tokens)
             tokens.append((html[at:m.start()], closing, name, m[4] or m[7] or ""))
             at = m.end()
+        self.total = sum(len(t[0].strip()) for t in tokens)
         i, n = 0, len(tokens)
         while i < n:
             before, closing, name, attrs = tokens[i]
@@ -142,8 +152,10 @@ class _Page:
                     if name in _MAIN:
                         self.main = max(0, self.main - 1)
                 continue
-            if _furniture(name, attrs) and not attrs.rstrip().endswith("/"):
-                i = self._skip(tokens, i, name, last_close.get(name, -1))
+            kind = _furniture(name, attrs)
+            if kind and not attrs.rstrip().endswith("/") and not self._kept(tokens, i, name, last_close.get(name, -1), kind):
+                titled = self.main and (name == "header" or kind is not True and not _HEADER_WORDS.isdisjoint(kind))
+                i = self._skip(tokens, i, name, last_close.get(name, -1), titled)
                 continue
             if name in _INLINE:
                 continue
@@ -154,9 +166,38 @@ class _Page:
         self._text(html[at:])
         self._end_line()
 
-    def _skip(self, tokens, i: int, name: str, last: int) -> int:
-        """The token after the furniture that began before token i. One that is
-        never closed ends at the next block."""
+    def _kept(self, tokens, i: int, name: str, last: int, kind: set[str] | bool) -> bool:
+        """Whether an element that looks like furniture holds the text that is looked for:
+        a form around most of the page's prose; inside an article, a heading or paragraph
+        with a furniture word, or a block with such a word (reader comments excepted) that
+        holds prose."""
+        if kind is True and name != "form":
+            return False
+        if kind is not True:
+            if not self.main or not _COMMENT_WORDS.isdisjoint(kind):
+                return False
+            if name == "p" or name in _HEADINGS:
+                return True
+        depth, j, inside, prose = 1, i, 0, 0
+        while j <= last and depth:
+            before, closing, other, _ = tokens[j]
+            prose += len(before.strip()) if inside else 0
+            if other == name:
+                depth += -1 if closing else 1
+            elif other == "p" or other in _MAIN:
+                inside = 0 if closing else 1
+            elif inside and other == "a":
+                inside = 1 if closing else 0  # a link is no prose
+            j += 1
+        if depth:
+            return False
+        if name == "form" and kind is True:
+            return not self.main and prose >= PROSE and prose * 2 > self.total
+        return prose >= PROSE
+
+    def _skip(self, tokens, i: int, name: str, last: int, titled: bool) -> int:
+        """The token after the furniture that began before token i; headings in a
+        ``titled`` one stay. One that is never closed ends at the next block."""
         if name not in _INLINE:
             self._gap()
         depth, j, heading = 1, i, False
@@ -169,7 +210,7 @@ class _Page:
                 if not depth:
                     self._end_line()
                     return j + 1
-            elif other in _HEADINGS and name == "header" and self.main:  # an article's title
+            elif other in _HEADINGS and titled:  # an article's title
                 self._end_line()
                 heading = not closing
             j += 1

@@ -30,6 +30,26 @@ def labels(spark):
     return table(spark, SF, "labels")
 
 
+# --- article text under furniture words -------------------------------------
+
+
+@pytest.mark.parametrize("html, want", [
+    ('<article><div class="entry-header"><h1>Title</h1><p>By A</p></div><p>Text one.</p></article>', "Title Text one."),
+    ('<article><h2 class="social">On social life</h2><p class="notice">Notice this.</p><p>Text.</p></article>',
+     "On social life Notice this. Text."),
+    ('<article><div class="related-work"><p>' + "Long prose. " * 40 + '</p></div><p>End.</p></article>',
+     ("Long prose. " * 40).strip() + " End."),
+    ('<article><p>Text.</p><div class="related"><h3>More</h3><ul><li><a href=x>One</a></li></ul></div></article>', "Text."),
+    ('<article><p>Text.</p><div class="comments"><p>' + "A reader writes. " * 40 + '</p></div></article>', "Text."),
+    ('<article><p>Text.</p><div class="advert"><p>Buy now!</p></div></article>', "Text."),
+    ('<body><form id="f"><nav>Home</nav><div><p>' + "Words of the page. " * 30 + '</p></div></form></body>',
+     ("Words of the page. " * 30).strip()),
+    ('<article><p>Text.</p><form><p>Your mail</p><input></form></article>', "Text."),
+])
+def test_furniture_words_drop_no_article_text(html, want):
+    assert html_extract.extract(html) == want
+
+
 # --- byte-level BPE ---------------------------------------------------------
 
 
