@@ -9,7 +9,9 @@ alone with its name is dropped from all further rounds. Two overlapping names
 give the intervals of exactly ``min_lines`` lines. In each interval the suffix at
 the smallest (id, place) is the first copy; the lines that another one shares
 with it are deleted. A maximal repeated run is the union of such overlapping
-intervals, so all of every later copy goes. ``depth`` goes on doubling and
+intervals, so all of every later copy goes. A line of ``LONG_WORDS`` words or more is
+a run by itself: in the intervals of single lines its later copies are deleted too,
+whatever stands around them; shorter stock lines stay. ``depth`` goes on doubling and
 gives the largest 2**k up to which a document's later copies reach.
 
 Blank lines (blanks, tabs, returns only) take no part and stay, unless the
@@ -28,6 +30,7 @@ from pyspark.sql import functions as F
 from tablewash.llm.common import Scratch
 
 MIN_LINES = 2
+LONG_WORDS = 50
 _KEY = ["k1", "k2"]
 
 
@@ -45,24 +48,31 @@ def _not_blank(line):
     return F.btrim(line, F.lit(" \t\r")) != ""
 
 
+def _long(line):
+    words = F.size(F.split(F.btrim(line, F.lit(" \t\u000b\f\r")), "[ \t\u000b\f\r]+"))
+    return F.when(F.length(line) >= 2 * LONG_WORDS - 1, words >= LONG_WORDS).otherwise(False)
+
+
 def lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``k1, k2, i`` (place among the non-blank lines), ``line`` (place among all), ``a, b`` (id)."""
+    """``k1, k2, i`` (place among the non-blank lines), ``line`` (place among all), ``a, b`` (id),
+    ``long`` (whether it is a run by itself)."""
     all_ = F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"),
                        lambda s, n: F.struct(n.alias("line"), s.alias("s")))
     ids = F.transform(F.filter(all_, lambda x: _not_blank(x["s"])), lambda x: F.struct(
-        x["line"].alias("line"), F.xxhash64(x["s"]).alias("a"), F.xxhash64(x["s"], F.lit(1)).alias("b")))
+        x["line"].alias("line"), F.xxhash64(x["s"]).alias("a"), F.xxhash64(x["s"], F.lit(1)).alias("b"),
+        _long(x["s"]).alias("long")))
     return (_keyed(docs, id_col, text_col).select(*_KEY, F.posexplode(ids).alias("i", "x"))
-            .select(*_KEY, "i", "x.line", "x.a", "x.b"))
+            .select(*_KEY, "i", "x.line", "x.a", "x.b", "x.long"))
 
 
-def _shared(named: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+def _shared(named: DataFrame, scratch: Scratch, name: str, *more: str) -> DataFrame:
     """The suffixes that share their name, and whether they are a later copy. The
     intervals are written first: joined to a table, a name of very many suffixes
     can be split among tasks."""
     intervals = scratch.keep(named.groupBy("a", "b").agg(F.min(_place()).alias("lo"), F.max(_place()).alias("hi"))
                              .where("lo <> hi").select("a", "b", "lo"), f"{name}-intervals")
     return scratch.keep(named.join(intervals, ["a", "b"])
-                        .select(*_KEY, "i", "line", "a", "b", (_place() != F.col("lo")).alias("later")), name)
+                        .select(*_KEY, "i", "line", "a", "b", *more, (_place() != F.col("lo")).alias("later")), name)
 
 
 def _doubled(shared: DataFrame, step: int) -> DataFrame:
@@ -78,7 +88,7 @@ def deletions(docs: DataFrame, scratch: Scratch, min_lines: int = MIN_LINES, id_
               text_col: str = "text", depth: bool = False) -> DataFrame:
     """``k1, k2, gone`` (numbers of the deleted lines), ``n_runs`` and, if asked for, ``depth``."""
     named = lines(docs, id_col, text_col).dropDuplicates([*_KEY, "i"])
-    first = shared = _shared(named, scratch, "level-0")
+    first = shared = _shared(named, scratch, "level-0", "long")
     size, level = 1, 0
     while 2 * size <= min_lines:
         level += 1
@@ -87,17 +97,19 @@ def deletions(docs: DataFrame, scratch: Scratch, min_lines: int = MIN_LINES, id_
     runs = shared
     if size < min_lines:  # two overlapping names
         runs = _shared(_doubled(shared, min_lines - size), scratch, "runs")
-    marked = first.select(*_KEY, "i", "line").join(
-        runs.select(*_KEY, "i", "later"), [*_KEY, "i"], "left") if min_lines > 1 else first
+    alone = (F.col("later") & F.col("long")).alias("alone")
+    marked = first.select(*_KEY, "i", "line", alone).join(
+        runs.select(*_KEY, "i", "later"), [*_KEY, "i"], "left") if min_lines > 1 else first.withColumn("alone", alone)
     covered = F.max(F.coalesce("later", F.lit(False))).over(
         W.partitionBy(*_KEY).orderBy("i").rangeBetween(1 - min_lines, 0))
-    cut = (marked.withColumn("gone", covered).where("gone")
+    cut = (marked.withColumn("gone", covered | F.col("alone")).where("gone")
            .withColumn("start", F.coalesce(F.col("i") - F.lag("i").over(W.partitionBy(*_KEY).orderBy("i")) > 1,
                                            F.lit(True)).cast("int"))
            .groupBy(*_KEY).agg(F.sort_array(F.collect_list("line")).alias("gone"), F.sum("start").alias("n_runs")))
     if not depth:
         return cut
-    reach = runs.where("later").groupBy(*_KEY).agg(F.lit(min_lines).alias("depth"))
+    reach = (runs.where("later").groupBy(*_KEY).agg(F.lit(min_lines).alias("depth"))
+             .union(first.where("later AND long").groupBy(*_KEY).agg(F.lit(1).alias("depth"))))
     while shared.where("later").limit(1).count():
         level += 1
         shared = _shared(_doubled(shared, size), scratch, f"level-{level}")
@@ -147,7 +159,8 @@ def report(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_id",
                       F.sha2("left", 256).alias("left_sha256"))
 
 
-# The same by plain windows of two lines: a line goes if a window that covers it came before.
+# The same by plain windows of two lines: a line goes if a window that covers it came before,
+# or if it has 50 words and came before itself.
 # The depth is found from windows of 2, 4, 8, ... lines (up to 64 here, enough for the tested tables).
 ORACLE_SQL = """
 WITH l AS (
@@ -157,14 +170,15 @@ p AS (
   SELECT doc_id, line, s, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS i
   FROM l WHERE trim(s, ' ' || chr(9) || chr(13)) <> ''),
 w AS (
-  SELECT doc_id, i, line, s || chr(10) || lead(s) OVER (PARTITION BY doc_id ORDER BY i) AS r2,
+  SELECT doc_id, i, line, s, s || chr(10) || lead(s) OVER (PARTITION BY doc_id ORDER BY i) AS r2,
     {longer}
   FROM p),
 f2 AS (SELECT doc_id, i, r2 IS NOT NULL AND row_number() OVER (PARTITION BY r2 ORDER BY doc_id, i) > 1 AS later,
+    row_number() OVER (PARTITION BY s ORDER BY doc_id, i) > 1 AND len(regexp_extract_all(s, '[^\\x20\\x09-\\x0D]+')) >= 50 AS alone,
     {later}
   FROM w),
 c AS (
-  SELECT p.doc_id, p.line, p.i, p.s, coalesce(b.later, FALSE) OR coalesce(a.later, FALSE) AS gone
+  SELECT p.doc_id, p.line, p.i, p.s, coalesce(b.later, FALSE) OR coalesce(a.later, FALSE) OR coalesce(b.alone, FALSE) AS gone
   FROM p LEFT JOIN f2 b ON b.doc_id = p.doc_id AND b.i = p.i LEFT JOIN f2 a ON a.doc_id = p.doc_id AND a.i = p.i - 1),
 g AS (
   SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_deleted,
@@ -186,5 +200,5 @@ FROM documents x LEFT JOIN g ON g.doc_id = x.doc_id LEFT JOIN d ON d.doc_id = x.
     later=",\n    ".join(
         f"r{k} IS NOT NULL AND row_number() OVER (PARTITION BY r{k} ORDER BY doc_id, i) > 1 AS later{k}"
         for k in (4, 8, 16, 32, 64)),
-    depth=", ".join(["max(CASE WHEN later THEN 2 ELSE 0 END)"]
+    depth=", ".join(["max(CASE WHEN alone THEN 1 ELSE 0 END)", "max(CASE WHEN later THEN 2 ELSE 0 END)"]
                     + [f"max(CASE WHEN later{k} THEN {k} ELSE 0 END)" for k in (4, 8, 16, 32, 64)]))

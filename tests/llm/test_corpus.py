@@ -273,7 +273,8 @@ def test_op7_equals_sql(spark):
 
 
 def _without_runs(docs, m):
-    """Texts by id after brute-force deletion of later copies of runs of m lines; None: no line left."""
+    """Texts by id after brute-force deletion of later copies of runs of m lines, and of single
+    lines of 50 words or more; None: no line left."""
     seqs = [(i, [(n, s) for n, s in enumerate((t or "").split("\n")) if s.strip(" \t\r")]) for i, t in sorted(docs)]
     seen, gone = set(), defaultdict(set)
     for i, seq in seqs:
@@ -282,6 +283,11 @@ def _without_runs(docs, m):
             if run in seen:
                 gone[i].update(n for n, _ in seq[k:k + m])
             seen.add(run)
+        for n, s in seq:
+            if len([w for w in re.split("[ \t\x0b\x0c\r]+", s) if w]) >= 50:
+                if (s,) in seen and m > 1:
+                    gone[i].add(n)
+                seen.add((s,))
     out = {}
     for i, t in docs:
         left = [s for n, s in enumerate((t or "").split("\n")) if n not in gone[i]]
