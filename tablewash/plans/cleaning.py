@@ -24,7 +24,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 
 from ..operators.clean import auto_clean_with_log, drop_columns, drop_columns_log
 from pyspark.sql import functions as F
@@ -89,16 +89,25 @@ class CleaningPlan:
         else:
             log.append(("auto_clean", SKIP))
 
+        do_convert = self.convert_types not in (SKIP, None)
+        do_impute = self.impute_nulls not in (SKIP, None)
+        asked = (self.convert_types if do_convert else [], self.impute_nulls == AUTO)
+        survey = None
         if self.remove_duplicates not in (SKIP, None):
-            cur = cut(remove_duplicates(cur, self.remove_duplicates))
+            cur = remove_duplicates(cur, self.remove_duplicates)
+            questions = _questions(cur, *asked) if mode == "checkpoint" and (do_convert or do_impute) else None
+            if questions and questions.aggs:  # answered while the checkpoint is written
+                seen = Observation()
+                cur = cut(cur.observe(seen, *questions.aggs))
+                survey = _survey(cur, *asked, questions, seen.get)
+            else:
+                cur = cut(cur)
             log.append(("remove_duplicates", "All exact duplicate rows have been removed."))
         else:
             log.append(("remove_duplicates", SKIP))
 
-        do_convert = self.convert_types not in (SKIP, None)
-        do_impute = self.impute_nulls not in (SKIP, None)
-        survey = _survey(cur, self.convert_types if do_convert else [],
-                         self.impute_nulls == AUTO) if (do_convert or do_impute) else None
+        if survey is None and (do_convert or do_impute):
+            survey = _survey(cur, *asked)
 
         if do_convert:
             convs, report = survey["conversions"], survey["report"]
@@ -136,13 +145,21 @@ class CleaningPlan:
         return cur, log
 
 
-def _survey(frame: DataFrame, conversions, auto_impute: bool) -> dict:
-    """One aggregation over ``frame`` (the de-duplicated table) that answers
-    what the conversion and imputation steps would otherwise ask in separate
-    passes: which text columns to convert (``"auto"``) or how many values an
-    explicit conversion loses, the NULL counts after conversion, and the mean
-    of every column that is numeric after conversion. The rules are those of
-    ``suggest_types``, ``conversion_report`` and ``suggest_imputations``."""
+@dataclass
+class _Questions:
+    """Aggregates over the de-duplicated table, the key of each, and the valid and the
+    failing explicit conversions."""
+    keys: list
+    aggs: list
+    valid: dict
+    errors: dict
+
+
+def _questions(frame: DataFrame, conversions, auto_impute: bool) -> _Questions:
+    """What the conversion and imputation steps ask of the de-duplicated table: which
+    text columns to convert (``"auto"``) or how many values an explicit conversion
+    loses, the NULL counts after conversion, and the mean of every column that is
+    numeric after conversion."""
     fields = frame.schema.fields
     texts = [f.name for f in fields if is_text(f.dataType)]
     auto = conversions == AUTO
@@ -178,8 +195,20 @@ def _survey(frame: DataFrame, conversions, auto_impute: bool) -> dict:
                 add(("mean", f.name), F.avg(nan_to_null_expr(cast, valid[f.name][1])))
             elif f.name not in valid and is_numeric(f.dataType):
                 add(("mean", f.name), F.avg(nan_to_null(f.name, f.dataType)))
-    row = frame.agg(*aggs).first() if aggs else None
-    got = {k: row[f"a{i}"] for i, k in enumerate(keys)}
+    return _Questions(keys, aggs, valid, errors)
+
+
+def _survey(frame: DataFrame, conversions, auto_impute: bool, questions: _Questions | None = None,
+            answers: dict | None = None) -> dict:
+    """The conversion and imputation plans of ``frame`` (the de-duplicated table), from one
+    aggregation, or from ``answers`` that were taken while the frame was written. The
+    rules are those of ``suggest_types``, ``conversion_report`` and ``suggest_imputations``."""
+    q = questions or _questions(frame, conversions, auto_impute)
+    if answers is None:
+        answers = frame.agg(*q.aggs).first().asDict() if q.aggs else {}
+    got = {k: answers[f"a{i}"] for i, k in enumerate(q.keys)}
+    texts = [f.name for f in frame.schema.fields if is_text(f.dataType)]
+    auto, valid, errors = conversions == AUTO, q.valid, q.errors
 
     report, convs, fails = [], [], {}
     if auto:

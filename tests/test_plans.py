@@ -125,6 +125,23 @@ def test_fused_plan_equals_composed_operators(spark):
                         [(d["column_name"], d["new_type"]) for d in convs]]
 
 
+def test_survey_rides_on_the_checkpoint(spark, monkeypatch):
+    """With a checkpoint no pass of its own answers the survey; plan and log are the same."""
+    from tablewash.plans import cleaning
+    rows = [(k % 7, f" {k * 1.5} " if k % 5 else "oops" if k % 50 else None, None if k % 4 else "b", k / 4.0 if k % 6 else None)
+            for k in range(120)]
+    raw = spark.createDataFrame(rows + rows[:30], "k int, num string, cat string, d double")
+    for plan in ({}, {"convert_types": [("num", "DOUBLE"), ("nope", "INTEGER")]}, {"impute_nulls": "skip"}):
+        want, want_log = tw.CleaningPlan(materialize="persist", **plan).run(raw)
+        asked = []
+        real = cleaning._survey
+        monkeypatch.setattr(cleaning, "_survey", lambda *a: asked.append(len(a)) or real(*a))
+        out, log = tw.CleaningPlan(materialize="checkpoint", **plan).run(raw)
+        monkeypatch.setattr(cleaning, "_survey", real)
+        assert asked == [5] and log == want_log and out.dtypes == want.dtypes
+        assert sorted(map(str, out.collect())) == sorted(map(str, want.collect()))
+
+
 def test_eda_report_shares_one_summary(spark):
     rows = [(float(i), float(i) * 2 + (i % 3), "y" if i % 20 else "x") for i in range(200)]
     df = spark.createDataFrame(rows, "p double, q double, f string")
