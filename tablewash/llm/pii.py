@@ -2,9 +2,11 @@
 
 For each kind a regular expression proposes spans, left to right without
 overlaps; a validator confirms them (Luhn for cards, mod 97 for IBANs, part and
-digit counts), and words nearby raise the score. Base kinds (email, ip, card,
-phone) are kept whenever their validator passes; added kinds (iban, ssn, secret)
-only from ``MIN_SCORE`` on. Positions are code points, the end is exclusive.
+digit counts), and words nearby, up to ``CONTEXT`` code points before or behind, raise the
+score. Base kinds (email, ip, card, phone) are kept whenever their validator passes; added
+kinds (iban, ssn, secret) only from ``MIN_SCORE`` on. A strong form reaches that by itself (an
+IBAN, a number written as 123-45-6789, a key after its name); a weak one (nine digits, a
+long run of letters and digits) only by a word nearby. Positions are code points, the end is exclusive.
 
 The spans of one text come from a single pass per kind: matches are put between
 marks, the text is split at the marks, and the lengths of the pieces add up to the
@@ -18,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MIN_SCORE = 0.5
-CONTEXT = 40  # code points before a span that are searched for context words
+CONTEXT = 40  # code points on either side of a span that are searched for context words
 _MARK = "\u0001"
 
 # (kind, cheap test of the text, proposal, words nearby, score without and with them).
@@ -42,12 +44,16 @@ ADDED = [
      r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
      r"(?i)iban|bank|account|konto|cuenta|compte", 0.8, 1.0),
     ("ssn", lambda t: F.col("__digit"),
-     r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])",
-     r"(?i)ssn|social|security|insurance", 0.5, 0.9),
+     "(?<![0-9-])(?!000|666|9)[0-9]{3}(?:" + "|".join(rf"{x}(?!00)[0-9]{{2}}{x}(?!0000)[0-9]{{4}}" for x in ("-", r"\x20", ""))
+     + ")(?![0-9-])",
+     r"(?i)\bssn\b|social|security|insurance|seguridad|sécurité|sozial",
+     lambda span: F.when(span.contains("-"), 0.5).otherwise(0.2), 0.9),
     ("secret", lambda t: t.contains("AKIA") | t.rlike("(?i)pass(?:word|wd)|secret|token|api.?key"),
      r"(?<![A-Z0-9])AKIA[A-Z0-9]{16}(?![A-Z0-9])"
-     r"|(?i:(?<![a-z0-9])(?:password|passwd|secret|token|api[_-]?key)\x20?[=:]\x20?[\"']?[A-Za-z0-9/+_.-]{8,}+)",
-     r"(?i)key|login|secret|pass|token", 0.6, 0.9),
+     r"|(?i:(?<![a-z0-9])(?:password|passwd|secret|token|api[_-]?key)\x20?[=:]\x20?[\"']?[A-Za-z0-9/+_.-]{8,}+)"
+     r"|(?<![A-Za-z0-9/+_-])(?=[A-Za-z/+_-]{0,40}[0-9])(?=[0-9/+_-]{0,40}[A-Za-z])[A-Za-z0-9/+_-]{20,}+",
+     r"(?i)\bkey|login|secret|passw|token",
+     lambda span: F.when(span.rlike("^AKIA|[=:]"), 0.6).otherwise(0.3), 0.9),
 ]
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
 
@@ -80,14 +86,20 @@ def _valid(kind: str, s: Column) -> Column:
 _SPANS = "array<struct<kind:string,start:int,end:int,score:double>>"
 
 
-def _spans(kind: str, text: Column, test, pattern: str, words: str, low: float, high: float) -> Column:
-    """Valid spans of one kind, in order."""
+def _spans(kind: str, text: Column, test, pattern: str, words: str, low, high: float) -> Column:
+    """Valid spans of one kind, in order. ``low``: the score without words nearby, a
+    number or a function of the span."""
     pieces = F.split(F.regexp_replace(text, f"({pattern})", f"{_MARK}$1{_MARK}"), _MARK)
+    # each piece with the beginning of the next one
+    both = F.zip_with(pieces, F.slice(pieces, F.lit(2), F.size(pieces)), lambda p, n: F.struct(
+        p.alias("piece"), F.substring(F.coalesce(n, F.lit("")), 1, CONTEXT).alias("next")))
 
-    def step(acc, piece):
+    def step(acc, x):
+        piece = x["piece"]
         end = acc["at"] + F.length(piece)
         before = F.concat(acc["tail"], piece)
-        score = F.when(acc["tail"].rlike(words), F.lit(high)).otherwise(F.lit(low))
+        alone = low(piece) if callable(low) else F.lit(low)
+        score = F.when(acc["tail"].rlike(words) | x["next"].rlike(words), F.lit(high)).otherwise(alone)
         span = F.struct(F.lit(kind).alias("kind"), acc["at"].alias("start"), end.alias("end"), score.alias("score"))
         return F.struct(
             end.alias("at"), (~acc["inside"]).alias("inside"),
@@ -97,7 +109,7 @@ def _spans(kind: str, text: Column, test, pattern: str, words: str, low: float,
 
     start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), F.lit("").alias("tail"),
                      F.from_json(F.lit("[]"), _SPANS).alias("out"))
-    found = F.aggregate(pieces, start, step, lambda acc: acc["out"])
+    found = F.aggregate(both, start, step, lambda acc: acc["out"])
     return F.when(test(text), found).otherwise(F.from_json(F.lit("[]"), _SPANS))
 
 

@@ -286,6 +286,17 @@ def test_pii_equals_brute_force(spark):
     assert "iban:12:39" in got[5005].spans and got[5005].spans.count("iban") == 1  # the other fails mod 97
 
 
+def test_pii_context_decides(spark):
+    """Weak forms stay only beside a word that says what they are, before or behind them."""
+    rows = [("order 123456789 shipped", ""), ("my SSN 123456789 is", "ssn:7:16"), ("123 45 6789 (social security)", "ssn:0:11"),
+            ("number 123-45-6789 here", "ssn:7:18"), ("number 123 45 6789 here", ""), ("000456789 ssn", ""),
+            ("id aZ9bX8cY7dW6eV5fU4gT3 " + "and so on " * 9 + "a token", ""), ("token is aZ9bX8cY7dW6eV5fU4gT3", "secret:9:30"),
+            ("aZ9bX8cY7dW6eV5fU4gT3 is the secret", "secret:0:21"), ("password=hunter2hunter2", "secret:0:23")]
+    frame = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.report(frame).collect()}
+    assert [got[i] for i in range(len(rows))] == [w for _, w in rows]
+
+
 def test_pii_odd_rows(odd):
     got = pii.report(odd).collect()
     assert len(got) == len(ODD) and all(r.spans == "" for r in got)
