@@ -26,8 +26,11 @@ the n-gram hashes is cut into fragments, and fragments are compared on their own
   are copies.
 * The rest. Families whose members still lie in several components are compared
   wholly, but for pairs inside a component: the members outside the largest one with each
-  other and with those of the largest whose sizes allow a link, block by block, their
-  overlaps counted fragment by fragment as products of incidence matrices. Only
+  other and with those of the largest whose sizes allow a link, block by block. First
+  only bitmaps of the sets meet: a bit that one has and the other lacks stands for an
+  n-gram that the other lacks, which bounds the overlap from above; documents that are
+  left without a partner go. The sets of the rest follow, their overlaps
+  counted fragment by fragment as products of incidence matrices. Only
   links that connect something not connected yet leave a task. No link between
   documents of different components is lost, and a family of copies is never expanded
   into its pairs.
@@ -55,6 +58,7 @@ DOCS_PER_PART = 2_000
 FRAGMENT = 4096  # n-grams of the order that one product of incidence matrices covers
 FRAGMENTS = 8  # of a set compared with its pivot, cut by the highest bits
 BLOCK_DOCS, BLOCK_NGRAMS = 512, 500_000  # of a family; more of either is cut into blocks
+BITS = 2048  # of a set's bitmap
 BROADCAST_DOCS = 1_000_000  # ids (8 bytes) that a join may broadcast; beyond, it shuffles the texts
 NO_ID = -(1 << 63)
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -245,6 +249,35 @@ def _forest(pdf: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
     return out
 
 
+def _bitmap(s: np.ndarray) -> bytes:
+    out = np.zeros(BITS, dtype=np.uint8)
+    out[(mix(s ^ _C[3]) % np.uint64(BITS)).astype(np.int64)] = 1
+    return np.packbits(out).tobytes()
+
+
+_PLACED = "centre long, node long, component long, task long, low int, high int, side int, pair int"
+
+
+def _partnered(families: DataFrame, percent: int) -> DataFrame:
+    """The rows of documents that may link with one of another component in their
+    block or pair of blocks, by the bitmaps ``bits`` and sizes ``n``."""
+    keep = [c.split()[0] for c in _PLACED.split(", ")]
+
+    def fits(f: pd.DataFrame) -> np.ndarray:
+        b = np.unpackbits(np.frombuffer(b"".join(f["bits"]), dtype=np.uint8).reshape(len(f), -1), axis=1).astype(np.float32)
+        n, own, side = f["n"].to_numpy(), f["component"].to_numpy(), f["side"].to_numpy()
+        common, ones = b @ b.T, b.sum(axis=1)
+        most = np.minimum(n[:, None] - (ones[:, None] - common), n[None, :] - (ones[None, :] - common))
+        fine = (most * 100 >= percent * (n[:, None] + n[None, :] - most)) & (own[:, None] != own[None, :])
+        return (fine & (side[:, None] != side[None, :]) if f["pair"].iloc[0] else fine).any(axis=1)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = [f[fits(f)] for _, f in pdf.groupby(["centre", "low", "high"])]
+        return pd.concat(out, ignore_index=True)[keep]
+
+    return families.groupBy("task", "low", "high").applyInPandas(run, _PLACED)
+
+
 def _similar(families: DataFrame, percent: int) -> DataFrame:
     """``a, b``: links that connect the components of a family's documents.
     Families of one block share tasks, pairs of blocks have their own."""
@@ -323,9 +356,10 @@ def _rest_links(families: DataFrame, label: DataFrame, sets: DataFrame, percent:
         F.least(i, "block").alias("low"), F.greatest(i, "block").alias("high"),
         (F.col("block") > i).cast("int").alias("side"), (F.col("block") != i).cast("int").alias("pair")))
     task = F.when(F.col("outer") + F.col("whole") > 2, F.col("centre")).otherwise(F.pmod(F.xxhash64("centre"), F.lit(4 * parts)))
-    dealt = (placed.select("centre", "node", "component", task.alias("task"), F.explode(pairs).alias("p"))
-             .select("centre", "node", "component", "task", "p.*").join(sets.select("node", "grams"), "node"))
-    return _similar(dealt, percent)
+    dealt = (placed.select("centre", "node", "component", "n", task.alias("task"), F.explode(pairs).alias("p"))
+             .select("centre", "node", "component", "n", "task", "p.*").join(sets.select("node", "bits"), "node"))
+    left = scratch.keep(_partnered(dealt, percent), "partnered")
+    return _similar(left.join(sets.select("node", "grams"), "node"), percent)
 
 
 def groups(docs: DataFrame, n: int, percent: int, id_col: str = "doc_id",
@@ -364,10 +398,14 @@ def groups(docs: DataFrame, n: int, percent: int, id_col: str = "doc_id",
         for b in portions(batches, lambda b: b["t"].map(lambda t: [t]), 1 << 20):
             sets = [shingles(t, n) for t in b["t"]]
             yield pd.DataFrame({"node": [_set_hash(s)[0] for s in sets], "n": [len(s) for s in sets],
+                                "bits": [_bitmap(s) for s in sets],
                                 "grams": [[x.tobytes() for x in np.split(s, np.searchsorted(s, bounds))] for s in sets]})
 
-    sets = scratch.keep(own.join(few, "k", "left_semi").mapInPandas(cut, "node long, n long, grams array<binary>")
-                        .dropDuplicates(["node"]), "sets")
+    sets = own.join(few, "k", "left_semi").mapInPandas(cut, "node long, n long, bits binary, grams array<binary>")
+    again = rows.join(wanted, F.col("doc") == F.col("k"), "left_semi").groupBy("doc").agg(F.count("*").alias("m")).where("m > 1")
+    if again.limit(1).count():  # several rows of one id; else no set comes twice, and none need move
+        sets = sets.dropDuplicates(["node"])
+    sets = scratch.keep(sets, "sets")
     release(spark)
     several = real.groupBy("doc").agg(F.min("node").alias("a"), F.max("node").alias("hi")).where("a <> hi").select("doc", "a")
     same = real.join(several, "doc").where("node <> a").select("a", F.col("node").alias("b"))  # texts of one document
@@ -381,7 +419,7 @@ def groups(docs: DataFrame, n: int, percent: int, id_col: str = "doc_id",
     placed = scratch.keep(rows.join(label, "node", "left").select(
         "doc", "n", F.when((F.col("doc") != NO_ID) & (F.col("n") > 0), F.coalesce("component", "node")).alias("of")), "placed")
     first = placed.where("of IS NOT NULL").groupBy("of").agg(F.min("doc").alias("component"), F.count("*").alias("m")).where("m > 1")
-    scratch.drop("found", "families", "wanted", "sets", "mixed")
+    scratch.drop("found", "families", "wanted", "sets", "mixed", "partnered")
     return placed.join(first, "of", "left").select(
         F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc"), F.col("n").alias("n_shingles"),
         F.when(F.col("doc") != NO_ID, F.coalesce("component", "doc")).alias("component"))
