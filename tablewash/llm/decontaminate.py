@@ -33,7 +33,6 @@ RADIUS = 26
 BROADCAST_SHINGLES = 1_000_000
 BROADCAST_WINDOWS = 2_000_000  # of 12 bytes
 _BLANKS = " \t\n\u000b\f\r"
-_LANES = 2  # counters of 32 bits in a long
 
 
 def _word_hashes(text: Column) -> Column:
@@ -56,16 +55,17 @@ def _blocks() -> list[tuple[int, int]]:
     return [(cuts[i], cuts[i + 1] - cuts[i]) for i in range(n)]
 
 
-def simhash(s: Column) -> Column:
-    """64 majority bits of the shingle hashes; two counters share a long."""
-    step = 64 // _LANES
-    mask = sum(1 << (i * step) for i in range(_LANES))
+def _majority(s: Column, lanes: int) -> Column:
+    """64 majority bits, by ``lanes`` counters of 64 / lanes bits that share a long."""
+    step = 64 // lanes
+    mask = sum(1 << (i * step) for i in range(lanes))
+    mask -= (mask >> 63) << 64
 
     def bits(j: int) -> Column:
         sums = F.aggregate(s, F.lit(0).cast("long"),
                            lambda acc, h: acc + F.shiftrightunsigned(h, j).bitwiseAND(F.lit(mask)))
         out = F.lit(0).cast("long")
-        for lane in range(_LANES):
+        for lane in range(lanes):
             n = F.shiftrightunsigned(sums, lane * step).bitwiseAND(F.lit((1 << step) - 1))
             out = out.bitwiseOR(F.when(2 * n > F.size(s), F.shiftleft(F.lit(1).cast("long"), lane * step + j))
                                 .otherwise(F.lit(0).cast("long")))
@@ -77,6 +77,13 @@ def simhash(s: Column) -> Column:
     return parts[0]
 
 
+def simhash(s: Column) -> Column:
+    """64 majority bits of the shingle hashes. Short lists take narrow counters, which
+    need fewer passes; the bits are the same. Half of a counter stays free, for the sign."""
+    return (F.when(F.size(s) < 1 << 7, _majority(s, 8)).when(F.size(s) < 1 << 15, _majority(s, 4))
+            .otherwise(_majority(s, 2)))
+
+
 def similarity(a: Column, b: Column) -> Column:
     """Weighted Jaccard similarity of two lists of shingles."""
     def n(list_, x):
