@@ -367,6 +367,37 @@ def test_decontamination_of_changed_items(spark):
     assert decontaminate.matches(frame.limit(0), bench).count() == 0
 
 
+def test_simhash_is_the_majority_of_each_bit(spark):
+    """For lists that take counters of every width."""
+    rnd = random.Random(1)
+    lists = [[rnd.randrange(-2 ** 63, 2 ** 63) for _ in range(n)] for n in (0, 1, 2, 7, 127, 128, 300, 40_000)]
+    lists.append([-1] * 127)
+    lists.append([-1] * 32_768)
+
+    def majority(x):
+        bits = sum((2 * sum(v >> j & 1 for v in x) > len(x)) << j for j in range(64))
+        return bits - (1 << 64) if bits >> 63 else bits
+
+    frame = spark.createDataFrame([(i, x) for i, x in enumerate(lists)], "i int, s array<bigint>")
+    got = {r.i: r.fp for r in frame.select("i", decontaminate.simhash(frame.s).alias("fp")).collect()}
+    assert [got[i] for i in range(len(lists))] == [majority(x) for x in lists]
+
+
+def test_bitmaps_bound_overlaps_from_above():
+    """No pair of similar sets is left without a partner, whatever the bitmap's width."""
+    rnd = np.random.default_rng(2)
+    base = rnd.integers(0, 1 << 63, 400, dtype=np.uint64)
+    for bits in (64, 2048):
+        jaccard_join.BITS, before = bits, jaccard_join.BITS
+        sets = [np.unique(np.concatenate([base[:n], rnd.integers(0, 1 << 63, k, dtype=np.uint64)])) for n, k in
+                ((400, 0), (390, 10), (200, 200), (395, 30), (30, 1), (31, 0))]
+        maps = [np.unpackbits(np.frombuffer(jaccard_join._bitmap(x), dtype=np.uint8)).astype(bool) for x in sets]
+        jaccard_join.BITS = before
+        for x, a in zip(sets, maps):
+            for y, b in zip(sets, maps):
+                assert len(np.intersect1d(x, y)) <= min(len(x) - (a & ~b).sum(), len(y) - (b & ~a).sum())
+
+
 def test_decontamination_of_moved_passages(spark):
     """Halves swapped and sentences moved inside longer texts: shared shingles at other places."""
     rnd = random.Random(12)

@@ -305,4 +305,4 @@ def test_pii_odd_rows(odd):
 
 def test_queries_are_registered():
     names = list(entry.queries())
-    assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)] == [1] * 10 and "pipeline" in names
+    assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 14)] == [1] * 13 and "pipeline" in names
