@@ -139,14 +139,18 @@ def _windows(docs: DataFrame, benchmark: DataFrame, percent: int) -> DataFrame:
     # beyond the bound the texts are shuffled
     near = F.broadcast(near) if begins.count() <= BROADCAST_WINDOWS else near
     back = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("r"), "text")
-    found = back.join(near, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("r") == F.col("row"))).select(
-        "doc_id", "row", "near", _word_hashes(F.col("text")).alias("h"))
-    whole = found.select("doc_id", "row", "near", "h", _shingles(F.col("h")).alias("all"))
-    cut = F.transform("near", lambda w: F.struct(w["words"].alias("words"), w["at"].alias("at"), F.when(
-        F.least(w["words"], F.size("h")) >= SHINGLE,
-        F.slice("all", w["at"] + 1, F.least(w["words"], F.size("h")) - (SHINGLE - 1)))
-        .otherwise(_shingles(F.slice("h", w["at"] + 1, w["words"]))).alias("mine")))
-    windows = (whole.select("doc_id", "row", F.explode(cut).alias("w")).select("doc_id", "row", "w.words", "w.at", "w.mine"))
+    found = back.join(near, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("r") == F.col("row")))
+
+    def cut(h, whole):
+        return F.transform("near", lambda w: F.struct(w["words"].alias("words"), w["at"].alias("at"), F.when(
+            F.least(w["words"], F.size(h)) >= SHINGLE,
+            F.slice(whole, w["at"] + 1, F.least(w["words"], F.size(h)) - (SHINGLE - 1)))
+            .otherwise(_shingles(F.slice(h, w["at"] + 1, w["words"]))).alias("mine")))
+
+    # hashes of the words and shingles are bound once for each text, by the outer transforms
+    cuts = F.flatten(F.transform(F.array(_word_hashes(F.col("text"))), lambda h: F.flatten(
+        F.transform(F.array(_shingles(h)), lambda whole: cut(h, whole)))))
+    windows = found.select("doc_id", "row", F.explode(cuts).alias("w")).select("doc_id", "row", "w.words", "w.at", "w.mine")
     windows = windows.withColumn("fp_mine", simhash(F.col("mine")))
 
     def keys(fp: str) -> Column:
