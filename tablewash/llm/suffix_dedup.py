@@ -48,6 +48,7 @@ from tablewash.llm.anchors import (
     prefix_hashes,
 )
 from tablewash.llm.common import Scratch, portions, release
+from tablewash.llm.shingles import mix
 
 LEFT = WIDTH - 1  # bytes before an anchor that a string through it can reach
 SPAN = LEFT + LENGTH  # bytes around an anchor: LEFT before its start, LENGTH from it on
@@ -164,8 +165,9 @@ def _cover(parts: int):
             for p in np.unique(part):
                 x = slice(cut[p], cut[p + 1])
                 rows.append((int(p), 0, cut[p + 1] - cut[p], _pack([(c[x], 8), (doc[x], 8), (lo[x], 5), (hi[x], 5)]), b""))
-            part = ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-            order = np.lexsort((own, h))
+            # anchors' hashes are smallest ones, most of them low: mixed, else the first parts hold most
+            part = ((mix(h) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+            order = np.lexsort((own, h, part))
             h, own, whose, place, part = h[order], own[order], whose[order], place[order], part[order]
             cut = np.searchsorted(part, np.arange(parts + 1))
             low = np.uint64((1 << 48) - 1)

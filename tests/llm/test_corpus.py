@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import tiktoken
@@ -190,6 +191,15 @@ def test_suffix_dedup_equals_brute_force(spark):
     assert _dedup(spark, []) == []
 
 
+def test_suffix_dedup_anchors_are_dealt_evenly():
+    rnd, parts = np.random.default_rng(4), 50
+    texts = [[bytes(rnd.integers(97, 123, 2000, dtype=np.uint8)).decode()] for _ in range(200)]
+    frames = suffix_dedup._cover(parts)(iter([pd.DataFrame({"doc": range(200), "texts": texts})]))
+    rows = pd.concat(frames)
+    size = rows[rows["kind"] == 2].groupby("part")["n"].sum()
+    assert len(size) == parts and size.max() < 1.5 * size.mean()
+
+
 def test_suffix_dedup_frequent_grams(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "HOT_GRAM", 3)
     docs, _ = _copies(6)
