@@ -13,17 +13,21 @@ the n-gram hashes is cut into fragments, and fragments are compared on their own
   n-grams of the order too, as many as a pair of similarity t must share one of.
   So every such pair shares a key: no candidate is lost, and hardly any comes from
   single frequent n-grams.
-* Families. A batch sends each of its keys once, with the smallest document that has it,
-  and names the others as members of that document's family; where keys of batches
-  meet, their smallest document gets a family of the senders and of the members
-  behind them. So every candidate pair lies in some family, no list of a key's documents
-  meets anywhere, and a batch's share of a hot key is one entry.
+* Families. A batch sends each of its keys once, with the document that has it and shares
+  most keys in the batch, and names the others as members of that document's family; where
+  keys of batches meet, their smallest document gets a family of the senders and of the
+  members behind them with such a key (by 64 bits of the keys). So every candidate pair lies
+  in some family, no list of a key's documents meets anywhere, and a batch's share of a
+  hot key is one entry.
 * Overlaps with pivots. Each document is compared with one pivot, of the family with which
   it shares most keys: the member that shares most keys in all. Sets are cut at fixed
   places of the global order; (pivot, fragment) tasks count the partial overlap of the pivot's
   fragment with those of at most ``BLOCK_DOCS`` members and send (pair, count), and Spark
   sums them per pair. Near copies of one text are linked to it by as many pairs as there
   are copies.
+* Nearest components. In families whose members lie in several components, bitmaps of the
+  sets are compared block by block; each component's document that looks most like one of
+  another component is compared with that one, as with a pivot.
 * The rest. Families whose members still lie in several components are compared
   wholly, but for pairs inside a component: the members outside the largest one with each
   other and with those of the largest whose sizes allow a link, block by block. First
@@ -57,7 +61,8 @@ from tablewash.llm.shingles import mix, shingles
 DOCS_PER_PART = 2_000
 FRAGMENT = 4096  # n-grams of the order that one product of incidence matrices covers
 FRAGMENTS = 8  # of a set compared with its pivot, cut by the highest bits
-BLOCK_DOCS, BLOCK_NGRAMS = 512, 500_000  # of a family; more of either is cut into blocks
+BLOCK_DOCS, BLOCK_NGRAMS = 1024, 1_000_000  # of a family; more of either is cut into blocks
+STRIP = 256  # bitmaps compared with a block at a time
 BITS = 2048  # of a set's bitmap
 BROADCAST_DOCS = 1_000_000  # ids (8 bytes) that a join may broadcast; beyond, it shuffles the texts
 NO_ID = -(1 << 63)
@@ -132,14 +137,18 @@ def _set_hash(s: np.ndarray) -> tuple[int, int]:
 
 def _families(key: np.ndarray, doc: np.ndarray, held: np.ndarray) -> np.ndarray:
     """Of keys in order, each with its documents in order: rows (first document, document,
-    number of keys, number of those with ``held``) of the keys with several documents, the
+    number of keys, bits of those with ``held``) of the keys with several documents, the
     first one included."""
     new = np.append(True, key[1:] != key[:-1])
     first = np.repeat(doc[new], np.diff(np.append(np.flatnonzero(new), len(key))))
     several = np.append(~new[1:], False) | ~new
     pairs, place = np.unique(np.stack([first[several], doc[several]], axis=1), axis=0, return_inverse=True)
-    count = [np.bincount(place.reshape(-1), weights=w, minlength=len(pairs)).astype(np.int64) for w in (None, held[several])]
-    return np.concatenate([pairs, np.stack(count, axis=1)], axis=1)
+    place = place.reshape(-1)
+    bits = np.zeros(len(pairs), dtype=np.uint64)
+    bit = np.uint64(1) << (key[several].astype(np.uint64) & np.uint64(63))
+    np.bitwise_or.at(bits, place, np.where(held[several], bit, np.uint64(0)))
+    count = np.bincount(place, minlength=len(pairs)).astype(np.int64)
+    return np.concatenate([pairs, np.stack([count, bits.view(np.int64)], axis=1)], axis=1)
 
 
 def _blocks(n: int, percent: int, parts: int):
@@ -163,10 +172,13 @@ def _blocks(n: int, percent: int, parts: int):
             local = np.empty((0, 4), dtype=np.int64)
             if keys:
                 k, d = np.concatenate(keys), np.concatenate(of)
-                order = np.lexsort((d, k))
+                _, place, count = np.unique(k, return_inverse=True, return_counts=True)
+                of_doc = np.repeat(np.arange(len(keys)), [len(x) for x in keys])
+                shared = np.bincount(of_doc, weights=count[place.reshape(-1)] > 1, minlength=len(keys))[of_doc]
+                order = np.lexsort((d, -shared, k))
                 k, d = k[order], d[order]
                 if len(k):
-                    local = _families(k, d, np.zeros(len(k)))
+                    local = _families(k, d, np.ones(len(k), dtype=bool))
                 new = np.append(True, k[1:] != k[:-1])[:len(k)]
                 alone = np.append(new[1:], True)[new]  # nobody behind the sender
                 k, d = k[new], d[new]
@@ -193,7 +205,7 @@ def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
     met = np.empty((0, 4), dtype=np.int64)
     if blocks:
         k, d = np.concatenate([x for x, _ in blocks], axis=1)
-        held = np.concatenate([np.full(x.shape[1], h) for x, h in blocks])
+        held = np.concatenate([np.full(x.shape[1], h, dtype=bool) for x, h in blocks])
         order = np.lexsort((d, k))
         met = _families(k[order], d[order], held[order])
     found = [[np.frombuffer(x, dtype=np.int64).reshape(-1, 4) for x in pdf[c] if x] for c in ("docs", "local")] + [[met]]
@@ -258,21 +270,63 @@ def _bitmap(s: np.ndarray) -> bytes:
 _PLACED = "centre long, node long, component long, task long, low int, high int, side int, pair int"
 
 
+def _looks(f: pd.DataFrame, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each document of a block or pair of blocks: the place of the one of another
+    component that may be most similar, by the bitmaps ``bits`` and sizes ``n``, and
+    the bound of that similarity; 0 if no other one can link with it."""
+    b = np.unpackbits(np.frombuffer(b"".join(f["bits"]), dtype=np.uint8).reshape(len(f), -1), axis=1).astype(np.float32)
+    n, own, side = f["n"].to_numpy(), f["component"].to_numpy(), f["side"].to_numpy()
+    ones, pair = b.sum(axis=1), f["pair"].iloc[0]
+    best, score = np.zeros(len(f), dtype=np.int64), np.zeros(len(f))
+    for low in range(0, len(f), STRIP):
+        x = slice(low, low + STRIP)
+        common = b[x] @ b.T
+        most = np.minimum(n[x, None] - (ones[x, None] - common), n[None, :] - (ones[None, :] - common))
+        union = n[x, None] + n[None, :] - most
+        fine = (most * 100 >= percent * union) & (own[x, None] != own[None, :])
+        if pair:
+            fine &= side[x, None] != side[None, :]
+        like = np.where(fine, most / union, 0)
+        best[x] = like.argmax(axis=1)
+        score[x] = like[np.arange(len(like)), best[x]]
+    return best, score
+
+
+_LOOKS = "centre long, node long, component long, score double, pivot long"
+
+
+def _lookalikes(families: DataFrame, percent: int) -> DataFrame:
+    """The rows of documents that may link with one of another component in their block
+    or pair of blocks, each with the one that looks most like it. The others cannot
+    link with another component, now or when components have grown."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for centre, f in ((key[0], f) for key, f in pdf.groupby(["centre", "low", "high"])):
+            best, score = _looks(f, percent)
+            node = f["node"].to_numpy()
+            found = pd.DataFrame({"centre": centre, "node": node, "component": f["component"].to_numpy(),
+                                  "score": score, "pivot": node[best]})
+            out.append(found[score > 0])
+        return pd.concat(out, ignore_index=True)
+
+    return families.groupBy("task", "low", "high").applyInPandas(run, _LOOKS)
+
+
+def _nearest(looks: DataFrame) -> DataFrame:
+    """``pivot, node``: of each component the document that looks most like one of
+    another component, and that one."""
+    best = looks.groupBy("component").agg(F.max(F.struct("score", "pivot", "node")).alias("p")).select("p.*")
+    return best.groupBy(F.least("pivot", "node"), F.greatest("pivot", "node")).agg(
+        F.max(F.struct("pivot", "node")).alias("p")).select("p.*")
+
+
 def _partnered(families: DataFrame, percent: int) -> DataFrame:
     """The rows of documents that may link with one of another component in their
-    block or pair of blocks, by the bitmaps ``bits`` and sizes ``n``."""
+    block or pair of blocks."""
     keep = [c.split()[0] for c in _PLACED.split(", ")]
 
-    def fits(f: pd.DataFrame) -> np.ndarray:
-        b = np.unpackbits(np.frombuffer(b"".join(f["bits"]), dtype=np.uint8).reshape(len(f), -1), axis=1).astype(np.float32)
-        n, own, side = f["n"].to_numpy(), f["component"].to_numpy(), f["side"].to_numpy()
-        common, ones = b @ b.T, b.sum(axis=1)
-        most = np.minimum(n[:, None] - (ones[:, None] - common), n[None, :] - (ones[None, :] - common))
-        fine = (most * 100 >= percent * (n[:, None] + n[None, :] - most)) & (own[:, None] != own[None, :])
-        return (fine & (side[:, None] != side[None, :]) if f["pair"].iloc[0] else fine).any(axis=1)
-
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = [f[fits(f)] for _, f in pdf.groupby(["centre", "low", "high"])]
+        out = [f[_looks(f, percent)[1] > 0] for _, f in pdf.groupby(["centre", "low", "high"])]
         return pd.concat(out, ignore_index=True)[keep]
 
     return families.groupBy("task", "low", "high").applyInPandas(run, _PLACED)
@@ -320,6 +374,19 @@ def _pivot_links(families: DataFrame, sets: DataFrame, percent: int, parts: int)
     pivots = pivots.select("centre", F.col("top.node").alias("pivot"), F.ceil(F.col("m") / BLOCK_DOCS).cast("int").alias("blocks"))
     pairs = placed.join(pivots, "centre").where("node <> pivot").select(
         "pivot", "node", F.pmod(F.xxhash64("node", "pivot"), "blocks").cast("int").alias("block"), F.lit(1).alias("member"))
+    return _compared(pairs, pivots, sets, percent, parts)
+
+
+def _nearest_links(nearest: DataFrame, sets: DataFrame, percent: int, parts: int) -> DataFrame:
+    """``a, b``: the links of components with those that look nearest."""
+    pivots = nearest.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK_DOCS).cast("int").alias("blocks"))
+    pairs = nearest.join(pivots, "pivot").select(
+        "pivot", "node", F.pmod(F.xxhash64("node", "pivot"), "blocks").cast("int").alias("block"), F.lit(1).alias("member"))
+    return _compared(pairs, pivots, sets, percent, parts)
+
+
+def _compared(pairs: DataFrame, pivots: DataFrame, sets: DataFrame, percent: int, parts: int) -> DataFrame:
+    """``a, b``: the links of ``pairs`` of pivots and nodes, by the overlaps of their fragments."""
     own = pivots.select("pivot", F.col("pivot").alias("node"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
                         F.lit(0).alias("member")).distinct()
     dealt = (pairs.union(own).join(sets, "node")
@@ -331,8 +398,9 @@ def _pivot_links(families: DataFrame, sets: DataFrame, percent: int, parts: int)
             .select(F.col("pivot").alias("a"), F.col("node").alias("b")))
 
 
-def _rest_links(families: DataFrame, label: DataFrame, sets: DataFrame, percent: int, parts: int, scratch: Scratch) -> DataFrame:
-    """``a, b``: links between components, from the families that hold several."""
+def _dealt(families: DataFrame, label: DataFrame, sets: DataFrame, percent: int, parts: int, scratch: Scratch) -> DataFrame:
+    """The families that hold several components, cut into blocks and pairs of them,
+    with each document's bitmap."""
     placed = families.join(label, "node", "left").select(
         "centre", "node", F.coalesce("component", "node").alias("component"))
     mixed = placed.groupBy("centre").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("centre")
@@ -356,9 +424,14 @@ def _rest_links(families: DataFrame, label: DataFrame, sets: DataFrame, percent:
         F.least(i, "block").alias("low"), F.greatest(i, "block").alias("high"),
         (F.col("block") > i).cast("int").alias("side"), (F.col("block") != i).cast("int").alias("pair")))
     task = F.when(F.col("outer") + F.col("whole") > 2, F.col("centre")).otherwise(F.pmod(F.xxhash64("centre"), F.lit(4 * parts)))
-    dealt = (placed.select("centre", "node", "component", "n", task.alias("task"), F.explode(pairs).alias("p"))
-             .select("centre", "node", "component", "n", "task", "p.*").join(sets.select("node", "bits"), "node"))
-    left = scratch.keep(_partnered(dealt, percent), "partnered")
+    return (placed.select("centre", "node", "component", "n", task.alias("task"), F.explode(pairs).alias("p"))
+            .select("centre", "node", "component", "n", "task", "p.*").join(sets.select("node", "bits"), "node"))
+
+
+def _rest_links(families: DataFrame, label: DataFrame, sets: DataFrame, percent: int, parts: int, scratch: Scratch) -> DataFrame:
+    """``a, b``: links between components, from the families that hold several."""
+    left = scratch.keep(_partnered(_dealt(families, label, sets, percent, parts, scratch), percent), "partnered")
+    release(families.sparkSession)
     return _similar(left.join(sets.select("node", "grams"), "node"), percent)
 
 
@@ -378,11 +451,11 @@ def groups(docs: DataFrame, n: int, percent: int, id_col: str = "doc_id",
 
     def family(kind):
         return (found.where(F.col("kind") == kind).groupBy(F.col("a").alias("centre"), F.col("b").alias("doc"))
-                .agg(F.sum("c").alias("keys"), F.sum("d").alias("held")))
+                .agg(F.sum("c").alias("keys"), F.bit_or("d").alias("held")))
 
     local, met = family(_LOCAL), family(_MET)
-    lifted = local.select(F.col("centre").alias("sender"), F.col("doc").alias("behind"), F.col("keys").alias("there")).join(
-        met.where("held > 0"), F.col("sender") == F.col("doc")).select("centre", F.col("behind").alias("doc"), F.least("held", "there").alias("keys"))
+    lifted = local.select(F.col("centre").alias("sender"), F.col("doc").alias("behind"), F.col("keys").alias("there"), F.col("held").alias("bits")).join(
+        met.where("held <> 0"), F.col("sender") == F.col("doc")).where((F.col("held").bitwiseAND(F.col("bits")) != 0) & (F.col("centre") != F.col("sender"))).select("centre", F.col("behind").alias("doc"), F.least("keys", "there").alias("keys"))
     named = local.drop("held").union(met.drop("held")).union(lifted).groupBy("centre", "doc").agg(F.sum("keys").alias("keys"))
     families = scratch.keep(
         named.join(real, "doc").select("centre", "node", "keys")
@@ -412,14 +485,22 @@ def groups(docs: DataFrame, n: int, percent: int, id_col: str = "doc_id",
     links = scratch.keep(_pivot_links(families, sets, percent, parts).union(same), "links")
     release(spark)
     label = components(links, scratch, "round")
+    joined = lambda new: new.union(label.select(F.col("node").alias("a"), F.col("component").alias("b")))
+    looks = scratch.keep(_lookalikes(_dealt(families, label, sets, percent, parts, scratch), percent), "looks")
+    release(spark)
+    near = scratch.keep(_nearest_links(_nearest(looks), sets, percent, parts), "near")
+    release(spark)
+    if near.limit(1).count():
+        label = components(joined(near), scratch, "nearest")
+    families = looks.select("centre", "node").distinct()  # no other document links with another component
     more = scratch.keep(_rest_links(families, label, sets, percent, parts, scratch), "more")
     release(spark)
     if more.limit(1).count():
-        label = components(more.union(label.select(F.col("node").alias("a"), F.col("component").alias("b"))), scratch, "last")
+        label = components(joined(more), scratch, "last")
     placed = scratch.keep(rows.join(label, "node", "left").select(
         "doc", "n", F.when((F.col("doc") != NO_ID) & (F.col("n") > 0), F.coalesce("component", "node")).alias("of")), "placed")
     first = placed.where("of IS NOT NULL").groupBy("of").agg(F.min("doc").alias("component"), F.count("*").alias("m")).where("m > 1")
-    scratch.drop("found", "families", "wanted", "sets", "mixed", "partnered")
+    scratch.drop("found", "families", "wanted", "sets", "mixed", "looks", "partnered")
     return placed.join(first, "of", "left").select(
         F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc"), F.col("n").alias("n_shingles"),
         F.when(F.col("doc") != NO_ID, F.coalesce("component", "doc")).alias("component"))

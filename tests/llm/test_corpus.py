@@ -488,3 +488,33 @@ def test_stages_keep_columns(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, SF)
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_bits_of_keys_lift_only_members_with_a_met_key():
+    key = np.array([5, 5, 6, 6, 7], dtype=np.uint64)
+    got = jaccard_join._families(key, np.array([1, 2, 1, 3, 1]), np.array([True, False, False, True, True]))
+    assert sorted(map(tuple, got.tolist())) == [(1, 1, 2, 1 << 5), (1, 2, 1, 0), (1, 3, 1, 1 << 6)]
+
+
+def test_near_copies_below_the_threshold_end_with_the_bitmaps(spark, monkeypatch):
+    """Copies of one text with six of its words changed link with nothing: no document of
+    their families is left for the steps after the bitmaps."""
+    rnd, seen = random.Random(3), {}
+    base = [f"w{i}" for i in range(60)]
+    docs = []
+    for i in range(600):
+        changed = set(rnd.sample(range(60), 6))
+        docs.append((i, " ".join(f"x{i}y{j}" if j in changed else w for j, w in enumerate(base))))
+    keep = Scratch.keep
+
+    def counted(self, df, name):
+        seen[name] = keep(self, df, name)
+        if name in ("mixed", "looks", "partnered"):
+            seen[f"{name} rows"] = seen[name].count()
+        return seen[name]
+
+    monkeypatch.setattr(Scratch, "keep", counted)
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(30)
+    got = jaccard_join.groups(frame, 3, 90)
+    assert {r.doc for r in got.collect() if r.component == r.doc} == set(range(600))
+    assert seen["looks rows"] == 0 and seen["partnered rows"] == 0
