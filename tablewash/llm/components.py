@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from tablewash.llm.common import Scratch
+from tablewash.llm.common import Scratch, release
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -13,7 +13,8 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
 
     ``edges``: columns a, b; loops and repeated edges do no harm. Each step links
     every node's neighbours to the smallest of them, which halves long paths; it is
-    written to the shared folder, and the loop ends when nothing changes any more.
+    written to the shared folder, and the loop ends when nothing changes any more. What
+    a step leaves in the driver goes before the next one.
     No node's neighbours ever meet in one row.
     """
     now = scratch.keep(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
@@ -30,9 +31,12 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         small = (large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
                  .union(low.select("a", F.col("m").alias("b"))).distinct())
         step += 1
-        after = scratch.keep(small, f"{name}-{step}")
-        state = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        seen = Observation()  # of the rows as they are written
+        after = scratch.keep(small.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")),
+                             f"{name}-{step}")
+        state = seen.get
         scratch.drop(f"{name}-{step - 1}")
+        release(scratch.spark)
         if state == before:
             return after.select(F.col("a").alias("node"), F.col("b").alias("component"))
         now, before = after, state

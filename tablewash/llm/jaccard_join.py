@@ -19,6 +19,10 @@ the n-gram hashes is cut into fragments, and fragments are compared on their own
   members behind them with such a key (by 64 bits of the keys). So every candidate pair lies
   in some family, no list of a key's documents meets anywhere, and a batch's share of a
   hot key is one entry.
+* Bitmaps. A bit that one set's bitmap has and the other's lacks stands for an n-gram that the
+  other lacks, which bounds their overlap from above. Bitmaps grow with the sets, the wider of two
+  is folded to the narrower, and only pairs that may be similar by them have their sets made,
+  anew from the texts, and sent. No set is kept or moved for a candidate that the bitmaps rule out.
 * Overlaps with pivots. Each document is compared with one pivot, of the family with which
   it shares most keys: the member that shares most keys in all. Sets are cut at fixed
   places of the global order; (pivot, fragment) tasks count the partial overlap of the pivot's
@@ -31,8 +35,7 @@ the n-gram hashes is cut into fragments, and fragments are compared on their own
 * The rest. Families whose members still lie in several components are compared
   wholly, but for pairs inside a component: the members outside the largest one with each
   other and with those of the largest whose sizes allow a link, block by block. First
-  only bitmaps of the sets meet: a bit that one has and the other lacks stands for an
-  n-gram that the other lacks, which bounds the overlap from above; documents that are
+  only bitmaps of the sets meet; documents that are
   left without a partner go. The sets of the rest follow, their overlaps
   counted fragment by fragment as products of incidence matrices. Only
   links that connect something not connected yet leave a task. No link between
@@ -63,7 +66,7 @@ FRAGMENT = 4096  # n-grams of the order that one product of incidence matrices c
 FRAGMENTS = 8  # of a set compared with its pivot, cut by the highest bits
 BLOCK_DOCS, BLOCK_NGRAMS = 1024, 1_000_000  # of a family; more of either is cut into blocks
 STRIP = 256  # bitmaps compared with a block at a time
-BITS = 2048  # of a set's bitmap
+BITS = 2048  # of a set's bitmap; wide ones have as many more as the set needs
 BROADCAST_DOCS = 1_000_000  # ids (8 bytes) that a join may broadcast; beyond, it shuffles the texts
 NO_ID = -(1 << 63)
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -261,12 +264,52 @@ def _forest(pdf: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
     return out
 
 
-def _bitmap(s: np.ndarray) -> bytes:
-    out = np.zeros(BITS, dtype=np.uint8)
-    out[(mix(s ^ _C[3]) % np.uint64(BITS)).astype(np.int64)] = 1
+def _bitmap(s: np.ndarray, width: int = 0) -> bytes:
+    out = np.zeros(width or BITS, dtype=np.uint8)
+    out[(mix(s ^ _C[3]) % np.uint64(len(out))).astype(np.int64)] = 1
     return np.packbits(out).tobytes()
 
 
+def _wide(s: np.ndarray) -> bytes | None:
+    """A bitmap of two to four bits for each n-gram, ``BITS`` times a power of two; none
+    where ``_bitmap`` has as many."""
+    width = BITS
+    while width < 2 * len(s):
+        width *= 2
+    return _bitmap(s, width) if width > BITS else None
+
+
+def _folded(maps: list[bytes], width: int) -> np.ndarray:
+    """Bitmaps of ``width`` bytes, or that times a power of two, as rows of that width:
+    the bit of an n-gram is its hash modulo the width."""
+    out = np.zeros((len(maps), width), dtype=np.uint8)
+    for i, m in enumerate(maps):
+        out[i] = np.bitwise_or.reduce(np.frombuffer(m, dtype=np.uint8).reshape(-1, width), axis=0)
+    return out
+
+
+def _may_link(n, ones, other_n, other_ones, common, percent: int):
+    """Whether sets may be similar, by their sizes, the bits in their bitmaps and the bits in both."""
+    most = np.minimum(n - (ones - common), other_n - (other_ones - common))
+    return most * 100 >= percent * (n + other_n - most)
+
+
+def _likely(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Of one task: the rows of each (pivot, block) whose document may link with the pivot."""
+    out = []
+    for _, f in pdf.sort_values("member", kind="stable").groupby(["pivot", "block"]):
+        if f["member"].iloc[0] or len(f) == 1:  # no pivot or no members
+            continue
+        own, f = f.iloc[0], f.iloc[1:]
+        width = np.minimum(f["bits"].map(len), len(own["bits"]))
+        for w, g in f.groupby(width.to_numpy()):
+            x, y = _folded([own["bits"]], w), _folded(g["bits"].tolist(), w)
+            ones, common = (np.unpackbits(m, axis=1).sum(axis=1, dtype=np.int64) for m in (y, x & y))
+            fine = _may_link(own["n"], np.unpackbits(x).sum(dtype=np.int64), g["n"].to_numpy(), ones, common, percent)
+            out.append(g[fine])
+    return (pd.concat(out) if out else pdf[:0])[["pivot", "node", "block"]]
+
+
 _PLACED = "centre long, node long, component long, task long, low int, high int, side int, pair int"
 
 
@@ -320,13 +363,35 @@ def _nearest(looks: DataFrame) -> DataFrame:
         F.max(F.struct("pivot", "node")).alias("p")).select("p.*")
 
 
+def _has_partner(f: pd.DataFrame, percent: int) -> np.ndarray:
+    """Of each document of a block or pair of blocks, by its wide bitmap: whether it may link
+    with one of another component. Bitmaps of one width meet with those of no smaller one."""
+    width, n, own, side = f["bits"].map(len).to_numpy(), f["n"].to_numpy(), f["component"].to_numpy(), f["side"].to_numpy()
+    pair, out = f["pair"].iloc[0], np.zeros(len(f), dtype=bool)
+    for w in np.unique(width):
+        rows = np.flatnonzero(width == w)
+        others = np.flatnonzero((width >= w) & (n * percent <= n[rows].max() * 100))
+        b = np.unpackbits(_folded(f["bits"].iloc[others].tolist(), w), axis=1).astype(np.float32)
+        ones = b.sum(axis=1)
+        at = np.searchsorted(others, rows)
+        for low in range(0, len(rows), STRIP):
+            x, own_b = rows[low:low + STRIP], at[low:low + STRIP]
+            fine = _may_link(n[x, None], ones[own_b, None], n[None, others], ones[None, :], b[own_b] @ b.T, percent)
+            fine &= own[x, None] != own[None, others]
+            if pair:
+                fine &= side[x, None] != side[None, others]
+            out[x] |= fine.any(axis=1)
+            out[others] |= fine.any(axis=0)
+    return out
+
+
 def _partnered(families: DataFrame, percent: int) -> DataFrame:
     """The rows of documents that may link with one of another component in their
     block or pair of blocks."""
     keep = [c.split()[0] for c in _PLACED.split(", ")]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = [f[_looks(f, percent)[1] > 0] for _, f in pdf.groupby(["centre", "low", "high"])]
+        out = [f[_has_partner(f, percent)] for _, f in pdf.groupby(["centre", "low", "high"])]
         return pd.concat(out, ignore_index=True)[keep]
 
     return families.groupBy("task", "low", "high").applyInPandas(run, _PLACED)
@@ -366,30 +431,34 @@ def _partial_overlaps(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(out, ignore_index=True) if out else none
 
 
-def _pivot_links(families: DataFrame, sets: DataFrame, percent: int, parts: int) -> DataFrame:
-    """``a, b``: the links of each document with the pivot of its family."""
+def _pivots(families: DataFrame) -> DataFrame:
+    """``pivot, node``: each document with the pivot of its family."""
     best = families.groupBy("node").agg(F.max(F.struct("keys", "centre")).alias("best"), F.sum("keys").alias("degree"))
     placed = best.select("node", "degree", F.col("best.centre").alias("centre"))
     pivots = placed.groupBy("centre").agg(F.max(F.struct("degree", "node")).alias("top"), F.count("*").alias("m")).where("m > 1")
-    pivots = pivots.select("centre", F.col("top.node").alias("pivot"), F.ceil(F.col("m") / BLOCK_DOCS).cast("int").alias("blocks"))
-    pairs = placed.join(pivots, "centre").where("node <> pivot").select(
-        "pivot", "node", F.pmod(F.xxhash64("node", "pivot"), "blocks").cast("int").alias("block"), F.lit(1).alias("member"))
-    return _compared(pairs, pivots, sets, percent, parts)
+    return placed.join(pivots.select("centre", F.col("top.node").alias("pivot")), "centre").where("node <> pivot").select("pivot", "node")
+
 
+def _with_pivots(pairs: DataFrame) -> DataFrame:
+    """``pivot, node, block, member``: pairs dealt to blocks of at most about
+    ``BLOCK_DOCS``, and each block's pivot, which is no member."""
+    blocks = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK_DOCS).cast("int").alias("blocks"))
+    own = blocks.select("pivot", F.col("pivot").alias("node"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
+                        F.lit(0).alias("member"))
+    return pairs.join(blocks, "pivot").select(
+        "pivot", "node", F.pmod(F.xxhash64("node", "pivot"), "blocks").cast("int").alias("block"), F.lit(1).alias("member")).union(own)
 
-def _nearest_links(nearest: DataFrame, sets: DataFrame, percent: int, parts: int) -> DataFrame:
-    """``a, b``: the links of components with those that look nearest."""
-    pivots = nearest.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK_DOCS).cast("int").alias("blocks"))
-    pairs = nearest.join(pivots, "pivot").select(
-        "pivot", "node", F.pmod(F.xxhash64("node", "pivot"), "blocks").cast("int").alias("block"), F.lit(1).alias("member"))
-    return _compared(pairs, pivots, sets, percent, parts)
 
+def _likely_pairs(pairs: DataFrame, maps: DataFrame, percent: int, parts: int) -> DataFrame:
+    """Those of the pairs of pivots and nodes that may link, by their bitmaps."""
+    dealt = (_with_pivots(pairs).join(maps.select("node", "n", F.coalesce("wide", "bits").alias("bits")), "node")
+             .withColumn("task", F.pmod(F.xxhash64("pivot", "block"), F.lit(4 * parts))))
+    return dealt.groupBy("task").applyInPandas(lambda pdf: _likely(pdf, percent), "pivot long, node long, block int").drop("block")
 
-def _compared(pairs: DataFrame, pivots: DataFrame, sets: DataFrame, percent: int, parts: int) -> DataFrame:
+
+def _compared(pairs: DataFrame, sets: DataFrame, percent: int, parts: int) -> DataFrame:
     """``a, b``: the links of ``pairs`` of pivots and nodes, by the overlaps of their fragments."""
-    own = pivots.select("pivot", F.col("pivot").alias("node"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
-                        F.lit(0).alias("member")).distinct()
-    dealt = (pairs.union(own).join(sets, "node")
+    dealt = (_with_pivots(pairs).join(sets, "node")
              .select("pivot", "node", "block", "member", "n", F.posexplode("grams").alias("fragment", "grams"))
              .withColumn("task", F.pmod(F.xxhash64("pivot", "fragment", "block"), F.lit(4 * parts))))
     counted = (dealt.groupBy("task").applyInPandas(_partial_overlaps, "pivot long, node long, size long, n long, common long")
@@ -398,13 +467,13 @@ def _compared(pairs: DataFrame, pivots: DataFrame, sets: DataFrame, percent: int
             .select(F.col("pivot").alias("a"), F.col("node").alias("b")))
 
 
-def _dealt(families: DataFrame, label: DataFrame, sets: DataFrame, percent: int, parts: int, scratch: Scratch) -> DataFrame:
+def _dealt(families: DataFrame, label: DataFrame, maps: DataFrame, percent: int, parts: int, scratch: Scratch) -> DataFrame:
     """The families that hold several components, cut into blocks and pairs of them,
-    with each document's bitmap."""
+    with each document's ``bits``."""
     placed = families.join(label, "node", "left").select(
         "centre", "node", F.coalesce("component", "node").alias("component"))
     mixed = placed.groupBy("centre").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("centre")
-    placed = scratch.keep(placed.join(mixed, "centre").join(sets.select("node", "n"), "node"), "mixed")
+    placed = scratch.keep(placed.join(mixed, "centre").join(maps.select("node", "n"), "node"), "mixed")
     main = (placed.groupBy("centre", "component").agg(F.count("*").alias("m")).groupBy("centre")
             .agg(F.max(F.struct("m", "component")).alias("main")).select("centre", F.col("main.component").alias("main")))
     placed = placed.join(main, "centre").withColumn("inner", F.col("component") == F.col("main"))
@@ -425,14 +494,7 @@ def _dealt(families: DataFrame, label: DataFrame, sets: DataFrame, percent: int,
         (F.col("block") > i).cast("int").alias("side"), (F.col("block") != i).cast("int").alias("pair")))
     task = F.when(F.col("outer") + F.col("whole") > 2, F.col("centre")).otherwise(F.pmod(F.xxhash64("centre"), F.lit(4 * parts)))
     return (placed.select("centre", "node", "component", "n", task.alias("task"), F.explode(pairs).alias("p"))
-            .select("centre", "node", "component", "n", "task", "p.*").join(sets.select("node", "bits"), "node"))
-
-
-def _rest_links(families: DataFrame, label: DataFrame, sets: DataFrame, percent: int, parts: int, scratch: Scratch) -> DataFrame:
-    """``a, b``: links between components, from the families that hold several."""
-    left = scratch.keep(_partnered(_dealt(families, label, sets, percent, parts, scratch), percent), "partnered")
-    release(families.sparkSession)
-    return _similar(left.join(sets.select("node", "grams"), "node"), percent)
+            .select("centre", "node", "component", "n", "task", "p.*").join(maps.select("node", "bits"), "node"))
 
 
 def groups(docs: DataFrame, n: int, percent: int, id_col: str = "doc_id",
@@ -463,44 +525,74 @@ def groups(docs: DataFrame, n: int, percent: int, id_col: str = "doc_id",
         .groupBy(F.col("of").alias("centre"), "node").agg(F.sum("keys").alias("keys")), "families")
     release(spark)
     wanted = scratch.keep(real.join(families.select("node").union(families.select(F.col("centre").alias("node"))).distinct(), "node")
-                          .groupBy("node").agg(F.min("doc").alias("k")).select("k").distinct(), "wanted")
-    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_DOCS else wanted
+                          .groupBy("node").agg(F.min("doc").alias("k")), "wanted")
     bounds = np.arange(1, FRAGMENTS, dtype=np.uint64) * np.uint64((1 << 64) // FRAGMENTS)
+    again = rows.join(wanted, F.col("doc") == F.col("k"), "left_semi").groupBy("doc").agg(F.count("*").alias("m")).where("m > 1")
+    twice = again.limit(1).count()  # several rows of one id; else no set comes twice, and none need move
+
+    def sketch(batches):
+        for b in portions(batches, lambda b: b["t"].map(lambda t: [t]), 1 << 20):
+            sets = [shingles(t, n) for t in b["t"]]
+            yield pd.DataFrame({"node": [_set_hash(s)[0] for s in sets], "n": [len(s) for s in sets],
+                                "bits": [_bitmap(s) for s in sets], "wide": [_wide(s) for s in sets]})
 
     def cut(batches):
         for b in portions(batches, lambda b: b["t"].map(lambda t: [t]), 1 << 20):
             sets = [shingles(t, n) for t in b["t"]]
             yield pd.DataFrame({"node": [_set_hash(s)[0] for s in sets], "n": [len(s) for s in sets],
-                                "bits": [_bitmap(s) for s in sets],
                                 "grams": [[x.tobytes() for x in np.split(s, np.searchsorted(s, bounds))] for s in sets]})
 
-    sets = own.join(few, "k", "left_semi").mapInPandas(cut, "node long, n long, bits binary, grams array<binary>")
-    again = rows.join(wanted, F.col("doc") == F.col("k"), "left_semi").groupBy("doc").agg(F.count("*").alias("m")).where("m > 1")
-    if again.limit(1).count():  # several rows of one id; else no set comes twice, and none need move
-        sets = sets.dropDuplicates(["node"])
-    sets = scratch.keep(sets, "sets")
-    release(spark)
+    def made(ids, make, schema, name):
+        """What ``make`` yields of the documents ``ids``, once for each set."""
+        few = F.broadcast(ids) if ids.count() <= BROADCAST_DOCS else ids
+        out = own.join(few, "k", "left_semi").mapInPandas(make, schema)
+        out = scratch.keep(out.dropDuplicates(["node"]) if twice else out, name)
+        release(spark)
+        return out
+
+    def sets_of(nodes, name):
+        ids = scratch.keep(wanted.join(nodes.distinct(), "node", "left_semi").select("k").distinct(), f"{name}-ids")
+        return made(ids, cut, "node long, n long, grams array<binary>", f"{name}-sets")
+
+    def linked(pairs, name):
+        """``a, b``: the links of pairs of pivots and nodes; none if no pair is likely."""
+        likely = scratch.keep(_likely_pairs(pairs, maps, percent, parts), f"{name}-likely")
+        release(spark)
+        if not likely.limit(1).count():
+            return None
+        sets = sets_of(likely.select("node").union(likely.select("pivot")), name)
+        out = scratch.keep(_compared(likely, sets, percent, parts), f"{name}-links")
+        scratch.drop(f"{name}-likely", f"{name}-ids", f"{name}-sets")
+        release(spark)
+        return out
+
+    maps = made(wanted.select("k").distinct(), sketch, "node long, n long, bits binary, wide binary", "maps")
     several = real.groupBy("doc").agg(F.min("node").alias("a"), F.max("node").alias("hi")).where("a <> hi").select("doc", "a")
     same = real.join(several, "doc").where("node <> a").select("a", F.col("node").alias("b"))  # texts of one document
-    links = scratch.keep(_pivot_links(families, sets, percent, parts).union(same), "links")
-    release(spark)
-    label = components(links, scratch, "round")
-    joined = lambda new: new.union(label.select(F.col("node").alias("a"), F.col("component").alias("b")))
-    looks = scratch.keep(_lookalikes(_dealt(families, label, sets, percent, parts, scratch), percent), "looks")
-    release(spark)
-    near = scratch.keep(_nearest_links(_nearest(looks), sets, percent, parts), "near")
+    found_links = linked(_pivots(families), "pivot")
+    label = components(same if found_links is None else found_links.union(same), scratch, "round")
+
+    def extended(new, name):
+        return components(new.union(label.select(F.col("node").alias("a"), F.col("component").alias("b"))), scratch, name)
+
+    looks = scratch.keep(_lookalikes(_dealt(families, label, maps, percent, parts, scratch), percent), "looks")
     release(spark)
-    if near.limit(1).count():
-        label = components(joined(near), scratch, "nearest")
+    near = linked(_nearest(looks), "near")
+    if near is not None:
+        label = extended(near, "nearest")
     families = looks.select("centre", "node").distinct()  # no other document links with another component
-    more = scratch.keep(_rest_links(families, label, sets, percent, parts, scratch), "more")
+    wide = maps.select("node", "n", F.coalesce("wide", "bits").alias("bits"))
+    left = scratch.keep(_partnered(_dealt(families, label, wide, percent, parts, scratch), percent), "partnered")
     release(spark)
-    if more.limit(1).count():
-        label = components(joined(more), scratch, "last")
+    if left.limit(1).count():
+        more = scratch.keep(_similar(left.join(sets_of(left.select("node"), "rest").select("node", "grams"), "node"), percent), "more")
+        release(spark)
+        if more.limit(1).count():
+            label = extended(more, "last")
     placed = scratch.keep(rows.join(label, "node", "left").select(
         "doc", "n", F.when((F.col("doc") != NO_ID) & (F.col("n") > 0), F.coalesce("component", "node")).alias("of")), "placed")
     first = placed.where("of IS NOT NULL").groupBy("of").agg(F.min("doc").alias("component"), F.count("*").alias("m")).where("m > 1")
-    scratch.drop("found", "families", "wanted", "sets", "mixed", "looks", "partnered")
+    scratch.drop("found", "families", "wanted", "maps", "mixed", "looks", "partnered", "rest-ids", "rest-sets")
     return placed.join(first, "of", "left").select(
         F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc"), F.col("n").alias("n_shingles"),
         F.when(F.col("doc") != NO_ID, F.coalesce("component", "doc")).alias("component"))

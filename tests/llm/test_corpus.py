@@ -518,3 +518,55 @@ def test_near_copies_below_the_threshold_end_with_the_bitmaps(spark, monkeypatch
     got = jaccard_join.groups(frame, 3, 90)
     assert {r.doc for r in got.collect() if r.component == r.doc} == set(range(600))
     assert seen["looks rows"] == 0 and seen["partnered rows"] == 0
+
+
+def test_wide_bitmaps_bound_overlaps_from_above():
+    """Bitmaps of sets of any size, the wider folded to the narrower, lose no similar pair."""
+    rnd = np.random.default_rng(4)
+    base = rnd.integers(0, 1 << 63, 9000, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[:n], rnd.integers(0, 1 << 63, k, dtype=np.uint64)])) for n, k in
+            ((1000, 0), (1000, 60), (1100, 30), (4000, 90), (4100, 10), (4100, 900), (9000, 0), (8000, 300), (300, 5), (310, 0))]
+    wide = [jaccard_join._wide(s) or jaccard_join._bitmap(s) for s in sets]
+    assert len({len(b) for b in wide}) > 3
+    pair = {(i, j): 100 * len(np.intersect1d(x, y)) >= 80 * len(np.union1d(x, y)) for i, x in enumerate(sets) for j, y in enumerate(sets)}
+    assert any(v and len(wide[i]) != len(wide[j]) for (i, j), v in pair.items())
+    frame = pd.DataFrame({"node": range(len(sets)), "n": [len(s) for s in sets], "bits": wide, "component": range(len(sets)), "side": 0, "pair": 0})
+    has = jaccard_join._has_partner(frame, 80)
+    for i in range(len(sets)):
+        of = pd.concat([frame.iloc[[i]].assign(member=0), frame.drop(i).assign(member=1)]).assign(pivot=i, block=0)
+        left = set(jaccard_join._likely(of, 80)["node"])
+        assert left >= {j for j in range(len(sets)) if j != i and pair[i, j]}
+        assert has[i] or not any(pair[i, j] for j in range(len(sets)) if j != i)
+        few = [j for j in left if not pair[i, j]]  # far pairs go
+        assert all(100 * len(np.intersect1d(sets[i], sets[j])) >= 55 * len(np.union1d(sets[i], sets[j])) for j in few)
+
+
+@pytest.mark.parametrize("words", [60, 3000])
+def test_sets_are_made_only_of_candidates_that_bitmaps_leave(spark, monkeypatch, words):
+    """Documents that share a part with a pivot but are far from it have no set written,
+    long ones neither; the near copies among them still link."""
+    rnd, seen = random.Random(5), {}
+    docs = []
+    for g in range(12):
+        base = [f"g{g}w{i}" for i in range(words)]
+        for i in range(10):
+            changed = set(rnd.sample(range(words), words // 10))
+            docs.append((g * 100 + i, " ".join(f"x{g}y{i}z{j}" if j in changed else w for j, w in enumerate(base))))
+        near = docs[-1][1].split()
+        near[3] = "other"
+        docs.append((g * 100 + 50, " ".join(near)))
+    keep = Scratch.keep
+
+    def counted(self, df, name):
+        out = keep(self, df, name)
+        if name.endswith("sets") or name == "families":
+            seen[name] = out.count()
+        return out
+
+    monkeypatch.setattr(Scratch, "keep", counted)
+    want = _groups(_sets(docs, 3), 90)
+    got = jaccard_join.groups(spark.createDataFrame(docs, SCHEMA), 3, 90)
+    assert {r.doc: r.component for r in got.collect()} == want
+    assert len(set(want.values())) in (len(docs) - 12, len(docs))
+    assert seen["families"] >= 12
+    assert sum(m for name, m in seen.items() if name.endswith("sets")) <= 24 + 12
