@@ -11,6 +11,8 @@ pending tokens of all open positions begin with it, so the lookahead is
 bounded by the longest token of the vocabulary. States and transitions are
 determinised lazily: each is built once, when a text first needs it, and the
 table starts afresh when it holds ``max_states`` (results do not change).
+The tables are flat: one dictionary holds the transitions of all states, words
+and pieces keep their ids as tuples, and what was not used lately goes first.
 
 Decoding. ``StreamDecoder`` feeds token bytes through an incremental UTF-8
 state machine: it gives the text of complete characters at once, keeps an
@@ -29,7 +31,6 @@ import hashlib
 import re
 from collections.abc import Iterable
 from itertools import chain
-from operator import itemgetter
 
 import regex
 from pyspark.sql import DataFrame
@@ -37,7 +38,7 @@ from pyspark.sql import DataFrame
 from tablewash.llm.common import map_texts
 
 _NEVER = 1 << 60
-CACHE = 300_000  # words, pieces and states that a worker keeps, about 400 MB; fewer cost time only
+CACHE = 300_000  # words and states that a worker keeps, about 1 KB for each of both; fewer cost time only
 
 
 def parse_ranks(data: bytes) -> dict[bytes, int]:
@@ -49,8 +50,8 @@ class Vocabulary:
     """Merges of a byte-level BPE: a trie of its tokens, and the compatibility
     test of two tokens."""
 
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
+    def __init__(self, ranks: dict[bytes, int], max_fits: int = 500_000):
+        self.ranks, self.max_fits = ranks, max_fits
         self.bytes_of = {r: t for t, r in ranks.items()}
         self.trie: dict[int, int] = {}  # (node << 8 | byte) -> node; 0 is the root
         self.token_at, self.inner = [-1], [True]  # of a node: its token; whether it has children
@@ -115,7 +116,7 @@ class Vocabulary:
                 i += 1
             else:
                 j += 1
-        if len(self._fits) > 500_000:
+        if len(self._fits) >= self.max_fits:
             self._fits.clear()
         self._fits[a << 32 | b] = out
         return out
@@ -126,56 +127,84 @@ class Transducer:
 
     def __init__(self, vocab: Vocabulary, max_states: int = 300_000):
         self.vocab, self.max_states = vocab, max_states
+        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}  # (state << 8 | byte) -> (state, tokens)
         self._reset()
 
     def _reset(self) -> None:
         # a state: for each open position, earliest first, the trie node of the
-        # bytes since it, the tokens pending before it, and the last of all its tokens
-        start = ((0, (), -1),)
+        # bytes since it, the last of all its tokens, and the tokens pending before it
+        start = ((0, -1),)
         self.states = [start]
         self.index = {start: 0}
-        self.moves: list[dict[int, tuple[int, tuple[int, ...]]]] = [{}]
+        self.moves.clear()
 
     def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         v, reached, kept = self.vocab, None, []
-        for node, pending, last in self.states[state]:
-            to = v.trie.get(node << 8 | byte)
+        child, token_at, inner, known = v.trie.get, v.token_at, v.inner, v._fits.get
+        for place in self.states[state]:
+            to = child(place[0] << 8 | byte)
             if to is None:
                 continue
             if reached is None:  # the longest token that fits
-                token = v.token_at[to]
-                if token >= 0 and (last < 0 or v.fits(last, token)):
-                    reached = (0, pending + (token,), token)
-            if v.inner[to]:
-                kept.append((to, pending, last))
+                token = token_at[to]
+                if token >= 0:
+                    last = place[1]
+                    fits = last < 0 or known(last << 32 | token)
+                    if fits or (fits is None and v.fits(last, token)):
+                        reached = (0, token, *place[2:], token)
+            if inner[to]:
+                kept.append((to, *place[1:]))
         if reached is None:
             raise ValueError("the vocabulary lacks a byte")
         kept.append(reached)
-        first, out = kept[0][1], 0
-        while out < len(first) and all(len(x[1]) > out and x[1][out] == first[out] for x in kept):
+        first, out = kept[0], 2
+        while out < len(first) and all(len(x) > out and x[out] == first[out] for x in kept):
             out += 1
-        key = tuple((n, p[out:], t) for n, p, t in kept) if out else tuple(kept)
+        key = tuple((*x[:2], *x[out:]) for x in kept) if out > 2 else tuple(kept)
         to = self.index.get(key)
+        full = to is None and len(self.states) >= self.max_states
+        if full:
+            self._reset()
         if to is None:
             to = self.index[key] = len(self.states)
             self.states.append(key)
-            self.moves.append({})
-        self.moves[state][byte] = move = (to, first[:out])
+        move = to, first[2:out]
+        if not full:  # else the state before is gone
+            self.moves[state << 8 | byte] = move
         return move
 
     def encode(self, piece: bytes) -> list[int]:
-        if len(self.states) > self.max_states:
-            self._reset()
-        state, out, moves = 0, [], self.moves
+        state, out, known = 0, [], self.moves.get
         for byte in piece:
-            move = moves[state].get(byte) or self._move(state, byte)
+            move = known(state << 8 | byte) or self._move(state, byte)
             state = move[0]
             if move[1]:
-                out.extend(move[1])
-        out.extend(self.states[state][-1][1])
+                out += move[1]
+        out += self.states[state][-1][2:]
         return out
 
 
+class Recent:
+    """Values by key, at most ``size``: those not used for longest are left out first."""
+
+    def __init__(self, size: int):
+        self.half = max(1, size // 2)
+        self.young, self.old = {}, {}
+
+    def get(self, key):
+        value = self.young.get(key)
+        if value is None:
+            value = self.old.get(key)
+            if value is not None:
+                self.put(key, value)
+        return value
+
+    def put(self, key, value) -> None:
+        if len(self.young) >= self.half:
+            self.young, self.old = {}, self.young
+        self.young[key] = value
+
+
 class Encoder:
     """Whole texts to token ids; each match of ``pattern`` is encoded separately."""
 
@@ -184,44 +213,40 @@ class Encoder:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, cache: int = CACHE):
         self.pattern = regex.compile(pattern)
-        self.transducer = Transducer(Vocabulary(ranks), max_states=cache)
-        self.cache, self.words, self.pieces = cache, {}, {}
+        self.transducer = Transducer(Vocabulary(ranks, max_fits=2 * cache), max_states=cache)
+        self.words, self.pieces = Recent(cache), Recent(cache // 2)
+        self.decimals = {rank: str(rank) for rank in ranks.values()}
 
-    def _piece(self, piece: str) -> list[int]:
+    def _piece(self, piece: str) -> tuple[int, ...]:
         ids = self.pieces.get(piece)
         if ids is None:
-            ids = self.transducer.encode(piece.encode("utf-8"))
+            ids = tuple(self.transducer.encode(piece.encode("utf-8")))
             if len(piece) <= 64:
-                if len(self.pieces) >= self.cache:
-                    self.pieces.clear()
-                self.pieces[piece] = ids
+                self.pieces.put(piece, ids)
         return ids
 
-    def _plain(self, text: str) -> list[int]:
-        return [i for piece in self.pattern.findall(text) for i in self._piece(piece)]
+    def _plain(self, text: str) -> tuple[int, ...]:
+        parts = list(map(self._piece, self.pattern.findall(text)))
+        return parts[0] if len(parts) == 1 else tuple(chain.from_iterable(parts))
 
-    def _word(self, word: str) -> tuple[list[int], str]:
-        """Ids of a blank and the word, and the same as decimals joined by commas."""
+    def _word(self, word: str) -> tuple[int, ...]:
+        """Ids of a blank and the word."""
         ids = self._plain(" " + word)
-        part = ids, ",".join(map(str, ids))
         if len(word) <= 64:
-            if len(self.words) >= self.cache:
-                self.words.clear()
-            self.words[word] = part
-        return part
+            self.words.put(word, ids)
+        return ids
 
     def encode_with_text(self, text: str) -> tuple[list[int], str]:
         """Ids of the text, and the same as decimals joined by commas."""
         if self._UNEVEN.search(text):
-            ids = self._plain(text)
-            return ids, ",".join(map(str, ids))
-        first, *rest = text.split(" ")
-        head = self._plain(first)
-        parts = list(map(self.words.get, rest))
-        if None in parts:
-            parts = [p or self.words.get(w) or self._word(w) for w, p in zip(rest, parts)]
-        ids = [*head, *chain.from_iterable(map(itemgetter(0), parts))]
-        return ids, ",".join(chain(map(str, head), map(itemgetter(1), parts)))
+            ids = list(self._plain(text))
+        else:
+            first, *rest = text.split(" ")
+            parts = list(map(self.words.young.get, rest))
+            if None in parts:
+                parts = [p or self.words.get(w) or self._word(w) for w, p in zip(rest, parts)]
+            ids = [*self._plain(first), *chain.from_iterable(parts)]
+        return ids, ",".join(map(self.decimals.__getitem__, ids))
 
     def encode(self, text: str | None) -> list[int]:
         return self.encode_with_text(text or "")[0]

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import public_tokenizers
@@ -78,6 +79,34 @@ def test_transducer_starts_afresh_when_full(library):
         assert t.encode(word.encode()) == known.encode_ordinary(word)
 
 
+def test_transducer_starts_afresh_within_a_piece(library):
+    ranks, known = library
+    t, rnd = bpe.Transducer(bpe.Vocabulary(ranks), max_states=50), random.Random(3)
+    for word in ("".join(rnd.choice("aeinorst") for _ in range(3000)), "z" * 3000, "the"):
+        assert t.encode(word.encode()) == known.encode_ordinary(word)
+        assert len(t.states) <= 50
+
+
+def test_encoder_tables_stay_small(library):
+    """Of many different words only some are kept, in 1.2 KB at most for each one that ``cache`` allows."""
+    ranks, known = library
+    cache, rnd = 4000, random.Random(4)
+    parts = ["the", "ing", "ou", "er", "tion", "é", "le", "s", "nd", "qu"]
+    texts = [" ".join("".join(rnd.choice(parts) for _ in range(rnd.randint(2, 6))) + rnd.choice(["", "", ",", "."])
+                      for _ in range(200)) for _ in range(200)]
+    tracemalloc.start()
+    try:
+        ours = bpe.Encoder(ranks, public_tokenizers.PATTERN, cache)
+        empty = tracemalloc.get_traced_memory()[0]
+        tracemalloc.reset_peak()
+        for t in texts:
+            assert ours.encode(t) == known.encode_ordinary(t)
+        peak = tracemalloc.get_traced_memory()[1] - empty
+    finally:
+        tracemalloc.stop()
+    assert peak < 1200 * cache
+
+
 def test_streaming_decoder_any_cuts(library):
     ranks, known = library
     bytes_of = {r: t for t, r in ranks.items()}
